@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules
+from . import host_rules, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_host_rules,)}
+QUERIES = {f.__name__: f for f in (op4_secret_scan, op7_host_rules)}
 
-ORACLE_SQL = {"op7_host_rules": host_rules.ORACLE_SQL}
+ORACLE_SQL = {"op4_secret_scan": secret_scan.ORACLE_SQL, "op7_host_rules": host_rules.ORACLE_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, secret_scan
+from . import host_rules, packing, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,30 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op7_host_rules)}
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, _table(spark, sf_dir, "documents"), _tokenizer, 1024, 2)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(
+        _table(spark, sf_dir, "documents"), packing.vocabulary_file(_tokenizer())
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_secret_scan,
+        op7_host_rules,
+        op9_pattern_packing,
+        op10_token_counts,
+    )
+}
 
 ORACLE_SQL = {"op4_secret_scan": secret_scan.ORACLE_SQL, "op7_host_rules": host_rules.ORACLE_SQL}

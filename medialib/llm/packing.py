@@ -118,13 +118,13 @@ def patterns(most: int) -> np.ndarray:
     return np.concatenate([[[most, 0, 0]], pairs, triples])
 
 
-def fitted(histogram: np.ndarray, shapes: np.ndarray, steps: int = 300) -> np.ndarray:
+def fitted(histogram: np.ndarray, shapes: np.ndarray, steps: int = 1000) -> np.ndarray:
     """Non-negative repeat counts x of the patterns that make |A x - histogram|² small, by accelerated projected gradient.
 
     Each residual is weighed by its length, which counts a token left over the
-    same wherever it is left. A column of A has the uses of each length in a pattern.
+    same wherever it is left, over the number of patterns with that length, which
+    lets all lengths converge alike.
     """
-    weight = np.arange(len(histogram)) / len(histogram)
     used = (shapes > 0) & (histogram[shapes] > 0)
     alive = (used == (shapes > 0)).all(1)  # a pattern with a length that no piece has gets none
     shapes = shapes[alive]
@@ -132,19 +132,12 @@ def fitted(histogram: np.ndarray, shapes: np.ndarray, steps: int = 300) -> np.nd
     if not len(shapes):
         return out
     uses = np.bincount(shapes.ravel(), minlength=len(histogram))
-    step = 1 / max(1.0, 3 * uses[1:].max())
-    goal = histogram * weight
-    goal[0] = 0
-
-    def left(x: np.ndarray) -> np.ndarray:
-        made = np.bincount(shapes.ravel(), np.repeat(x, 3), len(histogram)) * weight
-        made[0] = 0
-        return made - goal
-
+    weight = np.arange(len(histogram)) / len(histogram) / np.maximum(uses, 1)
     x = y = np.zeros(len(shapes))
     t = 1.0
     for _ in range(steps):
-        new = np.maximum(0, y - step * (left(y) * weight)[shapes].sum(1))
+        over = np.bincount(shapes.ravel(), np.repeat(y, 3), len(histogram)) - histogram
+        new = np.maximum(0, y - (over * weight)[shapes].sum(1) / 3)
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         y = new + (before - 1) / t * (new - x)
         x = new

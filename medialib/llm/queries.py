@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, packing, secret_scan, token_counts
+from . import host_rules, packing, quality_lm, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _table(spark, sf_dir, "documents"), _tokenizer, 1024, 2)
 
@@ -40,6 +44,7 @@ QUERIES = {
     for f in (
         op4_secret_scan,
         op7_host_rules,
+        op8_kneser_ney_quality,
         op9_pattern_packing,
         op10_token_counts,
     )

@@ -87,7 +87,8 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     found = hashes[:count].copy()
     for k in range(1, n):
-        found = mixed(found * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + count])
+        found *= np.uint64(0x9E3779B97F4A7C15)
+        found += hashes[k : k + count]
     return mixed(found)
 
 

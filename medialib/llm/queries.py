@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import host_rules, license_scan, packing, quality_lm, secret_scan, token_counts
+from . import host_rules, license_scan, packing, quality_lm, repeats, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +16,19 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.substring_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +57,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan,
+        op2_suffix_array_dedup,
         op4_secret_scan,
+        op6_substring_dedup,
         op7_host_rules,
         op8_kneser_ney_quality,
         op9_pattern_packing,
@@ -55,4 +67,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op4_secret_scan": secret_scan.ORACLE_SQL, "op7_host_rules": host_rules.ORACLE_SQL}
+ORACLE_SQL = {"op4_secret_scan": secret_scan.ORACLE_SQL, "op2_suffix_array_dedup": repeats.PASSAGES_SQL, "op6_substring_dedup": repeats.ORACLE_SQL, "op7_host_rules": host_rules.ORACLE_SQL}

@@ -79,7 +79,7 @@ class Items:
             inside = at < limit
             word = np.where(inside, padded[np.minimum(at, len(words))], np.uint64(0))
             steps[step] = word
-            move = mixed(word ^ (self.walk_seeds + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(63)
+            move = mixed(word ^ (self.walk_seeds + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))) >> np.uint64(63)
             at = at + (inside & (move == 1))
         place = (self.samples * 2 * size).astype(np.int64)
         walk = np.arange(WALKS)[:, None, None]

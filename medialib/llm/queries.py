@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, license_scan, packing, quality_lm, repeats, secret_scan, token_counts
+from . import decontamination, host_rules, license_scan, near_dedup, packing, quality_lm, repeats, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_prob_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.substring_dedup(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,7 +41,8 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(_table(spark, sf_dir, "documents"))
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
+    """Where the public byte-level vocabulary lies."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -48,12 +53,12 @@ def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark, _table(spark, sf_dir, "documents"), _tokenizer, 1024, 2)
+    return packing.pack_documents(spark, _table(spark, sf_dir, "documents"), tokenizer_path, 1024, 2)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
-        _table(spark, sf_dir, "documents"), packing.vocabulary_file(_tokenizer())
+        _table(spark, sf_dir, "documents"), packing.vocabulary_file(tokenizer_path())
     )
 
 
@@ -64,6 +69,7 @@ QUERIES = {
         op2_suffix_array_dedup,
         op3_benchmark_decontamination,
         op4_secret_scan,
+        op5_prob_minhash_dedup,
         op6_substring_dedup,
         op7_host_rules,
         op8_kneser_ney_quality,

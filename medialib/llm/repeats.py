@@ -33,7 +33,7 @@ from .common import Rows, grams, hashed, picked, texts, written
 #: Low bits of a key that hold a place in the text; the rest is the hash that windows are anchored by.
 PLACE_BITS = np.uint64(28)
 SHARD_WORDS, HOT_SEGMENTS = 300_000, 2_000
-SHARED = pa.schema([("key", pa.string()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64()))])
+SHARED = pa.schema([("key", pa.binary()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64()))])
 Search = Callable[[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, int], list[tuple[np.ndarray, np.ndarray]]]
 
 
@@ -96,7 +96,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
 def _segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """anchor, doc_id, text_key, start, place, words, key of the runs of windows whose anchor is among docs.anchors."""
     schema = pa.schema(
-        [("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("place", pa.int32()), ("words", pa.binary()), ("key", pa.string())]
+        [("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("place", pa.int32()), ("words", pa.binary()), ("key", pa.binary())]
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,19 +107,21 @@ def _segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
             ):
                 words = text.split()
                 at, found = window_anchors(words, window, gram)
-                keep = np.isin(found[at].view(np.int64), anchors.values.to_numpy())
+                wanted = np.sort(anchors.values.to_numpy())
+                own = found[at].view(np.int64)
+                keep = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
                 edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
                 for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     if keep[begin]:
                         place = int(at[begin])
                         own = b" ".join(words[begin : end - 1 + window])
-                        rows.add(int(found[place].view(np.int64)), doc, key, begin, place - begin, own, hashlib.md5(own).hexdigest(), size=len(own))
+                        rows.add(int(found[place].view(np.int64)), doc, key, begin, place - begin, own, hashlib.md5(own).digest(), size=len(own))
                         if rows.full():
                             yield rows.batch()
         yield from rows.rest()
 
     return docs.select("doc_id", "text_key", "text", "anchors").mapInArrow(
-        cut, "anchor long, doc_id long, text_key long, start long, place int, words binary, key string"
+        cut, "anchor long, doc_id long, text_key long, start long, place int, words binary, key binary"
     )
 
 
@@ -134,9 +136,9 @@ def _windows(segments: DataFrame, window: int) -> DataFrame:
                 words = row["words"].split()
                 for k in range(len(words) - window + 1):
                     own = b" ".join(words[k : k + window])
-                    digest = hashlib.md5(own)
-                    anchor = int.from_bytes(digest.digest()[:8], "little", signed=True)
-                    rows.add(anchor, row["doc_id"], row["text_key"], row["start"] + k, row["place"] - k, own, digest.hexdigest(), size=len(own))
+                    key = hashlib.md5(own).digest()
+                    anchor = int.from_bytes(key[:8], "little", signed=True)
+                    rows.add(anchor, row["doc_id"], row["text_key"], row["start"] + k, row["place"] - k, own, key, size=len(own))
                     if rows.full():
                         yield rows.batch()
         if rows:
@@ -150,46 +152,53 @@ def _searched(contents: DataFrame, window: int, search: Search, shard_words: int
     total = contents.agg(F.sum(F.length("words")).alias("n")).first().n or 0
     parts = max(1, round(total / (7 * shard_words)))
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list, list]]:
-        own: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        anchor, size = None, 0
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        own: list[tuple] = []
+        size = 0
         for batch in batches:
-            for k, key, words, place, low, high in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "words", "place", "low", "high")), strict=True):
-                if k != anchor and size >= shard_words:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "words", "place", "low", "high")), strict=True):
+                if own and row[0] != own[-1][0] and size >= 7 * shard_words:
                     yield own
-                    own, size = ([], [], [], [], []), 0
-                anchor = k
-                for column, value in zip(own, (key, words.split(), place, low, high), strict=True):
-                    column.append(value)
-                size += len(own[1][-1])
-        if own[0]:
+                    own, size = [], 0
+                own.append(row)
+                size += len(row[2])
+        if own:
             yield own
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(SHARED)
-        for keys, words, places, low, high in shards(batches):
-            top = np.array(high)
-            for key, (least, most) in zip(keys, search(words, np.array(places), np.array(low), top, window), strict=True):
-                if (least < most).any():
-                    rows.add(key, least.tolist(), most.tolist(), size=16 * len(least))
-                    if rows.full():
-                        yield rows.batch()
+        for shard in shards(batches):
+            anchors = [r[0] for r in shard]
+            many = [a == b for a, b in zip(anchors, anchors[1:], strict=False)]
+            more = [x or y for x, y in zip([False, *many], [*many, False], strict=True)]
+            for (_, key, words, _, low, high), meets in zip(shard, more, strict=True):
+                if not meets and low < high:  # the only segment of its anchor: its windows are nowhere else
+                    n = words.count(b" ") + 2 - window
+                    rows.add(key, [low] * n, [high] * n, size=16 * n)
+            met = [r for r, meets in zip(shard, more, strict=True) if meets]
+            if met:
+                _, keys, words, places, low, high = zip(*met, strict=True)
+                shared = search([w.split() for w in words], np.array(places), np.array(low), np.array(high), window)
+                for key, (least, most) in zip(keys, shared, strict=True):
+                    if (least < most).any():
+                        rows.add(key, least.tolist(), most.tolist(), size=16 * len(least))
+            if rows.full():
+                yield rows.batch()
         yield from rows.rest()
 
     return (
         contents.repartition(parts, "anchor").sortWithinPartitions("anchor")
-        .mapInArrow(found, "key string, low array<long>, high array<long>")
+        .mapInArrow(found, "key binary, low array<long>, high array<long>")
     )
 
 
 def shared_windows(
-    docs: DataFrame, window: int, gram: int, search: Search, shard_words=SHARD_WORDS, hot_segments=HOT_SEGMENTS
+    docs: DataFrame, window: int, gram: int, search: Search, taken: Callable, shard_words=SHARD_WORDS, hot_segments=HOT_SEGMENTS
 ) -> DataFrame:
-    """doc_id, text_key, runs: for one document of each text, the runs of windows of which some are shared.
+    """doc_id, text_key, starts, first: for one document of each text, where its windows start that are taken.
 
-    runs is an array of (start, low, high): the window that starts k words after
-    start is found in texts whose lowest document is low[k] and highest high[k].
-    docs: doc_id, text, text_key.
+    taken(low, high) says so of a window that is found in texts whose lowest
+    document is low and highest high; first has the lows. docs: doc_id, text, text_key.
     """
     anchors = shared_anchors(docs, window, gram)
     firsts = text_classes(docs).select("text_key", F.col("first_id").alias("doc_id"))
@@ -197,9 +206,7 @@ def shared_windows(
     segments = written(_segments(docs.join(chosen, ["doc_id", "text_key"]), window, gram), "segments")
 
     def contents(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("anchor", "key").agg(
-            F.first("words").alias("words"), F.first("place").alias("place"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-        )
+        return rows.groupBy("anchor", "key", "words", "place").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
 
     each = written(contents(segments), "contents")
     hot = written(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).select("anchor"), "hot-anchors")
@@ -208,9 +215,14 @@ def shared_windows(
         segments = segments.join(hot, "anchor", "left_anti").unionByName(apart)
         each = each.join(hot, "anchor", "left_anti").unionByName(contents(apart))
     found = written(_searched(each, window, search, shard_words), "shared-windows")
+    at = F.transform(
+        F.arrays_zip("low", "high"), lambda w, k: F.struct((F.col("start") + k).alias("at"), w["low"].alias("low"), taken(w["low"], w["high"]).alias("taken"))
+    )
+    runs = segments.select("key", "doc_id", "text_key", "start").join(found, "key").select("doc_id", "text_key", F.filter(at, lambda w: w["taken"]).alias("own"))
+    every = F.flatten(F.collect_list("own"))
     return (
-        segments.select("key", "doc_id", "text_key", "start").join(found, "key")
-        .groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "low", "high")).alias("runs"))
+        runs.where(F.size("own") > 0).groupBy("doc_id", "text_key").agg(every.alias("own"))
+        .select("doc_id", "text_key", F.col("own.at").alias("starts"), F.col("own.low").alias("first"))
     )
 
 
@@ -220,8 +232,8 @@ def _copies(docs: DataFrame) -> DataFrame:
     own = docs.where("doc_id is not null").select(
         "doc_id", "text_key", F.md5("text").alias("text_hash"),
         F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"),
-    )
-    return own.join(classes, ["text_key", "text_hash"]).select("doc_id", "text_key", "n_words", "first_id").distinct()
+    ).distinct()
+    return own.join(classes, ["text_key", "text_hash"]).select("doc_id", "text_key", "n_words", "first_id")
 
 
 def _covered(n: int, window: int, starts: np.ndarray) -> np.ndarray:
@@ -232,7 +244,7 @@ def _covered(n: int, window: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def substring_dedup(docs: DataFrame, id_col="doc_id", text_col="text", window=13, gram=3, **sizes) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col="doc_id", text_col="text", window=13, gram=5, **sizes) -> DataFrame:
     """Removes what an earlier document has: doc_id, n_words, n_removed, kept_text of each row.
 
     A word goes if a window over it also starts in a document with a smaller
@@ -246,7 +258,7 @@ def substring_dedup(docs: DataFrame, id_col="doc_id", text_col="text", window=13
     def search(words, places, low, high, n):
         return fm_index.windows_shared(words, low, high, n)
 
-    runs = shared_windows(docs, window, gram, search, **sizes)
+    runs = shared_windows(docs, window, gram, search, lambda low, high: low < F.col("doc_id"), **sizes).drop("first")
     later = _copies(docs).where("doc_id > first_id").select("doc_id", "text_key", F.lit(True).alias("copy"))
     side = written(runs.join(later, ["doc_id", "text_key"], "full_outer"), "removals")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
@@ -254,24 +266,23 @@ def substring_dedup(docs: DataFrame, id_col="doc_id", text_col="text", window=13
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(schema)
         for batch in batches:
-            columns = (batch.column(c) for c in ("doc_id", "copy", "runs"))
-            for text, doc, copy, runs in zip(texts(batch), *columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "copy"))
+            for text, doc, copy, starts in zip(texts(batch), *columns, batch.column("starts"), strict=True):
                 words = text.split()
                 left = words
-                if copy.as_py():
+                if copy:
                     left = words if len(words) < window else []
-                elif runs.is_valid:
-                    starts = [r["start"] + np.flatnonzero(np.array(r["low"]) < doc.as_py()) for r in runs.as_py()]
-                    gone = _covered(len(words), window, np.concatenate(starts))
+                elif starts.is_valid:
+                    gone = _covered(len(words), window, starts.values.to_numpy())
                     left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 whole = b" ".join(left)
-                rows.add(doc.as_py(), len(words), len(words) - len(left), whole.decode(), size=len(whole))
+                rows.add(doc, len(words), len(words) - len(left), whole.decode(), size=len(whole))
                 if rows.full():
                     yield rows.batch()
         yield from rows.rest()
 
     return (
-        docs.join(side, ["doc_id", "text_key"], "left").select("doc_id", "text", "copy", "runs")
+        docs.join(side, ["doc_id", "text_key"], "left").select("doc_id", "text", "copy", "starts")
         .mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_text string")
     )
 
@@ -287,22 +298,16 @@ def repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text", window=
     id have no rows; other columns play no part.
     """
     docs = _with_text_key(docs, id_col, text_col)
-    runs = shared_windows(docs, window, gram, suffix_array.windows_shared, **sizes)
+    runs = shared_windows(docs, window, gram, suffix_array.windows_shared, lambda low, high: low < high, **sizes)
     copies = written(_copies(docs).where(F.col("n_words") >= window), "copies")
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start_word", "end_word", "n_words", "first_doc_id")])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(schema)
         for batch in batches:
-            for doc, runs in zip(batch.column("doc_id").to_pylist(), batch.column("runs"), strict=True):
-                starts, first = [], []
-                for run in runs.as_py():
-                    low = np.array(run["low"])
-                    at = np.flatnonzero(low < np.array(run["high"]))
-                    starts.append(run["start"] + at)
-                    first.append(low[at])
-                starts, order = np.unique(np.concatenate(starts), return_index=True)
-                first = np.concatenate(first)[order]
+            for doc, starts, first in zip(batch.column("doc_id").to_pylist(), batch.column("starts"), batch.column("first"), strict=True):
+                starts, order = np.unique(starts.values.to_numpy(), return_index=True)
+                first = first.values.to_numpy()[order]
                 cuts = np.flatnonzero(np.diff(starts) > window) + 1
                 for own, low in zip(np.split(starts, cuts), np.split(first, cuts), strict=True):
                     if len(own):
@@ -313,7 +318,7 @@ def repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text", window=
         yield from rows.rest()
 
     whole = copies.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), "n_words", F.col("first_id").alias("first_doc_id"))
-    parts = runs.join(copies.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti").select("doc_id", "runs")
+    parts = runs.join(copies.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti").select("doc_id", "starts", "first")
     return whole.unionByName(
         parts.mapInArrow(stretches, "doc_id long, start_word long, end_word long, n_words long, first_doc_id long")
     )

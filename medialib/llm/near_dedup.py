@@ -105,25 +105,30 @@ def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
-    """The pairs of nodes (a, b) whose sets of shingles have a Jaccard similarity of at least similar."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, set: the sorted set of shingles of each node."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.unique(shingles(t)).tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["node", "set"])
+            made = [np.unique(shingles(t)).view(np.int64) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], names=["node", "set"])
+
+    own = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    return own.select("doc_id", "text").mapInArrow(sets, "node long, set array<long>")
+
+
+def _verified(pairs: DataFrame, own: DataFrame, similar: float) -> DataFrame:
+    """The pairs of nodes (a, b) whose sets of shingles (own: node, set) have a Jaccard similarity of at least similar."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                one, two = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                one, two = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(both >= similar * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = written(docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "node long, set binary"), "shingles")
     return (
         pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
         .join(own.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -131,21 +136,47 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     )
 
 
-def _open_pairs(members: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
-    """Likely pairs of one bucket in different components: those outside its main component against all of it, in blocks."""
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """key, main (its largest component), n of the buckets (key, node, component) of several components and over two texts."""
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed_up = (
-        sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1 and n > 2").select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    main = F.max_by("component", F.struct("n", "component"))
+    return (
+        sizes.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1 and n > 2").drop("parts")
     )
-    rows = written(placed.join(mixed_up, "key"), "open-buckets")
-    asked = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "component", F.lit(True).alias("asks"))
-    given = rows.select("key", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "component", F.lit(False).alias("asks"))
-    dealt = asked.unionByName(given).join(signed, "node").select("key", "block", "node", "component", "asks", "signature")
+
+
+def _linkable(own: DataFrame, similar: float) -> DataFrame:
+    """node, n, common: sizes of the sets, and how many of their shingles another set has as well, where that can make a link.
+
+    No two texts share more than either has in common with all others, so a
+    text with less in common than `similar` of its set has no link at all.
+    """
+    each = own.select("node", F.explode("set").alias("shingle"))
+    twice = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("shingle")
+    common = each.join(twice, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("common"))
+    return own.select("node", F.size("set").alias("n")).join(common, "node").where(F.col("common") >= similar * F.col("n"))
+
+
+def _open_pairs(placed: DataFrame, signed: DataFrame, able: DataFrame, similar: float) -> DataFrame:
+    """Likely pairs of one bucket in different components: those outside its main component against all of it, in blocks.
+
+    placed: key, node, component. able: node, n, common; a pair shares at most
+    the lesser common, which bounds its similarity before it is looked at.
+    """
+    rows = placed.join(able, "node")
+    rows = written(rows.join(_mixed(rows).withColumnRenamed("n", "of"), "key").withColumn("blocks", F.ceil(F.col("of") / BLOCK)), "open-buckets")
+    asked = rows.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    given = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("asks", F.lit(False))
+    columns = ("key", "block", "node", "component", "asks", "n", "common")
+    dealt = asked.select(*columns).unionByName(given.select(*columns)).join(signed, "node").select(*columns, "signature")
 
     def pairs_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        node, component, asks, signature = (np.concatenate(c) for c in zip(*rows, strict=True))
+        node, component, asks, n, common, signature = (np.concatenate(c) for c in zip(*rows, strict=True))
         ask, give = np.flatnonzero(asks), np.flatnonzero(~asks)
         one, two = [], []
         for k in range(0, len(ask), 64):
@@ -153,7 +184,9 @@ def _open_pairs(members: DataFrame, signed: DataFrame, found: DataFrame) -> Data
             agreed = np.zeros((len(part), len(give)), np.int16)
             for p in range(PLACES):
                 agreed += signature[part, p][:, None] == signature[give, p]
-            x, y = np.nonzero((agreed >= LEAST_AGREED * PLACES) & (component[part][:, None] != component[give]))
+            most = np.minimum(common[part][:, None], common[give])
+            near = (agreed >= LEAST_AGREED * PLACES) & (most >= similar * (n[part][:, None] + n[give] - most))
+            x, y = np.nonzero(near & (component[part][:, None] != component[give]))
             one.append(node[part[x]])
             two.append(node[give[y]])
         if not one:
@@ -169,7 +202,8 @@ def _open_pairs(members: DataFrame, signed: DataFrame, found: DataFrame) -> Data
             if not batch.num_rows:
                 continue
             key, block, node, component = (batch.column(c).to_numpy() for c in ("key", "block", "node", "component"))
-            asks, signature = batch.column("asks").to_numpy(zero_copy_only=False), _matrix(batch.column("signature"))
+            asks, n, common = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "n", "common"))
+            signature = _matrix(batch.column("signature"))
             edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]), [True]]))
             for begin, end in zip(edges[:-1], edges[1:], strict=True):
                 if (key[begin], block[begin]) != current and waiting:
@@ -178,7 +212,7 @@ def _open_pairs(members: DataFrame, signed: DataFrame, found: DataFrame) -> Data
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                 current = (key[begin], block[begin])
-                waiting.append((node[begin:end], component[begin:end], asks[begin:end], signature[begin:end]))
+                waiting.append(tuple(c[begin:end] for c in (node, component, asks, n, common, signature)))
         if waiting:
             a, b = pairs_of(waiting)
             if len(a):
@@ -214,10 +248,15 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similar=S
     members = written(every.select("key", "node").join(shared, "key"), "buckets")
     near = F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
     pairs = members.where("node <> pivot").select(*near).distinct()
-    links = written(_verified(written(_likely(pairs, signed), "pairs"), known, similar), "pivot-links")
-    more = written(_open_pairs(members.select("key", "node").distinct(), signed, components(links)), "open-pairs")
+    likely = written(_likely(pairs, signed), "pairs")
+    links = written(_verified(likely, written(_sets(_nodes(likely), known), "shingles"), similar), "pivot-links")
+    placed = members.select("key", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = written(placed, "placed")
+    unsettled = placed.join(_mixed(placed).select("key"), "key", "left_semi").select("node").distinct()
+    own = written(_sets(unsettled, known), "open-shingles")
+    more = written(_open_pairs(placed, signed, written(_linkable(own, similar), "linkable"), similar), "open-pairs")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, known, similar))
+        links = links.unionByName(_verified(more, own, similar))
     found = components(links).select(F.col("node").alias("first_id"), "component")
     judged = (
         ids.join(classes, "text_hash").join(found, "first_id", "left")

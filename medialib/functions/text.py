@@ -13,6 +13,11 @@ EXTENSIONS = [".jpg", ".jpeg", ".png", ".webp", ".mp4", ".mov", ".gif", ".heic"]
 RESERVED = ["CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10))]
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text(value: Column) -> Column:
     """Null as ''."""
     return F.coalesce(value.cast("string"), F.lit(""))
@@ -63,10 +68,9 @@ def safe_component(name: Column, most: int = 80) -> Column:
     """A file or folder name that any system takes. Composed letters (NFC) are expected."""
     clean = stripped(F.regexp_replace(stripped(text(name)), r'[<>:"/\\|?*\x00-\x1f]', "_"))
     clean = F.regexp_replace(F.regexp_replace(clean, r"(?U)\s+", " "), r"^[ .]+|[ .]+$", "")
-    clean = F.when(clean == "", "unnamed").otherwise(clean)
-    clean = F.when(F.upper(F.split_part(clean, F.lit("."), F.lit(1))).isin(RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
-    cut = F.when(F.length(clean) > most, F.regexp_replace(F.substring(clean, 1, most), "[ .]+$", "")).otherwise(clean)
-    return F.when(cut == "", "unnamed").otherwise(cut)
+    named = let(clean, lambda c: F.when(c == "", "unnamed").when(F.upper(F.split_part(c, F.lit("."), F.lit(1))).isin(RESERVED), F.concat(F.lit("_"), c)).otherwise(c))
+    cut = let(named, lambda c: F.when(F.length(c) > most, F.regexp_replace(F.substring(c, 1, most), "[ .]+$", "")).otherwise(c))
+    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("unnamed"))
 
 
 def caption_slug(caption: Column, limit: int = 60) -> Column:
@@ -77,12 +81,15 @@ def caption_slug(caption: Column, limit: int = 60) -> Column:
     )
     good = F.filter(lines, lambda x: F.length(squeezed(x)) >= 3)
     bare = F.regexp_replace(F.translate(whole, "#@", "  "), PICTOGRAMS, " ")
-    chosen = F.when(F.size(good) > 0, F.element_at(good, 1)).otherwise(bare)
+    chosen = F.coalesce(F.get(good, F.lit(0)), bare)
     chosen = F.regexp_replace(F.regexp_replace(chosen, r"(?U)\s+", " "), r"^[ \-–—·•,.:;!?|/\\]+|[ \-–—·•,.:;!?|/\\]+$", "")
-    cut = F.substring(chosen, 1, limit)
-    word = F.when(F.instr(F.substring(cut, limit // 2 + 1, limit), " ") > 0, F.regexp_replace(cut, " [^ ]*$", "")).otherwise(cut)
-    short = F.when(F.length(chosen) > limit, F.regexp_replace(word, r"[ \-–—·•,.:;!?]+$", "")).otherwise(chosen)
-    return F.when(chosen == "", "").otherwise(safe_component(short, limit))
+
+    def shorter(x: Column) -> Column:
+        cut = F.substring(x, 1, limit)
+        word = F.when(F.instr(F.substring(cut, limit // 2 + 1, limit), " ") > 0, F.regexp_replace(cut, " [^ ]*$", "")).otherwise(cut)
+        return F.when(F.length(x) > limit, F.regexp_replace(word, r"[ \-–—·•,.:;!?]+$", "")).otherwise(x)
+
+    return let(let(chosen, shorter), lambda c: F.when(c == "", "").otherwise(safe_component(c, limit)))
 
 
 def base_name(taken_at: Column, username: Column, code: Column) -> Column:
@@ -109,8 +116,7 @@ def render_template(template: str, taken_at, username, code, kind, media_id, col
         made = F.replace(made, F.lit(token), value)
     made = F.regexp_replace(made, "[ -]*_[ _-]*", "_")
     made = F.regexp_replace(F.regexp_replace(made, " *-[ -]*", "-"), "^[ _-]+|[ _-]+$", "")
-    name = safe_component(made, 120)
-    return F.when(name == "unnamed", base_name(taken_at, username, code)).otherwise(name)
+    return let(safe_component(made, 120), lambda n: F.when(n == "unnamed", base_name(taken_at, username, code)).otherwise(n))
 
 
 def asset_name(base: Column, index: Column, ext: Column) -> Column:
@@ -120,9 +126,9 @@ def asset_name(base: Column, index: Column, ext: Column) -> Column:
 
 def short_title(caption: Column, username: Column, code: Column, limit: int = 70) -> Column:
     first = squeezed(F.element_at(F.split(stripped(text(caption)), "\r\n|[\n\r]", -1), 1))
-    first = F.when(F.length(first) > limit, F.concat(F.rtrim(F.substring(first, 1, limit - 1)), F.lit("…"))).otherwise(first)
     user = F.coalesce(F.nullif(username, F.lit("")), F.lit("unknown"))
-    return F.when(first != "", first).otherwise(F.concat(F.lit("@"), user, F.lit(" · "), text(code)))
+    other = F.concat(F.lit("@"), user, F.lit(" · "), text(code))
+    return let(first, lambda f: F.when(F.length(f) > limit, F.concat(F.rtrim(F.substring(f, 1, limit - 1)), F.lit("…"))).when(f != "", f).otherwise(other))
 
 
 def ext_from_url(url: Column, default: str = ".jpg") -> Column:
@@ -166,8 +172,8 @@ def keywords(*lists: Column, most: int = 30) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """B below a KB, else one decimal of the largest unit up to GB."""
-    made = F.concat(F.format_string("%.1f", n / 1024**3), F.lit(" GB"))
+    """B below a KB, else one decimal (halves to even) of the largest unit up to GB."""
+    made = F.concat(F.format_string("%.1f", F.bround(n / 1024**3, 1)), F.lit(" GB"))
     for power, unit in ((2, "MB"), (1, "KB")):
-        made = F.when(n < 1024 ** (power + 1), F.concat(F.format_string("%.1f", n / 1024**power), F.lit(f" {unit}"))).otherwise(made)
+        made = F.when(n < 1024 ** (power + 1), F.concat(F.format_string("%.1f", F.bround(n / 1024**power, 1)), F.lit(f" {unit}"))).otherwise(made)
     return F.when(n < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B"))).otherwise(made)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feeds, library, posts, reports, state, tagging  # noqa: F401
+from . import describe, feeds, library, posts, reports, scans, similarity, state, streams, tagging, text  # noqa: F401
 from .query import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -136,10 +136,6 @@ def _verified(pairs: DataFrame, own: DataFrame, similar: float) -> DataFrame:
     )
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-
-
 def _mixed(placed: DataFrame) -> DataFrame:
     """key, main (its largest component), n of the buckets (key, node, component) of several components and over two texts."""
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -248,13 +244,13 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similar=S
     members = written(every.select("key", "node").join(shared, "key"), "buckets")
     near = F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
     pairs = members.where("node <> pivot").select(*near).distinct()
-    likely = written(_likely(pairs, signed), "pairs")
-    links = written(_verified(likely, written(_sets(_nodes(likely), known), "shingles"), similar), "pivot-links")
+    own = written(_sets(members.select("node").distinct(), known), "shingles")  # the texts are shuffled this once
+    links = written(_verified(written(_likely(pairs, signed), "pairs"), own, similar), "pivot-links")
     placed = members.select("key", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed, "placed")
     unsettled = placed.join(_mixed(placed).select("key"), "key", "left_semi").select("node").distinct()
-    own = written(_sets(unsettled, known), "open-shingles")
-    more = written(_open_pairs(placed, signed, written(_linkable(own, similar), "linkable"), similar), "open-pairs")
+    able = written(_linkable(own.join(unsettled, "node", "left_semi"), similar), "linkable")
+    more = written(_open_pairs(placed, signed, able, similar), "open-pairs")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, own, similar))
     found = components(links).select(F.col("node").alias("first_id"), "component")

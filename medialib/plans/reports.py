@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from ..operators import tags as tag_ops
 from .query import query
 
-N = F.count(F.lit(1))
+def n_rows():
+    """The number of rows."""
+    return F.count(F.lit(1))
 
 
 @query("SELECT count(*) AS posts, (SELECT count(*) FROM files) AS files, (SELECT coalesce(sum(bytes), 0)::BIGINT FROM files) AS bytes FROM media WHERE status IN ('done', 'archived')")
 def totals(v):
-    own = v.media.where("status in ('done', 'archived')").agg(N.alias("posts"))
-    return own.join(v.files.agg(N.alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")))  # one row each
+    own = v.media.where("status in ('done', 'archived')").agg(n_rows().alias("posts"))
+    return own.join(v.files.agg(n_rows().alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")))  # one row each
 
 
 @query("""SELECT c.pk, media_count, count(m.pk) FILTER (status IN ('done', 'archived')) AS done FROM collections c
           LEFT JOIN membership b ON b.collection_pk = c.pk LEFT JOIN media m ON m.pk = b.media_pk GROUP BY c.pk, media_count""")
 def collection_progress(v):
-    done = v.membership.join(v.media.where("status in ('done', 'archived')").select(F.col("pk").alias("media_pk")), "media_pk").groupBy(F.col("collection_pk").alias("pk")).agg(N.alias("done"))
+    done = v.membership.join(v.media.where("status in ('done', 'archived')").select(F.col("pk").alias("media_pk")), "media_pk").groupBy(F.col("collection_pk").alias("pk")).agg(n_rows().alias("done"))
     return v.collections.join(done, "pk", "left").select("pk", "media_count", F.coalesce("done", F.lit(0)).alias("done"))
 
 
@@ -30,7 +32,7 @@ def collection_progress(v):
 def agreement_stats(v):
     rows = v.agreement.withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("?")))
     same = (F.col("proposed") == "download") == (F.col("decided") == "kept")
-    out = rows.rollup("category").agg(N.alias("total"), F.count_if(same).alias("agreed"))
+    out = rows.rollup("category").agg(n_rows().alias("total"), F.count_if(same).alias("agreed"))
     return out.select(F.coalesce("category", F.lit("all")).alias("category"), "total", "agreed", F.floor(100 * F.col("agreed") / F.col("total")).cast("long").alias("percent"))
 
 
@@ -44,7 +46,7 @@ def tag_frequency(v):
 
 @query("SELECT media_pk, count(*) AS copies FROM imports GROUP BY media_pk HAVING count(*) > 1")
 def eagle_duplicates(v):
-    return v.imports.groupBy("media_pk").agg(N.alias("copies")).where("copies > 1")
+    return v.imports.groupBy("media_pk").agg(n_rows().alias("copies")).where("copies > 1")
 
 
 @query("""SELECT id, url, name, ((row_number() OVER (PARTITION BY right(url, 2) ORDER BY url, name, id) - 1) // 50)::BIGINT AS chunk FROM (
@@ -59,13 +61,13 @@ def library_duplicates(v):
 
 @query("SELECT tag, hits FROM (SELECT unnest(string_split(tags, chr(10))) AS tag, count(*) AS hits FROM ai_meta GROUP BY 1) WHERE hits >= 5 ORDER BY hits DESC, tag LIMIT 60")
 def candidate_report(v):
-    hits = v.ai_meta.select(F.explode(F.split("tags", "\n")).alias("tag")).groupBy("tag").agg(N.alias("hits"))
+    hits = v.ai_meta.select(F.explode(F.split("tags", "\n")).alias("tag")).groupBy("tag").agg(n_rows().alias("hits"))
     return hits.where("hits >= 5").orderBy(F.desc("hits"), "tag").limit(60)
 
 
 @query("SELECT coalesce(source, 'rules') AS source, count(*) AS pending FROM review WHERE decided IS NULL GROUP BY 1")
 def review_counts(v):
-    return v.review.where("decided is null").groupBy(F.coalesce("source", F.lit("rules")).alias("source")).agg(N.alias("pending"))
+    return v.review.where("decided is null").groupBy(F.coalesce("source", F.lit("rules")).alias("source")).agg(n_rows().alias("pending"))
 
 
 @query("""SELECT count(*) AS scanned, count(*) FILTER (status = 'done') AS downloaded, count(*) FILTER (status = 'skipped') AS skipped,
@@ -76,7 +78,7 @@ def run_stats(v):
     waiting = v.review.where("decided is null").select(F.col("media_pk").alias("pk"), F.lit(1).alias("r"))
     rows = v.media.select("pk", "status").join(imported, "pk", "left").join(waiting, "pk", "left")
     status = F.col("status")
-    return rows.agg(N.alias("scanned"), F.count_if(status == "done").alias("downloaded"), F.count_if(status == "skipped").alias("skipped"), F.count_if(status.isin("failed", "gave_up")).alias("failed"), F.count("i").alias("imported"), F.count("r").alias("to_review"))
+    return rows.agg(n_rows().alias("scanned"), F.count_if(status == "done").alias("downloaded"), F.count_if(status == "skipped").alias("skipped"), F.count_if(status.isin("failed", "gave_up")).alias("failed"), F.count("i").alias("imported"), F.count("r").alias("to_review"))
 
 
 @query("SELECT model, round(avg(seconds) FILTER (ok), 6) AS mean, round(median(seconds) FILTER (ok), 6) AS median, count(*) FILTER (NOT ok) AS failures FROM latencies GROUP BY model")
@@ -89,14 +91,14 @@ def model_benchmark(v):
             SELECT image, count(DISTINCT category) AS c FROM latencies GROUP BY image HAVING count(*) = (SELECT count(DISTINCT model) FROM latencies) AND bool_and(ok))""")
 def model_agreement(v):
     models = v.latencies.agg(F.countDistinct("model")).first()[0]
-    images = v.latencies.groupBy("image").agg(N.alias("n"), F.every("ok").alias("ok"), F.countDistinct("category").alias("c")).where((F.col("n") == models) & F.col("ok"))
-    return images.agg(N.alias("images"), F.count_if(F.col("c") == 1).alias("agreed"), F.round(F.count_if(F.col("c") == 1) / F.count(F.lit(1)), 6).alias("share"))
+    images = v.latencies.groupBy("image").agg(n_rows().alias("n"), F.every("ok").alias("ok"), F.countDistinct("category").alias("c")).where((F.col("n") == models) & F.col("ok"))
+    return images.agg(n_rows().alias("images"), F.count_if(F.col("c") == 1).alias("agreed"), F.round(F.count_if(F.col("c") == 1) / F.count(F.lit(1)), 6).alias("share"))
 
 
 @query("""SELECT count(*) AS done, count(*) FILTER (d.path IS NULL) AS missing, sum(bytes)::BIGINT AS bytes FROM files LEFT JOIN disk_inventory d USING (path)""")
 def job_stats(v):
     rows = v.files.join(v.disk_inventory, "path", "left")
-    return rows.agg(N.alias("done"), F.count_if(F.col("size").isNull()).alias("missing"), F.sum("bytes").alias("bytes"))
+    return rows.agg(n_rows().alias("done"), F.count_if(F.col("size").isNull()).alias("missing"), F.sum("bytes").alias("bytes"))
 
 
 @query("SELECT pk, attempts::BIGINT AS attempts, last_error FROM media WHERE status = 'gave_up' ORDER BY first_seen DESC, pk LIMIT 10")
@@ -106,8 +108,8 @@ def account_stats(v):
 
 @query("SELECT count(*) AS rows, count(*) FILTER (description <> '') AS described, (SELECT count(*) FROM files WHERE kind <> 'thumb') AS files FROM ai_meta")
 def described_coverage(v):
-    own = v.ai_meta.agg(N.alias("rows"), F.count_if(F.col("description") != "").alias("described"))
-    return own.join(v.files.where("kind <> 'thumb'").agg(N.alias("files")))  # one row each
+    own = v.ai_meta.agg(n_rows().alias("rows"), F.count_if(F.col("description") != "").alias("described"))
+    return own.join(v.files.where("kind <> 'thumb'").agg(n_rows().alias("files")))  # one row each
 
 
 @query("""SELECT media_pk, source, verdict FROM review WHERE decided IS NULL ORDER BY verdict = 'skip' DESC, added_at DESC, media_pk LIMIT 60""")

@@ -77,13 +77,13 @@ def prompt_hash(v):
 STARTER = ", ".join(f"('{c.key}', {no}, {c.limit}, '{t}', {k})" for no, c in enumerate(vocab.starter().categories) for k, t in enumerate(c.tags))
 
 
-@query(f"""SELECT category, category || ': pick 0-' || lim || chr(10) || string_agg(tag, ', ' ORDER BY k) AS block, coalesce(any_value(n), 0) AS used
-           FROM (VALUES {STARTER}) AS s(category, no, lim, tag, k) LEFT JOIN (SELECT tag AS t0, n0 AS n FROM (SELECT tag AS tag, count(*) AS n0 FROM (SELECT unnest(list_distinct(string_split(tags, chr(10)))) AS tag FROM ai_meta) GROUP BY tag) WHERE false) ON t0 = tag GROUP BY category, lim""")
+@query(f"""SELECT category, category || ': pick 0-' || lim || chr(10) || string_agg(s.tag, ', ' ORDER BY k) AS block, coalesce(sum(n), 0)::BIGINT AS used
+           FROM (VALUES {STARTER}) AS s(category, no, lim, tag, k) LEFT JOIN (SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(tags, chr(10)))) AS tag FROM ai_meta) GROUP BY tag) u USING (tag) GROUP BY category, lim""")
 def render_vocab(v):
-    """Vocabulary blocks of a request; used is filled by reports only."""
-    rows = vocab.tables(v.spark, vocab.starter())
-    lists = rows.groupBy("category", "limit").agg(F.array_sort(F.collect_list(F.struct("place", "tag")))["tag"].alias("t"))
-    return lists.select("category", F.concat("category", F.lit(": pick 0-"), "limit", F.lit("\n"), F.array_join("t", ", ")).alias("block"), F.lit(0).cast("long").alias("used"))
+    """Vocabulary blocks of a request, and how often descriptions use their tags."""
+    rows = vocab.tables(v.spark, vocab.starter()).join(tag_ops.tag_frequency(v.ai_meta), "tag", "left")
+    lists = rows.groupBy("category", "limit").agg(F.array_sort(F.collect_list(F.struct("place", "tag")))["tag"].alias("t"), F.coalesce(F.sum("n"), F.lit(0)).alias("used"))
+    return lists.select("category", F.concat("category", F.lit(": pick 0-"), "limit", F.lit("\n"), F.array_join("t", ", ")).alias("block"), "used")
 
 
 COUNT = "CASE WHEN kind <> 'video' THEN 1 WHEN d <= 0 THEN 12 WHEN d <= 10 THEN 4 WHEN d <= 30 THEN 8 WHEN d <= 60 THEN 12 WHEN d <= 120 THEN 20 ELSE 32 END"

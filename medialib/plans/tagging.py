@@ -231,11 +231,14 @@ def account_lists(v):
     return rows.select(F.lower("username").alias("account"), F.when((F.col("k") % 10).isin(0, 5), "allow").otherwise("block").alias("list")).distinct()
 
 
-@query(f"""SELECT raw, target FROM {values([('render', 'mine'), ('new', 'own')], 'raw, target')} UNION ALL SELECT * FROM {values([(a, b) for a, b in W.STARTER_ALIASES.items() if a not in ('render', 'new')], 'raw, target')}""")
+OVERLAY = values([("render", "mine"), ("new", "own"), *((a, b) for a, b in W.STARTER_ALIASES.items() if a not in ("render", "new"))], "raw, target")
+
+
+@query(f"SELECT raw, target, count(*) AS n FROM (SELECT unnest(string_split(tags, chr(10))) AS raw FROM ai_meta) JOIN {OVERLAY} USING (raw) GROUP BY raw, target")
 def vocab_overlay(v):
-    """A file's aliases, and the built-in ones under them; scaled by nothing, so joined to the tags in use."""
+    """What raw tags in use stand for: by a file's aliases, and by the built-in ones where the file has none."""
     file = v.spark.createDataFrame([("render", "mine"), ("new", "own")], "raw string, target string")
     built_in = v.spark.createDataFrame(list(W.STARTER_ALIASES.items()), "raw string, target string")
-    return file.unionByName(built_in.join(file, "raw", "left_anti"))
-
-
+    overlay = file.unionByName(built_in.join(file, "raw", "left_anti"))
+    each = v.ai_meta.select(F.explode(F.split("tags", "\n")).alias("raw"))
+    return each.join(F.broadcast(overlay), "raw").groupBy("raw", "target").agg(F.count(F.lit(1)).alias("n"))

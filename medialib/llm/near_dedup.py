@@ -158,23 +158,36 @@ def _linkable(own: DataFrame, similar: float) -> DataFrame:
     return own.select("node", F.size("set").alias("n")).join(common, "node").where(F.col("common") >= similar * F.col("n"))
 
 
-def _open_pairs(placed: DataFrame, signed: DataFrame, able: DataFrame, similar: float) -> DataFrame:
-    """Likely pairs of one bucket in different components: those outside its main component against all of it, in blocks.
+def _open_links(placed: DataFrame, signed: DataFrame, able: DataFrame, own: DataFrame, similar: float) -> DataFrame:
+    """Links that join components, within buckets: texts outside a bucket's main component against all of it, in blocks.
 
     placed: key, node, component. able: node, n, common; a pair shares at most
-    the lesser common, which bounds its similarity before it is looked at.
+    the lesser common, which bounds its similarity before its signatures and
+    then its sets (own: node, set) are compared. A block gives a link only
+    where its links before leave two components apart, so what it gives is no
+    more than the texts it has.
     """
     rows = placed.join(able, "node")
     rows = written(rows.join(_mixed(rows).withColumnRenamed("n", "of"), "key").withColumn("blocks", F.ceil(F.col("of") / BLOCK)), "open-buckets")
     asked = rows.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     given = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("asks", F.lit(False))
     columns = ("key", "block", "node", "component", "asks", "n", "common")
-    dealt = asked.select(*columns).unionByName(given.select(*columns)).join(signed, "node").select(*columns, "signature")
+    both = signed.join(own.join(able.select("node"), "node", "left_semi"), "node")
+    dealt = asked.select(*columns).unionByName(given.select(*columns)).join(both, "node").select(*columns, "signature", "set")
 
-    def pairs_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        node, component, asks, n, common, signature = (np.concatenate(c) for c in zip(*rows, strict=True))
+    def links_of(rows: list) -> list[tuple[int, int]]:
+        node, component, asks, n, common, signature = (np.concatenate(c) for c in list(zip(*rows, strict=True))[:-1])
+        sets = [s for *_, part in rows for s in part]
         ask, give = np.flatnonzero(asks), np.flatnonzero(~asks)
-        one, two = [], []
+        parent = {c: c for c in component.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        found = []
         for k in range(0, len(ask), 64):
             part = ask[k : k + 64]
             agreed = np.zeros((len(part), len(give)), np.int16)
@@ -183,36 +196,41 @@ def _open_pairs(placed: DataFrame, signed: DataFrame, able: DataFrame, similar:
             most = np.minimum(common[part][:, None], common[give])
             near = (agreed >= LEAST_AGREED * PLACES) & (most >= similar * (n[part][:, None] + n[give] - most))
             x, y = np.nonzero(near & (component[part][:, None] != component[give]))
-            one.append(node[part[x]])
-            two.append(node[give[y]])
-        if not one:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        one, two = np.concatenate(one), np.concatenate(two)
-        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
-        return pairs[0], pairs[1]
+            for order in np.argsort(-agreed[x, y], kind="stable").tolist():
+                i, j = int(part[x[order]]), int(give[y[order]])
+                one, two = root(int(component[i])), root(int(component[j]))
+                if one == two:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similar * (n[i] + n[j] - both):
+                    parent[one] = two
+                    found.append((int(node[i]), int(node[j])))
+        return found
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list = []
         current = None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            found = links_of(waiting) if waiting else []
+            waiting.clear()
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, block, node, component = (batch.column(c).to_numpy() for c in ("key", "block", "node", "component"))
             asks, n, common = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "n", "common"))
-            signature = _matrix(batch.column("signature"))
-            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]), [True]]))
+            signature, sets = _matrix(batch.column("signature")), [s.values.to_numpy() for s in batch.column("set")]
+            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]), [True]])).tolist()
             for begin, end in zip(edges[:-1], edges[1:], strict=True):
-                if (key[begin], block[begin]) != current and waiting:
-                    a, b = pairs_of(waiting)
-                    waiting = []
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                if (key[begin], block[begin]) != current:
+                    yield from settled()
                 current = (key[begin], block[begin])
-                waiting.append(tuple(c[begin:end] for c in (node, component, asks, n, common, signature)))
-        if waiting:
-            a, b = pairs_of(waiting)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                waiting.append(tuple(c[begin:end] for c in (node, component, asks, n, common, signature, sets)))
+        yield from settled()
 
     return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(compared, "a long, b long").distinct()
 
@@ -250,9 +268,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similar=S
     placed = written(placed, "placed")
     unsettled = placed.join(_mixed(placed).select("key"), "key", "left_semi").select("node").distinct()
     able = written(_linkable(own.join(unsettled, "node", "left_semi"), similar), "linkable")
-    more = written(_open_pairs(placed, signed, able, similar), "open-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, own, similar))
+    links = links.unionByName(written(_open_links(placed, signed, able, own, similar), "open-links"))
     found = components(links).select(F.col("node").alias("first_id"), "component")
     judged = (
         ids.join(classes, "text_hash").join(found, "first_id", "left")

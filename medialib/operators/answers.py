@@ -50,9 +50,8 @@ def _field(data: Column, name: str) -> Column:
     return F.get_json_object(data, f"$.{name}")
 
 
-def split_tags(data: Column) -> tuple[Column, Column]:
-    """Accepted and rejected tags of an answer's JSON: strings or {tag, evidence}; an evidence that denies rejects its tag."""
-    raw = _field(data, "tags")
+def split_tags(raw: Column) -> tuple[Column, Column]:
+    """Accepted and rejected tags of the JSON of an answer's tags: strings or {tag, evidence}; an evidence that denies rejects its tag."""
     items = F.from_json(raw, "array<string>")
     name = lambda x: F.when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.tag"), F.get_json_object(x, "$.name"), F.lit(""))).otherwise(x)
 
@@ -72,30 +71,35 @@ def parse_answers(answers: DataFrame, column: str = "answer_text") -> DataFrame:
     unknown category isn't ok but keeps its texts; broken JSON has nothing.
     """
     rows = answers.withColumn("raw", strip_thinking(F.col(column))).withColumn("json", first_json(F.col("raw")))
-    data = F.col("json")
-    valid = F.coalesce(F.try_parse_json(data).isNotNull(), F.lit(False))
-    named = F.coalesce(*[F.when(F.col("raw").rlike(rf"(?iU)\b{c}\b"), F.lit(c)) for c in W.CATEGORIES])
-    category = F.lower(F.trim(F.coalesce(_field(data, "category"), F.lit(""))))
-    known = valid & category.isin(W.CATEGORIES)
-    screen = F.coalesce(_field(data, "on_screen_text"), _field(data, "screen_text"), F.lit(""))
+    data, none = F.col("json"), F.array().cast("array<string>")
+    # in steps, each of which is worked out once however often the next ones use it
+    rows = rows.withColumns({
+        "_valid": F.coalesce(F.try_parse_json(data).isNotNull(), F.lit(False)),
+        "_named": F.coalesce(*[F.when(F.col("raw").rlike(rf"(?iU)\b{c}\b"), F.lit(c)) for c in W.CATEGORIES]),
+        "_category": F.lower(F.trim(F.coalesce(_field(data, "category"), F.lit("")))),
+        "_sure": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.expr("try_cast(get_json_object(json, '$.confidence') as double)"), F.lit(0.0)))),
+        "_screen": F.coalesce(_field(data, "on_screen_text"), _field(data, "screen_text"), F.lit("")),
+        "_summary": squeezed(_field(data, "summary")), "_told": _field(data, "description"), "_tags": _field(data, "tags"),
+    })
+    screen, valid, named = F.col("_screen"), F.col("_valid"), F.col("_named")
+    accepted, rejected = split_tags(F.col("_tags"))
     parts = F.array_join(F.filter(F.from_json(screen, "array<string>"), lambda x: F.trim(x) != ""), " | ")
-    screen = F.when(screen.startswith("["), parts).otherwise(screen)
-    summary, told = squeezed(_field(data, "summary")), _field(data, "description")
-    description = F.when(F.coalesce(told, F.lit("")) == "", summary).otherwise(squeezed(told))
-    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.expr("try_cast(get_json_object(json, '$.confidence') as double)"), F.lit(0.0))))
-    accepted, rejected = split_tags(data)
-    none = F.array().cast("array<string>")
+    rows = rows.withColumns({
+        "_accepted": F.when(valid, accepted).otherwise(none), "_rejected": F.when(valid, rejected).otherwise(none),
+        "_shown": squeezed(F.when(screen.startswith("["), parts).otherwise(screen)),
+        "_description": F.when(F.coalesce("_told", F.lit("")) == "", F.col("_summary")).otherwise(squeezed(F.col("_told"))),
+        "_known": valid & F.col("_category").isin(W.CATEGORIES),
+    })
+    known, bare = F.col("_known"), data.isNull() & named.isNotNull()
     return rows.select(
         *answers.columns,
-        F.when(data.isNull(), F.coalesce(named, F.lit(""))).when(known, category).otherwise("").alias("category"),
-        F.when(data.isNull() & named.isNotNull(), 0.5).when(known, sure).otherwise(0.0).alias("confidence"),
-        F.when(valid, F.substring(description, 1, 1200)).otherwise("").alias("description"),
-        F.when(valid, F.substring(summary, 1, 300)).otherwise("").alias("summary"),
-        F.when(valid, F.substring(squeezed(screen), 1, 500)).otherwise("").alias("screen_text"),
-        F.when(valid, accepted).otherwise(none).alias("tags"),
-        F.when(valid, rejected).otherwise(none).alias("rejected"),
-        (known | (data.isNull() & named.isNotNull())).alias("ok"),
-    )
+        F.when(data.isNull(), F.coalesce(named, F.lit(""))).when(known, F.col("_category")).otherwise("").alias("category"),
+        F.when(bare, 0.5).when(known, F.col("_sure")).otherwise(0.0).alias("confidence"),
+        F.when(valid, F.substring("_description", 1, 1200)).otherwise("").alias("description"),
+        F.when(valid, F.substring("_summary", 1, 300)).otherwise("").alias("summary"),
+        F.when(valid, F.substring("_shown", 1, 500)).otherwise("").alias("screen_text"),
+        F.col("_accepted").alias("tags"), F.col("_rejected").alias("rejected"), (known | bare).alias("ok"),
+    )
 
 
 def clean_medium(medium: Column, aliases: dict[str, str]) -> Column:

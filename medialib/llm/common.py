@@ -21,9 +21,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/medialib-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/medialib-checkpoints"
     return f"{folder.rstrip('/')}/medialib-{spark.sparkContext.applicationId}"
 
 

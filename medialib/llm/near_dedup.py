@@ -137,12 +137,15 @@ def _verified(pairs: DataFrame, own: DataFrame, similar: float) -> DataFrame:
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """key, main (its largest component), n of the buckets (key, node, component) of several components and over two texts."""
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    """key, main (its largest component), n of the buckets (key, node, pivot, component) of several components.
+
+    Two texts of which one is the pivot have been compared; two others have not.
+    """
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.max("pivot").alias("pivot"))
     main = F.max_by("component", F.struct("n", "component"))
     return (
-        sizes.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1 and n > 2").drop("parts")
+        sizes.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max("pivot").alias("pivot"))
+        .where("parts > 1 and (n > 2 or not pivot)").drop("parts", "pivot")
     )
 
 
@@ -161,7 +164,7 @@ def _linkable(own: DataFrame, similar: float) -> DataFrame:
 def _open_links(placed: DataFrame, signed: DataFrame, able: DataFrame, own: DataFrame, similar: float) -> DataFrame:
     """Links that join components, within buckets: texts outside a bucket's main component against all of it, in blocks.
 
-    placed: key, node, component. able: node, n, common; a pair shares at most
+    placed: key, node, pivot (whether it is), component. able: node, n, common; a pair shares at most
     the lesser common, which bounds its similarity before its signatures and
     then its sets (own: node, set) are compared. A block gives a link only
     where its links before leave two components apart, so what it gives is no
@@ -264,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similar=S
     pairs = members.where("node <> pivot").select(*near).distinct()
     own = written(_sets(members.select("node").distinct(), known), "shingles")  # the texts are shuffled this once
     links = written(_verified(written(_likely(pairs, signed), "pairs"), own, similar), "pivot-links")
-    placed = members.select("key", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.select("key", "node", (F.col("node") == F.col("pivot")).alias("pivot")).join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed, "placed")
     unsettled = placed.join(_mixed(placed).select("key"), "key", "left_semi").select("node").distinct()
     able = written(_linkable(own.join(unsettled, "node", "left_semi"), similar), "linkable")

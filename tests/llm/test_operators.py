@@ -230,6 +230,19 @@ def test_classes_are_the_components_of_all_links(spark):
     assert sorted(str(r["doc_id"]) for r in rows_of(twice)) == ["1", "None"]
 
 
+def test_a_near_pair_among_pages_that_quote_it_is_linked(spark):
+    base, own = prose(300, 770).split(), random.Random(771)
+    copy = list(base)
+    for k in range(30, 300, 60):
+        copy[k] = "edited"
+    pages = [" ".join([*base, *(f"p{own.random()}" for _ in range(own.randrange(90, 100)))]) for _ in range(300)]
+    texts = [*pages, " ".join(base), " ".join(copy)]
+    sets = [set(near_dedup.shingles(t.encode()).tolist()) for t in texts]
+    assert all(len(s & sets[300]) < 0.8 * len(s) for s in sets[:300]) and len(sets[300] & sets[301]) >= 0.8 * len(sets[300] | sets[301])
+    got = {r["doc_id"]: r["class_id"] for r in rows_of(near_dedup.near_duplicates(frame(spark, texts)))}
+    assert got == {**{k: k for k in range(301)}, 301: 300}
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = Counter(range(60)), Counter(range(30, 90))
     a[40], b[80] = 8, 4

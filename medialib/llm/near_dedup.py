@@ -5,8 +5,10 @@ its arrivals fall on the places of the signature, and each place keeps the
 shingle that comes first. Arrivals come in order, so a shingle is done once its
 next one is later than the last place's first (early termination). Two
 signatures agree at a place with the probability Jaccard similarity of the
-weighted shingles. A shingle that stands c times weighs 1 + ln c, so that
-this stays close to the Jaccard similarity of the sets, which a link needs.
+weighted shingles. A shingle that stands c times weighs 1 + ln c. A link needs a
+Jaccard similarity of the sets, from which the weighted one is far where repeats
+differ, so a text with repeats is banded by a signature with equal weights too,
+and candidates are told by the signatures with equal weights alone.
 
 Exact copies are one node from the start. In a bucket of a band every text is
 compared with one pivot, never all with all; what that leaves open is settled in
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import grams, hashed, mixed, picked, texts, written
@@ -29,7 +31,7 @@ from .components import components
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, BAND_ROWS = 32, 5
 PLACES = BANDS * BAND_ROWS
-#: A pair at SIMILAR agrees at fewer places than this share with a chance of about 1e-7 (binomial, 160 places).
+#: With equal weights a pair at SIMILAR agrees at fewer places than this share with a chance of about 1e-7 (binomial, 160 places).
 LEAST_AGREED = 0.62
 BLOCK = 512
 STEP = 0x9E3779B97F4A7C15
@@ -67,23 +69,36 @@ def signature(found: np.ndarray, places: int = PLACES) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, signature of the rows of docs (doc_id, text, text_hash) that have a word; a task skips texts that it has met."""
+    """doc_id, text_hash, signature (equal weights), weighted (null where no shingle repeats: the same) of the rows of docs that have a word."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, made = [], []
+            rows, made, weighted = [], [], []
             for k, text in enumerate(texts(batch)):
                 found = shingles(text)
                 if len(found):
+                    once = np.unique(found)
                     rows.append(k)
-                    made.append(signature(found))
+                    made.append(signature(once))
+                    weighted.append(signature(found) if len(once) < len(found) else None)
             if rows:
                 take = pa.array(rows)
                 flat = pa.array(np.concatenate(made))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, PLACES, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_hash").take(take), lists], names=["doc_id", "text_hash", "signature"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(take), batch.column("text_hash").take(take), lists, pa.array(weighted, pa.list_(pa.int32()))],
+                    names=["doc_id", "text_hash", "signature", "weighted"],
+                )
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(signed, "doc_id long, text_hash string, signature array<int>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(signed, "doc_id long, text_hash string, signature array<int>, weighted array<int>")
+
+
+def _bands(column: str) -> Column:
+    """band, key of each band of a signature."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.slice(column, b * BAND_ROWS + 1, BAND_ROWS)).alias("key")),
+    )
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -243,7 +258,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similar=S
 
     Documents are in a class if their texts are equal or a chain of links joins
     them; a link is a Jaccard similarity of at least `similar` between sets of
-    five-word shingles, found with probability over 1 - 4e-6 at 0.8. Null texts
+    five-word shingles, whose bands (equal weights) meet with probability over
+    1 - 4e-6 at 0.8, however often a text repeats its shingles. Null texts
     are empty, and equal as such; rows with one id are one document; a row with
     a null id is in no class (null); other columns play no part.
     """
@@ -253,13 +269,12 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similar=S
     classes = written(ids.groupBy("text_hash").agg(F.min("doc_id").alias("first_id")), "text-classes")
     signed = written(
         signatures(known).join(classes.withColumnRenamed("first_id", "doc_id"), ["doc_id", "text_hash"], "left_semi")
-        .dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("node"), "signature"),
+        .dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("node"), "signature", "weighted"),
         "signatures",
     )
-    band = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * BAND_ROWS + 1, BAND_ROWS))
-    )
-    every = signed.select("node", F.posexplode(band).alias("band", "key"))
+    either = F.when(F.col("weighted").isNull(), _bands("signature")).otherwise(F.array_union(_bands("signature"), _bands("weighted")))
+    every = signed.select("node", F.inline(either))
+    signed = signed.select("node", "signature")
     order = F.struct(F.xxhash64("node", F.col("band") % 4), "node")
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order)["node"].alias("pivot")).where("n > 1").drop("n")
     members = written(every.select("key", "node").join(shared, "key"), "buckets")

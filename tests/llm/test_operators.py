@@ -243,6 +243,15 @@ def test_a_near_pair_among_pages_that_quote_it_is_linked(spark):
     assert got == {**{k: k for k in range(301)}, 301: 300}
 
 
+def test_pairs_that_differ_in_repeat_counts_only_are_linked(spark):
+    texts = []
+    for k in range(12):
+        text, line = prose(54, 780 + 2 * k), prose(10, 781 + 2 * k)
+        texts += [" ".join([text, *[line] * (1000 if k % 2 else 30)]), f"{text} {line}"]
+    got = {r["doc_id"]: r["class_id"] for r in rows_of(near_dedup.near_duplicates(frame(spark, texts)))}
+    assert got == {k: k - k % 2 for k in range(24)}
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = Counter(range(60)), Counter(range(30, 90))
     a[40], b[80] = 8, 4

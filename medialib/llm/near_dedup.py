@@ -152,14 +152,14 @@ def _verified(pairs: DataFrame, own: DataFrame, similar: float) -> DataFrame:
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """key, main (its largest component), n of the buckets (key, node, pivot, component) of several components.
+    """key, main (its largest component), n, outside (texts that are not in it) of the buckets (key, node, pivot, component) of several components.
 
     Two texts of which one is the pivot have been compared; two others have not.
     """
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.max("pivot").alias("pivot"))
     main = F.max_by("component", F.struct("n", "component"))
     return (
-        sizes.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max("pivot").alias("pivot"))
+        sizes.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside"), F.count(F.lit(1)).alias("parts"), F.max("pivot").alias("pivot"))
         .where("parts > 1 and (n > 2 or not pivot)").drop("parts", "pivot")
     )
 
@@ -176,22 +176,40 @@ def _linkable(own: DataFrame, similar: float) -> DataFrame:
     return own.select("node", F.size("set").alias("n")).join(common, "node").where(F.col("common") >= similar * F.col("n"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows of buckets (key, node, component, main, of, outside) by key, part and block: every text that asks meets every text of its bucket.
+
+    Those outside the main component ask. Both sides go by blocks of about
+    BLOCK texts, so a group has no more than two blocks, however large its bucket.
+    """
+    def number(of: str) -> Column:
+        return F.ceil(F.col(of) / BLOCK)
+
+    def own(of: str) -> Column:
+        return F.pmod(F.xxhash64("node"), number(of))
+
+    def all_of(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), number(of) - 1))
+
+    asked = rows.where("component <> main").withColumn("part", own("outside")).withColumn("block", all_of("of")).withColumn("asks", F.lit(True))
+    given = rows.withColumn("part", all_of("outside")).withColumn("block", own("of")).withColumn("asks", F.lit(False))
+    return asked.unionByName(given)
+
+
 def _open_links(placed: DataFrame, signed: DataFrame, able: DataFrame, own: DataFrame, similar: float) -> DataFrame:
     """Links that join components, within buckets: texts outside a bucket's main component against all of it, in blocks.
 
     placed: key, node, pivot (whether it is), component. able: node, n, common; a pair shares at most
     the lesser common, which bounds its similarity before its signatures and
-    then its sets (own: node, set) are compared. A block gives a link only
+    then its sets (own: node, set) are compared. A group gives a link only
     where its links before leave two components apart, so what it gives is no
     more than the texts it has.
     """
     rows = placed.join(able, "node")
-    rows = written(rows.join(_mixed(rows).withColumnRenamed("n", "of"), "key").withColumn("blocks", F.ceil(F.col("of") / BLOCK)), "open-buckets")
-    asked = rows.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    given = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("asks", F.lit(False))
-    columns = ("key", "block", "node", "component", "asks", "n", "common")
+    rows = written(rows.join(_mixed(rows).withColumnRenamed("n", "of"), "key"), "open-buckets")
+    columns = ("key", "part", "block", "node", "component", "asks", "n", "common")
     both = signed.join(own.join(able.select("node"), "node", "left_semi"), "node")
-    dealt = asked.select(*columns).unionByName(given.select(*columns)).join(both, "node").select(*columns, "signature", "set")
+    dealt = _dealt(rows).select(*columns).join(both, "node").select(*columns, "signature", "set")
 
     def links_of(rows: list) -> list[tuple[int, int]]:
         node, component, asks, n, common, signature = (np.concatenate(c) for c in list(zip(*rows, strict=True))[:-1])
@@ -239,18 +257,18 @@ def _open_links(placed: DataFrame, signed: DataFrame, able: DataFrame, own: Data
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, block, node, component = (batch.column(c).to_numpy() for c in ("key", "block", "node", "component"))
+            key, own_part, block, node, component = (batch.column(c).to_numpy() for c in ("key", "part", "block", "node", "component"))
             asks, n, common = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "n", "common"))
             signature, sets = _matrix(batch.column("signature")), [s.values.to_numpy() for s in batch.column("set")]
-            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]), [True]])).tolist()
+            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own_part[1:] != own_part[:-1]) | (block[1:] != block[:-1]), [True]])).tolist()
             for begin, end in zip(edges[:-1], edges[1:], strict=True):
-                if (key[begin], block[begin]) != current:
+                if (key[begin], own_part[begin], block[begin]) != current:
                     yield from settled()
-                current = (key[begin], block[begin])
+                current = (key[begin], own_part[begin], block[begin])
                 waiting.append(tuple(c[begin:end] for c in (node, component, asks, n, common, signature, sets)))
         yield from settled()
 
-    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(compared, "a long, b long").distinct()
+    return dealt.repartition("key", "part", "block").sortWithinPartitions("key", "part", "block").mapInArrow(compared, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similar=SIMILAR) -> DataFrame:

@@ -252,6 +252,19 @@ def test_pairs_that_differ_in_repeat_counts_only_are_linked(spark):
     assert got == {k: k - k % 2 for k in range(24)}
 
 
+def test_open_buckets_go_by_blocks_on_both_sides(spark):
+    n = 6 * near_dedup.BLOCK
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.col("id").alias("component"), F.lit(n - 1).cast("long").alias("main"),
+                                 F.lit(n).cast("long").alias("of"), F.lit(n - 1).cast("long").alias("outside"))
+    groups = near_dedup._dealt(rows).groupBy("key", "part", "block").agg(F.count_if("asks").alias("ask"), F.count_if(~F.col("asks")).alias("give")).collect()
+    assert sum(g.ask * g.give for g in groups) == n * (n - 1) and max(max(g.ask, g.give) for g in groups) < 1.3 * near_dedup.BLOCK
+
+
+def test_small_blocks_give_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    test_classes_are_the_components_of_all_links(spark)
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = Counter(range(60)), Counter(range(30, 90))
     a[40], b[80] = 8, 4

@@ -2,10 +2,11 @@
 
 The index has, for each word of the templates, the templates and positions it
 stands at. A first pass counts in how many documents each template word occurs.
-In a second one each file looks up its rarest template words (highest IDF), and
-each of their places votes for a template at a relative position (place in the
-file minus place in the template); an alignment with votes enough is compared
-word for word, and a label needs the template's mandatory phrase there as well.
+Each template is indexed by its rarest words (highest IDF), so many that without
+them no alignment can reach the least score. In a second pass each place in a
+file where one of them stands votes for its templates at a relative position
+(place in the file minus place in the template); an alignment with votes enough is
+compared word for word, and a label needs the template's mandatory phrase there as well.
 Phrases are also found on their own, wherever their words stand consecutively.
 """
 
@@ -66,27 +67,44 @@ def phrase_places(words: list[bytes], phrases: list[list[bytes]]) -> list[tuple[
 
 
 class Index:
-    """Postings of the templates' words, and the documents that have each of them: as large as the templates."""
+    """Postings of the templates' rarest words, and the documents that have each word: as large as the templates."""
 
     def __init__(self, templates=TEMPLATES, phrases: Mapping[str, str] = PHRASES):
         self.templates = [(label, words.encode().split(), [m.encode().split() for m in must]) for label, words, must in templates]
         self.phrases = [p.encode().split() for p in phrases]
         self.labels = list(phrases.values())
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for no, (_, words, _) in enumerate(self.templates):
-            for at, word in enumerate(words):
-                self.postings[word].append((no, at))
-        self.idf: dict[bytes, float] = dict.fromkeys(self.postings, 1.0)
+        self.words = frozenset(w for _, words, _ in self.templates for w in words)
+        self.weigh({}, 0)
 
     def weigh(self, counts: Mapping[str, int], n_docs: int) -> None:
-        self.idf = {w: math.log((n_docs + 1) / (counts.get(w.decode(), 0) + 1)) + 1e-3 for w in self.postings}
+        """Sets IDF, and with it the postings.
+
+        An alignment that two votes don't speak for has at most one of the
+        places of the template's rare words; these are taken until what they
+        weigh, less the heaviest of them, is more than a match may lack.
+        """
+        self.idf = {w: math.log((n_docs + 1) / (counts.get(w.decode(), 0) + 1)) + 1e-3 for w in self.words}
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.weights: list[float] = []
+        self.votes: list[int] = []
+        for no, (_, words, _) in enumerate(self.templates):
+            total = sum(self.idf[w] for w in words)
+            weight, heaviest = 0.0, 0.0
+            for k, word in enumerate(sorted(set(words), key=lambda w: (-self.idf[w], w))):
+                if k >= RARE_WORDS and weight - heaviest > (1 - MIN_SCORE) * total + 1e-9:
+                    break
+                weight += self.idf[word] * words.count(word)
+                heaviest = max(heaviest, self.idf[word])
+                for at in (i for i, w in enumerate(words) if w == word):
+                    self.postings[word].append((no, at))
+            self.weights.append(total)
+            self.votes.append(2 if weight - heaviest > (1 - MIN_SCORE) * total + 1e-9 else 1)
 
     def matches(self, words: list[bytes]) -> list[tuple[str, float]]:
         """Labels with the share of a template's weight (IDF) that stands in the file at one relative position."""
-        seen = set(words).intersection(self.postings)
-        if len(seen) < 2:
+        rare = self.postings.keys() & set(words)
+        if not rare:
             return []
-        rare = set(sorted(seen, key=lambda w: (-self.idf[w], w))[:RARE_WORDS])
         votes: Counter[tuple[int, int]] = Counter()
         for place, word in enumerate(words):
             if word in rare:
@@ -95,12 +113,12 @@ class Index:
         best: dict[str, float] = {}
         for (no, shift), n in votes.items():
             label, template, must = self.templates[no]
-            if n < 2:
+            if n < self.votes[no]:
                 continue
             there = words[max(0, shift) : shift + len(template)]
             own = template[max(0, -shift) :]
             agreed = sum(self.idf[a] for a, b in zip(own, there, strict=False) if a == b)
-            score = agreed / sum(self.idf[w] for w in template)
+            score = agreed / self.weights[no]
             if score > best.get(label, 0) and score >= MIN_SCORE and all(phrase_places(there, [m]) for m in must):
                 best[label] = min(1.0, score)
         return sorted(best.items())
@@ -121,7 +139,7 @@ class Index:
 
 def document_counts(docs: DataFrame, index: Index, text_col="text") -> tuple[dict[str, int], int]:
     """In how many rows each template word occurs, and how many rows there are; one count per word and task is shuffled."""
-    wanted = frozenset(index.postings)
+    wanted = index.words
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()

@@ -79,6 +79,31 @@ def test_license_base_is_what_a_plain_search_finds(spark):
     assert got[len(texts) - 1]["labels"] == "mit" and got[len(texts) - 1]["base_labels"] == ""
 
 
+def test_licenses_are_those_of_all_alignments(spark):
+    own = random.Random(12)
+    notices = [words for _, words, _ in license_scan.TEMPLATES]
+    stray = sorted({w for n in notices for w in n.split()})
+    texts = [f"{prose(60, 20)} {notices[13]} {prose(60, 21)} {a} {b}" for a in notices for b in (notices[5], notices[7])]
+    for k in range(60):
+        words = [w if own.random() < 0.85 else "changed" for w in own.choice(notices).split()]
+        texts.append(" ".join([prose(300, 30 + k), *own.sample(stray, 40), *words, prose(100, 100 + k), *own.sample(stray, 20)]))
+    texts += [" ".join(notices[0].split()[4:]), " ".join(notices[7].split()[:-5]), *ODD]
+    index = license_scan.Index()
+    split = [license_scan.alnum_words((t or "").encode()) for t in texts]
+    counts = Counter(w.decode() for words in split for w in set(words))
+    idf = {w: math.log((len(texts) + 1) / (counts[w.decode()] + 1)) + 1e-3 for _, template, _ in index.templates for w in template}
+    got = {r["doc_id"]: r for r in rows_of(license_scan.license_scan(frame(spark, texts)))}
+    for k, words in enumerate(split):
+        found = set()
+        for label, template, must in index.templates:
+            for shift in range(1 - len(template), len(words)):
+                there, rest = words[max(0, shift) : shift + len(template)], template[max(0, -shift) :]
+                share = sum(idf[a] for a, b in zip(rest, there) if a == b) / sum(idf[w] for w in template)
+                if share >= license_scan.MIN_SCORE and all(license_scan.phrase_places(there, [m]) for m in must):
+                    found.add(label)
+        assert got[k]["labels"] == ",".join(sorted(found | set(filter(None, got[k]["base_labels"].split(",")))))
+
+
 # 2, 6
 def shared_texts():
     part = prose(70, 1)

@@ -361,6 +361,14 @@ def test_scores_are_the_models_and_junk_goes(spark):
         assert scored[k] == pytest.approx(-float(model.log_p(seq).astype(float).sum()), rel=1e-6)
 
 
+def test_three_thousand_trusted_documents_train(spark, monkeypatch):
+    sizes, train = [], quality_lm.train
+    monkeypatch.setattr(quality_lm, "train", lambda sample, text_col: sizes.append(sample.count()) or train(sample, text_col))
+    docs = frame(spark, [f"a b {k % 7}" for k in range(4000)])
+    quality_lm.classify(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert sizes == [3000]
+
+
 # 9
 def test_pieces_are_exact_and_places_gapless(spark):
     from tokenizers import Tokenizer

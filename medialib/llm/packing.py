@@ -9,8 +9,8 @@ it by their rank among the pieces of their length, in parallel.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -22,52 +22,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import Rows, picked, written
+from .token_counts import byte_of_character
 
-#: A space between two characters that aren't white space: the tokenizer starts a new pre-token there,
-#: so a text's ids are those of its chunks, each with the space before it.
-_CUT = re.compile(r" (?<=\S )(?=\S)")
-CACHE, SALTS = 300_000, 128
+#: Fixed value: where the byte-level tokenizer of the vocabulary file starts a new pre-token.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SALTS = 128
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Ids:
-    """Token ids of texts, as little-endian 32-bit bytes; a chunk that a task has met is not encoded again."""
+    """Token ids of texts by a tokenizer's file, as its library gives them with add_special_tokens=False.
+
+    The tokenizer is left at its defaults, so that the string of an added token
+    in a text is that token. A file of byte-level BPE whose ids are its ranks is
+    read into a faster encoder of the same vocabulary, which gives the same ids
+    (compared on every code point); the tokenizer takes the texts that the
+    faster one refuses, those with over about a million white spaces in a row.
+    """
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        sizes = self.tokenizer.get_vocab()
-        self.sizes = np.zeros(max(sizes.values()) + 1, np.int64)
-        for token, k in sizes.items():
-            self.sizes[k] = len(token)  # a byte-level token has a character for each byte
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [
-            np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
-
-    def learn(self, chunks: list[str], at_once: int = 4000) -> None:
-        """Encodes chunks many to a text; the tokens' sizes in bytes tell where each chunk ends."""
-        groups = [chunks[k : k + at_once] for k in range(0, len(chunks), at_once)]
-        for group, ids in zip(groups, self.encode(["".join(map(" ".__add__, g)) for g in groups]), strict=True):
-            ends = np.cumsum([len(c.encode()) + 1 for c in group])
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
-            raw, begin = ids.tobytes(), 0
-            for chunk, end in zip(group, (cuts * 4).tolist(), strict=True):
-                self.known[chunk] = raw[begin:end]
-                begin = end
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        parts = [_CUT.split(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        self.learn(list({c for p in parts for c in p[1:]}.difference(self.known)))
-        heads = self.encode([p[0] for p in parts])
-        return [h.tobytes() + b"".join(map(self.known.__getitem__, p[1:])) for h, p in zip(heads, parts, strict=True)]
+        self.fast = self._fast(json.loads(tokenizer_json))
+
+    @staticmethod
+    def _fast(file: dict):
+        import tiktoken
+
+        model, cut, added = file["model"], file.get("pre_tokenizer") or {}, file.get("added_tokens", [])
+        plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not file.get("normalizer")
+        whole = not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added)
+        own = {t["content"] for t in added}
+        vocabulary = {t: k for t, k in model["vocab"].items() if t not in own}
+        by_rank = sorted(vocabulary, key=vocabulary.get)
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
+        if model.get("type") != "BPE" or not plain or not whole or by_rank[256:] != merges or sorted(map(len, by_rank[:256])) != [1] * 256:
+            return None
+        byte = byte_of_character()
+        ranks = {bytes(map(byte.__getitem__, t)): k for t, k in vocabulary.items()}
+        return tiktoken.Encoding("file", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
+
+    def of(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
+        if self.fast:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+            except ValueError:  # the regex ran out of stack
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def pieces_of(ids: bytes, most: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -96,13 +100,12 @@ def token_pieces(
         encoder, rows, end = Ids(shared.value), Rows(schema), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                for key, ids in zip(keys[at : at + 256], encoder.of(texts[at : at + 256]), strict=True):
-                    for k, start, length, own in pieces_of(ids + end, most):
-                        more = (np.frombuffer(own, "<u4").astype("i4"),) if keep_ids else ()
-                        rows.add(key, k, start, length, zlib.crc32(own), *more, size=len(own) if keep_ids else 0)
-                    if rows.full():
-                        yield rows.batch()
+            for key, text in zip(keys, texts, strict=True):
+                for k, start, length, own in pieces_of(encoder.of(text) + end, most):
+                    more = (np.frombuffer(own, "<u4").astype("i4"),) if keep_ids else ()
+                    rows.add(key, k, start, length, zlib.crc32(own), *more, size=len(own) if keep_ids else 0)
+                if rows.full():
+                    yield rows.batch()
         yield from rows.rest()
 
     return picked(docs, text_col, doc_id=id_col).mapInArrow(cut, PIECES + ", ids array<int>" * keep_ids)

@@ -96,15 +96,16 @@ class Counts(dict):
         return n
 
 
-def byte_level_vocabulary(tokenizer_json: str) -> tuple[list[bytes], list[bytes]]:
-    """Pieces that start with a space, and all without one, from a byte-level tokenizer's file.
-
-    Such files write a byte as the character of that number if it prints, and
-    the others as the characters from 256 on, in order.
-    """
+def byte_of_character() -> dict[str, int]:
+    """How byte-level files write a byte: as the character of that number if it prints, the others as those from 256 on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(plain)]
-    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+    other = sorted(set(range(256)).difference(plain))
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+def byte_level_vocabulary(tokenizer_json: str) -> tuple[list[bytes], list[bytes]]:
+    """Pieces that start with a space, and all without one, from a byte-level tokenizer's file."""
+    byte = byte_of_character()
     model = json.loads(tokenizer_json)
     special = {t["content"] for t in model.get("added_tokens", [])}
     pieces = [bytes(byte[c] for c in token) for token in model["model"]["vocab"] if token not in special]

@@ -373,10 +373,9 @@ def test_three_thousand_trusted_documents_train(spark, monkeypatch):
 def test_pieces_are_exact_and_places_gapless(spark):
     from tokenizers import Tokenizer
 
-    texts = [prose(rnd.randrange(1, 300), 40 + k) for k in range(60)] + [prose(3000, 7), *ODD, "a  b \n c <|endoftext|> d", "don't  's"]
+    texts = [prose(rnd.randrange(1, 300), 40 + k) for k in range(60)] + [prose(3000, 7), *ODD, "a  b \n c <|endoftext|> d", "don't  's", "a <|endoftext|> b", "x<|endoftext|>y  z", " a b", "a b ", "a \u00a0 b c\u3000d \u2003e"]
     got = rows_of(packing.pack_documents(spark, frame(spark, texts), tokenizer_path))
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     for k, text in enumerate(texts):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         own = sorted((r for r in got if r["doc_id"] == k), key=lambda r: r["piece"])
@@ -397,6 +396,21 @@ def test_pieces_are_exact_and_places_gapless(spark):
     assert len(bins) <= 1.05 * sum(r["length"] for r in got) / 1024 + 1
 
 
+def test_ids_are_the_tokenizers_for_every_code_point():
+    from tokenizers import Tokenizer
+
+    ids, tokenizer = packing.Ids(packing.vocabulary_file(tokenizer_path())), Tokenizer.from_file(tokenizer_path())
+    assert ids.fast
+    own = random.Random(9)
+    texts = [f"a{chr(c)}b1 {chr(c)} x{chr(c)}{chr(c)}  {chr(c)}1" for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    signs = ["a", "b", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "1", "'s", "<|endoftext|>", "<|endof", "é", "!", "\u200b", "\x85", "你"]
+    texts += ["".join(own.choices(signs, k=own.randrange(14))) for _ in range(20_000)] + ["a" + " " * 3_000_000 + "b", "x" * 200_000]
+    for at in range(0, len(texts), 10_000):
+        part = texts[at : at + 10_000]
+        for text, encoded in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+            assert ids.of(text) == np.array(encoded.ids, "<u4").tobytes(), text[:40]
+
+
 def test_plans_use_up_any_histogram():
     for seed in range(6):
         counts = np.random.default_rng(seed).integers(0, [1, 5, 50, 3, 1000, 2][seed] + 1, 65)

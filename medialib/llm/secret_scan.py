@@ -10,6 +10,8 @@ match are left alone after one rlike().
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,40 @@ KINDS = (
     ("hex", "[0-9a-f]{24,}", "[0-9a-f]{24,}", 0, 24),
     ("owned", "[A-Za-z0-9+/_=-]{20,}", "[A-Za-z0-9+/_=-]{20,}", 0, 20),
 )
-SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>"
+SPAN = "struct<start:int,kind_no:int,end:int,kind:string,value:string>"
+#: How many elements of an array, and how many characters of a text, are dealt with at a time.
+PART, PART_CHARS = 64, 1024
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scan(values: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What step(state, value) finds along an array, one after the other; it gives the next state and an array of kind.
+
+    A fold copies its state at each step, so the array is dealt with by parts:
+    first the state at the beginning of each part, then each part's findings.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(s: Column, x: Column) -> Column:
+        state, found = step(s["state"], x)
+        return F.struct(state.alias("state"), F.concat(s["own"], found).alias("own"))
+
+    def found_in(part: Column, state: Column) -> Column:
+        return F.aggregate(part, F.struct(state.alias("state"), none.alias("own")), one, lambda s: s["own"])
+
+    def joined(parts: Column) -> Column:
+        after = lambda states, part: F.aggregate(part, F.element_at(states, -1), lambda s, x: step(s, x)[0])
+        states = F.aggregate(parts, F.array(first), lambda states, part: F.concat(states, F.array(after(states, part))))
+        return F.flatten(F.zip_with(parts, F.slice(states, F.lit(1), F.size(parts)), found_in))
+
+    def parts(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int")), lambda k: F.slice(v, k * PART + 1, PART))
+
+    return _let(values, lambda v: F.when(F.size(v) < 1, none).otherwise(_let(parts(v), joined)))
 
 
 def _matches(text: Column, no: int) -> Column:
@@ -40,8 +75,8 @@ def _matches(text: Column, no: int) -> Column:
         values.alias("value"),
     )
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["before"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["before"]
         span = F.struct(
             start.alias("start"), F.lit(no).alias("kind_no"), (start + x["size"]).alias("end"),
             F.lit(kind).alias("kind"), x["value"].alias("value"),
@@ -49,24 +84,41 @@ def _matches(text: Column, no: int) -> Column:
         ok = F.length(x["value"]) >= least
         if kind == "owned":
             ok = ok & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[0-9]")
-        return F.struct(
-            (start + x["size"]).alias("at"),
-            F.when(ok, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
-        )
+        return start + x["size"], F.when(ok, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.when(text.rlike(test), _scan(steps, F.lit(0), step, SPAN)).otherwise(none)
 
-    none = F.array().cast(SPAN)
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    return F.when(text.rlike(test), folded).otherwise(none)
+
+def _apart(wide: Column, base: Column) -> Column:
+    """The wide spans that overlap no base span, by two scans over all spans by start.
+
+    A base span that starts before a wide one overlaps it if it ends after its
+    start: the furthest end so far tells. One that starts later overlaps it if it
+    starts before its end: the nearest start, seen from behind, tells.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
+    is_base = lambda x: x["kind_no"] < 3
+
+    def after(top: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(is_base(x), F.greatest(top, x["end"])).otherwise(top), F.when(is_base(x) | (top > x["start"]), none).otherwise(F.array(x))
+
+    def before(nearest: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(is_base(x), x["start"]).otherwise(nearest), F.when(is_base(x) | (nearest < x["end"]), none).otherwise(F.array(x))
+
+    clear = _scan(F.array_sort(F.concat(base, wide)), F.lit(0), after, SPAN)
+    return _scan(F.reverse(F.array_sort(F.concat(base, clear))), F.lit(2**31 - 1), before, SPAN)
 
 
 def candidate_spans(text: Column) -> Column:
     """Base spans and the wider ones that overlap no base span, by start, then kind as listed."""
     base = F.concat(*[_matches(text, no) for no in range(3)])
-    wide = F.filter(
-        _matches(text, 3),
-        lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])),
-    )
-    return F.array_sort(F.concat(base, wide))
+    both = F.struct(base.alias("base"), _matches(text, 3).alias("wide"))
+    return _let(
+        both,
+        lambda s: F.array_sort(F.when((F.size(s["base"]) < 1) | (F.size(s["wide"]) < 1), F.concat(s["base"], s["wide"]))
+                               .otherwise(F.concat(s["base"], _apart(s["wide"], s["base"])))),
+    )
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -83,13 +135,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def _judged(found: DataFrame, max_owners: int) -> DataFrame:
-    """found (row_id, owner, repo, spans, …) with live: the numbers of the spans whose value at most max_owners have."""
+    """found (row_id, owner, repo, spans, …) with live: the spans, in order, whose value at most max_owners have."""
     each = found.where(F.size("spans") > 0).select(
         "row_id", "owner", "repo", F.posexplode("spans").alias("no", "span")
     ).select("row_id", "owner", "repo", "no", F.sha2(F.col("span.value"), 256).alias("value_hash"))
     few = ownership(each).where(F.col("n_owners") <= max_owners).select("value_hash")
-    live = each.join(few, "value_hash", "left_semi").groupBy("row_id").agg(F.collect_list("no").alias("live"))
-    return found.join(live, "row_id", "left").withColumn("live", F.coalesce("live", F.array().cast("array<int>")))
+    live = each.join(few, "value_hash", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_list("no")).alias("numbers"))
+    spans = F.transform(F.coalesce("numbers", F.array().cast("array<int>")), lambda k: F.get("spans", k))
+    return found.join(live, "row_id", "left").withColumn("live", spans).drop("numbers")
 
 
 def _columns(docs: DataFrame, text_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> list[Column]:
@@ -105,7 +158,8 @@ def secret_scan(
 
     Base spans always stay; wider ones are added if their value belongs to at
     most max_owners owners. A null text is empty and has no spans; repeated rows
-    give repeated results; other columns of docs play no part.
+    give repeated results; other columns of docs play no part. Time grows with a
+    text's length and its spans (sorted), not with their square.
     """
     found = written(
         docs.select(F.col(id_col).alias("doc_id"), *_columns(docs, text_col, owner_col, repo_cols)).withColumn(
@@ -115,8 +169,8 @@ def secret_scan(
     )
     judged = _judged(found, max_owners)
     base = F.filter("spans", lambda s: s["kind_no"] < 3)
-    kept = F.filter("spans", lambda s, i: (s["kind_no"] < 3) | F.array_contains("live", i))
-    n_live = F.size(F.filter("spans", lambda s, i: (s["kind_no"] < 3) & F.array_contains("live", i)))
+    kept = F.array_sort(F.concat(base, F.filter("live", lambda s: s["kind_no"] == 3)))
+    n_live = F.size(F.filter("live", lambda s: s["kind_no"] < 3))
 
     def told(spans: Column) -> Column:
         return F.array_join(
@@ -143,7 +197,8 @@ def redact(
 ) -> DataFrame:
     """docs with the values of owner-specific secrets replaced by a mark; every row stays, copied examples too.
 
-    Only the texts with a candidate take part in the join. A null text stays null.
+    Only the texts with a candidate take part in the join. A null text stays null. Where live values overlap, the
+    mark stands for both. Time grows with a text's length and spans, not with their product.
     """
     any_kind = "|".join(f"(?:{test})" for _, _, test, _, _ in KINDS)
     hit = F.coalesce(F.col(text_col).rlike(any_kind), F.lit(False))
@@ -155,24 +210,23 @@ def redact(
         "secret-docs",
     )
     text = F.col(f"doc.{text_col}")
-    gone = F.filter("spans", lambda s, i: F.array_contains("live", i))
-
-    def step(state: Column, s: Column) -> Column:
-        start = s["end"] - F.length(s["value"])
-        fresh = start >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], F.substring(text, state["at"] + 1, start - state["at"]), F.lit(mark)))
-            .otherwise(state["out"]).alias("out"),
-        )
+    spots = F.array_sort(F.transform("live", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("begin"), s["end"].alias("end"))))
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PART_CHARS), F.lit(0))
 
-    by_value = F.array_sort(gone, lambda a, b: (a["end"] - F.length(a["value"])) - (b["end"] - F.length(b["value"])))
-    clean = F.aggregate(
-        by_value,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
+    def cleaned(s: Column) -> Column:
+        def between(begin: Column, end: Column) -> Column:
+            first = F.floor(begin / PART_CHARS).cast("int")
+            own = F.slice(s["blocks"], first + 1, F.floor((end - 1) / PART_CHARS).cast("int") - first + 1)
+            return F.when(end > begin, F.substring(F.array_join(own, ""), begin % PART_CHARS + 1, end - begin)).otherwise("")
+
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            kept = F.when(x["begin"] >= at, F.array(between(at, x["begin"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
+            return F.greatest(at, x["end"]), kept
+
+        last = F.array_max(F.transform(s["spots"], lambda x: x["end"]))
+        return F.concat(F.array_join(_scan(s["spots"], F.lit(0), step, "string"), ""), between(last, F.length(text)))
+
+    clean = F.when(F.size("live") < 1, text).otherwise(_let(F.struct(blocks.alias("blocks"), spots.alias("spots")), cleaned))
     changed = _judged(found, max_owners).select("doc", clean.alias("new"))
     new = [F.col("new").alias(c) if c == text_col else F.col(f"doc.{c}").alias(c) for c in docs.columns]
     return docs.where(~hit).unionByName(changed.select(*new))

@@ -1,9 +1,11 @@
 """The corpus operators against brute force, on small texts with nulls, repeats, ties and clashing columns."""
 
+import bisect
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -222,6 +224,44 @@ def test_secret_places_and_owners(spark):
     assert key not in clean[0] and clean[0].startswith("ñ token = 'abc'") and clean[1] == texts[1] and clean[5] is None and len(clean) == len(texts)
 
 
+def base_spans(text):
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for no, (kind, pattern, least, group) in enumerate([("assign", assign, 6, 2), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)]):
+        for m in re.finditer(pattern, text, re.I if no == 0 else 0):
+            if len(m[group]) >= least:
+                yield m.start(), no, m.end(), f"{kind}:{m.start()}:{m.end()}", m[group]
+
+
+def test_a_text_of_twenty_thousand_candidates_is_scanned_and_redacted_in_time(spark):
+    own, words = random.Random(4), []
+    for k in range(10_000):
+        words += [f"token=ab{k:06d}", own.choice([f"AxQ{k % 97}{'q7W' * 8}{k}", f"secret=Cd{k:020d}Ef", f"{k:032x}/Zz", "é" * 3]), "word"]
+    text = " ".join(words)
+    base = sorted(base_spans(text))
+    wide = [(m.start(), 3, m.end(), f"owned:{m.start()}:{m.end()}", m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)
+            if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
+    starts, tops = [s for s, *_ in base], []
+    for _, _, end, *_ in base:
+        tops.append(max(end, tops[-1] if tops else 0))
+    free = []
+    for w in wide:
+        at = bisect.bisect_left(starts, w[2])  # base spans that start before its end
+        if not at or tops[at - 1] <= w[0]:
+            free.append(w)
+    began = time.time()
+    got = rows_of(secret_scan.secret_scan(frame(spark, [text, "clean"])))[0]
+    assert got["base_sha256"] == hashlib.sha256(",".join(x[3] for x in base).encode()).hexdigest() and len(base) > 10_000 and len(free) > 2_000
+    assert got["spans"] == ",".join(x[3] for x in sorted(base + free))
+    clean = {r["doc_id"]: r["text"] for r in rows_of(secret_scan.redact(frame(spark, [text, "clean"])))}
+    expected, at = [], 0
+    for begin, end in sorted((end - len(value), end) for _, _, end, _, value in base + free):
+        if begin >= at:
+            expected += [text[at:begin], "<SECRET>"]
+        at = max(at, end)
+    assert clean == {0: "".join(expected) + text[at:], 1: "clean"}
+    assert time.time() - began < 60
+
+
 # 5
 def test_classes_are_the_components_of_all_links(spark):
     texts = []

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,75 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(found)
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_RANGE = 1 << 20
+#: A random number for each byte (white space: 0) and the powers of an odd number: a word's hash is that of its polynomial.
+_BYTES = np.where(_WHITE, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    found, done = np.ones(n, np.uint64), 1
+    while done < n:
+        found[done : 2 * done] = found[: min(done, n - done)] * np.uint64(pow(base, done, 2**64))
+        done *= 2
+    return found
+
+
+_BASE = 0xD6E8FEB86659FD93
+_UP, _DOWN = _powers(_BASE, 2 * _RANGE), _powers(pow(_BASE, -1, 2**64), 2 * _RANGE)
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts of a column without nulls, and where each text's begin.
+
+    All texts are hashed at once, in ranges of about a megabyte that end at a
+    word's end; a longer word is cut for that, at the same places wherever it stands.
+    """
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    dark = ~_WHITE[data]
+    first = dark.copy()
+    first[1:] &= ~dark[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    first[heads] = dark[heads]  # a text begins a word, whatever the one before ends with
+    starts = np.flatnonzero(first)
+    long = np.flatnonzero(np.diff(np.append(starts, len(data))) > _RANGE)
+    if len(long):
+        ends = np.append(starts, len(data))
+        starts = np.sort(np.concatenate([starts, *(np.arange(ends[k] + _RANGE, ends[k + 1], _RANGE) for k in long.tolist())]))
+        starts = starts[dark[starts]]
+    out, at = [np.empty(0, np.uint64)], 0
+    while at < len(starts):
+        begin = int(starts[at])
+        last = max(at + 1, int(np.searchsorted(starts, begin + _RANGE)))
+        end = int(starts[last]) if last < len(starts) else len(data)
+        part = data[begin : min(end, begin + 2 * _RANGE)]
+        own = starts[at:last] - begin
+        out.append(mixed(np.add.reduceat(_BYTES[part] * _UP[: len(part)], own) * _DOWN[own]))
+        at = last
+    return np.concatenate(out), np.searchsorted(starts, offsets)
+
+
+def row_groups(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about most_bytes of text at most, a row at least."""
+    sizes = np.cumsum(pa.compute.binary_length(column).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(sizes):
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
+        yield begin, end
+        begin = end
+
+
+def ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(begins - before, sizes) + np.arange(int(sizes.sum()))
+
+
 class Rows:
     """Gathers rows of a task and gives them out as Arrow batches of bounded size."""
 

@@ -1,9 +1,11 @@
-"""A compressed full-text index of word sequences: backward search over a wavelet matrix, for many patterns at once."""
+"""A compressed full-text index of word sequences: backward search over a wavelet matrix, for many sequences at once."""
 
 from __future__ import annotations
 
 import numpy as np
 
+from .common import ranges
+
 
 class Bits:
     """A bit vector with constant-time rank: 64-bit words and the ones before each."""
@@ -44,73 +46,86 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Word sequences, indexed for patterns of up to 16 words.
+    """Word sequences, parted by symbol 0, whose suffixes are sorted by as many words as a window has.
 
-    Suffixes are sorted by their first 16 words only, which is all that the
-    search of such patterns needs, in four rounds of doubling. Symbol 0 parts
-    the sequences and stands in no pattern.
+    order[k] has the suffixes' ranks by their first 2**k words, from rounds of doubling.
     """
 
-    LONGEST = 16
-
-    def __init__(self, text: np.ndarray, symbols: int):
-        order = text.astype(np.int64)
-        step = 1
-        while step < self.LONGEST:
+    def __init__(self, text: np.ndarray, symbols: int, window: int):
+        self.window, self.ranks = window, [text.astype(np.int64)]
+        while 1 << (len(self.ranks) - 1) < window:
+            order, step = self.ranks[-1], 1 << (len(self.ranks) - 1)
             nxt = np.zeros_like(order)
             nxt[:-step] = order[step:] + 1
             _, order = np.unique(order * (order.max(initial=0) + 2) + nxt, return_inverse=True)
-            step *= 2
-        self.suffixes = np.argsort(order, kind="stable")
+            self.ranks.append(order)
+        self.suffixes = np.argsort(self.ranks[-1], kind="stable")
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         self.bwt = WaveletMatrix(text[self.suffixes - 1].astype(np.int64), symbols)
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows low (inclusive) to high (exclusive) of the suffixes that start with each pattern (a row of symbols).
-
-        A pattern of which one place is left is not read to its end: it is its own.
+    def groups(self, depth: int) -> np.ndarray:
+        """The rows at which suffixes with other first `depth` words begin, and the number of rows."""
+        if depth < 1:
+            return np.array([0, len(self.suffixes)])
+        k = depth.bit_length() - 1
+        fresh = np.zeros(len(self.suffixes), bool)
+        fresh[:1] = True
+        for at in (0, depth - (1 << k)):
+            own = np.append(self.ranks[k], np.full(depth, -1))[self.suffixes + at]
+            fresh[1:] |= own[1:] != own[:-1]
+        return np.append(np.flatnonzero(fresh), len(fresh))
+
+    def matched(self, text: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the sequences' windows start, and a row of the suffixes that start with each.
+
+        All sequences are read from their last word to their first, side by
+        side. Each keeps the rows of the suffixes that start with what it matched
+        last: a word more narrows them by backward search; a match as long as a
+        window first gives up its last word, which widens the rows to those
+        with the same words before it. These are matching statistics, cut off at
+        the threshold that is asked for.
         """
-        last = patterns[:, -1]
-        low, high = self.first[last].copy(), self.first[last + 1].copy()
-        alive = np.flatnonzero(high - low > 1)
-        for k in range(patterns.shape[1] - 2, -1, -1):
-            symbol = patterns[alive, k]
-            both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([low[alive], high[alive]]))
-            low[alive] = self.first[symbol] + both[: len(alive)]
-            high[alive] = self.first[symbol] + both[len(alive) :]
-            alive = alive[high[alive] - low[alive] > 1]
-            if not len(alive):
-                break
-        return low, high
+        widen = self.groups(self.window - 1)
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(text), np.int64)
+        starts, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        by_size = np.argsort(-sizes, kind="stable")
+        for step in range(1, int(sizes.max(initial=0)) + 1):
+            own = by_size[: int(np.searchsorted(-sizes[by_size], -step, side="right"))]
+            at = ends[own] - step
+            begin, end = low[own], high[own]
+            if step > self.window:
+                group = np.searchsorted(widen, begin, side="right") - 1
+                begin, end = widen[group], widen[group + 1]
+            symbol = text[at]
+            both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([begin, end]))
+            low[own] = self.first[symbol] + both[: len(own)]
+            high[own] = self.first[symbol] + both[len(own) :]
+            if step >= self.window:
+                there = own[low[own] < high[own]]
+                starts.append(ends[there] - step)
+                rows.append(low[there])
+        return np.concatenate(starts), np.concatenate(rows)
 
 
 def windows_shared(
-    contents: list[list[bytes]], lowest: np.ndarray, highest: np.ndarray, window: int
-) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each word sequence and each of its windows: the lowest and highest document among the sequences that have it."""
-    ids: dict[bytes, int] = {}
-    parts, owner = [], []
-    for no, words in enumerate(contents):
-        parts.append([0, *(ids.setdefault(w, len(ids) + 1) for w in words)])
-        owner.append(np.full(len(words) + 1, no))
-    text, owner = np.array([x for p in parts for x in p], np.int64), np.concatenate(owner)
-    index = FMIndex(text, len(ids) + 1)
-    begins = np.cumsum([0, *(len(p) for p in parts)])[:-1] + 1
-    counts = np.array([max(0, len(w) - window + 1) for w in contents])
-    starts = np.repeat(begins - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    whose = np.repeat(np.arange(len(contents)), counts)
-    low_doc, high_doc = lowest[whose].copy(), highest[whose].copy()
+    words: np.ndarray, sizes: np.ndarray, places: np.ndarray, lowest: np.ndarray, highest: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each word sequence (words: one after the other): the lowest and highest document among the sequences that have it."""
+    names, symbol = np.unique(words, return_inverse=True)
+    ends = np.cumsum(sizes + 1)
+    text = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+    text[ranges(ends - sizes, sizes)] = symbol + 1
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    index = FMIndex(text, len(names) + 1, window)
+    groups = index.groups(window)
     by_row = owner[index.suffixes]
-    row_low, row_high = np.append(lowest[by_row], 0), np.append(highest[by_row], 0)
-    for begin in range(0, len(starts), 50_000):
-        part = slice(begin, begin + 50_000)
-        low, high = index.search(np.lib.stride_tricks.sliding_window_view(text, window)[starts[part]])
-        many = np.flatnonzero(high - low > 1)
-        if not len(many):
-            continue
-        spans, inverse = np.unique(np.stack([low[many], high[many]], 1), axis=0, return_inverse=True)
-        inverse = inverse.ravel()
-        low_doc[begin + many] = np.minimum.reduceat(row_low, spans.ravel())[::2][inverse]
-        high_doc[begin + many] = np.maximum.reduceat(row_high, spans.ravel())[::2][inverse]
-    cuts = np.cumsum(counts)[:-1]
-    return list(zip(np.split(low_doc, cuts), np.split(high_doc, cuts), strict=True))
+    least, most = np.minimum.reduceat(lowest[by_row], groups[:-1]), np.maximum.reduceat(highest[by_row], groups[:-1])
+    starts, rows = index.matched(text, ends, sizes)
+    group = np.searchsorted(groups, rows, side="right") - 1
+    counts = np.maximum(0, sizes - window + 1)
+    number = np.cumsum(counts) - counts  # of a sequence's first window
+    low, high = np.repeat(lowest, counts), np.repeat(lowest, counts)  # not found: shared with none
+    own = owner[starts]
+    at = number[own] + starts - (ends - sizes)[own]
+    low[at], high[at] = least[group], most[group]
+    return low, high

@@ -14,46 +14,41 @@ def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows_shared(
-    contents: list[list[bytes]], places: np.ndarray, lowest: np.ndarray, highest: np.ndarray, window: int
-) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each word sequence and each of its windows: the lowest and highest document among the sequences that have it.
+    words: np.ndarray, sizes: np.ndarray, places: np.ndarray, lowest: np.ndarray, highest: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each word sequence (words: one after the other): the lowest and highest document among the sequences that have it.
 
-    Every window must hold the sequence's selected place. The suffixes that
+    Every window must hold its sequence's selected place. The suffixes that
     start there are sorted, and so are the words before it, read backwards; runs
     of neighbours that share r words on, and runs that share l words back, with
     l + r = window, together give the sequences that have the window with l
     words before the place.
     """
-    n, ids = len(contents), {}
-    right, left = np.zeros((n, window), np.int64), np.zeros((n, window), np.int64)
-    own = np.arange(1, n + 1)
-    right[:], left[:] = -own[:, None], -own[:, None]  # past the ends: equal to nothing else
-    ahead, behind = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for no, (words, place) in enumerate(zip(contents, places.tolist(), strict=True)):
-        symbols = [ids.setdefault(w, len(ids)) for w in words]
-        ahead[no], behind[no] = min(window, len(words) - place), min(window, place)
-        right[no, : ahead[no]] = symbols[place : place + window]
-        left[no, : behind[no]] = symbols[:place][::-1][:window]
-    counts = np.array([max(0, len(w) - window + 1) for w in contents], np.int64)
+    n = len(sizes)
+    _, symbols = np.unique(words, return_inverse=True)
+    begins = np.cumsum(sizes) - sizes
+    ahead, behind = np.minimum(window, sizes - places), np.minimum(window, places)
+    step = np.arange(window)
+    past = -np.arange(1, n + 1)[:, None]  # past the ends: equal to nothing else
+    limit = max(0, len(symbols) - 1)
+    right = np.where(step < ahead[:, None], symbols[np.minimum((begins + places)[:, None] + step, limit)], past)
+    left = np.where(step < behind[:, None], symbols[np.maximum((begins + places)[:, None] - 1 - step, 0)], past)
+    counts = np.maximum(0, sizes - window + 1)
     first = np.cumsum(counts) - counts
-    low, high = np.repeat(lowest, counts), np.repeat(highest, counts)
+    low, high = np.repeat(lowest, counts), np.repeat(lowest, counts)  # not found: shared with none
     order_r, shared_r = _sorted(right)
     order_l, shared_l = _sorted(left)
     run_r, run_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    for back in range(int(behind.max(initial=0)) + 1):
-        if window - back < 1:
-            break
+    for back in range(min(window - 1, int(behind.max(initial=0))) + 1):
         have = np.flatnonzero((behind >= back) & (ahead >= window - back))
         if not len(have):
             continue
         run_r[order_r] = np.cumsum(shared_r < window - back)
         run_l[order_l] = np.cumsum(shared_l < back)
-        _, group, times = np.unique(run_r[have] * (n + 1) + run_l[have], return_inverse=True, return_counts=True)
-        least, most = np.full(len(times), np.iinfo(np.int64).max), np.full(len(times), np.iinfo(np.int64).min)
+        _, group = np.unique(run_r[have] * (n + 1) + run_l[have], return_inverse=True)
+        least, most = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
         np.minimum.at(least, group, lowest[have])
         np.maximum.at(most, group, highest[have])
-        more = np.flatnonzero(times[group] > 1)
-        at = first[have[more]] + places[have[more]] - back
-        low[at], high[at] = least[group[more]], most[group[more]]
-    cuts = first[1:]
-    return list(zip(np.split(low, cuts), np.split(high, cuts), strict=True))
+        at = first[have] + places[have] - back
+        low[at], high[at] = least[group], most[group]
+    return low, high

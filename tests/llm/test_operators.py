@@ -10,11 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from medialib.llm import (
-    components, decontamination, fm_index, host_rules, license_scan, near_dedup, packing, quality_lm, repeats, secret_scan,
+    common, components, decontamination, fm_index, host_rules, license_scan, near_dedup, packing, quality_lm, repeats, secret_scan,
     suffix_array, token_counts,
 )
 from medialib.llm.queries import tokenizer_path
@@ -157,18 +158,60 @@ def test_repeated_passages_cover_all_shared_windows(spark, sizes):
     assert all(r["first_doc_id"] <= r["doc_id"] for r in got)
 
 
-def test_indexes_agree_with_plain_search():
-    base = [rnd.choice([b"a", b"b", b"cc", b"d"]) for _ in range(300)]
-    contents = [base[i : i + rnd.randrange(0, 40)] for i in (rnd.randrange(260) for _ in range(80))] + [[]]
+@pytest.mark.parametrize("window", [1, 2, 5, 13, 16, 20, 33])
+def test_fm_index_agrees_with_plain_search(window):
+    base = [rnd.randrange(4) for _ in range(300)]
+    contents = [base[i : i + rnd.randrange(0, 60)] for i in (rnd.randrange(260) for _ in range(80))] + [[]]
     low = np.array([rnd.randrange(50) for _ in contents])
+    high = low + np.array([rnd.randrange(5) for _ in contents])
+    least, most = fm_index.windows_shared(np.array([w for c in contents for w in c], np.uint64), np.array([len(c) for c in contents]), low * 0, low, high, window)
     found = defaultdict(list)
     for no, words in enumerate(contents):
-        for i in range(len(words) - 12):
-            found[tuple(words[i : i + 13])].append(low[no])
-    for words, (least, most) in zip(contents, fm_index.windows_shared(contents, low, low, 13), strict=True):
-        assert least.tolist() == [min(found[tuple(words[i : i + 13])]) for i in range(len(words) - 12)]
-        assert most.tolist() == [max(found[tuple(words[i : i + 13])]) for i in range(len(words) - 12)]
-    assert len(suffix_array.windows_shared([[b"x"] * 5], np.array([1]), np.array([3]), np.array([3]), 3)[0][0]) == 3
+        for i in range(len(words) - window + 1):
+            found[tuple(words[i : i + window])].append((low[no], high[no]))
+    every = [found[tuple(words[i : i + window])] for words in contents for i in range(len(words) - window + 1)]
+    assert least.tolist() == [min(x for x, _ in f) for f in every] and most.tolist() == [max(y for _, y in f) for f in every]
+
+
+@pytest.mark.parametrize("window", [1, 3, 8])
+def test_suffix_array_agrees_with_plain_search(window):
+    contents, places = [], []
+    for _ in range(120):  # the word 9 once in each: every window must hold its place
+        before, after = rnd.randrange(window), rnd.randrange(window)
+        contents.append([*(rnd.randrange(2) for _ in range(before)), 9, *(rnd.randrange(2) for _ in range(after))])
+        places.append(before)
+    low = np.array([rnd.randrange(50) for _ in contents])
+    least, most = suffix_array.windows_shared(np.array([w for c in contents for w in c], np.uint64), np.array([len(c) for c in contents]), np.array(places), low, low + 1, window)
+    found = defaultdict(list)
+    for no, words in enumerate(contents):
+        for i in range(len(words) - window + 1):
+            found[tuple(words[i : i + window])].append(low[no])
+    every = [found[tuple(words[i : i + window])] for words in contents for i in range(len(words) - window + 1)]
+    assert least.tolist() == [min(f) for f in every] and most.tolist() == [max(f) + 1 for f in every]
+
+
+def test_what_the_index_does_not_find_is_not_there(spark, monkeypatch):
+    nothing = lambda words, sizes, places, lowest, highest, window: (np.repeat(lowest, np.maximum(0, sizes - window + 1)),) * 2
+    monkeypatch.setattr(fm_index, "windows_shared", nothing)
+    monkeypatch.setattr(suffix_array, "windows_shared", nothing)
+    docs = frame(spark, shared_texts())
+    assert repeats.substring_dedup(docs).where("n_removed > 0").isEmpty()
+    assert repeats.repeated_passages(docs, window=20, gram=4).isEmpty()
+
+
+def test_word_hashes_are_those_of_the_words():
+    texts = ["", " a b\tc ", "ab", "cd", "é ñ\n\n漢字 x", "y" * 3_000_000, "b " + "y" * 3_000_000 + " c", *(prose(50, k) for k in range(30)), "a" * 1_100_000 + " b", ""]
+    hashes, first = common.word_hashes(pa.array(texts))
+    words = [t.split() for t in texts]
+    assert first[0] == 0 and len(hashes) == first[-1]
+    told = defaultdict(set)
+    for t, (begin, end) in enumerate(zip(first[:-1], first[1:])):
+        parts = [p for w in words[t] for p in ([w] if len(w) < 1_000_000 else [w[i : i + (1 << 20)] for i in range(0, len(w), 1 << 20)])]
+        assert len(parts) == end - begin
+        for p, h in zip(parts, hashes[begin:end].tolist()):
+            told[p].add(h)
+    assert all(len(h) == 1 for h in told.values()) and len(set().union(*told.values())) == len(told)
+    assert common.word_hashes(pa.array(["xab cd", "e"]).slice(1))[0].tolist() == common.word_hashes(pa.array(["e"]))[0].tolist()
 
 
 # 3

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, alnum_words, grams, hashed, mixed, picked, texts
+from .common import Rows, alnum_words, grams, hashed, mixed, picked, ranges, texts
 
 GRAM, WALKS, TABLES, SAMPLED = 3, 8, 8, 4
 BLOCK_CHARS = 8 << 20
+#: How many words of a text, gram postings, and steps of walks are in memory at a time.
+STRETCH, MOST_POSTINGS, MOST_STEPS = 4096, 1 << 19, 1 << 21
 HITS = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "start_word", "n_words", "edits")])
 
 
@@ -56,11 +58,12 @@ class Items:
         self.postings = {}
         for q in sorted(set(widths.tolist())):
             own = [(no, grams(words, q)) for no, (_, words) in enumerate(self.items) if widths[no] == q]
-            keys = np.concatenate([g for _, g in own])
-            order = np.argsort(keys, kind="stable")
+            names, rank = np.unique(np.concatenate([g for _, g in own]), return_inverse=True)
             item = np.concatenate([np.full(len(g), no) for no, g in own])
             place = np.concatenate([np.arange(len(g)) for _, g in own])
-            self.postings[q] = keys[order], item[order], place[order]
+            line = rank * len(self.items) + item
+            order = np.argsort(line, kind="stable")
+            self.postings[q] = names, line[order], item[order], place[order]
         random = np.random.default_rng(seed)
         self.walk_seeds = random.integers(1, 2**63, WALKS, dtype=np.uint64)
         self.samples = np.sort(random.random((WALKS, TABLES, SAMPLED)), axis=2)
@@ -91,33 +94,45 @@ class Items:
         return mixed(key + which[:, :, None]).reshape(WALKS * TABLES, -1).T
 
     def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(size, start) of the windows that may lie within an item's bound."""
-        sizes, starts = [], []
-        for q, (keys, item, place) in self.postings.items():
+        """(size, start) of the windows that may lie within an item's bound.
+
+        A text is read in stretches that overlap by the longest item and its
+        bound, so that each window is whole in one; where a stretch's grams have
+        many postings, they are gone through by ranges of items.
+        """
+        found_here = [np.empty(0, np.int64)]
+        most = int((self.sizes + 2 * self.bounds).max(initial=0)) + GRAM
+        step = max(STRETCH, 2 * most)
+        for q, (names, line, item, place) in self.postings.items():
             found = grams(words, q)
-            if not len(found):
-                continue
-            low = np.searchsorted(keys, found)
-            there = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == found)
-            if not len(there):
-                continue
-            low = low[there]
-            times = np.searchsorted(keys, found[there], side="right") - low
-            posting = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
-            who, shift = item[posting], np.repeat(there, times) - place[posting]
-            wide = np.int64(1) << 40
-            line = who * wide + shift + (wide >> 1)
-            order = np.argsort(line, kind="stable")
-            line, who, shift = line[order], who[order], shift[order]
-            bound = self.bounds[who]
-            near = np.searchsorted(line, line + bound, side="right") - np.searchsorted(line, line - bound)
-            ok = near >= self.least[who]
-            sizes.append(self.sizes[who[ok]])
-            starts.append(np.maximum(shift[ok], 0))
-        if not sizes:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(sizes), np.concatenate(starts)], 1), axis=0)
-        return both[:, 0], both[:, 1]
+            at = np.minimum(np.searchsorted(names, found), len(names) - 1)
+            known = np.flatnonzero(names[at] == found)
+            for begin in range(0, max(1, len(words) - most), step):
+                there = known[np.searchsorted(known, begin) : np.searchsorted(known, begin + step + most)]
+                if not len(there):
+                    continue
+                low = at[there] * len(self.items)
+                total = int((np.searchsorted(line, low + len(self.items)) - np.searchsorted(line, low)).sum())
+                cuts = np.linspace(0, len(self.items), -(-total // MOST_POSTINGS) + 1).astype(np.int64)
+                for least, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    first = np.searchsorted(line, low + least)
+                    times = np.searchsorted(line, low + end) - first
+                    posting = ranges(first, times)
+                    who, shift = item[posting], np.repeat(there, times) - place[posting]
+                    own, start = self._within(who, shift)
+                    found_here.append(np.unique(self.sizes[own] << 40 | start))
+        both = np.unique(np.concatenate(found_here))
+        return both >> 40, both & ((np.int64(1) << 40) - 1)
+
+    def _within(self, who: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (item, start) that grams enough speak for, from each gram's item and start of the window that it would give."""
+        wide = np.int64(1) << 40
+        line = np.sort(who * wide + shift + (wide >> 1))
+        who, shift = line >> 40, (line & (wide - 1)) - (wide >> 1)
+        bound = self.bounds[who]
+        near = np.searchsorted(line, line + bound, side="right") - np.searchsorted(line, line - bound)
+        ok = near >= self.least[who]
+        return who[ok], np.maximum(shift[ok], 0)
 
     def hits(self, text: bytes) -> dict[int, tuple[int, int, int]]:
         """item_id: (edits, start word, words) of the nearest stretch of each item that is within its bound."""
@@ -126,11 +141,14 @@ class Items:
         pairs: set[tuple[int, int]] = set()
         for size in np.unique(sizes).tolist():
             own = starts[sizes == size]
-            keys = self.keys(words, own, size)
-            low = np.searchsorted(self.table, keys)
-            times = np.searchsorted(self.table, keys, side="right") - low
-            for w, k in zip(*np.nonzero(times), strict=True):
-                pairs.update((int(no), int(own[w])) for no in self.table_item[low[w, k] : low[w, k] + times[w, k]])
+            at_once = max(1, MOST_STEPS // (2 * size * WALKS))
+            for begin in range(0, len(own), at_once):
+                part = own[begin : begin + at_once]
+                keys = self.keys(words, part, size)
+                low = np.searchsorted(self.table, keys)
+                times = np.searchsorted(self.table, keys, side="right") - low
+                for w, k in zip(*np.nonzero(times), strict=True):
+                    pairs.update((int(no), int(part[w])) for no in self.table_item[low[w, k] : low[w, k] + times[w, k]])
         best: dict[int, tuple[int, int, int]] = {}
         for no, start in sorted(pairs):
             key, item = self.items[no]
@@ -153,7 +171,9 @@ def contaminated(
     where a stretch is at most max_edits n word edits away. Items without words
     and null texts are found nowhere; repeated items count once, repeated rows of
     docs give repeated results. The benchmark is searched in blocks of bounded
-    size, each against all rows of docs.
+    size, each against all rows of docs (a scan for each BLOCK_CHARS of items). A
+    very long text is read in stretches; time grows with its length and the grams
+    that it shares with items, memory with its length alone.
     """
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item")).distinct()
     total = items.agg(F.sum(F.length("item"))).first()[0] or 0

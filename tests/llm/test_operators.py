@@ -232,6 +232,44 @@ def test_edited_items_are_found_and_others_are_not(spark):
     assert left == {0, *range(12, len(texts))}
 
 
+def test_finds_are_those_of_the_edit_distance_over_all_windows(spark, monkeypatch):
+    own = random.Random(31)
+    small = VOCAB[:60]
+    items = [(k, " ".join(own.choice(small) for _ in range(own.randrange(5, 40)))) for k in range(25)]
+    texts = []
+    for k in range(60):
+        words = items[k % 25][1].split()
+        for _ in range(own.randrange(0, 1 + len(words) // 5)):
+            at = own.randrange(len(words))
+            words[at : at + 1] = own.choice([[], ["edited"], [words[at], "added"]])
+        texts.append(" ".join([*(own.choice(small) for _ in range(own.randrange(80))), *words, *(own.choice(small) for _ in range(own.randrange(80)))]))
+    hashes = lambda t: common.hashed(common.alnum_words(t.encode()))
+    expected = {}
+    for d, text in enumerate(texts):
+        for i, item in items:
+            edits = decontamination.nearest_stretch(hashes(item), hashes(text))[0]
+            if edits <= int(0.2 * len(item.split())):
+                expected[d, i] = edits
+    assert len(expected) >= 55
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for _ in range(2):
+        got = {(r["doc_id"], r["item_id"]): r["edits"] for r in rows_of(decontamination.contaminated(frame(spark, texts), bench))}
+        assert all(expected[k] == edits for k, edits in got.items()) and len(got) >= 0.95 * len(expected)
+        for name, value in (("STRETCH", 40), ("MOST_POSTINGS", 30), ("MOST_STEPS", 500)):
+            monkeypatch.setattr(decontamination, name, value)
+
+
+def test_a_long_text_of_items_own_words_takes_bounded_memory():
+    import tracemalloc
+
+    items = decontamination.Items([(k, f"the same six words open each item {k} {prose(30, k)}") for k in range(1000)], 0.2)
+    text = ("the same six words open each item " * 1600 + f"{7} {prose(30, 7)}").encode()
+    tracemalloc.start()
+    assert items.hits(text)[7][0] == 0
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
 def test_nearest_stretch_is_the_edit_distance():
     def slow(a, b):
         rows = [[0] * (len(b) + 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,29 +22,25 @@ def strip_thinking(answer: Column) -> Column:
     return stripped(F.substring_index(F.substring_index(text(answer), "</think>", -1), "<think>", 1))
 
 
+#: A string with its escapes (to the end of the text, if it is never closed), or a brace.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.S)
+
+
+def balanced(raw: str | None) -> str | None:
+    """The first balanced {…} of a text, strings and escapes respected; None if there is none."""
+    begin, depth = (raw or "").find("{"), 0
+    for token in _TOKEN.finditer(raw, begin) if begin >= 0 else ():
+        depth += {"{": 1, "}": -1}.get(token[0], 0)
+        if not depth:
+            return raw[begin : token.end()]
+    return None
+
+
 @F.pandas_udf(T.StringType())
 def first_json(answers: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The first balanced {…} of each text, strings and escapes respected; null if there is none."""
-
-    def scan(raw: str | None) -> str | None:
-        begin = (raw or "").find("{")
-        depth, quoted, skip = 0, False, False
-        for at in range(begin, len(raw or "")) if begin >= 0 else ():
-            c = raw[at]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    return raw[begin : at + 1]
-            else:
-                quoted = c == '"'
-        return None
-
+    """balanced() of each text, which jumps from one string or brace to the next."""
     for part in answers:
-        yield part.map(scan)
+        yield part.map(balanced)
 
 
 def _field(data: Column, name: str) -> Column:

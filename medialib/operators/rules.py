@@ -93,24 +93,27 @@ def software_phrases() -> dict[str, str]:
     return table | W.SOFTWARE_PHRASES
 
 
-def software_tags(rows: DataFrame, keys: list[str], blob: str = "blob") -> DataFrame:
-    """keys and software (array, by appearance): the longest phrase first, left to right; doubtful words only as hashtags."""
-    phrases = rows.sparkSession.createDataFrame([(p, t, len(p.split())) for p, t in software_phrases().items()], "phrase string, tag string, size int")
-    tokens = F.regexp_extract_all(F.lower(F.col(blob)), F.lit("(#?[a-z0-9]+)"), F.lit(1))
-    at = rows.select(*keys, tokens.alias("t")).select(*keys, "t", F.posexplode("t").alias("at", "first"))
-
-    def phrase(n: int) -> Column:
-        words = F.transform(F.slice("t", F.col("at") + 1, F.lit(n)), lambda w: F.ltrim(w, F.lit("#")))
-        return F.when(F.size("t") >= F.col("at") + n, F.array_join(words, " "))
-
-    tried = at.select(*keys, "at", "first", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), phrase(n).alias("phrase")) for n in (1, 2, 3)])).alias("p")).select(*keys, "at", "first", "p.n", "p.phrase")
-    met = tried.join(F.broadcast(phrases), "phrase").where(F.col("n") == F.col("size"))  # a list of about a hundred
-    met = met.where(~((F.col("n") == 1) & F.col("first").isin(W.AMBIGUOUS_SOFTWARE)))
-    best = met.groupBy(*keys, "at").agg(F.max(F.struct("n", "tag")).alias("b"))
-    spans = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "b"))).alias("spans"))
-    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("found"))
-    greedy = F.aggregate("spans", start, lambda s, x: F.when(x["at"] < s["free"], s).otherwise(F.struct((x["at"] + x["b"]["n"]).alias("free"), F.concat(s["found"], F.array(x["b"]["tag"])).alias("found"))), lambda s: F.array_distinct(s["found"]))
-    return rows.select(*keys).join(spans.select(*keys, greedy.alias("software")), keys, "left").withColumn("software", F.coalesce("software", F.array().cast("array<string>")))
+def software_tags(blob: Column) -> Column:
+    """The software that a text names, by appearance: the longest phrase first, left to right; doubtful words only as hashtags.
+
+    The phrases are a literal map of about a hundred; a row needs no other. A null text names none.
+    """
+    table = F.create_map(*[x for p, t in software_phrases().items() for x in (F.lit(p), F.struct(F.lit(len(p.split())).alias("n"), F.lit(t).alias("tag")))])
+    words = F.regexp_extract_all(F.lower(F.coalesce(blob, F.lit(""))), F.lit("(#?[a-z0-9]+)"), F.lit(1))
+
+    def at(tokens: Column, i: Column) -> Column:
+        own = [F.ltrim(F.get(tokens, i + k), F.lit("#")) for k in range(3)]
+        tried = [F.element_at(table, F.concat(*[x for k in range(n) for x in (F.lit(" "), own[k])][1:])) for n in (3, 2)]
+        alone = F.when(~F.get(tokens, i).isin(W.AMBIGUOUS_SOFTWARE), F.element_at(table, own[0]))
+        return F.struct(i.alias("at"), F.coalesce(*tried, alone).alias("b"))
+
+    def greedy(spans: Column) -> Column:
+        start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("found"))
+        step = lambda s, x: F.when(x["at"] < s["free"], s).otherwise(F.struct((x["at"] + x["b"]["n"]).alias("free"), F.concat(s["found"], F.array(x["b"]["tag"])).alias("found")))
+        return F.aggregate(F.filter(spans, lambda x: x["b"].isNotNull()), start, step, lambda s: F.array_distinct(s["found"]))
+
+    each = lambda tokens: greedy(F.transform(F.sequence(F.lit(0), F.size(tokens)), lambda i: at(tokens, i)))
+    return F.transform(F.array(words), each)[0]  # one text: its words are worked out once
 
 
 def profiles_for(medium: Column, words: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as W
@@ -36,22 +36,33 @@ def resolution(vocabulary: Vocabulary) -> list[tuple]:
     return rows
 
 
-def resolved(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    return spark.createDataFrame(resolution(vocabulary), "mode string, raw string, tag string, category string, limit int, rival int")
+def _lookup(vocabulary: Vocabulary, mode: str) -> Column:
+    """A literal map from raw tags to what resolution() says of them: as large as a vocabulary file."""
+    rows = [r[1:] for r in resolution(vocabulary) if r[0] == mode]
+    text = lambda x: "NULL" if x is None else "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    each = [f"{text(raw)}, struct(CAST({text(tag)} AS string) AS tag, CAST({text(category)} AS string) AS category, CAST({text(limit)} AS int) AS limit, CAST({text(rival)} AS int) AS rival)"
+            for raw, tag, category, limit, rival in rows]
+    return F.expr(f"map({', '.join(each)})")  # one expression instead of a call for each entry
 
 
-def normalize_tags(rows: DataFrame, keys: list[str], vocabulary: Vocabulary, tags: str = "tags", mode: str = "mode") -> DataFrame:
-    """keys, kept, dropped (arrays) of rows with an array of raw tags: the vocabulary's tags, at most a category's limit of each, the marker last.
+def normalized(tags: Column, mode: Column, vocabulary: Vocabulary) -> Column:
+    """kept, dropped (arrays) of an array of raw tags: the vocabulary's tags, at most a category's limit of each, the marker last.
 
-    Tags are looked up set-wise; limits and exclusive pairs depend on what is
-    kept before them, so a row's tags are folded in order.
+    Limits and exclusive pairs depend on what is kept before them, so the tags
+    are folded in order; a row needs no other. Null tags have none.
     """
-    table = F.broadcast(resolved(rows.sparkSession, vocabulary))  # a vocabulary file
-    each = rows.select(*keys, F.col(mode).alias("mode"), F.posexplode(tags).alias("pos", "raw")).withColumn("raw", clean_token(F.col("raw")))
-    each = each.where(~F.col("raw").isin("", W.MARKER, *W.IGNORED_TAGS)).join(table, ["mode", "raw"], "left").withColumn("tag", F.coalesce("tag", "raw"))
-    each = each.where(~F.col("tag").isin(W.IGNORED_TAGS))
-    lists = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "tag", "category", "limit", "rival"))).alias("own"))
     none = F.array().cast("array<string>")
+    clean = lambda x: F.when(x.rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), x).otherwise(clean_token(x))  # noqa: E731 most are clean
+
+    def told(given: Column, mode: Column) -> Column:
+        known = F.when(mode == "image", _lookup(vocabulary, "image")).when(mode == "video", _lookup(vocabulary, "video"))
+        raw = F.filter(F.transform(given, clean), lambda x: ~x.isin("", W.MARKER, *W.IGNORED_TAGS))
+        found = F.transform(raw, lambda x: F.struct(x.alias("raw"), F.element_at(known, x).alias("known")))
+        return F.transform(found, lambda x: F.struct(
+            F.coalesce(x["known"]["tag"], x["raw"]).alias("tag"), x["known"]["category"].alias("category"), x["known"]["limit"].alias("limit"), x["known"]["rival"].alias("rival")))
+
+    once = F.array(F.struct(F.coalesce(tags, none).alias("tags"), mode.alias("mode")))  # worked out once a row
+    own = F.filter(F.flatten(F.transform(once, lambda x: told(x["tags"], x["mode"]))), lambda x: ~x["tag"].isin(W.IGNORED_TAGS))
     start = F.struct(none.alias("kept"), none.alias("categories"), F.array().cast("array<int>").alias("rivals"), none.alias("dropped"))
 
     def step(s, x):
@@ -62,10 +73,12 @@ def normalize_tags(rows: DataFrame, keys: list[str], vocabulary: Vocabulary, tag
         kept = F.struct(F.concat(s["kept"], F.array(x["tag"])).alias("kept"), F.concat(s["categories"], F.array(x["category"])).alias("categories"), more.alias("rivals"), s["dropped"].alias("dropped"))
         return F.when(F.array_contains(s["kept"], x["tag"]), s).when(x["category"].isNull(), dropped).when(blocked | (used >= x["limit"]), s).otherwise(kept)
 
-    folded = lists.select(*keys, F.aggregate("own", start, step).alias("s"))
-    return rows.select(*keys).distinct().join(folded, keys, "left").select(
-        *keys, F.concat(F.coalesce("s.kept", none), F.array(F.lit(W.MARKER))).alias("kept"), F.coalesce("s.dropped", none).alias("dropped")
-    )
+    return F.aggregate(own, start, step, lambda s: F.struct(F.concat(s["kept"], F.array(F.lit(W.MARKER))).alias("kept"), s["dropped"].alias("dropped")))
+
+
+def normalize_tags(rows: DataFrame, vocabulary: Vocabulary, tags: str = "tags", mode: str = "mode") -> DataFrame:
+    """rows with kept and dropped: normalized() of their raw tags, row by row."""
+    return rows.withColumn("_own", normalized(F.col(tags), F.col(mode), vocabulary)).select(*rows.columns, "_own.kept", "_own.dropped")
 
 
 def vocabulary_report(ai_meta: DataFrame, vocabulary: Vocabulary, over: float = 0.4, top: int = 15) -> DataFrame:

@@ -8,8 +8,8 @@ from ..operators import frames, similarity
 from .query import query
 
 H = f"(SELECT vec_id, (vec_id // 5)::VARCHAR AS pk, {similarity.BITS_SQL}::BIGINT AS h FROM embeddings)"
-#: Copies of known hashes, 0 to 9 bits away.
-COPIES = f"(SELECT '1' || pk AS pk, xor(h, ((1::BIGINT << (vec_id % 10)::INT) - 1)) AS h FROM {H} WHERE vec_id < 1000)"
+#: Copies of all known hashes, 0 to 9 bits away.
+COPIES = f"(SELECT '1' || pk AS pk, xor(h, ((1::BIGINT << (vec_id % 10)::INT) - 1)) AS h FROM {H})"
 SIMILAR = f"""WITH k AS (SELECT DISTINCT pk, h FROM {H} WHERE bit_count(h) BETWEEN 12 AND 52), q AS (SELECT pk, h, row_number() OVER () AS q FROM {COPIES} WHERE bit_count(h) BETWEEN 12 AND 52),
 b AS (SELECT q.pk, q, k.pk AS known_pk, min(bit_count(xor(q.h, k.h))) AS d FROM q JOIN k ON bit_count(xor(q.h, k.h)) <= 8 AND q.pk <> k.pk GROUP BY ALL),
 p AS (SELECT pk, known_pk, min(d)::BIGINT AS distance, count(*) AS hits FROM b GROUP BY ALL HAVING count(*) >= 2 OR min(d) <= 2),
@@ -19,8 +19,7 @@ r AS (SELECT pk, known_pk, distance, hits FROM (SELECT *, row_number() OVER (PAR
 def near(v):
     known = similarity.fingerprints(v.embeddings).select(F.col("media_pk").alias("pk"), "hash")
     flip = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("vec_id") % 10).cast("int")) - 1
-    hashes = v.embeddings.where("vec_id < 1000")
-    rows = similarity.fingerprints(hashes).select("media_pk", "idx", "hash")
+    rows = similarity.fingerprints(v.embeddings).select("media_pk", "idx", "hash")
     rows = rows.withColumn("vec_id", F.col("media_pk").cast("long") * 5 + F.col("idx"))
     asked = rows.select(F.concat(F.lit("1"), "media_pk").alias("pk"), F.col("hash").bitwiseXOR(flip).alias("hash"))
     return similarity.similar_posts(asked, known)
@@ -49,14 +48,14 @@ def informative(v):
     return rows.groupBy(F.col("media_pk").alias("pk")).agg(F.count_if(similarity.informative(F.col("hash"))).alias("informative"), F.count(F.lit(1)).alias("n"))
 
 
-GRID = "SELECT k AS media_pk, k % 3 AS frame_no, x, y, (x * 7 + y * 13 + (k % 3) * 31 + (x * y) % 17 + k) % 256 AS luma FROM media, range(0, 36) AS a(x), range(0, 32) AS b(y) WHERE k % 50 = 0"
+GRID = "SELECT k AS media_pk, k % 3 AS frame_no, x, y, (x * 7 + y * 13 + (k % 3) * 31 + (x * y) % 17 + k) % 256 AS luma FROM media, range(0, 36) AS a(x), range(0, 32) AS b(y)"
 HASH = f"""WITH g AS (SELECT media_pk, frame_no, y * 8 // 32 AS cy, x * 9 // 36 AS cx, avg(luma) AS l FROM ({GRID}) GROUP BY ALL),
 s AS (SELECT *, lag(l) OVER (PARTITION BY media_pk, frame_no, cy ORDER BY cx) AS b FROM g)
 SELECT media_pk, frame_no, lpad(upper(to_hex(sum(CASE WHEN l > b THEN (1::HUGEINT << (63 - (cy * 8 + cx - 1))::INT) ELSE 0 END)::UBIGINT)), 16, '0') AS hash FROM s WHERE b IS NOT NULL GROUP BY media_pk, frame_no"""
 
 
 def pixels(v):
-    base = v.media.where("k % 50 = 0").select(F.col("k").alias("media_pk"), (F.col("k") % 3).alias("frame_no"), F.explode(F.sequence(F.lit(0), F.lit(35))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    base = v.media.select(F.col("k").alias("media_pk"), (F.col("k") % 3).alias("frame_no"), F.explode(F.sequence(F.lit(0), F.lit(35))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(31))))
     luma = (F.col("x") * 7 + F.col("y") * 13 + F.col("frame_no") * 31 + (F.col("x") * F.col("y")) % 17 + F.col("media_pk")) % 256
     return base.withColumn("luma", luma)
 

@@ -115,7 +115,7 @@ SELECT media.pk, coalesce(s, '') AS software FROM media LEFT JOIN (SELECT pk, st
 
 @query(SOFT)
 def software_tags(v):
-    return rules.software_tags(v.media.select("pk", F.col("caption").alias("blob")), ["pk"]).select("pk", F.array_join("software", "|").alias("software"))
+    return v.media.select("pk", F.array_join(rules.software_tags(F.col("caption")), "|").alias("software"))
 
 
 CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(trim(x), '^#+|#+$', ''))), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), '-')"
@@ -147,7 +147,7 @@ def slides(v):
 
 @query(f"WITH RECURSIVE {normal_sql(SLIDE.format('string_split(tags, chr(10))'))} SELECT id, array_to_string(kept, '|') AS kept, array_to_string(dropped, '|') AS dropped FROM n")
 def normalize_tags(v):
-    return ops.normalize_tags(slides(v), ["id"], vocab.starter()).select("id", F.array_join("kept", "|").alias("kept"), F.array_join("dropped", "|").alias("dropped"))
+    return ops.normalize_tags(slides(v), vocab.starter()).select("id", F.array_join("kept", "|").alias("kept"), F.array_join("dropped", "|").alias("dropped"))
 
 
 BLOB = "concat_ws(' ', nullif(screen_text, ''), nullif(transcript, ''))"
@@ -157,8 +157,7 @@ ALL_TAGS = f"list_concat(string_split(tags, chr(10)), {useful_sql(BLOB)})"
 def renormal(v):
     rows = slides(v)
     more = rows.withColumn("raw", F.concat("tags", rules.useful_tags(rules.joined(F.col("screen_text"), F.col("transcript")))))
-    new = ops.normalize_tags(more.withColumnRenamed("tags", "stored"), ["id"], vocab.starter(), "raw")
-    return rows.join(new, "id").where(F.transform("tags", F.lower) != F.transform("kept", F.lower))
+    return ops.normalize_tags(more, vocab.starter(), "raw").where(F.transform("tags", F.lower) != F.transform("kept", F.lower))
 
 
 NORMAL = normal_sql(SLIDE.format(ALL_TAGS))

@@ -51,7 +51,7 @@ def test_template(spark):
 
 def normal(spark, given, mode="video"):
     rows = spark.createDataFrame([(1, mode, given)], "id int, mode string, tags array<string>")
-    row = tags.normalize_tags(rows, ["id"], vocabulary.starter()).first()
+    row = tags.normalize_tags(rows, vocabulary.starter()).first()
     return row.kept, row.dropped
 
 
@@ -89,7 +89,7 @@ def test_classifier(spark):
 def test_software_is_named_longest_first(spark):
     texts = ["Made in Blender + Redshift #c4d", "unity of design", "#unity", "after effects and AE, #ae", "unreal engine 5 unreal", "gamestart"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, blob string")
-    got = {r.id: r.software for r in rules.software_tags(df, ["id"]).collect()}
+    got = {r.id: r.software for r in df.select("id", rules.software_tags(F.col("blob")).alias("software")).collect()}
     assert got == {0: ["blender", "redshift", "cinema-4d"], 1: [], 2: ["unity"], 3: ["after-effects"], 4: ["unreal-engine"], 5: []}
 
 

@@ -74,10 +74,18 @@ def route(final: Column, by_model: Column, held: Column, glance: bool) -> Column
 
 def useful_tags(blob: Column) -> Column:
     """What a post is useful for, in rule order; with software-tip and useful where they follow."""
-    found = F.filter(F.array(*[F.when(blob.rlike("(?iUd)" + p), F.lit(tag)) for tag, p in W.USEFUL_RULES.items()]), lambda t: t.isNotNull())
-    content = F.arrays_overlap(found, F.array(*map(F.lit, W.CONTENT_TAGS)))
-    tip = F.when(content & blob.rlike("(?iUd)" + W.SOFTWARE), F.array(F.lit("software-tip"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(found, tip, F.when(content, F.array(F.lit("useful"))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+
+    def all_of(x: Column) -> Column:
+        content = F.arrays_overlap(x["found"], F.array(*map(F.lit, W.CONTENT_TAGS)))
+        tip = F.when(content & x["blob"].rlike("(?iUd)" + W.SOFTWARE), F.array(F.lit("software-tip"))).otherwise(none)
+        return F.concat(x["found"], tip, F.when(content, F.array(F.lit("useful"))).otherwise(none))
+
+    def told(text: Column) -> Column:
+        found = F.filter(F.array(*[F.when(text.rlike("(?iUd)" + p), F.lit(tag)) for tag, p in W.USEFUL_RULES.items()]), lambda t: t.isNotNull())
+        return F.struct(text.alias("blob"), found.alias("found"))
+
+    return F.transform(F.transform(F.array(blob), told), all_of)[0]  # the text and its rules are worked out once
 
 
 def joined(*parts: Column) -> Column:

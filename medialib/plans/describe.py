@@ -57,10 +57,11 @@ def answer_ingest(v):
     """
     rows = parsed(v).withColumn("id", F.concat_ws("_", "media_pk", F.col("idx").cast("string"))).withColumn("mode", F.lit("video"))
     rows = rows.withColumn("blob", rules.joined(F.col("screen_text"), F.col("description")))
-    rows = rows.withColumn("raw", F.concat("tags", rules.useful_tags(F.col("blob"))))
-    rows = tag_ops.normalize_tags(rows, vocab.starter(), "raw")
-    text = (F.col("description") != "") | (F.col("summary") != "") | (F.size("kept") > 1)
-    return rows.where(text).select("id", "category", "confidence", "description", F.array_join("kept", "|").alias("tags"), F.array_join(F.concat("dropped", "rejected"), "|").alias("left_over"))
+    own = F.array(tag_ops.normalized(F.concat("tags", rules.useful_tags(F.col("blob"))), F.col("mode"), vocab.starter()))
+    told = F.filter(own, lambda x: (F.col("description") != "") | (F.col("summary") != "") | (F.size(x["kept"]) > 1))
+    return rows.select("id", "category", "confidence", "description", "rejected", F.inline(told)).select(
+        "id", "category", "confidence", "description", F.array_join("kept", "|").alias("tags"), F.array_join(F.concat("dropped", "rejected"), "|").alias("left_over")
+    )
 
 
 @query("""SELECT pk, concat_ws(chr(10), 'Account: @' || username, 'Caption: ' || caption, CASE WHEN k % 2 = 0 THEN 'Hint: a tutorial' END) AS request FROM media""")

@@ -156,8 +156,10 @@ ALL_TAGS = f"list_concat(string_split(tags, chr(10)), {useful_sql(BLOB)})"
 
 def renormal(v):
     rows = slides(v)
-    more = rows.withColumn("raw", F.concat("tags", rules.useful_tags(rules.joined(F.col("screen_text"), F.col("transcript")))))
-    return ops.normalize_tags(more, vocab.starter(), "raw").where(F.transform("tags", F.lower) != F.transform("kept", F.lower))
+    more = rules.useful_tags(rules.joined(F.col("screen_text"), F.col("transcript")))
+    own = F.array(ops.normalized(F.concat("tags", more), F.col("mode"), vocab.starter()))
+    changed = F.filter(own, lambda x: F.transform("tags", F.lower) != F.transform(x["kept"], F.lower))
+    return rows.select("*", F.inline(changed))  # a filter would work the tags out twice
 
 
 NORMAL = normal_sql(SLIDE.format(ALL_TAGS))

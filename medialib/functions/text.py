@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .wordlists import HASHTAG
 
@@ -64,8 +69,15 @@ def hashtags(caption: Column, most: int | None = 15) -> Column:
     return found if most is None else F.slice(found, 1, most)
 
 
+@F.pandas_udf(StringType())
+def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts with their letters composed; Spark has no function for that. Null stays null, ASCII is passed on."""
+    for part in texts:
+        yield part.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+
 def safe_component(name: Column, most: int = 80) -> Column:
-    """A file or folder name that any system takes. Composed letters (NFC) are expected."""
+    """A file or folder name that any system takes. Letters are expected in composed form: nfc() brings names from outside into it."""
     clean = stripped(F.regexp_replace(stripped(text(name)), r'[<>:"/\\|?*\x00-\x1f]', "_"))
     clean = F.regexp_replace(F.regexp_replace(clean, r"(?U)\s+", " "), r"^[ .]+|[ .]+$", "")
     named = let(clean, lambda c: F.when(c == "", "unnamed").when(F.upper(F.split_part(c, F.lit("."), F.lit(1))).isin(RESERVED), F.concat(F.lit("_"), c)).otherwise(c))

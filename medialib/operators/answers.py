@@ -111,12 +111,3 @@ def clean_medium(medium: Column, aliases: dict[str, str]) -> Column:
 
 def prompt_hash(template: Column, model: Column, side: Column) -> Column:
     return F.substring(F.sha1(F.concat(text(template), F.lit("\n"), text(model), F.when(side > 0, F.concat(F.lit("\n"), side.cast("string"), F.lit("px"))).otherwise(""))), 1, 12)
-
-
-def context(username: Column, caption: Column, hint: Column, transcript: Column) -> Column:
-    """The lines of a request that tell of the post."""
-    parts = [
-        F.when(text(username) != "", F.concat(F.lit("Account: @"), username)), F.when(text(caption) != "", F.concat(F.lit("Caption: "), F.substring(squeezed(caption), 1, 400))),
-        F.when(text(hint) != "", hint), F.when(text(transcript) != "", F.concat(F.lit("Transcript: "), F.substring(squeezed(transcript), 1, 1200))),
-    ]
-    return F.concat_ws("\n", *parts)

@@ -96,7 +96,7 @@ VIEWS: dict[str, str] = {
       FROM {{media}} WHERE k % 5 = 0""",
     "ai_meta": f"""
       SELECT media_pk, idx, k, {pick("k % 6", CATEGORIES)} AS category, CASE WHEN (k + idx) % 9 = 0 THEN '' ELSE concat('a shot of item ', CAST(idx AS STRING)) END AS description,
-             concat({_TAGS}) AS tags, concat('h', CAST(k % 3 AS STRING)) AS prompt_hash,
+             concat({_TAGS}) AS tags, concat('h', CAST({div("k", "3")} % 3 AS STRING)) AS prompt_hash,
              {pick("k % 4", ["", "step 1", "cheat sheet", ""])} AS screen_text, CASE WHEN k % 5 = 0 THEN 'made in houdini' ELSE '' END AS transcript,
              CASE WHEN k % 2 = 0 THEN 'short' ELSE '' END AS summary
       FROM {{files}} WHERE kind <> 'thumb'""",

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import library, stats
 from ..operators import tags as tag_ops
+from .library import PRESENT
 from .query import query
+from .tagging import CHANGED, NORMAL, renormal
 
 def n_rows():
     """The number of rows."""
@@ -101,6 +104,41 @@ def job_stats(v):
     return rows.agg(n_rows().alias("done"), F.count_if(F.col("size").isNull()).alias("missing"), F.sum("bytes").alias("bytes"))
 
 
+#: Files with the name that they are to have, whether their tags could be written, and whether they failed.
+PLAN = "SELECT path, CASE WHEN k % 4 = 0 THEN concat(path, '.new') ELSE path END AS target, k % 6 <> 0 AS tagged, (k + idx) % 31 = 0 AS failed FROM files WHERE kind IN ('video', 'photo')"
+
+
+@query(f"""SELECT count(*) AS seen, count(*) FILTER (target <> path AND NOT failed) AS renamed, count(*) FILTER (tagged AND NOT failed) AS tagged,
+           count(*) FILTER (target = path AND NOT failed) AS skipped, count(*) FILTER (failed) AS failed FROM ({PLAN})""")
+def refresh_stats(v):
+    files = v.files.where("kind in ('video', 'photo')")
+    target = F.when(F.col("k") % 4 == 0, F.concat("path", F.lit(".new"))).otherwise(F.col("path"))
+    return stats.refresh_stats(files.select("path", target.alias("target"), (F.col("k") % 6 != 0).alias("tagged"), ((F.col("k") + F.col("idx")) % 31 == 0).alias("failed")))
+
+
+@query(f"""WITH own AS (SELECT f.media_pk, path, f.k, coalesce(present, false) AS present FROM files f LEFT JOIN ({PRESENT}) p ON p.pk = f.media_pk
+           WHERE kind IN ('video', 'photo') AND f.media_pk NOT IN (SELECT media_pk FROM review WHERE decided IS NULL))
+  SELECT count(*) FILTER (NOT present AND d.path IS NOT NULL AND k % 29 <> 0) AS sent, count(DISTINCT media_pk) FILTER (present) AS already, count(*) FILTER (NOT present AND d.path IS NULL) AS missing,
+         count(*) FILTER (NOT present AND d.path IS NOT NULL AND k % 29 = 0) AS failed FROM own LEFT JOIN disk_inventory d USING (path)""")
+def push_stats(v):
+    present = library.in_library(v.media, library.library_snapshot(v.library_items), v.imports)
+    files = v.files.where("kind in ('video', 'photo')").select("media_pk", "path")
+    return stats.push_stats(files, v.disk_inventory, v.review, present, v.media.where("k % 29 = 0").select(F.col("pk").alias("media_pk")))
+
+
+@query(f"""WITH RECURSIVE {NORMAL}, {CHANGED}, i AS (SELECT DISTINCT id FROM library_items)
+  SELECT (SELECT count(*) FROM ai_meta) AS rows, count(*) AS changed, count(i.id) AS updated, count(*) FILTER (i.id IS NULL) AS missing FROM c LEFT JOIN i ON i.id = 'itm' || media_pk""")
+def normalize_stats(v):
+    changes = renormal(v).select("id", F.concat(F.lit("itm"), "media_pk").alias("item_id"))
+    return stats.normalize_stats(v.ai_meta, changes, v.library_items)
+
+
+@query("""SELECT count(DISTINCT media_pk) AS posts, count(*) FILTER (d.path IS NOT NULL AND f.k % 37 <> 0) AS files, (coalesce(sum(size) FILTER (f.k % 37 <> 0), 0))::BIGINT AS bytes,
+           count(*) FILTER (d.path IS NULL) AS missing, count(*) FILTER (d.path IS NOT NULL AND f.k % 37 = 0) AS failed FROM files f LEFT JOIN disk_inventory d USING (path)""")
+def cleanup_stats(v):
+    return stats.cleanup_stats(v.files.select("media_pk", "path"), v.disk_inventory, v.files.where("k % 37 = 0").select("path"))
+
+
 @query("SELECT pk, attempts::BIGINT AS attempts, last_error FROM media WHERE status = 'gave_up' ORDER BY first_seen DESC, pk LIMIT 10")
 def account_stats(v):
     return v.media.where("status = 'gave_up'").orderBy(F.desc("first_seen"), "pk").limit(10).select("pk", F.col("attempts").cast("long").alias("attempts"), "last_error")

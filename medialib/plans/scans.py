@@ -39,19 +39,20 @@ def scan_folders(v):
     return readers.scan_folders(rows).select("id", F.col("depth").cast("long").alias("depth"))
 
 
-@query("""SELECT media_pk AS pk, path FROM files JOIN disk_inventory USING (path) WHERE k % 2 = 1 AND k % 10 = 3""")
+@query("""SELECT media_pk AS pk, path FROM files JOIN disk_inventory USING (path) WHERE k % 2 = 1""")
 def scan_sidecars(v):
     known = v.files.where("k % 2 = 0").select("path")
-    records = v.media.where("k % 10 = 3").select(F.col("pk").alias("stem"), "pk")
+    records = v.media.select(F.col("pk").alias("stem"), "pk")
     return readers.scan_sidecars(records, v.disk_inventory, known).select("pk", "path")
 
 
-@query("SELECT tag, n FROM (SELECT unnest(string_split(tags, chr(10))) AS tag, count(*) AS n FROM ai_meta GROUP BY 1) WHERE tag IN ('soft-light', 'neon-lit')")
+@query("""SELECT tag, CASE tag WHEN 'neon-lit' THEN 'Light' WHEN 'soft-light' THEN 'Light' ELSE 'mood' END AS title, CASE WHEN tag IN ('soft-light', 'neon-lit') THEN 'what is lit' ELSE '' END AS note, n
+          FROM (SELECT unnest(string_split(tags, chr(10))) AS tag, count(*) AS n FROM ai_meta GROUP BY 1) WHERE tag IN ('soft-light', 'neon-lit', 'calm')""")
 def scan_vocab(v):
-    """A vocabulary file of one category, and how often its tags are used."""
-    own = vocabulary.parse('{"version": 2, "categories": [{"key": "light", "tags": ["soft-light", "neon-lit"]}]}')
-    tags = vocabulary.tables(v.spark, own).select("tag")
-    return v.ai_meta.select(F.explode(F.split("tags", "\n")).alias("tag")).join(tags, "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    """A vocabulary file of two categories, and how often their tags are used."""
+    own = vocabulary.parse('{"version": 2, "categories": [{"key": "light", "title": "Light", "note": "what is lit", "tags": ["Soft light", "#neon_lit"]}, {"key": "mood", "tags": ["calm", ""]}]}')
+    tags = vocabulary.tables(v.spark, own).select("tag", "title", "note")
+    return v.ai_meta.select(F.explode(F.split("tags", "\n")).alias("tag")).join(F.broadcast(tags), "tag").groupBy("tag", "title", "note").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT media_pk, idx::BIGINT AS idx, length(answer_text)::BIGINT AS n FROM model_answers")

@@ -66,8 +66,18 @@ def dhash(v):
     return rows.select("media_pk", "frame_no", F.lpad(F.hex("hash"), 16, "0").alias("hash"))
 
 
-@query(f"SELECT * FROM ({HASH}) WHERE bit_count(('0x' || hash)::UBIGINT::BIT) BETWEEN 12 AND 52")
+#: Frames of 18 x 16 points: five of a video, evenly spread, one of an image.
+SHOTS = """SELECT k AS media_pk, unnest(CASE WHEN media_type <> 2 THEN [0] ELSE list_transform(range(0, 5), lambda i: greatest(0, least(t - 1, floor(t * (a + (1.0::DOUBLE - 2 * a) / 4 * i)::DOUBLE)::BIGINT))) END)::BIGINT AS frame_no
+  FROM (SELECT k, media_type, k % 90 + 5 AS t, CASE WHEN k % 90 + 5 > 30 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END AS a FROM media)"""
+SHOT_HASH = HASH.replace(f"({GRID})", f"(SELECT media_pk, frame_no, x, y, (x * 29 + y * 13 + frame_no * 31 + (x * y * (frame_no + 3)) % 97 + media_pk) % 256 AS luma FROM ({SHOTS}), range(0, 18) AS a(x), range(0, 16) AS b(y))").replace("y * 8 // 32", "y * 8 // 16").replace("x * 9 // 36", "x * 9 // 18")
+
+
+@query(f"SELECT * FROM ({SHOT_HASH}) WHERE bit_count(('0x' || hash)::UBIGINT::BIT) BETWEEN 12 AND 52")
 def fingerprint_job(v):
-    """Hashes of the frames that are looked at, the informative ones."""
-    rows = frames.difference_hash(pixels(v), 36, 32).where(similarity.informative(F.col("hash")))
+    """The informative hashes of the frames that are looked at: five of a video, one of an image."""
+    spots = F.when(F.col("media_type") == 2, frames.even_positions(F.col("k") % 90 + 5, F.lit(5))).otherwise(F.array(F.lit(0).cast("long")))
+    shots = v.media.select(F.col("k").alias("media_pk"), F.explode(spots).alias("frame_no"))
+    points = shots.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(17)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    luma = (F.col("x") * 29 + F.col("y") * 13 + F.col("frame_no") * 31 + (F.col("x") * F.col("y") * (F.col("frame_no") + 3)) % 97 + F.col("media_pk")) % 256
+    rows = frames.difference_hash(points.withColumn("luma", luma), 18, 16).where(similarity.informative(F.col("hash")))
     return rows.select("media_pk", "frame_no", F.lpad(F.hex("hash"), 16, "0").alias("hash"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import CATEGORIES
-from ..operators import merge, similarity
+from ..operators import library, merge, similarity
+from ..sources import sidecars
 from .query import query
 
 
@@ -142,9 +143,14 @@ def upsert_collection(v):
     return out.withColumn("last_sync", F.when(F.col("pk") == "col0", "now").otherwise(F.col("last_sync")))
 
 
-@query("""SELECT pk AS media_pk, struct_pack(username := username, code := code)::VARCHAR IS NOT NULL AS has_author,
-          coalesce(string_agg(collection_pk, '|' ORDER BY collection_pk), '') AS collections FROM media LEFT JOIN membership ON media_pk = pk GROUP BY pk, username, code""")
+@query("""SELECT pk AS media_pk, code, url, media_type::BIGINT AS media_type, strftime(taken_at, '%Y-%m-%dT%H:%M:%S') AS taken_at, username, caption, duration::DOUBLE AS video_duration, NULL::VARCHAR AS title,
+          coalesce(c, '') AS collections FROM media LEFT JOIN (SELECT media_pk, string_agg(collection_pk, '|' ORDER BY seen_at, collection_pk) AS c FROM membership GROUP BY media_pk) ON media_pk = pk""")
 def write_sidecars(v):
-    lists = v.membership.groupBy("media_pk").agg(F.array_sort(F.collect_list("collection_pk")).alias("collections"))
-    flat = v.media.withColumnRenamed("pk", "media_pk").join(lists, "media_pk", "left").select("media_pk", F.struct("username", "code").alias("author"), F.coalesce("collections", F.array().cast("array<string>")).alias("collections"))
-    return flat.select("media_pk", F.col("author").isNotNull().alias("has_author"), F.array_join("collections", "|").alias("collections"))
+    """The sidecars of all posts, written as JSON and read again."""
+    from .streams import folder
+
+    path = folder(v)
+    sidecars.write(v.media, library.membership_lists(v.membership), path)
+    return sidecars.read(v.spark, path).select(
+        F.col("pk").alias("media_pk"), "code", "url", F.col("media_type").cast("long").alias("media_type"), "taken_at", "author.username", "caption", "video_duration", "music.title", F.array_join("collections", "|").alias("collections")
+    )

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import similarity
+from ..operators import rules, similarity
 from ..streaming import jobs
 from .query import query
+from .tagging import CLASSIFY
 
 
 def folder(v) -> str:
@@ -43,11 +44,17 @@ def last(v, stream, mode: str):
     return v.spark.read.parquet(f"{out}/out")
 
 
-@query("SELECT pk, CASE WHEN count(*) > 0 THEN true END AS kept FROM feed WHERE pk <> '' GROUP BY pk")
+@query(f"WITH {CLASSIFY} SELECT DISTINCT pk, coalesce(decision, 'review') AS decision FROM feed LEFT JOIN r USING (pk) WHERE pk <> ''")
 def stream_feed(v):
-    out = folder(v)
-    jobs.stream_feed(staged(v, v.feed.select("collection_pk", "pos", "pk", "event_id"), "event_id"), f"{out}/posts", f"{out}/checkpoint")
-    return v.spark.read.parquet(f"{out}/posts").select("pk", F.lit(True).alias("kept"))
+    """New posts are judged by the text rules as they come; those without a text are for review."""
+    out, known = folder(v), v.media.withColumn("full_name", F.lit(""))
+
+    def judge(new):
+        rows = new.join(known.drop("k"), "pk", "left")
+        return new.join(rules.classify(rows, ["myfriend"], ["Bob"], 30.0).select("pk", "decision"), "pk")
+
+    jobs.stream_feed(staged(v, v.feed.select("collection_pk", "pos", "pk", "event_id"), "event_id"), f"{out}/posts", f"{out}/checkpoint", judge)
+    return v.spark.read.parquet(f"{out}/posts").select("pk", "decision")
 
 
 @query("""SELECT tag, count(*) AS hits FROM (SELECT unnest(string_split(tags, chr(10))) AS tag FROM ai_meta) GROUP BY tag""")

@@ -40,9 +40,13 @@ def hashtags(v):
 SAFE = "regexp_replace(regexp_replace(trim(regexp_replace(trim({}), '[<>:\"/\\\\|?*]', '_', 'g')), '\\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
 
 
-@query(f"SELECT pk, CASE WHEN n = '' THEN 'unnamed' WHEN length(n) > 40 THEN regexp_replace(n[1:40], '[ .]+$', '') ELSE n END AS name FROM (SELECT pk, {SAFE.format('url || caption')} AS n FROM media)")
+ACCENT = "(CASE k % 2 WHEN 0 THEN concat('cafe', chr(769), ' ') ELSE '' END)".replace("chr(769)", "'\u0301'")
+
+
+@query(f"SELECT pk, CASE WHEN n = '' THEN 'unnamed' WHEN length(n) > 40 THEN regexp_replace(n[1:40], '[ .]+$', '') ELSE n END AS name FROM (SELECT pk, {SAFE.format('nfc_normalize(ACCENT || url || caption)').replace('ACCENT', ACCENT)} AS n FROM media)")
 def safe_component(v):
-    return v.media.select("pk", T.safe_component(F.concat("url", "caption"), 40).alias("name"))
+    """Names that begin with a letter and its accent apart, every second time."""
+    return v.media.select("pk", T.safe_component(T.nfc(F.concat(F.expr(ACCENT), "url", "caption")), 40).alias("name"))
 
 
 BARE = "trim(regexp_replace(regexp_replace(caption, '[#@][^\\s#@]+', ' ', 'g'), '\\s+', ' ', 'g'))"

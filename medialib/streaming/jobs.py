@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +20,11 @@ def read(spark: SparkSession, path: str, schema, per_trigger: int | None = None)
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
 
 
-def stream_feed(feed: DataFrame, target: str, checkpoint: str) -> None:
-    """New posts of a feed appended to target, each pk once; a batch that is run again writes nothing twice."""
+def stream_feed(feed: DataFrame, target: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """New posts of a feed (collection_pk, pos, pk) judged and appended to target, each pk once; a batch that is run again writes nothing twice.
+
+    judge adds columns to the new posts of a batch: rules.classify, say, joined by pk.
+    """
     spark = feed.sparkSession
 
     def upsert(batch: DataFrame, number: int) -> None:
@@ -33,6 +36,7 @@ def stream_feed(feed: DataFrame, target: str, checkpoint: str) -> None:
         except Exception as error:  # the first batch has no target yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
+        new = judge(new) if judge else new
         new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
 
     feed.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

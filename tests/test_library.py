@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from medialib.functions import text as T
-from medialib.operators import answers, feed, frames, library, merge, posts, rules, similarity, tags
+from medialib.operators import answers, feed, frames, library, merge, posts, prompts, rules, similarity, stats, tags
 from medialib.plans import fixtures, registry
-from medialib.sources import readers, vocabulary
+from medialib.sources import readers, sidecars, vocabulary
 
 
 def one(spark, column, **values):
@@ -205,3 +205,65 @@ def test_unique_names(spark):
 def test_registry_and_views():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 120
     assert "media AS (" in fixtures.with_views("SELECT * FROM review")
+
+
+def test_vocabulary_file_and_its_text(spark):
+    """Tags are cleaned, titles and notes kept; lists show by mode and profiles, hidden ones and those without tags never."""
+    file = """{"version": 2, "aliases": {"Neon Light": "neon_lit"}, "categories": [
+        {"key": "light", "title": "LIGHT", "note": "what is lit", "limit": 2, "tags": ["Soft light", "#neon_lit", ""]},
+        {"key": "move", "mode": "video", "profiles": ["live"], "tags": ["orbit"]},
+        {"key": "model", "mode": "image", "profiles": ["3d"], "tags": ["mesh"]}, {"key": "software", "profiles": ["hidden"], "tags": ["nuke"]}, {"key": "none", "tags": []}]}"""
+    own = vocabulary.parse(file)
+    assert own.categories[0] == vocabulary.Category("light", ["soft-light", "neon-lit"], 2, "both", (), "LIGHT", "what is lit")
+    assert own.aliases["neon-light"] == "neon-lit" and own.exclusive == [] and own.categories[1].limit == 3
+    for broken in ("", "{", '{"version": 1, "categories": [{"key": "x", "tags": ["y"]}]}', '{"version": 2, "categories": []}', '{"version": 2, "categories": 5}'):
+        assert vocabulary.parse(broken) == vocabulary.starter()
+    light = "LIGHT — pick 0-2  (what is lit)\nsoft-light, neon-lit"
+    rows = spark.createDataFrame([(1, "video", ["live"]), (2, "image", ["live"]), (3, "image", None), (4, "video", []), (5, "image", ["3d", "core"])], "id int, mode string, profiles array<string>")
+    got = {r.id: r.x for r in rows.select("id", prompts.render(own, F.col("mode"), F.col("profiles")).alias("x")).collect()}
+    assert got == {1: f"{light}\n\nmove — pick 0-3\norbit", 2: light, 3: f"{light}\n\nmodel — pick 0-3\nmesh", 4: light, 5: f"{light}\n\nmodel — pick 0-3\nmesh"}
+
+
+def test_requests(spark):
+    """Places are filled in order, examples cut to three, empty parts left out."""
+    assert one(spark, prompts.render_examples(F.array(F.lit(" a  b "), F.lit(""), F.col("a"), F.lit("fourth"))), a="x" * 500) == f'\n{prompts.EXAMPLES_HEADER}\n- "a b"\n- "{"x" * 400}"\n'
+    assert one(spark, prompts.render_examples(F.array(F.col("a"))), a=" ") == ""
+    assert one(spark, prompts.render_examples(F.array().cast("array<string>")), a=" ") == ""
+    made = prompts.prompt(F.col("a"), F.lit(0), F.lit(""), F.lit("image"), F.lit("L"), F.array(F.lit("e")))
+    assert one(spark, made, a=" {frames} {kind} {mode} [{taxonomy}]{examples}.") == f'1 post IMAGE [L]\n{prompts.EXAMPLES_HEADER}\n- "e"\n.'
+    assert "{" not in one(spark, made, a=None) and "L" in one(spark, made, a=None)
+    tagged = prompts.tag_prompt(F.lit("{summary}|{description}|{ocr}|{taxonomy}"), F.lit(1), F.lit("reel"), F.lit(None).cast("string"), F.lit("L"), F.lit(" s "), F.col("a"), F.lit(" "))
+    assert one(spark, tagged, a=None) == "s||none|L"
+    assert one(spark, prompts.context(F.lit("bob"), F.col("a"), F.lit(None).cast("string"), F.lit(" said ")), a=" ") == f"Account: @bob\n{prompts.TRANSCRIPT_LABEL}said"
+    assert one(spark, prompts.context(F.lit(None).cast("string"), F.col("a"), F.lit(""), F.lit("")), a=None) == ""
+
+
+def test_job_counters(spark):
+    plan = spark.createDataFrame([("a", "b", True, False), ("c", "c", False, False), ("d", "e", True, True), ("f", None, None, None)], "path string, target string, tagged boolean, failed boolean")
+    assert stats.refresh_stats(plan).first().asDict() == {"seen": 4, "renamed": 1, "tagged": 1, "skipped": 2, "failed": 1}
+    assert stats.refresh_stats(plan.limit(0)).first().asDict() == {"seen": 0, "renamed": 0, "tagged": 0, "skipped": 0, "failed": 0}
+    files = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "c"), ("3", "d"), ("4", "e"), ("5", "f")], "media_pk string, path string")
+    disk = spark.createDataFrame([("a", 5), ("c", 7), ("e", 9), ("f", 1)], "path string, size long")
+    review = spark.createDataFrame([("4", None), ("5", "kept")], "media_pk string, decided string")
+    present = spark.createDataFrame([("2", True), ("1", False)], "pk string, present boolean")
+    refused = spark.createDataFrame([("5",)], "media_pk string")
+    assert stats.push_stats(files, disk, review, present, refused).first().asDict() == {"sent": 1, "missing": 2, "failed": 1, "already": 1}
+    assert stats.push_stats(files.limit(0), disk, review, present, refused).first().asDict() == {"sent": 0, "missing": 0, "failed": 0, "already": 0}
+    assert stats.cleanup_stats(files, disk, spark.createDataFrame([("c",)], "path string")).first().asDict() == {"posts": 5, "bytes": 15, "files": 3, "missing": 2, "failed": 1}
+    changes = spark.createDataFrame([("x", "i"), ("y", "j"), ("z", None)], "id string, item_id string")
+    items = spark.createDataFrame([("i",), ("i",)], "id string")
+    assert stats.normalize_stats(files, changes, items).first().asDict() == {"rows": 6, "changed": 3, "updated": 1, "missing": 2}
+
+
+def test_sidecars_are_read_as_written(spark, tmp_path):
+    posts_ = spark.createDataFrame([("1", "C1", "bob", "a і \"q\"\nb", 7, "song"), ("2", None, None, None, None, None)], "pk string, code string, username string, caption string, like_count long, music_title string")
+    lists = spark.createDataFrame([("1", ["Ads", "Art"])], "media_pk string, collections array<string>")
+    sidecars.write(posts_, lists, str(tmp_path / "s"))
+    got = {r.pk: r for r in sidecars.read(spark, str(tmp_path / "s")).collect()}
+    assert got["1"].caption == "a і \"q\"\nb" and got["1"].author.username == "bob" and got["1"].like_count == 7 and got["1"].music.title == "song" and got["1"].collections == ["Ads", "Art"]
+    assert got["2"].caption == "" and got["2"].author.username is None and got["2"].music is None and got["2"].collections == [] and got["2"].media_type == 0
+
+
+def test_letters_are_composed(spark):
+    assert one(spark, T.safe_component(T.nfc(F.col("a"))), a="café й") == "café й"
+    assert one(spark, T.nfc(F.col("a")), a=None) is None

@@ -60,6 +60,15 @@ def library_snapshot(items: DataFrame) -> DataFrame:
     )
 
 
+def items_of_posts(posts: DataFrame, imports: DataFrame, items: DataFrame) -> DataFrame:
+    """media_pk and the items (id, url, …) of each of posts (media_pk, url): the one that an import names by id, else all that have the post's url."""
+    stored = imports.where("item_id <> ''").groupBy("media_pk").agg(F.max("item_id").alias("id"))
+    by_id = stored.join(items, "id").select("media_pk", *items.columns)
+    rest = posts.select("media_pk", url_key(F.col("url")).alias("_key")).where("_key <> ''").join(by_id.select("media_pk"), "media_pk", "left_anti")
+    by_url = rest.join(items.withColumn("_key", url_key(F.col("url"))), "_key").select("media_pk", *items.columns)
+    return by_id.unionByName(by_url)
+
+
 def repair_imports(snapshot: DataFrame, media: DataFrame, imports: DataFrame) -> DataFrame:
     """New import rows for posts whose url the library has and no import row does."""
     posts = media.select(F.col("pk").alias("media_pk"), url_key(F.col("url")).alias("key")).where("key <> ''")

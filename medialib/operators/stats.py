@@ -37,10 +37,13 @@ def push_stats(files: DataFrame, disk: DataFrame, review: DataFrame, present: Da
 
 
 def normalize_stats(rows: DataFrame, changes: DataFrame, items: DataFrame) -> DataFrame:
-    """rows, changed, updated, missing: all described rows, those whose tags change (id, item_id), and how many of these the items (id) have and lack."""
+    """rows, changed, updated, missing: all described rows, those whose tags change, and how many items (id) these have and lack.
+
+    changes: id, item_id, a row for each item of a changed row, one with a null or an unknown item for a row that has none.
+    """
     found = changes.join(items.select(F.col("id").alias("item_id")).distinct().withColumn("_there", F.lit(True)), "item_id", "left")
     there = F.col("_there").isNotNull()
-    counts = found.agg(F.count(F.lit(1)).alias("changed"), *_counted(updated=there, missing=~there))
+    counts = found.agg(F.countDistinct("id").alias("changed"), *_counted(updated=there, missing=~there))
     return rows.agg(F.count(F.lit(1)).alias("rows")).join(counts)  # one row each
 
 

@@ -11,7 +11,7 @@ from ..operators import answers, frames, library, posts, prompts, rules
 from ..operators import tags as tag_ops
 from ..sources import vocabulary as vocab
 from .query import query
-from .tagging import PROFILE_CASE, _re, listed, normal_sql, useful_sql
+from .tagging import PROFILE_CASE, _re, listed, normal_sql, soft_sql, useful_sql
 
 RAW = "trim(string_split(list_last(string_split(answer_text, '</think>')), '<think>')[1])"
 
@@ -90,17 +90,24 @@ def clean_medium(v):
     return rows.select("pk", answers.clean_medium(F.expr(SPELT), W.STARTER_ALIASES).alias("medium"))
 
 
-INGEST = f"SELECT media_pk || '_' || idx AS id, 'video' AS mode, list_concat(tags, {useful_sql("concat_ws(' ', nullif(screen_text, ''), nullif(description, ''))")}) AS tags FROM a"
+#: What a slide says besides its answer's tags: the post's caption and the words on screen.
+SAID = "SELECT a.media_pk || '_' || a.idx AS id, concat_ws(' ', nullif(caption, ''), nullif(screen_text, '')) AS text, concat_ws(' ', nullif(screen_text, ''), nullif(caption, '')) AS blob FROM a LEFT JOIN media ON pk = a.media_pk"
+INGEST = f"SELECT id, CASE WHEN idx % 4 IN (0, 2) THEN 'video' ELSE 'image' END AS mode, list_concat(tags, {useful_sql('blob')}, coalesce(software, [])) AS tags FROM a JOIN said ON id = a.media_pk || '_' || a.idx LEFT JOIN soft USING (id)"
+#: The names that the CTEs of the tags take as well.
+OWN_PARSED = PARSED.replace("\nh AS", "\nh0 AS").replace("FROM h)", "FROM h0)").replace("d AS (SELECT *, list_transform", "d0 AS (SELECT *, list_transform").replace("ok FROM d)", "ok FROM d0)")
 
 
-@query(f"""WITH RECURSIVE {JSON}, {PARSED.replace(chr(10) + "h AS", chr(10) + "h0 AS").replace("FROM h)", "FROM h0)").replace("d AS (SELECT *, list_transform", "d0 AS (SELECT *, list_transform").replace("ok FROM d)", "ok FROM d0)")}, {normal_sql(INGEST)}
+@query(f"""WITH RECURSIVE {JSON}, {OWN_PARSED}, said AS ({SAID}), {soft_sql("SELECT id, text FROM said")}, {normal_sql(INGEST)}
   SELECT n.id, category, confidence, description, array_to_string(kept, '|') AS tags, array_to_string(list_concat(dropped, rejected), '|') AS left_over
   FROM n JOIN a ON n.id = a.media_pk || '_' || a.idx WHERE description <> '' OR summary <> '' OR len(kept) > 1""")
 def answer_ingest(v):
-    """Rows for the description table: parsed answers with their tags brought into the vocabulary, and what was left over."""
-    rows = parsed(v).withColumn("id", F.concat_ws("_", "media_pk", F.col("idx").cast("string"))).withColumn("mode", F.lit("video"))
-    rows = rows.withColumn("blob", rules.joined(F.col("screen_text"), F.col("description")))
-    own = F.array(tag_ops.normalized(F.concat("tags", rules.useful_tags(F.col("blob"))), F.col("mode"), vocab.starter()))
+    """Rows for the description table: parsed answers with their tags and those that their posts' texts give brought into the vocabulary, and what was left over."""
+    captions = v.media.select(F.col("pk").alias("media_pk"), "caption")
+    rows = parsed(v).join(captions, "media_pk", "left").withColumn("id", F.concat_ws("_", "media_pk", F.col("idx").cast("string")))
+    rows = rows.withColumn("mode", posts.tag_mode(F.when(F.col("idx") % 4 % 2 == 0, ".mp4").otherwise(".jpg")))
+    useful = rules.useful_tags(rules.joined(F.col("screen_text"), F.col("caption")))
+    software = rules.software_tags(rules.joined(F.col("caption"), F.col("screen_text")))
+    own = F.array(tag_ops.normalized(F.concat("tags", useful, software), F.col("mode"), vocab.starter()))
     told = F.filter(own, lambda x: (F.col("description") != "") | (F.col("summary") != "") | (F.size(x["kept"]) > 1))
     return rows.select("id", "category", "confidence", "description", "rejected", F.inline(told)).select(
         "id", "category", "confidence", "description", F.array_join("kept", "|").alias("tags"), F.array_join(F.concat("dropped", "rejected"), "|").alias("left_over")

@@ -9,7 +9,7 @@ from ..operators import library, stats
 from ..operators import tags as tag_ops
 from .library import PRESENT
 from .query import query
-from .tagging import CHANGED, NORMAL, renormal
+from .tagging import CHANGED, ITEMS, NORMAL, items_of_posts, renormal
 
 def n_rows():
     """The number of rows."""
@@ -126,11 +126,11 @@ def push_stats(v):
     return stats.push_stats(files, v.disk_inventory, v.review, present, v.media.where("k % 29 = 0").select(F.col("pk").alias("media_pk")))
 
 
-@query(f"""WITH RECURSIVE {NORMAL}, {CHANGED}, i AS (SELECT DISTINCT id FROM library_items)
-  SELECT (SELECT count(*) FROM ai_meta) AS rows, count(*) AS changed, count(i.id) AS updated, count(*) FILTER (i.id IS NULL) AS missing FROM c LEFT JOIN i ON i.id = 'itm' || media_pk""")
+@query(f"""WITH RECURSIVE {NORMAL}, {CHANGED}, {ITEMS}, i AS (SELECT media_pk, count(*) AS items FROM own GROUP BY media_pk)
+  SELECT (SELECT count(*) FROM ai_meta) AS rows, count(*) AS changed, coalesce(sum(items), 0)::BIGINT AS updated, count(*) FILTER (items IS NULL) AS missing FROM c LEFT JOIN i USING (media_pk)""")
 def normalize_stats(v):
-    changes = renormal(v).select("id", F.concat(F.lit("itm"), "media_pk").alias("item_id"))
-    return stats.normalize_stats(v.ai_meta, changes, v.library_items)
+    items = items_of_posts(v).select("media_pk", F.col("id").alias("item_id"))
+    return stats.normalize_stats(v.ai_meta, renormal(v).select("id", "media_pk").join(items, "media_pk", "left"), v.library_items)
 
 
 @query("""SELECT count(DISTINCT media_pk) AS posts, count(*) FILTER (d.path IS NOT NULL AND f.k % 37 <> 0) AS files, (coalesce(sum(size) FILTER (f.k % 37 <> 0), 0))::BIGINT AS bytes,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as W
-from ..operators import posts, rules
+from ..operators import library, posts, rules
 from ..operators import tags as ops
 from ..sources import vocabulary as vocab
 from .query import query
@@ -102,18 +102,19 @@ def useful_tags(v):
     return v.media.select("pk", F.array_join(rules.useful_tags(F.col("caption")), "|").alias("useful"))
 
 
-SOFT = f"""WITH RECURSIVE t AS (SELECT pk, regexp_extract_all(lower(caption), '(#?[a-z0-9]+)', 1) AS t FROM media),
-p AS (SELECT pk, t, unnest(range(1, len(t) + 1)) AS i FROM t),
-m AS (SELECT pk, i, n, tag FROM p, (VALUES (1), (2), (3)) AS s(n), {values([(a, b, len(a.split())) for a, b in rules.software_phrases().items()], 'phrase, tag, size')}
+def soft_sql(source: str) -> str:
+    """CTEs t (the words of source rows id, text) to soft (id, software: the names in order), for those that name any."""
+    return f"""t AS (SELECT id, regexp_extract_all(lower(text), '(#?[a-z0-9]+)', 1) AS t FROM ({source})),
+p AS (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM t),
+m AS (SELECT id, i, n, tag FROM p, (VALUES (1), (2), (3)) AS s(n), {values([(a, b, len(a.split())) for a, b in rules.software_phrases().items()], 'phrase, tag, size')}
   WHERE size = n AND i + n - 1 <= len(t) AND phrase = array_to_string(list_transform(t[i:i+n-1], lambda w: ltrim(w, '#')), ' ') AND NOT (n = 1 AND list_contains({listed(W.AMBIGUOUS_SOFTWARE)}, t[i]))),
-b AS (SELECT pk, i, max(n) AS n, arg_max(tag, n) AS tag FROM m GROUP BY pk, i),
-g AS (SELECT pk, i, n, tag FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY i) AS q FROM b) WHERE q = 1
-      UNION ALL SELECT b.pk, b.i, b.n, b.tag FROM g JOIN b ON b.pk = g.pk AND b.i = (SELECT min(c.i) FROM b c WHERE c.pk = g.pk AND c.i >= g.i + g.n)),
-f AS (SELECT pk, tag, min(i) AS i FROM g GROUP BY pk, tag)
-SELECT media.pk, coalesce(s, '') AS software FROM media LEFT JOIN (SELECT pk, string_agg(tag, '|' ORDER BY i) AS s FROM f GROUP BY pk) USING (pk)"""
+b AS (SELECT id, i, max(n) AS n, arg_max(tag, n) AS tag FROM m GROUP BY id, i),
+greedy AS (SELECT id, i, n, tag FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS q FROM b) WHERE q = 1
+      UNION ALL SELECT b.id, b.i, b.n, b.tag FROM greedy JOIN b ON b.id = greedy.id AND b.i = (SELECT min(c.i) FROM b c WHERE c.id = greedy.id AND c.i >= greedy.i + greedy.n)),
+soft AS (SELECT id, list(tag ORDER BY i) AS software FROM (SELECT id, tag, min(i) AS i FROM greedy GROUP BY id, tag) GROUP BY id)"""
 
 
-@query(SOFT)
+@query(f"WITH RECURSIVE {soft_sql('SELECT pk AS id, caption AS text FROM media')} SELECT pk, coalesce(array_to_string(software, '|'), '') AS software FROM media LEFT JOIN soft ON id = pk")
 def software_tags(v):
     return v.media.select("pk", F.array_join(rules.software_tags(F.col("caption")), "|").alias("software"))
 
@@ -142,7 +143,7 @@ SLIDE = "SELECT media_pk || '_' || idx AS id, CASE WHEN idx % 4 IN (0, 2) THEN '
 
 def slides(v):
     mode = posts.tag_mode(F.when(F.col("idx") % 4 % 2 == 0, ".mp4").otherwise(".jpg"))
-    return v.ai_meta.select(F.concat_ws("_", "media_pk", "idx").alias("id"), "media_pk", "k", mode.alias("mode"), F.split("tags", "\n").alias("tags"), "screen_text", "transcript")
+    return v.ai_meta.select(F.concat_ws("_", "media_pk", "idx").alias("id"), "media_pk", "k", mode.alias("mode"), F.filter(F.split("tags", "\n"), lambda t: t != "").alias("tags"), "screen_text", "transcript")
 
 
 @query(f"WITH RECURSIVE {normal_sql(SLIDE.format('string_split(tags, chr(10))'))} SELECT id, array_to_string(kept, '|') AS kept, array_to_string(dropped, '|') AS dropped FROM n")
@@ -150,19 +151,21 @@ def normalize_tags(v):
     return ops.normalize_tags(slides(v), vocab.starter()).select("id", F.array_join("kept", "|").alias("kept"), F.array_join("dropped", "|").alias("dropped"))
 
 
-BLOB = "concat_ws(' ', nullif(screen_text, ''), nullif(transcript, ''))"
+BLOB = "concat_ws(' ', nullif(screen_text, ''), nullif(caption, ''), nullif(transcript, ''))"
 ALL_TAGS = f"list_concat(string_split(tags, chr(10)), {useful_sql(BLOB)})"
 
 
 def renormal(v):
-    rows = slides(v)
-    more = rules.useful_tags(rules.joined(F.col("screen_text"), F.col("transcript")))
+    """Described slides whose tags change: what they and their post's caption say is brought into the vocabulary; slides without tags stay as they are."""
+    captions = v.media.select(F.col("pk").alias("media_pk"), "caption")
+    rows = slides(v).where(F.size("tags") > 0).join(captions, "media_pk", "left")
+    more = rules.useful_tags(rules.joined(F.col("screen_text"), F.col("caption"), F.col("transcript")))
     own = F.array(ops.normalized(F.concat("tags", more), F.col("mode"), vocab.starter()))
     changed = F.filter(own, lambda x: F.transform("tags", F.lower) != F.transform(x["kept"], F.lower))
     return rows.select("*", F.inline(changed))  # a filter would work the tags out twice
 
 
-NORMAL = normal_sql(SLIDE.format(ALL_TAGS))
+NORMAL = normal_sql(SLIDE.format(ALL_TAGS) + " LEFT JOIN media ON pk = media_pk WHERE tags <> ''")
 CHANGED = "c AS (SELECT media_pk, k, n.id, kept, string_split(tags, chr(10)) AS old FROM n JOIN ai_meta ON media_pk || '_' || idx = n.id WHERE list_transform(string_split(tags, chr(10)), lambda t: lower(t)) <> list_transform(kept, lambda t: lower(t)))"
 
 
@@ -171,11 +174,21 @@ def normalize_library(v):
     return renormal(v).select("id", F.array_join("kept", "|").alias("kept"))
 
 
-@query(f"""WITH RECURSIVE {NORMAL}, {CHANGED}, x AS (SELECT c.id, i.id AS item_id, list_concat(list_filter(string_split(i.tags, '|'), lambda t: NOT list_contains(list_transform(old, lambda o: lower(o)), lower(t))), kept) AS w FROM c JOIN library_items i ON i.id = 'itm' || media_pk)
+#: CTEs up to own (media_pk, id, tags): the library's items of each post, by the id that an import has, else by url.
+ITEMS = """by_id AS (SELECT media_pk, i.id, i.tags FROM (SELECT media_pk, max(item_id) AS id FROM imports WHERE item_id <> '' GROUP BY media_pk) JOIN library_items i USING (id)),
+own AS (SELECT * FROM by_id UNION ALL SELECT pk, i.id, i.tags FROM media JOIN library_items i ON rtrim(i.url, '/') = rtrim(media.url, '/') WHERE rtrim(media.url, '/') <> '' AND pk NOT IN (SELECT media_pk FROM by_id))"""
+
+
+def items_of_posts(v):
+    return library.items_of_posts(v.media.select(F.col("pk").alias("media_pk"), "url"), v.imports, v.library_items.select("id", "url", "tags"))
+
+
+@query(f"""WITH RECURSIVE {NORMAL}, {CHANGED}, {ITEMS}, x AS (SELECT c.id, i.id AS item_id, list_concat(list_filter(string_split(i.tags, '|'), lambda t: NOT list_contains(list_transform(old, lambda o: lower(o)), lower(t))), kept) AS w FROM c JOIN own i USING (media_pk))
   SELECT id, item_id, array_to_string(list_filter(w, lambda t, q: list_position(list_transform(w, lambda o: lower(o)), lower(t)) = q AND trim(t) <> '')[1:60], '|') AS tags FROM x""")
 def retag_manifest(v):
-    items = v.library_items.select(F.col("id").alias("item_id"), F.split("tags", r"\|").alias("theirs"))
-    rows = renormal(v).withColumn("item_id", F.concat(F.lit("itm"), "media_pk")).join(items, "item_id")
+    """The library's items of changed slides with their new tags; normalize_stats counts the slides that have none."""
+    items = items_of_posts(v).select("media_pk", F.col("id").alias("item_id"), F.split("tags", r"\|").alias("theirs"))
+    rows = renormal(v).join(items, "media_pk")
     return rows.select("id", "item_id", F.array_join(ops.merge_tags(F.col("theirs"), F.col("tags"), F.col("kept")), "|").alias("tags"))
 
 

@@ -255,6 +255,16 @@ def test_job_counters(spark):
     assert stats.normalize_stats(files, changes, items).first().asDict() == {"rows": 6, "changed": 3, "updated": 1, "missing": 2}
 
 
+def test_items_of_a_post_go_by_id_then_by_url(spark):
+    posts = spark.createDataFrame([("1", "u/1/"), ("2", "u/2"), ("3", "u/3"), ("4", ""), ("5", None), ("6", "u/6")], "media_pk string, url string")
+    imports = spark.createDataFrame([("1", "a"), ("1", ""), ("2", "gone"), ("3", ""), ("6", None)], "media_pk string, item_id string")
+    items = spark.createDataFrame([("a", "elsewhere"), ("b", "u/1"), ("c", "u/2//"), ("d", "u/3"), ("e", "u/3/"), ("f", ""), ("g", None)], "id string, url string")
+    found = {(r.media_pk, r.id) for r in library.items_of_posts(posts, imports, items).collect()}
+    assert found == {("1", "a"), ("2", "c"), ("3", "d"), ("3", "e")}
+    changes = spark.createDataFrame([("x", "d"), ("x", "e"), ("y", None)], "id string, item_id string")
+    assert stats.normalize_stats(posts, changes, items).first().asDict() == {"rows": 6, "changed": 2, "updated": 2, "missing": 1}
+
+
 def test_sidecars_are_read_as_written(spark, tmp_path):
     posts_ = spark.createDataFrame([("1", "C1", "bob", "a і \"q\"\nb", 7, "song"), ("2", None, None, None, None, None)], "pk string, code string, username string, caption string, like_count long, music_title string")
     lists = spark.createDataFrame([("1", ["Ads", "Art"])], "media_pk string, collections array<string>")

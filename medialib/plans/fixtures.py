@@ -104,20 +104,25 @@ VIEWS: dict[str, str] = {
       SELECT lpad(CAST(doc_id AS STRING), 9, '0') AS media_pk, {pick("doc_id % 6", CATEGORIES)} AS category,
              CASE WHEN quality = 1 THEN 'download' ELSE 'skip' END AS proposed, CASE WHEN toxic = 0 THEN 'kept' ELSE 'dropped' END AS decided
       FROM {{labels}}""",
+    # numbered by hours: what is before an hour, and the place within it
     "feed": """
-      SELECT CASE WHEN user_id % 2 = 0 THEN 'liked' ELSE 'saved' END AS collection_pk,
-             row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts DESC, event_id) AS pos,
+      SELECT CASE WHEN e.side = 0 THEN 'liked' ELSE 'saved' END AS collection_pk,
+             earlier + row_number() OVER (PARTITION BY e.side, e.hour ORDER BY ts DESC, event_id) AS pos,
              CASE WHEN event_id % 97 = 0 THEN '' ELSE lpad(CAST(user_id AS STRING), 9, '0') END AS pk, event_id
-      FROM {events}""",
+      FROM (SELECT user_id % 2 AS side, date_trunc('hour', ts) AS hour, ts, event_id, user_id FROM {events}) e
+      JOIN (SELECT side, hour, CAST(sum(n) OVER (PARTITION BY side ORDER BY hour DESC) AS BIGINT) - n AS earlier
+            FROM (SELECT user_id % 2 AS side, date_trunc('hour', ts) AS hour, count(*) AS n FROM {events} GROUP BY 1, 2) h) p ON p.side = e.side AND p.hour = e.hour""",
     "failure_log": f"""
       SELECT event_id AS seq, lpad(CAST(user_id AS STRING), 9, '0') AS pk,
              CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'retry' END AS event,
              {pick("event_id % 8", ERRORS)} AS error
       FROM {{events}} WHERE event_type IN ('error', 'purchase', 'signup')""",
     "runs": """
-      SELECT row_number() OVER (ORDER BY ts, event_id) AS id, ts AS started_at,
+      SELECT earlier + row_number() OVER (PARTITION BY e.hour ORDER BY ts, event_id) AS id, ts AS started_at,
              CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts + CAST(floor(value) AS INT) * INTERVAL 1 MINUTE END AS finished_at
-      FROM {events} WHERE event_type = 'signup'""",
+      FROM (SELECT date_trunc('hour', ts) AS hour, ts, event_id, value FROM {events} WHERE event_type = 'signup') e
+      JOIN (SELECT hour, CAST(sum(n) OVER (ORDER BY hour) AS BIGINT) - n AS earlier
+            FROM (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM {events} WHERE event_type = 'signup' GROUP BY 1) h) p ON p.hour = e.hour""",
     "library_items": f"""
       SELECT concat('itm', pk) AS id, concat('post ', pk) AS name, CASE WHEN k % 2 = 0 THEN url ELSE substring(url, 1, length(url) - 1) END AS url,
              {pick("k % 4", ["fld0", "fld1|fld2", "", "fld3"])} AS folders, concat('render|', {pick("k % 5", ["mine", "Backlit", "blender", "old", "x"])}) AS tags,

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import library, stats
+from ..operators import feed, library, stats
 from ..operators import tags as tag_ops
 from .library import PRESENT
 from .query import query
 from .tagging import CHANGED, ITEMS, NORMAL, items_of_posts, renormal
 
+
 def n_rows():
     """The number of rows."""
     return F.count(F.lit(1))
@@ -174,8 +175,4 @@ def latest_exemplars(v):
 @query("""SELECT id, CASE WHEN b IS NULL THEN 0 ELSE greatest(0, 3600 - (floor(epoch(started_at)) - floor(epoch(b)))) END::BIGINT AS wait FROM (
             SELECT id, started_at, max(finished_at) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM runs)""")
 def run_gaps(v):
-    """Seconds that a run would have had to wait for an hour's distance from the last finish before it; runs are few (one a job)."""
-    before = F.max("finished_at").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    rows = v.runs.withColumn("b", before)
-    wait = F.greatest(F.lit(0).cast("long"), F.lit(3600).cast("long") - (F.unix_timestamp("started_at") - F.unix_timestamp("b")))
-    return rows.select(F.col("id").cast("long").alias("id"), F.when(F.col("b").isNull(), F.lit(0).cast("long")).otherwise(wait).alias("wait"))
+    return feed.run_gaps(v.runs)

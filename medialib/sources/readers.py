@@ -18,14 +18,17 @@ def scan_state(table: DataFrame, schema: StructType, defaults: dict | None = Non
 
 
 def scan_feed(pages: DataFrame) -> DataFrame:
-    """collection_pk, pos, pk of feed pages (collection_pk, page, items array<struct<pk>>, cursor); a feed ends after a page without a cursor or two empty ones."""
+    """collection_pk, pos, pk of feed pages (collection_pk, page, items array<struct<pk>>, cursor); a feed ends after a page without a cursor or two empty ones.
+
+    Only a page's size goes through the order of its feed; the items are placed by what stands on the pages before theirs.
+    """
     by = Window.partitionBy("collection_pk").orderBy("page")
-    empty = F.size("items") == 0
-    ends = F.col("cursor").isNull() | (empty & F.coalesce(F.lag(empty).over(by), F.lit(False)))
-    rows = pages.withColumn("_ends", F.lag(ends.cast("int"), 1, 0).over(by)).withColumn("_over", F.sum("_ends").over(by)).where("_over = 0")
-    each = rows.select("collection_pk", "page", F.posexplode("items").alias("at", "item"))
-    pos = F.row_number().over(Window.partitionBy("collection_pk").orderBy("page", "at"))
-    return each.withColumn("pos", pos).select("collection_pk", "pos", F.coalesce("item.pk", F.lit("")).alias("pk"))
+    sizes = pages.select("collection_pk", "page", F.greatest(F.size("items"), F.lit(0)).cast("long").alias("n"), F.col("cursor").isNull().alias("last"))
+    ends = F.col("last") | ((F.col("n") == 0) & F.coalesce(F.lag(F.col("n") == 0).over(by), F.lit(False)))
+    walked = sizes.withColumn("_ends", F.lag(ends.cast("int"), 1, 0).over(by)).withColumn("_over", F.sum("_ends").over(by)).where("_over = 0")
+    placed = walked.select("collection_pk", "page", (F.sum("n").over(by) - F.col("n")).alias("_before"))
+    each = pages.join(placed, ["collection_pk", "page"]).select("collection_pk", "_before", F.posexplode("items").alias("at", "item"))
+    return each.select("collection_pk", (F.col("_before") + F.col("at") + 1).alias("pos"), F.coalesce("item.pk", F.lit("")).alias("pk"))
 
 
 def scan_library(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Operators of the media library on small literal tables."""
 
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +199,37 @@ def test_feed_pages_end(spark):
     assert sorted(got) == [("c", 1, "a"), ("c", 2, ""), ("d", 1, "x")]
 
 
+@pytest.mark.parametrize("part", [3, 1 << 16])
+def test_feeds_and_runs_in_parts(spark, part):
+    """Feeds longer than a part, against a walk from post to post; blank posts are in no streak."""
+    rng = random.Random(7)
+    rows = {c: [(p, rng.choice(["", *"abcdefghij"]) if rng.random() < 0.7 else f"n{p}") for p in range(1, 41)] for c in ("liked", "x", "y")}
+    known, cursor = set("abcde"), {"liked": "n30"}
+    got = {}
+    table = spark.createDataFrame([(c, p, k) for c, each in rows.items() for p, k in each], "collection_pk string, pos long, pk string")
+    found = feed.feed_walk(table, spark.createDataFrame([(k,) for k in known], "pk string"), spark.createDataFrame(list(cursor.items()), "collection_pk string, cursor string"), 25, 0, 4, 30, part)
+    for r in found.collect():
+        got.setdefault(r.collection_pk, []).append((r.pos, r.pk, r.new))
+    for c, each in rows.items():
+        limit, seen, streak, walked = {"liked": 30}.get(c, 0), set(known), 0, []
+        for n, (pos, pk) in enumerate(each, 1):
+            if (limit and n > limit) or (c == "liked" and pk == cursor[c]):
+                break
+            walked.append((pos, pk, pk != "" and pk not in seen))
+            if pk:
+                streak = streak + 1 if pk in seen else 0
+                seen.add(pk)
+                if streak >= 4:
+                    break
+        assert sorted(got[c]) == walked
+    start = dt.datetime(2024, 1, 1)
+    runs = [(n, start + dt.timedelta(minutes=10 * n), None if n % 3 == 0 else start + dt.timedelta(minutes=10 * n + rng.randrange(90))) for n in range(1, 30)]
+    waits = {r.id: r.wait for r in feed.run_gaps(spark.createDataFrame(runs, "id long, started_at timestamp, finished_at timestamp"), part=part).collect()}
+    for n, at, _ in runs:
+        ended = [e for k, _, e in runs if k < n and e]
+        assert waits[n] == (max(0, 3600 - int((at - max(ended)).total_seconds())) if ended else 0)
+
+
 def test_unique_names(spark):
     rows = spark.createDataFrame([("1", 0, "f", "n"), ("2", 0, "f", "n"), ("3", 0, "g", "n")], "media_pk string, idx int, folder string, name string")
     taken = spark.createDataFrame([("g", "n")], "folder string, name string")

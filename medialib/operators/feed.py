@@ -6,25 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(rows: DataFrame, by: list[str], bucket: Column, order: str, own: bool = True, **values: tuple) -> DataFrame:
-    """rows with running values in the order of a column, within by: name=(F.sum or F.max, column); with the row's own or without.
-
-    bucket, which must rise with the order, splits a group into parts: each part
-    is summed up first, then what comes before each part is told from these sums
-    alone, so no task has a whole group however large it is.
-    """
-    rows = rows.withColumn("_bucket", bucket)
-    parts = rows.groupBy(*by, "_bucket").agg(*[f(c).alias(f"_{name}") for name, (f, c) in values.items()])
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.select(*by, "_bucket", *[f(f"_{name}").over(earlier).alias(f"_{name}") for name, (f, _) in values.items()])
-    within = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
-    both = rows.join(before, [*by, "_bucket"])
-    for name, (f, c) in values.items():
-        here, there = f(c).over(within), F.col(f"_{name}")
-        both = both.withColumn(name, F.greatest(here, there) if f is F.max else F.when(here.isNull(), there).otherwise(here + F.coalesce(there, F.lit(0))))
-    return both.drop("_bucket", *[f"_{name}" for name in values])
-
-
 def feed_walk(feed: DataFrame, known: DataFrame, cursor: DataFrame, liked_limit: int = 50, scan_limit: int = 0, stop_after_known: int = 40, cursor_limit: int = 1000, part: int = 1 << 16) -> DataFrame:
     """The rows of each feed that a run scans, with new (to be processed).
 
@@ -33,30 +14,43 @@ def feed_walk(feed: DataFrame, known: DataFrame, cursor: DataFrame, liked_limit:
     after a streak of known posts; a post met earlier in the feed is known. A
     feed is gone through in parts of as many places.
     """
-    by, bucket = ["collection_pk"], F.floor(F.col("pos") / part)
     liked, blank = F.col("collection_pk") == "liked", F.col("pk") == ""
-    rows = feed.join(known.select("pk", F.lit(True).alias("known")).distinct(), "pk", "left").join(cursor, by, "left")
+    rows = feed.join(known.select("pk", F.lit(True).alias("known")).distinct(), "pk", "left").join(cursor, "collection_pk", "left")
     again = F.row_number().over(Window.partitionBy("collection_pk", "pk", F.when(blank, F.col("pos"))).orderBy("pos")) > 1
-    rows = rows.withColumn("known", F.when(blank, F.lit(None)).otherwise(F.coalesce("known", F.lit(False)) | again))
+    rows = rows.withColumn("known", F.when(blank, F.lit(None)).otherwise(F.coalesce("known", F.lit(False)) | again)).withColumn("_part", F.floor(F.col("pos") / part))
+    # places seen, known posts met, and how many were met when the last new post came: within a part, then with what the parts before come to
+    within = Window.partitionBy("collection_pk", "_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("seen", F.count(F.lit(1)).over(within)).withColumn("met", F.count(F.when(F.col("known"), 1)).over(within))
+    rows = rows.withColumn("fresh", F.max(F.when(~F.col("known"), F.col("met"))).over(within))
+    earlier = Window.partitionBy("collection_pk").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("collection_pk", "_part").agg(*[F.max(c).alias(c) for c in ("seen", "met", "fresh")])
+    parts = parts.select("collection_pk", "_part", "fresh", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("seen", "met")])
+    parts = parts.withColumn("fresh_before", F.coalesce(F.max(F.col("met_before") + F.col("fresh")).over(earlier), F.lit(0))).drop("fresh")
+    rows = rows.join(parts, ["collection_pk", "_part"])
     limit = F.when(liked & F.col("cursor").isNotNull(), F.greatest(F.lit(liked_limit), F.lit(cursor_limit))).when(liked, F.lit(liked_limit)).otherwise(F.lit(scan_limit))
-    rows = running(rows, by, bucket, "pos", seen=(F.sum, F.lit(1)), met=(F.sum, F.coalesce(F.col("known").cast("int"), F.lit(0))))
-    stop_before = ((limit > 0) & (F.col("seen") > limit)) | (liked & (F.col("pk") == F.col("cursor")))
-    rows = rows.withColumn("stop", stop_before)
-    late = F.lit(False)
-    if stop_after_known > 0:
-        # a streak ends at a new post; blank rows are in no streak and end none
-        rows = running(rows, by, bucket, "pos", met_before=(F.max, F.when(~F.col("known"), F.col("met"))))
-        late = F.col("known") & (F.col("met") - F.coalesce("met_before", F.lit(0)) >= stop_after_known)
-    first = rows.groupBy("collection_pk").agg(F.min(F.when(F.col("stop"), F.col("pos"))).alias("before"), F.min(F.when(late, F.col("pos"))).alias("after"))
+    stop = ((limit > 0) & (F.col("seen_before") + F.col("seen") > limit)) | (liked & (F.col("pk") == F.col("cursor")))
+    # a streak ends at a new post; blank rows are in no streak and end none
+    met = F.col("met_before") + F.col("met")
+    streak = met - F.coalesce(F.col("met_before") + F.col("fresh"), F.col("fresh_before"))
+    late = F.col("known") & (streak >= stop_after_known) if stop_after_known > 0 else F.lit(False)
+    rows = rows.select("collection_pk", "pos", "pk", "known", stop.alias("stop"), late.alias("late"))
+    first = rows.groupBy("collection_pk").agg(F.min(F.when(F.col("stop"), F.col("pos"))).alias("before"), F.min(F.when(F.col("late"), F.col("pos"))).alias("after"))
     kept = rows.join(first, "collection_pk").where((F.col("before").isNull() | (F.col("pos") < F.col("before"))) & (F.col("after").isNull() | (F.col("pos") <= F.col("after"))))
     return kept.select("collection_pk", "pos", "pk", F.coalesce(~F.col("known"), F.lit(False)).alias("new"))
 
 
 def run_gaps(runs: DataFrame, hour: int = 3600, part: int = 1 << 16) -> DataFrame:
-    """id, wait: seconds that a run would have had to wait for an hour's distance from the last finish before it; runs: id (numbered), started_at, finished_at."""
-    rows = running(runs.withColumn("_all", F.lit(1)), ["_all"], F.floor(F.col("id") / part), "id", own=False, before=(F.max, F.col("finished_at")))
-    left = F.lit(hour).cast("long") - (F.unix_timestamp("started_at") - F.unix_timestamp("before"))
-    return rows.select(F.col("id").cast("long").alias("id"), F.when(F.col("before").isNull(), F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), left)).alias("wait"))
+    """id, wait: seconds that a run would have had to wait for an hour's distance from the last finish before it; runs: id (numbered), started_at, finished_at.
+
+    Runs are gone through in parts of as many ids; the last finish before a part is told from the parts' own.
+    """
+    rows = runs.withColumn("_part", F.floor(F.col("id") / part))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for a part
+    parts = rows.groupBy("_part").agg(F.max("finished_at").alias("_last")).select("_part", F.max("_last").over(earlier).alias("_earlier"))
+    within = Window.partitionBy("_part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(parts, "_part").withColumn("_before", F.greatest(F.max("finished_at").over(within), F.col("_earlier")))
+    left = F.lit(hour).cast("long") - (F.unix_timestamp("started_at") - F.unix_timestamp("_before"))
+    return rows.select(F.col("id").cast("long").alias("id"), F.when(F.col("_before").isNull(), F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), left)).alias("wait"))
 
 
 def liked_cursor(scanned: DataFrame) -> DataFrame:

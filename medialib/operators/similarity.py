@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A 64-bit hash of an embedding's signs; the highest bit makes the number negative.
@@ -43,6 +43,11 @@ def similar_posts(query: DataFrame, known: DataFrame, distance: int = 8, bands:
     many equal bands; a pair is told from its lowest such key, so no pair comes
     twice. A post is accepted with two hits or a distance of 2; ties go to the
     lowest pk. A hash repeated within the query counts each time.
+
+    Copies are searched once: of known posts with the same hashes the two lowest
+    can be an answer (the second for the first itself), and queried posts with
+    the same hashes, none of which is such an answer, have the same one. Hashes
+    meet as different values, whatever number of posts has them.
     """
     width = -(-64 // bands)
     agree = bands - distance
@@ -53,19 +58,29 @@ def similar_posts(query: DataFrame, known: DataFrame, distance: int = 8, bands:
     def band(value: Column, b: int) -> Column:
         return F.shiftrightunsigned(value, width * b).bitwiseAND(F.lit(2 ** min(width, 64 - width * b) - 1).cast("long"))
 
-    def dealt(rows: DataFrame, pk: str, value: str) -> DataFrame:
+    def dealt(rows: DataFrame, value: str) -> DataFrame:
         made = [F.struct(F.lit(no).alias("no"), F.xxhash64(*[band(F.col(value), b) for b in key]).alias("key")) for no, key in enumerate(keys)]
-        return rows.withColumn("_k", F.explode(F.array(*made))).select("*", "_k.no", "_k.key").drop("_k")
+        return rows.select(value).distinct().withColumn("_k", F.explode(F.array(*made))).select(value, "_k.no", "_k.key")
+
+    def posts(rows: DataFrame, all_of: str) -> DataFrame:
+        return rows.where(informative(F.col("hash"))).groupBy("pk").agg(F.array_sort(F.expr(f"{all_of}(hash)")).alias("hashes"))
+
+    lowest = F.row_number().over(Window.partitionBy("hashes").orderBy("pk"))
+    answers = posts(known, "collect_set").withColumn("_no", lowest).where("_no <= 2").select(F.col("pk").alias("known_pk"), F.col("hashes").alias("theirs"))
+    asked = posts(query, "collect_list").join(answers.select(F.col("known_pk").alias("pk"), F.col("known_pk").alias("itself")), "pk", "left")
+    groups = asked.groupBy("hashes", "itself").agg(F.min("pk").alias("asks"))
+    one = groups.select("asks", "itself", F.posexplode("hashes").alias("q", "h"))
+    two = answers.select("known_pk", F.explode("theirs").alias("g"))
 
-    one = query.where(informative(F.col("hash"))).select(F.col("pk").alias("pk"), F.col("hash").alias("h"), F.monotonically_increasing_id().alias("q"))
-    two = known.where(informative(F.col("hash"))).select(F.col("pk").alias("known_pk"), F.col("hash").alias("g")).distinct()
-    met = dealt(one, "pk", "h").join(dealt(two, "known_pk", "g"), ["no", "key"]).where("pk <> known_pk")
+    met = dealt(one, "h").join(dealt(two, "g"), ["no", "key"])
     equal = [band(F.col("h"), b) == band(F.col("g"), b) for b in range(bands)]
     first = F.array_min(F.array(*[F.when(F.reduce(F.array(*[equal[b] for b in key]), F.lit(True), lambda a, x: a & x), no) for no, key in enumerate(keys)]))
-    near = met.where(hamming(F.col("h"), F.col("g")) <= distance).where(F.col("no") == first)
-    best = near.groupBy("pk", "q", "known_pk").agg(F.min(hamming(F.col("h"), F.col("g"))).alias("d"))
-    posts = best.groupBy("pk", "known_pk").agg(F.min("d").alias("distance"), F.count(F.lit(1)).alias("hits")).where("hits >= 2 or distance <= 2")
+    near = met.where(hamming(F.col("h"), F.col("g")) <= distance).where(F.col("no") == first).select("h", "g", hamming(F.col("h"), F.col("g")).alias("d"))
+    pairs = one.join(near, "h").join(two, "g").where("itself is null or itself <> known_pk")
+    best = pairs.groupBy("asks", "q", "known_pk").agg(F.min("d").alias("d"))
+    found = best.groupBy("asks", "known_pk").agg(F.min("d").alias("distance"), F.count(F.lit(1)).alias("hits")).where("hits >= 2 or distance <= 2")
     order = F.struct("distance", -F.col("hits"), "known_pk")
-    return posts.groupBy("pk").agg(F.min_by(F.struct("known_pk", "distance", "hits"), order).alias("b")).select(
-        "pk", "b.known_pk", F.col("b.distance").cast("long").alias("distance"), "b.hits"
+    nearest = groups.join(found.groupBy("asks").agg(F.min_by(F.struct("known_pk", "distance", "hits"), order).alias("b")), "asks").drop("asks")
+    return asked.join(nearest, (asked["hashes"] == nearest["hashes"]) & asked["itself"].eqNullSafe(nearest["itself"])).select(
+        asked["pk"], "b.known_pk", F.col("b.distance").cast("long").alias("distance"), "b.hits"
     )

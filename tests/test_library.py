@@ -113,9 +113,9 @@ def test_answers(spark):
     assert not got[2].ok and not got[3].ok and got[4].category == "ad"
 
 
-def test_banded_search_is_the_nested_loop(spark):
-    import random
-
+@pytest.mark.parametrize("copies", [0, 40])
+def test_banded_search_is_the_nested_loop(spark, copies):
+    """With copies: posts of the same hashes on both sides, queried posts that are known themselves, and several hashes of a post."""
     rnd = random.Random(3)
     known = [(f"k{n}", rnd.getrandbits(64) - 2**63) for n in range(300)] + [("flat", 0)]
     query = []
@@ -125,22 +125,29 @@ def test_banded_search_is_the_nested_loop(spark):
             for _ in range(rnd.randrange(0, 11)):
                 value ^= 1 << rnd.randrange(63)
             query.append((f"q{n}", value))
+    if copies:
+        pair = [known[0][1], known[1][1]]
+        known += [(f"c{n:02}", h) for n in range(copies) for h in pair]
+        query += [(f"c{n:02}", h) for n in range(0, copies, 7) for h in pair] + [(f"d{n}", h) for n in range(copies) for h in [*pair, pair[0]]] + [("k5", known[5][1]), ("c00", pair[0])]
     bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
     fine = lambda h: 12 <= bits(h, 0) <= 52
     expected = {}
     for pk in {p for p, _ in query}:
         found = {}
         for h in [h for p, h in query if p == pk and fine(h)]:
+            near = {}
             for other, g in known:
-                if fine(g) and bits(h, g) <= 8:
-                    d, n = found.get(other, (99, 0))
-                    found[other] = (min(d, bits(h, g)), n + 1)
+                if other != pk and fine(g) and bits(h, g) <= 8:
+                    near[other] = min(near.get(other, 99), bits(h, g))
+            for other, d in near.items():
+                least, n = found.get(other, (99, 0))
+                found[other] = (min(least, d), n + 1)
         good = [(d, -n, other) for other, (d, n) in found.items() if n >= 2 or d <= 2]
         if good:
             d, n, other = min(good)
             expected[pk] = (other, d, -n)
-    got = similarity.similar_posts(spark.createDataFrame(query, "pk string, hash long"), spark.createDataFrame(known, "pk string, hash long"))
-    assert {r.pk: (r.known_pk, r.distance, r.hits) for r in got.collect()} == expected
+    got = similarity.similar_posts(spark.createDataFrame(query, "pk string, hash long"), spark.createDataFrame(known, "pk string, hash long")).collect()
+    assert len(got) == len(expected) and {r.pk: (r.known_pk, r.distance, r.hits) for r in got} == expected
 
 
 def test_feed_walk_stops(spark):

@@ -467,6 +467,71 @@ def test_probabilities_sum_to_one_and_match_counts(spark):
     assert (hashes[0], hashes[1]) in bi and (hashes[3], hashes[0]) not in bi
 
 
+def kneser_ney(texts: list[str]):
+    """p(a, b, c) by the textbook's formulas over plain counts of words; WORDS words in all, discounts within their bounds."""
+    three = Counter()
+    for text in texts:
+        words = ["", "", *text.split()]
+        three.update(zip(words, words[1:], words[2:]))
+    two = Counter((b, c) for _, b, c in three)
+    one = Counter(c for _, c in two)
+
+    def discounted(counts: Counter):
+        n1, n2, n3, n4 = (sum(v == k for v in counts.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+        return [0, *(min(max(d, 0.1), k + 0.9) for k, d in enumerate(raw))]
+
+    d1, d2, d3 = (discounted(c) for c in (one, two, three))
+
+    def level(counts: Counter, cut: list, key, inside, lower: float) -> float:
+        own = {k: v for k, v in counts.items() if inside(k)}
+        total = sum(own.values())
+        if not total:
+            return lower
+        taken = sum(cut[min(v, 3)] for v in own.values())
+        n = counts[key]
+        return (n - cut[min(n, 3)] if n else 0) / total + taken / total * lower
+
+    def p(a: str, b: str, c: str) -> float:
+        low = level(one, d1, c, lambda k: True, 1 / quality_lm.WORDS)
+        mid = level(two, d2, (b, c), lambda k: k[0] == b, low)
+        return level(three, d3, (a, b, c), lambda k: k[:2] == (a, b), mid)
+
+    return p
+
+
+def test_model_and_verdicts_are_those_of_plain_counts(spark):
+    own = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    made = [" ".join(words[min(299, int(own.expovariate(1) ** 2 * 12))] for _ in range(own.randrange(5, 60))) for _ in range(90)]
+    model = quality_lm.Model(quality_lm.train(frame(spark, made)))
+    p = kneser_ney(made)
+    number = {w: int(h) for w, h in zip(words, quality_lm.hashed([w.encode() for w in words]).view(np.int64), strict=True)} | {"": 0, "new": 4711}
+    for _ in range(400):
+        a, b, c = own.choice([*words, "", "new"]), own.choice([*words, "new"]), own.choice([*words, "new"])
+        assert float(model.log_p(np.array([number[a], number[b], number[c]], np.int64))[0]) == pytest.approx(math.log(p(a, b, c)), abs=1e-4)
+
+    docs = frame(spark, made)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    fold = {r["doc_id"]: r["fold"] for r in rows_of(labels.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")))}
+    p = kneser_ney([made[k] for k in range(80) if fold[k] < 4])
+    raw = []
+    for text in made:
+        seq = ["", "", *text.split()]
+        raw.append((-sum(math.log(p(*x)) for x in zip(seq, seq[1:], seq[2:])), len(seq) - 2))
+    held = [k for k in range(80) if fold[k] == 4]
+    at = lambda values, share: sorted(values)[math.ceil(share * len(values)) - 1]
+    middle = at([raw[k][0] / raw[k][1] for k in held], 0.5)
+    drawn = [(nll + quality_lm.PRIOR_WORDS * middle) / (n + quality_lm.PRIOR_WORDS) for nll, n in raw]
+    limit = at([drawn[k] for k in held], 0.8)
+    got = {r["doc_id"]: r for r in rows_of(quality_lm.classify(docs, labels, quantile=0.8, margin=1.0))}
+    for k in range(90):
+        assert got[k]["log_ppl"] == pytest.approx(drawn[k], abs=1e-4) and got[k]["threshold"] == pytest.approx(limit, abs=1e-4)
+        assert got[k]["kept"] == (drawn[k] <= limit) or abs(drawn[k] - limit) < 1e-4
+    assert 0 < sum(not r["kept"] for r in got.values()) < 60
+
+
 def test_scores_are_the_models_and_junk_goes(spark):
     good = [prose(80, 900 + k) for k in range(120)]
     junk = [" | ".join(f"q{rnd.random()}" for _ in range(40)) for _ in range(10)]

@@ -110,37 +110,53 @@ _BASE = 0xD6E8FEB86659FD93
 _UP, _DOWN = _powers(_BASE, 2 * _RANGE), _powers(pow(_BASE, -1, 2**64), 2 * _RANGE)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts of a column without nulls, and where each text's begin.
-
-    All texts are hashed at once, in ranges of about a megabyte that end at a
-    word's end; a longer word is cut for that, at the same places wherever it stands.
-    """
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column without nulls, one after the other, and where each begins (with the end)."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    dark = ~_WHITE[data]
+    return data, offsets - offsets[0]
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Where the words begin; gap tells of each of the 256 bytes whether it stands between words."""
+    dark = ~gap[data]
     first = dark.copy()
     first[1:] &= ~dark[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     first[heads] = dark[heads]  # a text begins a word, whatever the one before ends with
-    starts = np.flatnonzero(first)
-    long = np.flatnonzero(np.diff(np.append(starts, len(data))) > _RANGE)
-    if len(long):
-        ends = np.append(starts, len(data))
-        starts = np.sort(np.concatenate([starts, *(np.arange(ends[k] + _RANGE, ends[k + 1], _RANGE) for k in long.tolist())]))
-        starts = starts[dark[starts]]
+    return np.flatnonzero(first)
+
+
+def hashes_at(data: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that begin at starts; numbers has one for each byte, 0 for those between words.
+
+    The words are gone through in ranges of about a megabyte; a longer one is
+    summed by pieces of a megabyte, and the sums are put together to its hash.
+    """
+    cuts = -(-np.diff(np.append(starts, len(data))) // _RANGE)
+    long = bool((cuts > 1).any())
+    nth = ranges(np.zeros(len(starts), np.int64), cuts) if long else None
+    begins = np.repeat(starts, cuts) + nth * _RANGE if long else starts
     out, at = [np.empty(0, np.uint64)], 0
-    while at < len(starts):
-        begin = int(starts[at])
-        last = max(at + 1, int(np.searchsorted(starts, begin + _RANGE)))
-        end = int(starts[last]) if last < len(starts) else len(data)
-        part = data[begin : min(end, begin + 2 * _RANGE)]
-        own = starts[at:last] - begin
-        out.append(mixed(np.add.reduceat(_BYTES[part] * _UP[: len(part)], own) * _DOWN[own]))
+    while at < len(begins):
+        begin = int(begins[at])
+        last = max(at + 1, int(np.searchsorted(begins, begin + _RANGE)))
+        part = numbers[data[begin : int(begins[last]) if last < len(begins) else len(data)]]
+        own = begins[at:last] - begin
+        out.append(np.add.reduceat(part * _UP[: len(part)], own) * _DOWN[own])
         at = last
-    return np.concatenate(out), np.searchsorted(starts, offsets)
+    sums = np.concatenate(out)
+    if long:
+        sums = np.add.reduceat(sums * _powers(pow(_BASE, _RANGE, 2**64), int(cuts.max()))[nth], np.cumsum(cuts) - cuts)
+    return mixed(sums)
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts of a column without nulls, one a word, and where each text's begin."""
+    data, offsets = flat(column)
+    starts = word_starts(data, offsets, _WHITE)
+    return hashes_at(data, starts, _BYTES), np.searchsorted(starts, offsets)
 
 
 def row_groups(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:

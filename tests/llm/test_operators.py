@@ -200,20 +200,51 @@ def test_what_the_index_does_not_find_is_not_there(spark, monkeypatch):
 
 
 def test_word_hashes_are_those_of_the_words():
-    texts = ["", " a b\tc ", "ab", "cd", "é ñ\n\n漢字 x", "y" * 3_000_000, "b " + "y" * 3_000_000 + " c", *(prose(50, k) for k in range(30)), "a" * 1_100_000 + " b", ""]
+    long = ["".join(random.Random(k).choices("abcé", k=3_000_000)) for k in (1, 2)]
+    texts = ["", " a b\tc ", "ab", "cd", "é ñ\n\n漢字 x", "y" * 3_000_000, "b " + "y" * 3_000_000 + " c", *(prose(50, k) for k in range(30)), "a" * 1_100_000 + " b", "",
+             f"{long[0]}  {long[1]} {long[0]}", f"q {long[0][:-1]}z {long[0]}", "y" * 2_999_999 + "\n" * 2_500_000 + "y " + "y" * (1 << 20), "é" * (1 << 19), "é" * (1 << 20)]
     hashes, first = common.word_hashes(pa.array(texts))
-    words = [t.split() for t in texts]
     assert first[0] == 0 and len(hashes) == first[-1]
     told = defaultdict(set)
     for t, (begin, end) in enumerate(zip(first[:-1], first[1:])):
-        parts = [p for w in words[t] for p in ([w] if len(w) < 1_000_000 else [w[i : i + (1 << 20)] for i in range(0, len(w), 1 << 20)])]
-        assert len(parts) == end - begin
-        for p, h in zip(parts, hashes[begin:end].tolist()):
-            told[p].add(h)
+        words = texts[t].split()
+        assert len(words) == end - begin
+        for w, h in zip(words, hashes[begin:end].tolist()):
+            told[w].add(h)
     assert all(len(h) == 1 for h in told.values()) and len(set().union(*told.values())) == len(told)
     assert common.word_hashes(pa.array(["xab cd", "e"]).slice(1))[0].tolist() == common.word_hashes(pa.array(["e"]))[0].tolist()
 
 
+def test_long_words_count_as_one(spark):
+    """Words of 3 million bytes before, within and behind a passage that documents share, against brute force."""
+    own = random.Random(31)
+    long = ["".join(own.choices("abcdefgh", k=3_000_000)) for _ in range(2)]
+    shared, other = prose(60, 71).split(), prose(60, 72).split()
+    texts = [
+        shared, [long[0], *shared, "tail"], [*shared[:30], long[1], *shared[30:]], ["a", *shared[:30], long[1], *shared[30:], "b"], [*shared, long[0], "w"],
+        [*other, long[1], long[0]], [*other[:59], "x", *other[:20], long[0][:-1] + "z", *other[20:]], [*other[:40], *other[:20], long[0], *other[20:]], [long[0]], [long[0], *shared[:12], long[0]],
+    ]
+    docs = frame(spark, [" ".join(t) for t in texts])
+    for window, got in (
+        (13, {r["doc_id"]: (r["n_words"], r["kept_text"].split()) for r in rows_of(repeats.substring_dedup(docs))}),
+        (50, {r["doc_id"]: (r["start_word"], r["end_word"], r["first_doc_id"]) for r in rows_of(repeats.repeated_passages(docs))}),
+    ):
+        seen = defaultdict(set)
+        for k, words in enumerate(texts):
+            for i in range(len(words) - window + 1):
+                seen[tuple(words[i : i + window])].add(k)
+        for k, words in enumerate(texts):
+            grams = [seen[tuple(words[i : i + window])] for i in range(len(words) - window + 1)]
+            if window == 13:
+                gone = {i + j for i, docs_of in enumerate(grams) if min(docs_of) < k for j in range(window)}
+                assert got[k] == (len(words), [w for i, w in enumerate(words) if i not in gone]), k
+            else:
+                at = [i for i, docs_of in enumerate(grams) if len(docs_of) > 1]
+                assert (k in got) == bool(at), k
+                if at:  # one stretch a document here
+                    assert got[k] == (at[0], at[-1] + window, min(min(grams[i]) for i in at)), k
+
+
 # 3
 def test_edited_items_are_found_and_others_are_not(spark):
     items = [(k, prose(rnd.randrange(14, 50), 100 + k)) for k in range(12)] + [(12, None), (13, ""), (0, "again")]

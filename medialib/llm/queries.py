@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, license_scan, near_dedup, packing, quality_lm, repeats, secret_scan, token_counts
+from . import collocations, decontamination, filter_audit, host_rules, license_scan, near_dedup, packing, quality_lm, repeats, secret_scan, source_mix, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.taken_words(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,7 +87,18 @@ QUERIES = {
         op8_kneser_ney_quality,
         op9_pattern_packing,
         op10_token_counts,
+        op11_filter_audit,
+        op12_source_mix,
+        op13_collocations,
     )
 }
 
-ORACLE_SQL = {"op4_secret_scan": secret_scan.ORACLE_SQL, "op2_suffix_array_dedup": repeats.PASSAGES_SQL, "op6_substring_dedup": repeats.ORACLE_SQL, "op7_host_rules": host_rules.ORACLE_SQL}
+ORACLE_SQL = {
+    "op2_suffix_array_dedup": repeats.PASSAGES_SQL,
+    "op4_secret_scan": secret_scan.ORACLE_SQL,
+    "op6_substring_dedup": repeats.ORACLE_SQL,
+    "op7_host_rules": host_rules.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_source_mix": source_mix.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
+}

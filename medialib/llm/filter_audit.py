@@ -161,18 +161,18 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
   FROM documents),
 f AS (
-  SELECT doc_id, part, unnest(['A', 'B', 'C', 'D', 'E']) AS f,
+  SELECT r, doc_id, part, unnest(['A', 'B', 'C', 'D', 'E']) AS f,
          unnest([len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
                  regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first_id, false)]) AS fails
   FROM d),
 l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
 m AS (
   SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
-  FROM (SELECT doc_id, part, string_agg(CASE WHEN fails THEN f ELSE '' END, '' ORDER BY f) AS fails FROM f GROUP BY doc_id, part) LEFT JOIN l USING (doc_id)
+  FROM (SELECT doc_id, part, string_agg(CASE WHEN fails THEN f ELSE '' END, '' ORDER BY f) AS fails FROM f GROUP BY r, doc_id, part) LEFT JOIN l USING (doc_id)
   GROUP BY part, fails),
 o AS (
   SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
@@ -181,12 +181,12 @@ o AS (
   WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
 s AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS before FROM o, range(1, 6) AS r(step)),
 x AS (
-  SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS own, fails = f AS only,
+  SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS own, fails = f AS alone,
          len(translate(fails, before, '')) < len(fails) AS earlier
   FROM s, m),
 y AS (
   SELECT part, filter_order, step, f, sum(CASE WHEN earlier OR own THEN 0 ELSE n END) AS kept, sum(CASE WHEN own AND NOT earlier THEN n ELSE 0 END) AS removed,
-         sum(CASE WHEN own AND earlier THEN n ELSE 0 END) AS redundant, sum(CASE WHEN only THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN own AND earlier THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
          sum(CASE WHEN own AND NOT earlier THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
   FROM x GROUP BY part, filter_order, step, f)
 SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,

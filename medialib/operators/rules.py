@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as W
+from ..functions.lookup import lookup
 from ..functions.text import hashtags, text
 
 
@@ -104,16 +105,17 @@ def software_phrases() -> dict[str, str]:
 def software_tags(blob: Column) -> Column:
     """The software that a text names, by appearance: the longest phrase first, left to right; doubtful words only as hashtags.
 
-    The phrases are a literal map of about a hundred; a row needs no other. A null text names none.
+    The phrases are looked up by a hash; a row needs no other. A null text names none.
     """
-    table = F.create_map(*[x for p, t in software_phrases().items() for x in (F.lit(p), F.struct(F.lit(len(p.split())).alias("n"), F.lit(t).alias("tag")))])
+    find = lookup({p: (len(p.split()), t) for p, t in software_phrases().items()}, {"n": "int", "tag": "string"})
+    begins = lookup({w: (True,) for p in software_phrases() if " " in p for w in p.split()[:1]}, {"there": "boolean"})
     words = F.regexp_extract_all(F.lower(F.coalesce(blob, F.lit(""))), F.lit("(#?[a-z0-9]+)"), F.lit(1))
 
     def at(tokens: Column, i: Column) -> Column:
         own = [F.ltrim(F.get(tokens, i + k), F.lit("#")) for k in range(3)]
-        tried = [F.element_at(table, F.concat(*[x for k in range(n) for x in (F.lit(" "), own[k])][1:])) for n in (3, 2)]
-        alone = F.when(~F.get(tokens, i).isin(W.AMBIGUOUS_SOFTWARE), F.element_at(table, own[0]))
-        return F.struct(i.alias("at"), F.coalesce(*tried, alone).alias("b"))
+        longer = F.coalesce(*[find(F.concat(*[x for k in range(n) for x in (F.lit(" "), own[k])][1:])) for n in (3, 2)])
+        alone = F.when(~F.get(tokens, i).isin(W.AMBIGUOUS_SOFTWARE), find(own[0]))
+        return F.struct(i.alias("at"), F.coalesce(F.when(begins(own[0]).isNotNull(), longer), alone).alias("b"))
 
     def greedy(spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("found"))

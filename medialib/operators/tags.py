@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as W
+from ..functions.lookup import lookup
 from ..functions.text import clean_token, distinct_in_order
 from ..sources.vocabulary import Vocabulary
 
@@ -17,8 +18,11 @@ def tag_frequency(ai_meta: DataFrame) -> DataFrame:
 
 
 def resolution(vocabulary: Vocabulary) -> list[tuple]:
-    """(mode, raw, tag, category, limit, rival) of each raw tag that the vocabulary knows, by mode; rival numbers its exclusive pair."""
-    rival = {t: no for no, group in enumerate(vocabulary.exclusive) for t in group}
+    """(mode, raw, tag, category, limit, rivals) of each raw tag that the vocabulary knows, by mode; rivals: the tags that it excludes."""
+    rivals: dict[str, list[str]] = {}
+    for group in vocabulary.exclusive:
+        for t in group:
+            rivals.setdefault(t, []).extend(x for x in group if x != t)
     rows = []
     for mode in ("image", "video"):
         fits = {}
@@ -32,46 +36,37 @@ def resolution(vocabulary: Vocabulary) -> list[tuple]:
             if tag is None:
                 tag = vocabulary.aliases.get(raw, raw)
                 tag = raw if tag not in fits and raw in fits else tag
-            rows.append((mode, raw, tag, *fits.get(tag, (None, None)), rival.get(tag)))
+            rows.append((mode, raw, tag, *fits.get(tag, (None, None)), rivals.get(tag, [])))
     return rows
 
 
-def _lookup(vocabulary: Vocabulary, mode: str) -> Column:
-    """A literal map from raw tags to what resolution() says of them: as large as a vocabulary file."""
-    rows = [r[1:] for r in resolution(vocabulary) if r[0] == mode]
-    text = lambda x: "NULL" if x is None else "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    each = [f"{text(raw)}, struct(CAST({text(tag)} AS string) AS tag, CAST({text(category)} AS string) AS category, CAST({text(limit)} AS int) AS limit, CAST({text(rival)} AS int) AS rival)"
-            for raw, tag, category, limit, rival in rows]
-    return F.expr(f"map({', '.join(each)})")  # one expression instead of a call for each entry
-
-
 def normalized(tags: Column, mode: Column, vocabulary: Vocabulary) -> Column:
     """kept, dropped (arrays) of an array of raw tags: the vocabulary's tags, at most a category's limit of each, the marker last.
 
-    Limits and exclusive pairs depend on what is kept before them, so the tags
-    are folded in order; a row needs no other. Null tags have none.
+    Limits and exclusive tags depend on what is kept before them, so the tags
+    are folded in order; a row needs no other. Null tags have none. Raw tags are
+    looked up by a hash, so a larger vocabulary takes no longer.
     """
     none = F.array().cast("array<string>")
     clean = lambda x: F.when(x.rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), x).otherwise(clean_token(x))  # noqa: E731 most are clean
+    find = lookup({f"{m}:{raw}": entry for m, raw, *entry in resolution(vocabulary)}, {"tag": "string", "category": "string", "limit": "int", "rivals": "array<string>"})
+    left_out = F.array(*map(F.lit, ["", W.MARKER, *W.IGNORED_TAGS]))
 
     def told(given: Column, mode: Column) -> Column:
-        known = F.when(mode == "image", _lookup(vocabulary, "image")).when(mode == "video", _lookup(vocabulary, "video"))
-        raw = F.filter(F.transform(given, clean), lambda x: ~x.isin("", W.MARKER, *W.IGNORED_TAGS))
-        found = F.transform(raw, lambda x: F.struct(x.alias("raw"), F.element_at(known, x).alias("known")))
+        raw = F.filter(F.transform(given, clean), lambda x: ~F.array_contains(left_out, x))
+        found = F.transform(raw, lambda x: F.struct(x.alias("raw"), find(F.concat(mode, F.lit(":"), x)).alias("known")))
         return F.transform(found, lambda x: F.struct(
-            F.coalesce(x["known"]["tag"], x["raw"]).alias("tag"), x["known"]["category"].alias("category"), x["known"]["limit"].alias("limit"), x["known"]["rival"].alias("rival")))
+            F.coalesce(x["known"]["tag"], x["raw"]).alias("tag"), x["known"]["category"].alias("category"), x["known"]["limit"].alias("limit"), x["known"]["rivals"].alias("rivals")))
 
     once = F.array(F.struct(F.coalesce(tags, none).alias("tags"), mode.alias("mode")))  # worked out once a row
-    own = F.filter(F.flatten(F.transform(once, lambda x: told(x["tags"], x["mode"]))), lambda x: ~x["tag"].isin(W.IGNORED_TAGS))
-    start = F.struct(none.alias("kept"), none.alias("categories"), F.array().cast("array<int>").alias("rivals"), none.alias("dropped"))
+    own = F.filter(F.flatten(F.transform(once, lambda x: told(x["tags"], x["mode"]))), lambda x: ~F.array_contains(left_out, x["tag"]))
+    start = F.struct(none.alias("kept"), none.alias("categories"), none.alias("blocked"), none.alias("dropped"))
 
     def step(s, x):
         used = F.size(F.filter(s["categories"], lambda c: c == x["category"]))
-        blocked = F.coalesce(F.array_contains(s["rivals"], x["rival"]), F.lit(False))
-        dropped = F.struct(s["kept"].alias("kept"), s["categories"].alias("categories"), s["rivals"].alias("rivals"), F.concat(s["dropped"], F.array(x["tag"])).alias("dropped"))
-        more = F.when(x["rival"].isNull(), s["rivals"]).otherwise(F.concat(s["rivals"], F.array(x["rival"])))
-        kept = F.struct(F.concat(s["kept"], F.array(x["tag"])).alias("kept"), F.concat(s["categories"], F.array(x["category"])).alias("categories"), more.alias("rivals"), s["dropped"].alias("dropped"))
-        return F.when(F.array_contains(s["kept"], x["tag"]), s).when(x["category"].isNull(), dropped).when(blocked | (used >= x["limit"]), s).otherwise(kept)
+        dropped = F.struct(s["kept"].alias("kept"), s["categories"].alias("categories"), s["blocked"].alias("blocked"), F.concat(s["dropped"], F.array(x["tag"])).alias("dropped"))
+        kept = F.struct(F.concat(s["kept"], F.array(x["tag"])).alias("kept"), F.concat(s["categories"], F.array(x["category"])).alias("categories"), F.concat(s["blocked"], x["rivals"]).alias("blocked"), s["dropped"].alias("dropped"))
+        return F.when(F.array_contains(s["kept"], x["tag"]), s).when(x["category"].isNull(), dropped).when(F.array_contains(s["blocked"], x["tag"]) | (used >= x["limit"]), s).otherwise(kept)
 
     return F.aggregate(own, start, step, lambda s: F.struct(F.concat(s["kept"], F.array(F.lit(W.MARKER))).alias("kept"), s["dropped"].alias("dropped")))
 

@@ -11,7 +11,7 @@ from ..operators import answers, frames, library, posts, prompts, rules
 from ..operators import tags as tag_ops
 from ..sources import vocabulary as vocab
 from .query import query
-from .tagging import PROFILE_CASE, _re, listed, normal_sql, soft_sql, useful_sql
+from .tagging import PROFILE_CASE, _re, evenly, listed, normal_sql, once_a_post, soft_sql, useful_sql
 
 RAW = "trim(string_split(list_last(string_split(answer_text, '</think>')), '<think>')[1])"
 
@@ -103,11 +103,12 @@ OWN_PARSED = PARSED.replace("\nh AS", "\nh0 AS").replace("FROM h)", "FROM h0)").
 def answer_ingest(v):
     """Rows for the description table: parsed answers with their tags and those that their posts' texts give brought into the vocabulary, and what was left over."""
     captions = v.media.select(F.col("pk").alias("media_pk"), "caption")
-    rows = parsed(v).join(captions, "media_pk", "left").withColumn("id", F.concat_ws("_", "media_pk", F.col("idx").cast("string")))
+    rows = evenly(parsed(v)).join(captions, "media_pk", "left").withColumn("id", F.concat_ws("_", "media_pk", F.col("idx").cast("string")))
     rows = rows.withColumn("mode", posts.tag_mode(F.when(F.col("idx") % 4 % 2 == 0, ".mp4").otherwise(".jpg")))
     useful = rules.useful_tags(rules.joined(F.col("screen_text"), F.col("caption")))
     software = rules.software_tags(rules.joined(F.col("caption"), F.col("screen_text")))
-    own = F.array(tag_ops.normalized(F.concat("tags", useful, software), F.col("mode"), vocab.starter()))
+    rows = once_a_post(rows, ["screen_text", "caption"], useful=useful, software=software)
+    own = F.array(tag_ops.normalized(F.concat("tags", "useful", "software"), F.col("mode"), vocab.starter()))
     told = F.filter(own, lambda x: (F.col("description") != "") | (F.col("summary") != "") | (F.size(x["kept"]) > 1))
     return rows.select("id", "category", "confidence", "description", "rejected", F.inline(told)).select(
         "id", "category", "confidence", "description", F.array_join("kept", "|").alias("tags"), F.array_join(F.concat("dropped", "rejected"), "|").alias("left_over")
@@ -120,6 +121,10 @@ FILE = json.dumps({"version": 2, "categories": [
 ]})
 
 
+def owners(v) -> vocab.Vocabulary:
+    return vocab.loaded(v.spark.createDataFrame([(FILE,)], "value string"))
+
+
 def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -157,7 +162,7 @@ def asked(v):
 @query(f"WITH {ASKED} SELECT pk, length(lists)::BIGINT AS n_chars, md5(lists) AS lists FROM q")
 def render_vocab(v):
     """The vocabulary's text in the prompt of each post, told by its length and its hash."""
-    lists = prompts.render(vocab.parse(FILE), F.col("mode"), F.col("profiles"))
+    lists = prompts.render(owners(v), F.col("mode"), F.col("profiles"))
     return asked(v).withColumn("lists", lists).select("pk", F.length("lists").cast("long").alias("n_chars"), F.md5("lists").alias("lists"))
 
 
@@ -189,7 +194,7 @@ def request_batch(v):
     last = v.ai_meta.where("description <> ''").orderBy(F.desc("k"), F.desc("idx")).limit(prompts.MAX_EXAMPLES).collect()  # three at most
     meta = v.ai_meta.where("idx = 0").select(F.col("media_pk").alias("pk"), "transcript", "summary", "description", "screen_text")
     rows = asked(v).join(meta, "pk", "left").withColumn("template", F.when(F.col("k") % 3 != 0, TEMPLATE))
-    made = prompts.request_batch(rows, library.collection_hint(v.membership, v.collections), [r.description for r in last], vocab.parse(FILE))
+    made = prompts.request_batch(rows, library.collection_hint(v.membership, v.collections), [r.description for r in last], owners(v))
     told = F.substring("request", F.locate("\n\nAccount: @", F.col("request")) + 2, F.length("request"))
     return made.select("pk", F.md5("request").alias("request"), F.md5("tag_request").alias("tag_request"), told.alias("told"))
 

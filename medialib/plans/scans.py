@@ -50,7 +50,12 @@ def scan_sidecars(v):
           FROM (SELECT unnest(string_split(tags, chr(10))) AS tag, count(*) AS n FROM ai_meta GROUP BY 1) WHERE tag IN ('soft-light', 'neon-lit', 'calm')""")
 def scan_vocab(v):
     """A vocabulary file of two categories, and how often their tags are used."""
-    own = vocabulary.parse('{"version": 2, "categories": [{"key": "light", "title": "Light", "note": "what is lit", "tags": ["Soft light", "#neon_lit"]}, {"key": "mood", "tags": ["calm", ""]}]}')
+    from .streams import folder
+
+    path = folder(v)
+    text = '{"version": 2, "categories": [{"key": "light", "title": "Light", "note": "what is lit", "tags": ["Soft light", "#neon_lit"]},\n {"key": "mood", "tags": ["calm", ""]}]}'
+    v.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    own = vocabulary.read(v.spark, path)
     tags = vocabulary.tables(v.spark, own).select("tag", "title", "note")
     return v.ai_meta.select(F.explode(F.split("tags", "\n")).alias("tag")).join(F.broadcast(tags), "tag").groupBy("tag", "title", "note").agg(F.count(F.lit(1)).alias("n"))
 

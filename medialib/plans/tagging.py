@@ -120,7 +120,15 @@ def software_tags(v):
 
 
 CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(trim(x), '^#+|#+$', ''))), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), '-')"
-RESOLVED = values(ops.resolution(vocab.starter()), "mode, raw, tag, category, lim, rival")
+#: What a raw tag stands for in a mode, from the lists themselves: an alias of the mode, an alias, the tag; the alias only if its target fits or the tag doesn't.
+RESOLVED = f"""(WITH l AS (SELECT no, category, lim, cmode, trim(t) AS tag FROM {values([(no, key, limit, mode, tags) for no, (key, limit, mode, _, tags) in enumerate(W.STARTER_CATEGORIES)], 'no, category, lim, cmode, tags')}, unnest(string_split(tags, ',')) AS u(t)),
+  al AS (SELECT * FROM {values(W.STARTER_ALIASES.items(), 'raw, target')}), ma AS (SELECT * FROM {values([(m, a, b) for m, x in W.MODE_ALIASES.items() for a, b in x.items()], 'mode, raw, target')}),
+  modes AS (SELECT unnest(['image', 'video']) AS mode), fit AS (SELECT mode, tag, arg_min(category, no) AS category, arg_min(lim, no) AS lim FROM l, modes WHERE cmode IN ('both', mode) GROUP BY mode, tag),
+  raws AS (SELECT mode, tag AS raw FROM l, modes UNION SELECT mode, raw FROM al, modes UNION SELECT mode, raw FROM ma),
+  named AS (SELECT r.mode, r.raw, coalesce(ma.target, CASE WHEN al.target IS NULL OR (t.tag IS NULL AND o.tag IS NOT NULL) THEN r.raw ELSE al.target END) AS tag
+    FROM raws r LEFT JOIN ma ON ma.mode = r.mode AND ma.raw = r.raw LEFT JOIN al ON al.raw = r.raw LEFT JOIN fit t ON t.mode = r.mode AND t.tag = al.target LEFT JOIN fit o ON o.mode = r.mode AND o.tag = r.raw)
+  SELECT named.mode, named.raw, named.tag, category, lim, rival FROM named LEFT JOIN fit ON fit.mode = named.mode AND fit.tag = named.tag
+  LEFT JOIN {values([(t, no) for no, g in enumerate(W.EXCLUSIVE) for t in g], 'tag, rival')} ON v.tag = named.tag) AS v"""
 
 
 def normal_sql(source: str) -> str:
@@ -141,9 +149,21 @@ n AS (SELECT id, list_append(arg_max(kept, n), 'autotagged') AS kept, arg_max(dr
 SLIDE = "SELECT media_pk || '_' || idx AS id, CASE WHEN idx % 4 IN (0, 2) THEN 'video' ELSE 'image' END AS mode, {} AS tags FROM ai_meta"
 
 
+def evenly(rows, key="media_pk"):
+    """rows dealt out by key to as many tasks as a shuffle has: what follows costs by the row, while a shuffle's own size is told by bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def once_a_post(rows, texts, **columns):
+    """rows with columns of texts, which are worked out once for the slides of a post that say the same; a group is a post's slides at most."""
+    slide = F.struct(*[c for c in rows.columns if c not in ("media_pk", *texts)])
+    groups = rows.groupBy("media_pk", *texts).agg(F.collect_list(slide).alias("_slides")).withColumns(columns)
+    return groups.select("media_pk", *texts, *columns, F.inline("_slides"))
+
+
 def slides(v):
     mode = posts.tag_mode(F.when(F.col("idx") % 4 % 2 == 0, ".mp4").otherwise(".jpg"))
-    return v.ai_meta.select(F.concat_ws("_", "media_pk", "idx").alias("id"), "media_pk", "k", mode.alias("mode"), F.filter(F.split("tags", "\n"), lambda t: t != "").alias("tags"), "screen_text", "transcript")
+    return evenly(v.ai_meta).select(F.concat_ws("_", "media_pk", "idx").alias("id"), "media_pk", "k", mode.alias("mode"), F.filter(F.split("tags", "\n"), lambda t: t != "").alias("tags"), "screen_text", "transcript")
 
 
 @query(f"WITH RECURSIVE {normal_sql(SLIDE.format('string_split(tags, chr(10))'))} SELECT id, array_to_string(kept, '|') AS kept, array_to_string(dropped, '|') AS dropped FROM n")
@@ -159,8 +179,9 @@ def renormal(v):
     """Described slides whose tags change: what they and their post's caption say is brought into the vocabulary; slides without tags stay as they are."""
     captions = v.media.select(F.col("pk").alias("media_pk"), "caption")
     rows = slides(v).where(F.size("tags") > 0).join(captions, "media_pk", "left")
-    more = rules.useful_tags(rules.joined(F.col("screen_text"), F.col("caption"), F.col("transcript")))
-    own = F.array(ops.normalized(F.concat("tags", more), F.col("mode"), vocab.starter()))
+    useful = rules.useful_tags(rules.joined(F.col("screen_text"), F.col("caption"), F.col("transcript")))
+    rows = once_a_post(rows, ["screen_text", "caption", "transcript"], useful=useful)
+    own = F.array(ops.normalized(F.concat("tags", "useful"), F.col("mode"), vocab.starter()))
     changed = F.filter(own, lambda x: F.transform("tags", F.lower) != F.transform(x["kept"], F.lower))
     return rows.select("*", F.inline(changed))  # a filter would work the tags out twice
 
@@ -214,11 +235,13 @@ def dead_tags(v):
     return vocab.tables(v.spark, vocab.starter()).select("tag").join(ops.tag_frequency(v.ai_meta), "tag", "left_anti").distinct()
 
 
-@query(f"""SELECT raw, count(*) AS n FROM ai_meta, (SELECT DISTINCT raw FROM {values(ops.resolution(vocab.starter()), 'mode, raw, tag, category, lim, rival')}) WHERE list_contains(string_split(tags, chr(10)), raw) GROUP BY raw""")
+@query(f"""SELECT mode, raw, tag, coalesce(category, '') AS category, count(*) AS n FROM (SELECT CASE WHEN idx % 4 IN (0, 2) THEN 'video' ELSE 'image' END AS mode, unnest(list_distinct(string_split(tags, chr(10)))) AS raw FROM ai_meta)
+  JOIN {RESOLVED} USING (mode, raw) GROUP BY ALL""")
 def vocab_lookup(v):
-    known = ops.resolved(v.spark, vocab.starter()).select("raw").distinct()
-    each = v.ai_meta.select("media_pk", "idx", F.explode(F.array_distinct(F.split("tags", "\n"))).alias("raw"))
-    return each.join(F.broadcast(known), "raw").groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    """Raw tags in use that the vocabulary knows, with what they stand for in their mode."""
+    known = v.spark.createDataFrame([r[:4] for r in ops.resolution(vocab.starter())], "mode string, raw string, tag string, category string")
+    each = slides(v).select("mode", F.explode(F.array_distinct("tags")).alias("raw"))
+    return each.groupBy("mode", "raw").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known), ["mode", "raw"]).withColumn("category", F.coalesce("category", F.lit("")))
 
 
 PROFILE_CASE = " ".join(f"WHEN '{m}' THEN {listed(p)}" for m, p in W.MEDIUM_PROFILES.items())
@@ -252,7 +275,5 @@ OVERLAY = values([("render", "mine"), ("new", "own"), *((a, b) for a, b in W.STA
 def vocab_overlay(v):
     """What raw tags in use stand for: by a file's aliases, and by the built-in ones where the file has none."""
     file = v.spark.createDataFrame([("render", "mine"), ("new", "own")], "raw string, target string")
-    built_in = v.spark.createDataFrame(list(W.STARTER_ALIASES.items()), "raw string, target string")
-    overlay = file.unionByName(built_in.join(file, "raw", "left_anti"))
     each = v.ai_meta.select(F.explode(F.split("tags", "\n")).alias("raw"))
-    return each.join(F.broadcast(overlay), "raw").groupBy("raw", "target").agg(F.count(F.lit(1)).alias("n"))
+    return each.join(F.broadcast(vocab.overlay(file, vocab.built_in_aliases(v.spark))), "raw").groupBy("raw", "target").agg(F.count(F.lit(1)).alias("n"))

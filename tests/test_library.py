@@ -1,16 +1,23 @@
 """Operators of the media library on small literal tables."""
 
 import datetime as dt
+import json
 import random
+import time
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from medialib.functions import text as T
+from medialib.functions import wordlists as W
 from medialib.operators import answers, feed, frames, library, merge, posts, prompts, rules, similarity, stats, tags
 from medialib.plans import fixtures, registry
 from medialib.sources import readers, sidecars, vocabulary
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def one(spark, column, **values):
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'string' if isinstance(v, str) or v is None else 'long'}" for k, v in values.items()))
@@ -254,11 +261,11 @@ def test_vocabulary_file_and_its_text(spark):
         {"key": "light", "title": "LIGHT", "note": "what is lit", "limit": 2, "tags": ["Soft light", "#neon_lit", ""]},
         {"key": "move", "mode": "video", "profiles": ["live"], "tags": ["orbit"]},
         {"key": "model", "mode": "image", "profiles": ["3d"], "tags": ["mesh"]}, {"key": "software", "profiles": ["hidden"], "tags": ["nuke"]}, {"key": "none", "tags": []}]}"""
-    own = vocabulary.parse(file)
+    own = vocabulary.loaded(spark.createDataFrame([(file,)], "value string"))
     assert own.categories[0] == vocabulary.Category("light", ["soft-light", "neon-lit"], 2, "both", (), "LIGHT", "what is lit")
     assert own.aliases["neon-light"] == "neon-lit" and own.exclusive == [] and own.categories[1].limit == 3
     for broken in ("", "{", '{"version": 1, "categories": [{"key": "x", "tags": ["y"]}]}', '{"version": 2, "categories": []}', '{"version": 2, "categories": 5}'):
-        assert vocabulary.parse(broken) == vocabulary.starter()
+        assert vocabulary.loaded(spark.createDataFrame([(broken,)], "value string")) == vocabulary.starter()
     light = "LIGHT — pick 0-2  (what is lit)\nsoft-light, neon-lit"
     rows = spark.createDataFrame([(1, "video", ["live"]), (2, "image", ["live"]), (3, "image", None), (4, "video", []), (5, "image", ["3d", "core"])], "id int, mode string, profiles array<string>")
     got = {r.id: r.x for r in rows.select("id", prompts.render(own, F.col("mode"), F.col("profiles")).alias("x")).collect()}
@@ -318,3 +325,49 @@ def test_sidecars_are_read_as_written(spark, tmp_path):
 def test_letters_are_composed(spark):
     assert one(spark, T.safe_component(T.nfc(F.col("a"))), a="café й") == "café й"
     assert one(spark, T.nfc(F.col("a")), a=None) is None
+
+
+def test_full_vocabulary_file(spark, tmp_path):
+    """400 tags in 20 categories, as many aliases, exclusive groups of three, odd values; read from a file, then used."""
+    lists = [{"key": f"c{n}", "title": "" if n % 2 else f"T{n}", "limit": [2, "4", 0, None, "x"][n % 5], "mode": ["both", "video", None, ""][n % 4], "tags": [f" #Tag {n}_{k} " for k in range(20)] + ["", "!!"], "profiles": ["core"] if n % 3 else None} for n in range(20)]
+    aliases = {f"Old {n} {k}": f"tag-{n}-{k}" for n in range(20) for k in range(20)} | {"skiing": "tag-0-0"}
+    path = tmp_path / "vocabulary.json"
+    path.write_text(json.dumps({"version": "3", "categories": lists, "aliases": aliases, "exclusive": [["Tag 0 0", "tag-0-1", "tag-0-2"], ["tag-0-0", "tag-4-0"]]}, indent=1))
+    own = vocabulary.read(spark, str(path))
+    assert [len(c.tags) for c in own.categories] == [20] * 20 and own.categories[3].tags[:2] == ["tag-3-0", "tag-3-1"]
+    assert [c.limit for c in own.categories[:5]] == [2, 4, 3, 3, 3] and [c.mode for c in own.categories[:4]] == ["both", "video", "both", "both"]
+    assert own.categories[1].title == "c1" and own.categories[3].profiles == () and own.categories[4].profiles == ("core",)
+    assert own.aliases["skiing"] == "tag-0-0" and own.aliases["dancing"] == "dance" and len(own.aliases) == 401 + len(W.STARTER_ALIASES) - 1
+    found = {(mode, raw): rest for mode, raw, *rest in tags.resolution(own)}
+    assert found["image", "tag-1-0"] == ["tag-1-0", None, None, []] and found["video", "old-1-0"] == ["tag-1-0", "c1", 4, []]
+    rows = spark.createDataFrame([(["Skiing", "tag-0-1", "tag 4 0", "tag-1-3", "old 2 5", "nothing"], "image"), (["tag-0-1", "tag-0-2", "old-1-3", None], "video"), (None, "image"), ([], "none")], "tags array<string>, mode string")
+    got = [(r.kept, r.dropped) for r in tags.normalize_tags(rows, own).collect()]
+    assert got == [(["tag-0-0", "tag-2-5", W.MARKER], ["tag-1-3", "nothing"]), (["tag-0-1", "tag-1-3", W.MARKER], []), ([W.MARKER], []), ([W.MARKER], [])]
+
+
+def test_time_of_tags_does_not_grow_with_the_vocabulary(spark):
+    rows = spark.range(40_000).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.lit("t"), ((F.col("id") * 7 + k) % 390).cast("string"))).alias("tags"), F.lit("image").alias("mode"))
+    took = []
+    for n in (400, 4_000, 400, 4_000):
+        own = vocabulary.Vocabulary([vocabulary.Category(f"c{c}", [f"t{k}" for k in range(c, n, 20)]) for c in range(20)])
+        made = tags.normalize_tags(rows, own).select(F.sum(F.size("kept")))
+        began = time.time()
+        made.collect()
+        took.append(time.time() - began)
+    assert took[3] < 3 * took[2] + 3, took
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_every_query_runs(spark, name):
+    """Each registered query builds and counts at the smallest scale, with its SQL's columns."""
+    found = registry.QUERIES[name](spark, SMALL)
+    found.write.format("noop").mode("overwrite").save()
+    if name in registry.ORACLE_SQL:
+        assert {c.lower() for c in found.columns} == {c[0].lower() for c in duck().execute(f"SELECT * FROM ({registry.ORACLE_SQL[name]}) LIMIT 0").description}
+
+
+def duck():
+    connection = duckdb.connect()
+    for path in Path(SMALL).iterdir():
+        connection.execute(f"CREATE VIEW {path.name.removesuffix('.parquet')} AS SELECT * FROM '{path}{'/*' * path.is_dir()}'")
+    return connection

@@ -5,37 +5,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 
-def feed_walk(feed: DataFrame, known: DataFrame, cursor: DataFrame, liked_limit: int = 50, scan_limit: int = 0, stop_after_known: int = 40, cursor_limit: int = 1000, part: int = 1 << 16) -> DataFrame:
-    """The rows of each feed that a run scans, with new (to be processed).
 
-    feed: collection_pk, pos, pk; known: pk; cursor: collection_pk, cursor. A
-    feed stops before the scan limit's end and before the cursor's post, and
-    after a streak of known posts; a post met earlier in the feed is known. A
-    feed is gone through in parts of as many places.
+def _stops(rows: DataFrame, liked_limit: int, scan_limit: int, stop_after_known: int, cursor_limit: int, max_items: int) -> DataFrame:
+    """collection_pk, before, after, got: where each feed stops (before a place, after a place, or not), and the downloads up to there.
+
+    rows: collection_pk, pos, pk, known, outcome, cursor, earlier (downloads of
+    the feeds before) and _part. What is met within a part is told by windows,
+    what the parts before come to by a row for each of them.
     """
-    liked, blank = F.col("collection_pk") == "liked", F.col("pk") == ""
-    rows = feed.join(known.select("pk", F.lit(True).alias("known")).distinct(), "pk", "left").join(cursor, "collection_pk", "left")
-    again = F.row_number().over(Window.partitionBy("collection_pk", "pk", F.when(blank, F.col("pos"))).orderBy("pos")) > 1
-    rows = rows.withColumn("known", F.when(blank, F.lit(None)).otherwise(F.coalesce("known", F.lit(False)) | again)).withColumn("_part", F.floor(F.col("pos") / part))
-    # places seen, known posts met, and how many were met when the last new post came: within a part, then with what the parts before come to
+    liked, fresh = F.col("collection_pk") == "liked", F.col("known") == F.lit(False)
     within = Window.partitionBy("collection_pk", "_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("seen", F.count(F.lit(1)).over(within)).withColumn("met", F.count(F.when(F.col("known"), 1)).over(within))
-    rows = rows.withColumn("fresh", F.max(F.when(~F.col("known"), F.col("met"))).over(within))
-    earlier = Window.partitionBy("collection_pk").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("collection_pk", "_part").agg(*[F.max(c).alias(c) for c in ("seen", "met", "fresh")])
-    parts = parts.select("collection_pk", "_part", "fresh", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("seen", "met")])
-    parts = parts.withColumn("fresh_before", F.coalesce(F.max(F.col("met_before") + F.col("fresh")).over(earlier), F.lit(0))).drop("fresh")
+    rows = rows.withColumn("fresh", F.max(F.when(fresh, F.col("met"))).over(within)).withColumn("got", F.count(F.when(fresh & (F.col("outcome") == "downloaded"), 1)).over(within))
+    before = Window.partitionBy("collection_pk").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("collection_pk", "_part").agg(*[F.max(c).alias(c) for c in ("seen", "met", "fresh", "got")])
+    parts = parts.select("collection_pk", "_part", "fresh", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("seen", "met", "got")])
+    parts = parts.withColumn("fresh_before", F.coalesce(F.max(F.col("met_before") + F.col("fresh")).over(before), F.lit(0))).drop("fresh")
     rows = rows.join(parts, ["collection_pk", "_part"])
     limit = F.when(liked & F.col("cursor").isNotNull(), F.greatest(F.lit(liked_limit), F.lit(cursor_limit))).when(liked, F.lit(liked_limit)).otherwise(F.lit(scan_limit))
     stop = ((limit > 0) & (F.col("seen_before") + F.col("seen") > limit)) | (liked & (F.col("pk") == F.col("cursor")))
     # a streak ends at a new post; blank rows are in no streak and end none
-    met = F.col("met_before") + F.col("met")
-    streak = met - F.coalesce(F.col("met_before") + F.col("fresh"), F.col("fresh_before"))
+    streak = F.col("met_before") + F.col("met") - F.coalesce(F.col("met_before") + F.col("fresh"), F.col("fresh_before"))
     late = F.col("known") & (streak >= stop_after_known) if stop_after_known > 0 else F.lit(False)
-    rows = rows.select("collection_pk", "pos", "pk", "known", stop.alias("stop"), late.alias("late"))
-    first = rows.groupBy("collection_pk").agg(F.min(F.when(F.col("stop"), F.col("pos"))).alias("before"), F.min(F.when(F.col("late"), F.col("pos"))).alias("after"))
-    kept = rows.join(first, "collection_pk").where((F.col("before").isNull() | (F.col("pos") < F.col("before"))) & (F.col("after").isNull() | (F.col("pos") <= F.col("after"))))
+    got = F.col("got_before") + F.col("got")
+    full = fresh & (F.col("outcome") != "skipped") & (F.col("earlier") + got >= max_items) if max_items > 0 else F.lit(False)
+    ends = rows.groupBy("collection_pk").agg(F.min(F.when(stop, F.col("pos"))).alias("before"), F.min(F.when(late | full, F.col("pos"))).alias("after"))
+    rows = rows.select("collection_pk", "pos", got.alias("got")).join(ends, "collection_pk")
+    return rows.groupBy("collection_pk", "before", "after").agg(F.coalesce(F.max(F.when(_scanned(), F.col("got"))), F.lit(0)).alias("got"))
+
+
+def _scanned() -> Column:
+    return (F.col("before").isNull() | (F.col("pos") < F.col("before"))) & (F.col("after").isNull() | (F.col("pos") <= F.col("after")))
+
+
+def feed_walk(
+    feed: DataFrame, known: DataFrame, cursor: DataFrame, liked_limit: int = 50, scan_limit: int = 0, stop_after_known: int = 40, cursor_limit: int = 1000, part: int = 1 << 16,
+    order: DataFrame | None = None, max_items: int = 0,
+) -> DataFrame:
+    """The rows of each feed that a run scans, with new (to be processed).
+
+    feed: collection_pk, pos, pk, and if it has one outcome: what processing a
+    new post comes to (downloaded, skipped by a rule, failed); known: pk;
+    cursor: collection_pk, cursor. A feed stops before the scan limit's end and
+    before the cursor's post, and after a streak of known posts; a post met
+    earlier in the feed, and not failed there, is known. A feed is gone through
+    in parts of as many places.
+
+    order (collection_pk, place) makes it one run over the feeds in that order:
+    posts processed in a feed before are known too, and a feed stops after the
+    processed post with which the run has max_items downloads (0: no limit), or
+    after its first one if the feeds before have them already. Where a feed
+    stops changes what later ones know and how much is left for them, so all
+    feeds are walked at once with what the last pass says of the others, until
+    no stop moves; the first feeds of the order settle first, so there are at
+    most as many passes as feeds, and one.
+    """
+    blank = F.col("pk") == ""
+    rows = feed if "outcome" in feed.columns else feed.withColumn("outcome", F.lit("downloaded"))
+    rows = rows.select("collection_pk", "pos", "pk", "outcome").join(known.select("pk", F.lit(True).alias("base")).distinct(), "pk", "left").join(cursor, "collection_pk", "left")
+    done = F.when(F.col("outcome") != "failed", F.col("pos"))
+    rows = rows.withColumn("own", F.min(done).over(Window.partitionBy("collection_pk", "pk", F.when(blank, F.col("pos"))))).withColumn("_part", F.floor(F.col("pos") / part))
+    rows = rows.withColumn("base", F.when(~blank, F.coalesce("base", F.lit(False)) | F.coalesce(F.col("own") < F.col("pos"), F.lit(False))))
+    limits = (liked_limit, scan_limit, stop_after_known, cursor_limit, max_items)
+    if order is None:
+        walked = rows.withColumn("known", F.col("base"))
+        ends = _stops(walked.withColumn("earlier", F.lit(0)), *limits)
+    else:
+        rows = staged(rows.join(order.select("collection_pk", "place"), "collection_pk"))
+        walked, ends = rows.withColumn("known", F.col("base")), None
+        while True:
+            last = ends
+            if last is not None:
+                processed = rows.join(last, "collection_pk").where(_scanned()).where((F.col("base") == F.lit(False)) & (F.col("own") == F.col("pos")))
+                first = processed.groupBy("pk").agg(F.min("place").alias("_first"))
+                walked = rows.join(first, "pk", "left").withColumn("known", F.col("base") | F.when(~blank, F.coalesce(F.col("_first") < F.col("place"), F.lit(False))))
+            earlier = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # a row for a feed
+            got = order.select("collection_pk", "place").join(last.select("collection_pk", "got"), "collection_pk", "left") if last is not None else order.select("collection_pk", "place", F.lit(0).alias("got"))
+            got = got.select("collection_pk", F.coalesce(F.sum("got").over(earlier), F.lit(0)).alias("earlier"))
+            ends = staged(_stops(walked.join(got, "collection_pk"), *limits))
+            if last is not None and ends.exceptAll(last).isEmpty():
+                break
+    kept = walked.join(ends, "collection_pk").where(_scanned())
     return kept.select("collection_pk", "pos", "pk", F.coalesce(~F.col("known"), F.lit(False)).alias("new"))
 
 
@@ -59,11 +111,16 @@ def liked_cursor(scanned: DataFrame) -> DataFrame:
 
 
 def failure_lifecycle(log: DataFrame, most: int = 3) -> DataFrame:
-    """pk, attempts since the last success or retry, gave_up, last_error (300 characters); log: seq, pk, event, error."""
+    """pk, attempts since the last success or retry, gave_up, last_error (300 characters); log: seq, pk, event, error.
+
+    A post that has once been done (or archived) isn't given up.
+    """
     last = log.where("event in ('success', 'retry')").groupBy("pk").agg(F.max("seq").alias("reset"))
     fails = log.where("event = 'fail'").join(last, "pk", "left").where("reset is null or seq > reset")
     counted = fails.groupBy("pk").agg(F.count(F.lit(1)).alias("attempts"), F.max_by(F.substring("error", 1, 300), "seq").alias("last_error"))
-    return log.select("pk").distinct().join(counted, "pk", "left").select("pk", F.coalesce("attempts", F.lit(0)).alias("attempts"), (F.coalesce("attempts", F.lit(0)) >= most).alias("gave_up"), F.coalesce("last_error", F.lit("")).alias("last_error"))
+    posts = log.groupBy("pk").agg(F.bool_or(F.col("event").isin("success", "archive")).alias("_done")).join(counted, "pk", "left")
+    gave_up = (F.coalesce("attempts", F.lit(0)) >= most) & ~F.coalesce("_done", F.lit(False))
+    return posts.select("pk", F.coalesce("attempts", F.lit(0)).alias("attempts"), gave_up.alias("gave_up"), F.coalesce("last_error", F.lit("")).alias("last_error"))
 
 
 def next_status(status: Column, event: Column, attempts: Column, most: int) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def latest(changes: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """The last change of each key."""
@@ -86,8 +88,5 @@ def decide_review(review: DataFrame, keys: DataFrame | None, decision: str, sour
 
 
 def import_manifest(files: DataFrame, batch: int = 40) -> DataFrame:
-    """Files to import, numbered into batches within a folder by (media_pk, idx)."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("folder_id").orderBy("media_pk", "idx")) - 1
-    return files.withColumn("batch", F.floor(place / batch).cast("long"))
+    """Files to import, numbered into batches within a folder by (media_pk, idx); a folder of any size is numbered by many tasks."""
+    return numbered(files, ["folder_id"], ["media_pk", "idx"], "batch").withColumn("batch", F.floor(F.col("batch") / batch).cast("long"))

@@ -8,19 +8,43 @@ from ..operators import feed
 from .query import query
 
 
+#: The feeds of a run in their order, and how many downloads it stops at.
+ORDER, MOST = ["liked", "saved", "shelf"], 300
+
+
+def feeds(v):
+    """The feeds with what processing their posts comes to; a third one has every third post of both."""
+    shelf = v.feed.where("event_id % 3 = 0").select(F.lit("shelf").alias("collection_pk"), (F.col("pos") * 2 + (F.col("collection_pk") == "saved").cast("int")).alias("pos"), "pk", "event_id")
+    outcome = F.when(F.col("event_id") % 10 == 3, "skipped").when(F.col("event_id") % 10 == 7, "failed").otherwise("downloaded")
+    return v.feed.select("collection_pk", "pos", "pk", "event_id").unionByName(shelf).withColumn("outcome", outcome)
+
+
 def walk(v):
     known = v.media.where("k % 3 <> 1").select("pk")
     cursor = v.feed.where("collection_pk = 'liked' and pos = 700").select("collection_pk", F.col("pk").alias("cursor"))
-    return feed.feed_walk(v.feed, known, cursor)
+    order = v.spark.createDataFrame(list(zip(ORDER, range(len(ORDER)))), "collection_pk string, place int")
+    return feed.feed_walk(feeds(v), known, cursor, order=order, max_items=MOST)
+
+
+def _walk_sql(no: int) -> str:
+    """CTEs of the walk of one feed, up to w<no>: the ones before it are walked to their ends."""
+    name = ORDER[no]
+    earlier = " UNION ALL ".join(f"SELECT pk, new, outcome FROM w{k}" for k in range(no))
+    seen = f" OR b.pk IN (SELECT pk FROM ({earlier}) WHERE new AND outcome <> 'failed')" if no else ""
+    got = f"(SELECT count(*) FROM ({earlier}) WHERE new AND outcome = 'downloaded')" if no else "0"
+    stop = "pk = (SELECT min(cursor) FROM c) OR seen > CASE WHEN EXISTS (SELECT 1 FROM c) THEN 1000 ELSE 50 END" if name == "liked" else "false"
+    return f"""r{no} AS (SELECT b.*, CASE WHEN pk = '' THEN NULL ELSE base OR coalesce(own < pos, false){seen} END AS known FROM b WHERE collection_pk = '{name}'),
+s{no} AS (SELECT *, row_number() OVER (ORDER BY pos) AS seen, count(*) FILTER (NOT known) OVER (ORDER BY pos) AS island, {got} + count(*) FILTER (NOT known AND outcome = 'downloaded') OVER (ORDER BY pos) AS got FROM r{no}),
+t{no} AS (SELECT *, count(*) FILTER (known) OVER (PARTITION BY island ORDER BY pos) AS streak, coalesce({stop}, false) AS stop FROM s{no}),
+e{no} AS (SELECT min(pos) FILTER (stop) AS b, min(pos) FILTER ((known AND streak >= 40) OR (NOT known AND outcome <> 'skipped' AND got >= {MOST})) AS a FROM t{no}),
+w{no} AS (SELECT collection_pk, pos, pk, coalesce(NOT known, false) AS new, outcome FROM t{no}, e{no} WHERE (b IS NULL OR pos < b) AND (a IS NULL OR pos <= a))"""
 
 
-WALK = """r AS (SELECT f.*, CASE WHEN f.pk = '' THEN NULL ELSE coalesce(m.k % 3 <> 1, false) OR row_number() OVER (PARTITION BY collection_pk, f.pk ORDER BY pos) > 1 END AS known FROM feed f LEFT JOIN media m ON m.pk = f.pk),
-c AS (SELECT collection_pk, pk AS cursor FROM feed WHERE collection_pk = 'liked' AND pos = 700),
-s AS (SELECT r.*, cursor, count(*) FILTER (NOT known) OVER (PARTITION BY collection_pk ORDER BY pos) AS island FROM r LEFT JOIN c USING (collection_pk)),
-t AS (SELECT *, count(*) FILTER (known) OVER (PARTITION BY collection_pk, island ORDER BY pos) AS streak,
-        collection_pk = 'liked' AND (pk = cursor OR pos > CASE WHEN cursor IS NOT NULL THEN 1000 ELSE 50 END) AS stop FROM s),
-e AS (SELECT collection_pk, min(pos) FILTER (stop) AS b, min(pos) FILTER (known AND streak >= 40) AS a FROM t GROUP BY collection_pk),
-w AS (SELECT t.collection_pk, pos, pk, coalesce(NOT known, false) AS new FROM t JOIN e USING (collection_pk) WHERE (b IS NULL OR pos < b) AND (a IS NULL OR pos <= a))"""
+WALK = f"""src AS (SELECT collection_pk, pos, pk, event_id FROM feed UNION ALL SELECT 'shelf', pos * 2 + (collection_pk = 'saved')::INT, pk, event_id FROM feed WHERE event_id % 3 = 0),
+o AS (SELECT *, CASE event_id % 10 WHEN 3 THEN 'skipped' WHEN 7 THEN 'failed' ELSE 'downloaded' END AS outcome FROM src),
+b AS (SELECT o.*, coalesce(m.k % 3 <> 1, false) AS base, min(pos) FILTER (outcome <> 'failed') OVER (PARTITION BY collection_pk, o.pk) AS own FROM o LEFT JOIN media m ON m.pk = o.pk),
+c AS (SELECT pk AS cursor FROM feed WHERE collection_pk = 'liked' AND pos = 700),
+{", ".join(_walk_sql(no) for no in range(len(ORDER)))}, w AS ({" UNION ALL ".join(f"SELECT collection_pk, pos, pk, new FROM w{no}" for no in range(len(ORDER)))})"""
 
 
 @query(f"WITH {WALK} SELECT * FROM w")
@@ -33,7 +57,7 @@ def liked_cursor(v):
     return feed.liked_cursor(walk(v))
 
 
-@query("""SELECT pk, coalesce(n, 0) AS attempts, coalesce(n, 0) >= 3 AS gave_up, coalesce(e, '') AS last_error FROM (SELECT DISTINCT pk FROM failure_log) LEFT JOIN (
+@query("""SELECT pk, coalesce(n, 0) AS attempts, coalesce(n, 0) >= 3 AND NOT done AS gave_up, coalesce(e, '') AS last_error FROM (SELECT pk, bool_or(event = 'success') AS done FROM failure_log GROUP BY pk) LEFT JOIN (
             SELECT pk, count(*) AS n, arg_max(error, seq) AS e FROM failure_log f WHERE event = 'fail' AND seq > coalesce((SELECT max(seq) FROM failure_log g WHERE g.pk = f.pk AND event <> 'fail'), -1) GROUP BY pk) USING (pk)""")
 def failure_lifecycle(v):
     return feed.failure_lifecycle(v.failure_log)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from medialib.functions import text as T
 from medialib.functions import wordlists as W
-from medialib.operators import answers, feed, frames, library, merge, posts, prompts, rules, similarity, stats, tags
+from medialib.operators import answers, feed, frames, library, merge, posts, prompts, ranks, rules, similarity, stats, tags
 from medialib.plans import fixtures, registry
 from medialib.sources import readers, sidecars, vocabulary
 
@@ -357,6 +357,67 @@ def test_time_of_tags_does_not_grow_with_the_vocabulary(spark):
     assert took[3] < 3 * took[2] + 3, took
 
 
+def walked(feeds, known, cursor, order, limit, streak_of, most):
+    """A run post by post."""
+    known, got, out = set(known), 0, []
+    for c in order:
+        streak = n = 0
+        for pos, pk, outcome in feeds[c]:
+            if c == "liked" and ((limit and n >= limit) or (pk and pk == cursor)):
+                break
+            n += 1
+            out.append((c, pos, pk, pk != "" and pk not in known))
+            if not pk:
+                continue
+            if pk in known:
+                streak += 1
+                if streak >= streak_of:
+                    break
+                continue
+            streak = 0
+            if outcome != "failed":
+                known.add(pk)
+            if outcome == "skipped":
+                continue
+            got += outcome == "downloaded"
+            if most and got >= most:
+                break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, most, part", [(1, 0, 5), (2, 30, 1 << 16), (3, 12, 7), (4, 3, 4)])
+def test_a_run_over_all_feeds(spark, seed, most, part):
+    """Posts of earlier feeds are known, and the run's cap holds over all feeds, against a walk post by post."""
+    rng = random.Random(seed)
+    names = ["x", "liked", "y", "z"]
+    feeds = {c: [(p, rng.choice(["", *(f"k{n}" for n in range(25))]) if rng.random() < 0.6 else f"{c}{p}", rng.choice(["downloaded"] * 3 + ["skipped", "failed"])) for p in range(1, 41)] for c in names}
+    known = {f"k{n}" for n in range(0, 25, 4)}
+    table = spark.createDataFrame([(c, *r) for c in names for r in feeds[c]], "collection_pk string, pos long, pk string, outcome string")
+    order = spark.createDataFrame(list(zip(names, range(4))), "collection_pk string, place int")
+    found = feed.feed_walk(table, spark.createDataFrame([(k,) for k in known], "pk string"), spark.createDataFrame([("liked", "liked33")], "collection_pk string, cursor string"), 25, 0, 4, 30, part, order, most)
+    assert sorted(tuple(r) for r in found.collect()) == walked(feeds, known, "liked33", names, 30, 4, most)
+
+
+def test_done_posts_are_not_given_up(spark):
+    log = [(1, "a", "success", ""), *((k, "a", "fail", "x") for k in range(2, 6)), *((k, "b", "fail", "x") for k in range(3)), (3, "b", "retry", ""), *((k, "b", "fail", "y") for k in range(4, 7))]
+    got = {r.pk: (r.attempts, r.gave_up) for r in feed.failure_lifecycle(spark.createDataFrame(log, "seq long, pk string, event string, error string")).collect()}
+    assert got == {"a": (4, False), "b": (3, True)}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_numbers_within_a_large_group(spark, parts):
+    rng = random.Random(4)
+    rows = [("big", k, rng.random()) for k in range(900)] + [(rng.choice(["a", None, "c"]), k, 0.5) for k in range(900, 1000)]
+    rng.shuffle(rows)
+    got = ranks.numbered(spark.createDataFrame(rows, "g string, k long, x double"), ["g"], ["k"], parts=parts).collect()
+    want = {}
+    for g in ("big", "a", None, "c"):
+        want |= {k: n for n, k in enumerate(sorted(k for h, k, _ in rows if h == g))}
+    assert {r.k: r.place for r in got} == want and len(got) == 1000
+    got = ranks.numbered(spark.createDataFrame(rows, "g string, k long, x double"), [], ["k"], parts=parts).collect()
+    assert sorted((r.k, r.place) for r in got) == [(k, k) for k in range(1000)]
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_every_query_runs(spark, name):
     """Each registered query builds and counts at the smallest scale, with its SQL's columns."""

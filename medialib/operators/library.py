@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.wordlists import TUTORIAL_MARKS
 from .posts import described, url_key
+from .ranks import numbered
 
 
 def existing(files: DataFrame, disk: DataFrame) -> DataFrame:
@@ -29,11 +30,12 @@ def membership_lists(membership: DataFrame) -> DataFrame:
     return named.groupBy("media_pk").agg(F.array_sort(F.collect_list(F.struct("seen_at", "collection_pk")))["collection_pk"].alias("collections"))
 
 
-def undescribed_files(media: DataFrame, files: DataFrame, disk: DataFrame, ai_meta: DataFrame) -> DataFrame:
-    """Done posts' files on disk without a description of their own slide; shown_at orders them."""
+def undescribed_files(media: DataFrame, files: DataFrame, disk: DataFrame, ai_meta: DataFrame, limit: int = 0) -> DataFrame:
+    """Done posts' files on disk without a description of their own slide; with a limit, as many of the newest (by shown_at), a post's slides in order."""
     told = ai_meta.where("coalesce(description, '') <> ''").select("media_pk", F.coalesce("idx", F.lit(0)).alias("idx"))
     done = media.where("status = 'done'").select(F.col("pk").alias("media_pk"), F.coalesce("downloaded_at", "first_seen").alias("shown_at"))
-    return existing(files, disk).withColumn("idx", F.coalesce("idx", F.lit(0))).join(done, "media_pk").join(told, ["media_pk", "idx"], "left_anti").select("media_pk", "idx", "path", "shown_at")
+    rows = existing(files, disk).withColumn("idx", F.coalesce("idx", F.lit(0))).join(done, "media_pk").join(told, ["media_pk", "idx"], "left_anti").select("media_pk", "idx", "path", "shown_at")
+    return rows.orderBy(F.desc_nulls_last("shown_at"), "media_pk", "idx").limit(limit) if limit else rows
 
 
 def cleanup_candidates(media: DataFrame, files: DataFrame, imports: DataFrame, review: DataFrame) -> DataFrame:
@@ -51,6 +53,16 @@ def cleanup_confirmed(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return candidates.select("pk", url_key(F.col("url")).alias("key")).join(urls, "key", "left").select("pk", F.coalesce("there", F.lit(False)).alias("confirmed"))
 
 
+def cleanup_manifest(confirmed: DataFrame, files: DataFrame, disk: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a cleanup does: files to delete (pk, path), those of confirmed posts that are on disk, thumbs too; and posts to mark as archived (pk).
+
+    Posts that wait for the library to show them have neither; nor has any post if the listing was empty.
+    """
+    done = confirmed.where("confirmed").select("pk")
+    own = files.where("kind in ('video', 'photo', 'thumb')").select(F.col("media_pk").alias("pk"), "path")
+    return own.join(done, "pk", "left_semi").join(disk.select("path"), "path", "left_semi").select("pk", "path"), done
+
+
 def library_snapshot(items: DataFrame) -> DataFrame:
     """key (url without end slashes), folders (distinct, sorted) and the lowest item id of each url in the library."""
     folders = F.filter(F.split("folders", r"\|"), lambda x: x != "")
@@ -88,12 +100,69 @@ def in_library(media: DataFrame, snapshot: DataFrame, imports: DataFrame) -> Dat
     )
 
 
+def in_library_by_folder(shelves: DataFrame, snapshot: DataFrame, imports: DataFrame) -> DataFrame:
+    """media_pk, collection_pk, folder_id, present for shelves (media_pk, collection_pk, folder_id, url), where a post has an item in each collection's folder.
+
+    A shelf has its item if the library has one with the url in the shelf's
+    folder (in any, if it has no folder), or if the import of that post from
+    that collection is on record.
+    """
+    own = imports.select("media_pk", "collection_pk").distinct().withColumn("own", F.lit(True))
+    rows = shelves.withColumn("key", url_key(F.col("url"))).join(snapshot.select("key", "folders"), "key", "left").join(own, ["media_pk", "collection_pk"], "left")
+    folder = F.coalesce("folder_id", F.lit(""))
+    there = F.col("folders").isNotNull() & ((folder == "") | F.array_contains("folders", folder))
+    return rows.select("media_pk", "collection_pk", "folder_id", (F.coalesce(there, F.lit(False)) | F.coalesce("own", F.lit(False))).alias("present"))
+
+
 def push_plan(library: DataFrame, review: DataFrame, present: DataFrame) -> DataFrame:
     """Library posts that are to be added: not waiting for review, not there yet."""
     waiting = review.where("decided is null").select("media_pk")
     return library.join(waiting, "media_pk", "left_anti").join(present.where("present").select(F.col("pk").alias("media_pk")), "media_pk", "left_anti")
 
 
+def push_by_folder(shelves: DataFrame, files: DataFrame, review: DataFrame, present: DataFrame, batch: int = 40) -> tuple[DataFrame, DataFrame]:
+    """A push with an item for each shelf: files to send (folder_id, media_pk, collection_pk, idx, path, batch) and imports to note (media_pk, collection_pk, folder_id).
+
+    files are those on disk. Posts that wait for review stay out, and shelves that the library has
+    (present, of in_library_by_folder()). Batches are numbered within a folder.
+    """
+    missing = present.where("not present").select("media_pk", "collection_pk")
+    new = shelves.join(missing, ["media_pk", "collection_pk"], "left_semi").join(review.where("decided is null").select("media_pk"), "media_pk", "left_anti").select("media_pk", "collection_pk", "folder_id")
+    rows = new.join(files.select("media_pk", F.coalesce("idx", F.lit(0)).alias("idx"), "path"), "media_pk").select("folder_id", "media_pk", "collection_pk", "idx", "path")
+    sent = numbered(rows, ["folder_id"], ["media_pk", "collection_pk", "idx", "path"], "batch").withColumn("batch", F.floor(F.col("batch") / batch).cast("long"))
+    return sent, new.join(files.select("media_pk"), "media_pk", "left_semi")
+
+
+def duplicates(items: DataFrame, scope: DataFrame | None = None, batch: int = 50) -> DataFrame:
+    """id, key, name, chunk of later items of one url and name; the oldest of them stays. scope (id): only items in one of these folders.
+
+    items: id, name, url, folders (array), modification_time. Copies of one
+    item, however many, are told from the oldest by a join, without an order
+    among them; the doomed ones are numbered into chunks over all.
+    """
+    rows = items.withColumn("key", url_key(F.col("url"))).where("key <> ''").withColumn("name", F.coalesce("name", F.lit("")))
+    if scope is not None:
+        inside = rows.select("id", F.explode("folders").alias("_folder")).join(F.broadcast(scope.select(F.col("id").alias("_folder"))), "_folder").select("id").distinct()
+        rows = rows.join(inside, "id", "left_semi")
+    age = F.struct("modification_time", "id")
+    oldest = rows.groupBy("key", "name").agg(F.min(age).alias("_oldest"))
+    doomed = rows.join(oldest, ["key", "name"]).where(age != F.col("_oldest")).select("id", "key", "name")
+    return numbered(doomed, [], ["key", "name", "id"], "chunk").withColumn("chunk", F.floor(F.col("chunk") / batch).cast("long"))
+
+
+def backlog(disk: DataFrame, matched: DataFrame, ai_left_out: DataFrame, budget: int) -> DataFrame:
+    """queue (0 disk, 1 library), media_pk, idx, id: the budget's descriptions, the disk's first, newest first; what is left goes to the library's items.
+
+    disk: media_pk, idx, path, shown_at of undescribed_files(); matched: id, media_pk, idx of library items
+    without a description; ai_left_out: media_pk of posts that are described nowhere. One top-k over
+    both queues shares the budget.
+    """
+    first = disk.select(F.lit(0).alias("queue"), "media_pk", F.col("idx").cast("long").alias("idx"), F.lit("").alias("id"), "shown_at")
+    then = matched.where("media_pk is not null").select(F.lit(1).alias("queue"), "media_pk", F.col("idx").cast("long").alias("idx"), "id", F.lit(None).cast("timestamp").alias("shown_at"))
+    due = first.unionByName(then).join(ai_left_out.select("media_pk").distinct(), "media_pk", "left_anti")
+    return due.orderBy("queue", F.desc_nulls_last("shown_at"), F.when(F.col("queue") == 1, F.col("id")), "media_pk", "idx").limit(max(0, budget)).select("queue", "media_pk", "idx", "id")
+
+
 def import_queue(new: DataFrame, order: str = "collection_pk") -> DataFrame:
     """One row per post, from its first collection in order."""
     return new.groupBy("media_pk").agg(F.min(order).alias("collection_pk"))

@@ -90,3 +90,19 @@ def decide_review(review: DataFrame, keys: DataFrame | None, decision: str, sour
 def import_manifest(files: DataFrame, batch: int = 40) -> DataFrame:
     """Files to import, numbered into batches within a folder by (media_pk, idx); a folder of any size is numbered by many tasks."""
     return numbered(files, ["folder_id"], ["media_pk", "idx"], "batch").withColumn("batch", F.floor(F.col("batch") / batch).cast("long"))
+
+
+def forget(tables: dict[str, DataFrame], gone: DataFrame, key: str = "media_pk") -> dict[str, DataFrame]:
+    """Every table of a library without the rows of forgotten posts (key); media has it as pk."""
+    return {name: without(table, gone.select(F.col(key).alias("pk")), "pk") if name == "media" else without(table, gone, key) for name, table in tables.items()}
+
+
+def accept_proposals(review: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The model's word taken for all that waits by it: decisions (media_pk, decided), agreement (media_pk, proposed, decided), skip marks (media_pk) and files to delete (media_pk, path).
+
+    What it proposes to drop (verdict skip) is dropped with its files and marked as skipped, the rest is kept.
+    """
+    decided = F.when(F.coalesce("verdict", F.lit("")) == "skip", "dropped").otherwise("kept")
+    rows = review.where("decided is null and source = 'model'").select("media_pk", F.col("verdict").alias("proposed"), decided.alias("decided"))
+    drops = rows.where("decided = 'dropped'").select("media_pk")
+    return rows.select("media_pk", "decided"), rows, drops, files.select("media_pk", "path").join(drops, "media_pk", "left_semi")

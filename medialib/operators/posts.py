@@ -53,12 +53,11 @@ def wants_type(media_type: Column, videos: bool, photos: bool) -> Column:
     return F.when(media_type == 8, F.lit(videos or photos)).when(media_type == 2, F.lit(videos)).otherwise(F.lit(photos))
 
 
-def pick_collections(collections: DataFrame, named: list[str] | None = None, everything=False, liked=False) -> DataFrame:
-    """Named collections, else the pseudo-collections that are on, else all of the table."""
+def pick_collections(collections: DataFrame, named: list[str] | None = None, all_saved=False, liked=False, everything=True, enabled: list[str] = ()) -> DataFrame:
+    """The named collections; else each by its own switch: all_saved and liked for the two pseudo-collections, and for the others everything, or being among the enabled."""
     if named:
-        return collections.where(F.col("pk").isin(named))
-    marks = (["all_saved"] if everything else []) + (["liked"] if liked else [])
-    return collections.where(F.col("pk").isin(marks)) if marks else collections
+        return collections.where(F.col("pk").isin([str(x) for x in named]))
+    return collections.where(F.when(F.col("pk") == "all_saved", all_saved).when(F.col("pk") == "liked", liked).otherwise(F.lit(everything) | F.col("pk").isin([str(x) for x in enabled])))
 
 
 def error_class(error: Column) -> Column:

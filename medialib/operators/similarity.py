@@ -84,3 +84,16 @@ def similar_posts(query: DataFrame, known: DataFrame, distance: int = 8, bands:
     return asked.join(nearest, (asked["hashes"] == nearest["hashes"]) & asked["itself"].eqNullSafe(nearest["itself"])).select(
         asked["pk"], "b.known_pk", F.col("b.distance").cast("long").alias("distance"), "b.hits"
     )
+
+
+def dupe_hold(found: DataFrame, media: DataFrame, held: DataFrame, action: str = "review") -> DataFrame:
+    """pk, action (skip, review, import), note of posts that look like known ones; those already held (pk) are left out, and with action off all.
+
+    found: of similar_posts(). The note names the known post's author, the distance and the known post's url, as far as media (pk, username, url) has them.
+    """
+    if action == "off":
+        return found.limit(0).select("pk", F.lit("").alias("action"), F.lit("").alias("note"))
+    posts = media.select(F.col("pk").alias("known_pk"), "username", "url")
+    who = F.coalesce(F.concat(F.lit("@"), F.nullif("username", F.lit(""))), "known_pk")
+    note = F.concat(F.lit("looks like "), who, F.lit(" (distance "), F.col("distance").cast("string"), F.lit(")"), F.coalesce(F.concat(F.lit(" "), F.nullif("url", F.lit(""))), F.lit("")))
+    return found.join(held.select("pk").distinct(), "pk", "left_anti").join(posts, "known_pk", "left").select("pk", F.lit(action if action in ("skip", "review") else "import").alias("action"), note.alias("note"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,23 @@ def cleanup_stats(files: DataFrame, disk: DataFrame, refused: DataFrame) -> Data
     there, failed = F.col("_disk").isNotNull(), F.col("_bad").isNotNull()
     removed = F.coalesce(F.sum(F.when(there & ~failed, F.col("size"))), F.lit(0)).alias("bytes")
     return rows.agg(F.countDistinct("media_pk").alias("posts"), removed, *_counted(files=there & ~failed, missing=~there, failed=there & failed))
+
+
+RUN = ("scanned", "downloaded", "files", "bytes", "skipped", "failed", "added", "filtered", "to_review")
+
+
+def run_counters(manifest: DataFrame, path: str) -> DataFrame:
+    """Writes a run's manifest and gives its counters: a row, in the columns of RUN, counted while the job writes.
+
+    manifest: pk, outcome (downloaded, skipped, filtered, failed), files, bytes,
+    added, held of each post that the run has scanned. filtered are those that a
+    rule or a repost's mark kept out; files and bytes are those of downloads.
+    """
+    is_ = lambda name: F.col("outcome") == name
+    total = lambda name: F.coalesce(F.sum(F.when(is_("downloaded"), F.col(name))), F.lit(0)).cast("long").alias(name)
+    seen = Observation()
+    manifest.observe(
+        seen, F.count(F.lit(1)).alias("scanned"), total("files"), total("bytes"),
+        *_counted(downloaded=is_("downloaded"), skipped=is_("skipped"), failed=is_("failed"), filtered=is_("filtered"), added=F.col("added"), to_review=F.col("held")),
+    ).write.parquet(path)
+    return manifest.sparkSession.createDataFrame([tuple(seen.get[c] for c in RUN)], ", ".join(f"{c} long" for c in RUN))

@@ -56,6 +56,14 @@ def repair_imports(v):
     return library.repair_imports(library.library_snapshot(v.library_items), v.media, v.imports).drop("collection_pk")
 
 
+@query(f"""SELECT pk, path, 'delete' AS action FROM ({CLEAN}) c JOIN files f ON f.media_pk = pk JOIN disk_inventory d USING (path) WHERE regexp_replace(url, '/+$', '') IN (SELECT regexp_replace(url, '/+$', '') FROM library_items)
+           UNION ALL SELECT pk, '', 'archive' FROM ({CLEAN}) WHERE regexp_replace(url, '/+$', '') IN (SELECT regexp_replace(url, '/+$', '') FROM library_items)""")
+def cleanup_manifest(v):
+    confirmed = library.cleanup_confirmed(library.cleanup_candidates(v.media, v.files, v.imports, v.review), v.library_items)
+    delete, archive = library.cleanup_manifest(confirmed, v.files, v.disk_inventory)
+    return delete.withColumn("action", F.lit("delete")).unionByName(archive.select("pk", F.lit("").alias("path"), F.lit("archive").alias("action")))
+
+
 PRESENT = f"SELECT pk, regexp_replace(url, '/+$', '') IN (SELECT key FROM ({SNAP})) OR pk IN (SELECT media_pk FROM imports) AS present FROM media"
 
 
@@ -71,6 +79,40 @@ def push_plan(v):
     return library.push_plan(library.library_posts(v.media, v.files, v.disk_inventory, v.membership, v.ai_meta), v.review, present).select("media_pk", "n_files")
 
 
+#: A shelf for each collection of a post; col5 has no folder of its own.
+SHELVES = "SELECT media_pk, collection_pk, CASE WHEN collection_pk = 'col5' THEN '' ELSE 'fld' || collection_pk[4:4] END AS folder_id, m.url FROM membership JOIN media m ON m.pk = media_pk"
+ON_SHELF = f"""SELECT s.media_pk, s.collection_pk, s.folder_id, (k.key IS NOT NULL AND (s.folder_id = '' OR list_contains(string_split(coalesce(k.folders, ''), '|'), s.folder_id))) OR i.media_pk IS NOT NULL AS present
+  FROM ({SHELVES}) s LEFT JOIN ({SNAP}) k ON k.key = regexp_replace(s.url, '/+$', '') LEFT JOIN (SELECT DISTINCT media_pk, collection_pk FROM imports WHERE k % 2 = 1) i ON i.media_pk = s.media_pk AND i.collection_pk = s.collection_pk"""
+
+
+def shelves(v):
+    folder = F.when(F.col("collection_pk") == "col5", "").otherwise(F.concat(F.lit("fld"), F.substring("collection_pk", 4, 1)))
+    return v.membership.select("media_pk", "collection_pk", folder.alias("folder_id")).join(v.media.select(F.col("pk").alias("media_pk"), "url"), "media_pk")
+
+
+def on_shelf(v):
+    return library.in_library_by_folder(shelves(v), library.library_snapshot(v.library_items), v.imports.where("k % 2 = 1"))
+
+
+@query(ON_SHELF)
+def in_library_by_folder(v):
+    return on_shelf(v)
+
+
+SENT = f"""SELECT p.folder_id, p.media_pk, p.collection_pk, f.idx::BIGINT AS idx, path FROM ({ON_SHELF}) p JOIN ({THERE}) f USING (media_pk) WHERE NOT present AND p.media_pk NOT IN (SELECT media_pk FROM review WHERE decided IS NULL)"""
+
+
+@query(f"SELECT *, ((row_number() OVER (PARTITION BY folder_id ORDER BY media_pk, collection_pk, idx, path) - 1) // 40)::BIGINT AS batch FROM ({SENT})")
+def push_by_folder(v):
+    sent, _ = library.push_by_folder(shelves(v), library.existing(v.files, v.disk_inventory), v.review, on_shelf(v))
+    return sent.withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(f"SELECT DISTINCT media_pk, collection_pk, folder_id FROM ({SENT})")
+def push_marks(v):
+    return library.push_by_folder(shelves(v), library.existing(v.files, v.disk_inventory), v.review, on_shelf(v))[1]
+
+
 @query("SELECT media_pk, min(collection_pk) AS collection_pk FROM membership WHERE media_pk NOT IN (SELECT media_pk FROM imports) GROUP BY media_pk")
 def import_queue(v):
     return library.import_queue(v.membership.join(v.imports.select("media_pk"), "media_pk", "left_anti"))
@@ -105,6 +147,18 @@ def describe_backlog(v):
     return rows.join(skip, "media_pk", "left_anti").join(there, "media_pk", "left_semi").select("id", "media_pk")
 
 
+@query(f"""WITH d AS (SELECT 0 AS queue, f.media_pk, f.idx::BIGINT AS idx, '' AS id, coalesce(downloaded_at, first_seen) AS shown_at FROM ({THERE}) f JOIN media m ON m.pk = f.media_pk
+    WHERE status = 'done' AND NOT EXISTS (SELECT 1 FROM ai_meta a WHERE a.media_pk = f.media_pk AND a.idx = f.idx AND a.description <> '')),
+  l AS (SELECT 1, media_pk, idx, id, NULL FROM ({MATCH}) WHERE media_pk IS NOT NULL AND NOT contains(annotation, 'Visual summary:'))
+  SELECT queue, media_pk, idx, id FROM (SELECT * FROM d UNION ALL SELECT * FROM l) WHERE media_pk NOT IN (SELECT media_pk FROM membership WHERE collection_pk = 'col5')
+  ORDER BY queue, shown_at DESC NULLS LAST, CASE WHEN queue = 1 THEN id END, media_pk, idx LIMIT 1500""")
+def backlog_by_budget(v):
+    """Fifteen hundred descriptions: what lies on disk without one, then the library's."""
+    disk = library.undescribed_files(v.media, v.files, v.disk_inventory, v.ai_meta)
+    matched = library.match_items(items(v), v.files, v.media).where(~posts.described(F.col("annotation")))
+    return library.backlog(disk, matched, v.membership.where("collection_pk = 'col5'"), 1500)
+
+
 @query("""SELECT f.media_pk, f.idx::BIGINT AS idx, coalesce(a.description, b.description) AS description FROM files f
           LEFT JOIN ai_meta a ON a.media_pk = f.media_pk AND a.idx = f.idx LEFT JOIN ai_meta b ON b.media_pk = f.media_pk AND b.idx = 0""")
 def ai_for_slide(v):

@@ -55,6 +55,14 @@ def pick_collections(v):
     return v.membership.join(chosen.withColumnRenamed("pk", "collection_pk"), "collection_pk").groupBy(F.col("collection_pk").alias("pk"), "name").agg(F.count(F.lit(1)).alias("members"))
 
 
+@query("SELECT pk, name FROM collections WHERE pk IN ('col0', 'col2', 'col4')")
+def pick_by_switches(v):
+    """Each collection by its own switch: the liked one (col0 here) is on, all saved (col1) off, of the others two are enabled."""
+    own = F.when(F.col("pk") == "col0", "liked").when(F.col("pk") == "col1", "all_saved").otherwise(F.col("pk"))
+    chosen = posts.pick_collections(v.collections.withColumn("pk", own), liked=True, everything=False, enabled=["col2", "col4"])
+    return chosen.select(F.when(F.col("pk") == "liked", "col0").otherwise(F.col("pk")).alias("pk"), "name")
+
+
 @query("""SELECT pk, CASE WHEN status IN ('archived', 'gave_up') THEN true WHEN status = 'done' THEN coalesce(ok, false) ELSE false END AS known
           FROM media LEFT JOIN (SELECT media_pk, bool_and(d.path IS NOT NULL) AS ok FROM files f LEFT JOIN disk_inventory d USING (path) WHERE kind <> 'thumb' GROUP BY media_pk) ON media_pk = pk""")
 def is_known(v):

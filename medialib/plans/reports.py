@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import feed, library, stats
 from ..operators import tags as tag_ops
+from ..sources import readers
+from ..sources.staging import shared_dir
 from .library import PRESENT
 from .query import query
 from .tagging import CHANGED, ITEMS, NORMAL, items_of_posts, renormal
@@ -53,20 +55,28 @@ def eagle_duplicates(v):
     return v.imports.groupBy("media_pk").agg(n_rows().alias("copies")).where("copies > 1")
 
 
-@query("""SELECT id, url, name, ((row_number() OVER (PARTITION BY right(url, 2) ORDER BY url, name, id) - 1) // 50)::BIGINT AS chunk FROM (
-            SELECT *, row_number() OVER (PARTITION BY url, name ORDER BY modification_time, id) AS n FROM library_items WHERE url <> '') WHERE n > 1""")
+#: The library's folders: the app's with one below it, a folder below that, and another's.
+FOLDERS = [("fld0", " Saved POSTS ", None), ("fld1", "Liked", "fld0"), ("fld2", "Older", "fld1"), ("fld3", "saved posts", "fld4"), ("fld4", "Other", None)]
+
+
+@query("""SELECT id, key, name, ((row_number() OVER (ORDER BY key, name, id) - 1) // 50)::BIGINT AS chunk FROM (
+            SELECT *, row_number() OVER (PARTITION BY key, name ORDER BY modification_time, id) AS n FROM (SELECT *, regexp_replace(url, '/+$', '') AS key FROM library_items WHERE list_has_any(string_split(folders, '|'), ['fld0', 'fld1']))
+            WHERE key <> '') WHERE n > 1""")
 def library_duplicates(v):
-    """Later items of one (url, name); the oldest stays. Chunks hold at most 50 of the urls with the same end."""
-    n = F.row_number().over(Window.partitionBy("url", "name").orderBy("modification_time", "id"))
-    doomed = v.library_items.where("url <> ''").withColumn("n", n).where("n > 1")
-    place = F.row_number().over(Window.partitionBy(F.right("url", F.lit(2))).orderBy("url", "name", "id")) - 1
-    return doomed.select("id", "url", "name", F.floor(place / 50).cast("long").alias("chunk"))
+    """Later items of one (url, name) in the app's folder and those right below it; the oldest stays."""
+    tree = readers.scan_folders(v.spark.createDataFrame(FOLDERS, "id string, name string, parent string"))
+    items = v.library_items.withColumn("folders", F.split("folders", r"\|"))
+    return library.duplicates(items, readers.app_folders(tree, "Saved posts"))
 
 
-@query("SELECT tag, hits FROM (SELECT unnest(string_split(tags, chr(10))) AS tag, count(*) AS hits FROM ai_meta GROUP BY 1) WHERE hits >= 5 ORDER BY hits DESC, tag LIMIT 60")
+@query("""SELECT tag, hits FROM (SELECT unnest(string_split(tags, chr(10))) AS tag, count(*) AS hits, max(k) AS last_seen FROM ai_meta GROUP BY 1) WHERE hits >= 5 AND length(tag) % 3 = 2
+          ORDER BY hits DESC, last_seen DESC, tag LIMIT 60""")
 def candidate_report(v):
-    hits = v.ai_meta.select(F.explode(F.split("tags", "\n")).alias("tag")).groupBy("tag").agg(n_rows().alias("hits"))
-    return hits.where("hits >= 5").orderBy(F.desc("hits"), "tag").limit(60)
+    """New candidates of the candidate table, the most and the latest met first."""
+    seen = v.ai_meta.select(F.explode(F.split("tags", "\n")).alias("tag"), "k").groupBy("tag").agg(n_rows().alias("hits"), F.max("k").alias("last_seen"))
+    n = F.length("tag") % 3
+    table = seen.withColumn("state", F.when(n == 0, "added").when(n == 1, "ignored").otherwise("new"))
+    return table.where("state = 'new' and hits >= 5").orderBy(F.desc("hits"), F.desc("last_seen"), "tag").limit(60).select("tag", "hits")
 
 
 @query("SELECT coalesce(source, 'rules') AS source, count(*) AS pending FROM review WHERE decided IS NULL GROUP BY 1")
@@ -74,15 +84,18 @@ def review_counts(v):
     return v.review.where("decided is null").groupBy(F.coalesce("source", F.lit("rules")).alias("source")).agg(n_rows().alias("pending"))
 
 
-@query("""SELECT count(*) AS scanned, count(*) FILTER (status = 'done') AS downloaded, count(*) FILTER (status = 'skipped') AS skipped,
-          count(*) FILTER (status IN ('failed', 'gave_up')) AS failed, count(DISTINCT i.media_pk) AS imported, count(r.media_pk) AS to_review
-          FROM media LEFT JOIN (SELECT DISTINCT media_pk FROM imports) i ON i.media_pk = pk LEFT JOIN review r ON r.media_pk = pk AND decided IS NULL""")
+@query("""WITH f AS (SELECT media_pk, count(*) AS n, sum(bytes) AS bytes FROM files GROUP BY media_pk)
+  SELECT count(*) AS scanned, count(*) FILTER (status = 'done') AS downloaded, coalesce(sum(n) FILTER (status = 'done'), 0)::BIGINT AS files, coalesce(sum(bytes) FILTER (status = 'done'), 0)::BIGINT AS bytes,
+    count(*) FILTER (status IN ('pending', 'archived')) AS skipped, count(*) FILTER (status IN ('failed', 'gave_up')) AS failed, count(*) FILTER (pk IN (SELECT media_pk FROM imports)) AS added,
+    count(*) FILTER (status = 'skipped') AS filtered, count(*) FILTER (pk IN (SELECT media_pk FROM review WHERE decided IS NULL)) AS to_review
+  FROM media LEFT JOIN f ON media_pk = pk WHERE year(first_seen) = 1995""")
 def run_stats(v):
-    imported = v.imports.select(F.col("media_pk").alias("pk")).distinct().withColumn("i", F.lit(1))
-    waiting = v.review.where("decided is null").select(F.col("media_pk").alias("pk"), F.lit(1).alias("r"))
-    rows = v.media.select("pk", "status").join(imported, "pk", "left").join(waiting, "pk", "left")
-    status = F.col("status")
-    return rows.agg(n_rows().alias("scanned"), F.count_if(status == "done").alias("downloaded"), F.count_if(status == "skipped").alias("skipped"), F.count_if(status.isin("failed", "gave_up")).alias("failed"), F.count("i").alias("imported"), F.count("r").alias("to_review"))
+    """The counters of a run over the posts first seen in a year, taken while its manifest is written."""
+    own = v.files.groupBy(F.col("media_pk").alias("pk")).agg(n_rows().alias("files"), F.sum("bytes").alias("bytes"))
+    flag = lambda rows, name: rows.select(F.col("media_pk").alias("pk")).distinct().withColumn(name, F.lit(True))
+    outcome = F.when(F.col("status") == "done", "downloaded").when(F.col("status").isin("failed", "gave_up"), "failed").when(F.col("status") == "skipped", "filtered").otherwise("skipped")
+    rows = v.media.where(F.year("first_seen") == 1995).select("pk", outcome.alias("outcome")).join(own, "pk", "left").join(flag(v.imports, "added"), "pk", "left").join(flag(v.review.where("decided is null"), "held"), "pk", "left")
+    return stats.run_counters(rows, shared_dir(v.spark))
 
 
 @query("SELECT model, round(avg(seconds) FILTER (ok), 6) AS mean, round(median(seconds) FILTER (ok), 6) AS median, count(*) FILTER (NOT ok) AS failures FROM latencies GROUP BY model")
@@ -140,9 +153,14 @@ def cleanup_stats(v):
     return stats.cleanup_stats(v.files.select("media_pk", "path"), v.disk_inventory, v.files.where("k % 37 = 0").select("path"))
 
 
-@query("SELECT pk, attempts::BIGINT AS attempts, last_error FROM media WHERE status = 'gave_up' ORDER BY first_seen DESC, pk LIMIT 10")
+@query("""SELECT pk, attempts::BIGINT AS attempts, last_error, greatest(0, (SELECT count(*) FROM media WHERE status = 'gave_up') - 10)::BIGINT AS more
+          FROM media WHERE status = 'gave_up' ORDER BY first_seen DESC, pk LIMIT 10""")
 def account_stats(v):
-    return v.media.where("status = 'gave_up'").orderBy(F.desc("first_seen"), "pk").limit(10).select("pk", F.col("attempts").cast("long").alias("attempts"), "last_error")
+    """Ten posts that were given up, the newest, and how many more there are."""
+    rows = v.media.where("status = 'gave_up'")
+    more = rows.agg(F.greatest(n_rows() - 10, F.lit(0)).cast("long").alias("more"))
+    shown = rows.orderBy(F.desc("first_seen"), "pk").limit(10).select("pk", F.col("attempts").cast("long").alias("attempts"), "last_error")
+    return shown.join(more)  # one row
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (description <> '') AS described, (SELECT count(*) FROM files WHERE kind <> 'thumb') AS files FROM ai_meta")

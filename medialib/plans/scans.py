@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-from ..sources import readers, vocabulary
+from ..operators import library
+from ..sources import readers, sidecars, vocabulary
 from .query import query
 
 
@@ -41,9 +42,14 @@ def scan_folders(v):
 
 @query("""SELECT media_pk AS pk, path FROM files JOIN disk_inventory USING (path) WHERE k % 2 = 1""")
 def scan_sidecars(v):
-    known = v.files.where("k % 2 = 0").select("path")
-    records = v.media.select(F.col("pk").alias("stem"), "pk")
-    return readers.scan_sidecars(records, v.disk_inventory, known).select("pk", "path")
+    """The sidecars of all posts, written as JSON with some broken lines among them, with the files that only they tell of."""
+    from .streams import folder
+
+    path = folder(v)
+    sidecars.write(v.media, library.membership_lists(v.membership), path)
+    v.media.where("k % 50 = 0").select(F.concat(F.lit('{"pk": "'), "pk").alias("value")).write.mode("append").text(path)
+    records = sidecars.read(v.spark, path).select(F.col("pk").alias("stem"), "pk")
+    return readers.scan_sidecars(records, v.disk_inventory, v.files.where("k % 2 = 0")).select("pk", "path")
 
 
 @query("""SELECT tag, CASE tag WHEN 'neon-lit' THEN 'Light' WHEN 'soft-light' THEN 'Light' ELSE 'mood' END AS title, CASE WHEN tag IN ('soft-light', 'neon-lit') THEN 'what is lit' ELSE '' END AS note, n

@@ -30,9 +30,13 @@ def similar_posts(v):
     return near(v)
 
 
-@query(f"{SIMILAR} SELECT pk, CASE WHEN distance <= 2 THEN 'skip' ELSE 'review' END AS action, 'looks like ' || known_pk || ', distance ' || distance AS note FROM r")
+@query(f"""{SIMILAR} SELECT r.pk, 'review' AS action, 'looks like ' || coalesce('@' || m.username, known_pk) || ' (distance ' || distance || ')' || coalesce(' ' || m.url, '') AS note
+  FROM r LEFT JOIN media m ON m.pk = lpad(known_pk, 9, '0') WHERE lpad(r.pk[2:], 9, '0') NOT IN (SELECT media_pk FROM review WHERE decided IS NULL)""")
 def dupe_hold(v):
-    return near(v).select("pk", F.when(F.col("distance") <= 2, "skip").otherwise("review").alias("action"), F.concat(F.lit("looks like "), "known_pk", F.lit(", distance "), F.col("distance").cast("string")).alias("note"))
+    """Reposts that go to review, with a word on what they look like; posts that are held already are left out."""
+    bare = F.regexp_replace("pk", "^0+(?=.)", "")
+    held = v.review.where("decided is null").select(F.concat(F.lit("1"), F.regexp_replace("media_pk", "^0+(?=.)", "")).alias("pk"))
+    return similarity.dupe_hold(near(v), v.media.select(bare.alias("pk"), "username", "url"), held)
 
 
 @query(f"SELECT a.pk, a.vec_id, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM {H} a JOIN {H} b ON b.vec_id = a.vec_id + 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import CATEGORIES
@@ -80,18 +82,19 @@ def edit_ai_text(v):
     return v.ai_meta.select("media_pk", F.col("idx").cast("long").alias("idx"), F.when(edit, "edited").otherwise(F.col("description")).alias("description"), F.when(edit, new).otherwise(F.col("tags")).alias("tags"))
 
 
-@query("""SELECT 'media' AS name, count(*) AS n FROM media WHERE k % 4 <> 0 UNION ALL SELECT 'files', count(*) FROM files WHERE k % 4 <> 0
-          UNION ALL SELECT 'ai_meta', count(*) FROM ai_meta WHERE k % 4 <> 0 UNION ALL SELECT 'review', count(*) FROM review WHERE k % 4 <> 0
-          UNION ALL SELECT 'imports', count(*) FROM imports WHERE k % 4 <> 0 UNION ALL SELECT 'membership', count(*) FROM membership WHERE k % 4 <> 0""")
+_KEPT = " UNION ALL ".join(f"SELECT '{name}', count(*) FROM {name} WHERE k % 4 <> 0" for name in ("files", "ai_meta", "review", "imports", "membership"))
+
+
+@query(f"""SELECT 'media' AS name, count(*) AS n FROM media WHERE k % 4 <> 0 UNION ALL {_KEPT} UNION ALL SELECT 'exemplars', count(*) FROM ai_meta WHERE idx = 1 AND k % 4 <> 0
+  UNION ALL SELECT 'fingerprints', count(*) FROM embeddings WHERE vec_id // 5 NOT IN (SELECT k FROM media WHERE k % 4 = 0)""")
 def forget_media(v):
+    """Rows that each of the eight tables keeps, counted in one pass over all of them."""
     gone = v.media.where("k % 4 = 0").select(F.col("pk").alias("media_pk"))
-    out = None
-    for name in ("media", "files", "ai_meta", "review", "imports", "membership"):
-        table = getattr(v, name)
-        table = table.withColumnRenamed("pk", "media_pk") if name == "media" else table
-        left = merge.without(table, gone, "media_pk").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
-        out = left if out is None else out.unionByName(left)
-    return out
+    prints = similarity.fingerprints(v.embeddings).withColumn("media_pk", F.lpad("media_pk", 9, "0"))
+    tables = {name: getattr(v, name) for name in ("media", "files", "ai_meta", "review", "imports", "membership")} | {"fingerprints": prints, "exemplars": v.ai_meta.where("idx = 1")}
+    left = [table.select(F.lit(name).alias("name")) for name, table in merge.forget(tables, gone).items()]
+    names = v.spark.createDataFrame([(name,) for name in tables], "name string")
+    return names.join(reduce(lambda a, b: a.unionByName(b), left).groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("""SELECT CASE WHEN k % 5 = 0 THEN '/new' || path ELSE path END AS path, media_pk FROM files""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as W
-from ..operators import library, posts, rules
+from ..operators import library, merge, posts, rules
 from ..operators import tags as ops
 from ..sources import vocabulary as vocab
 from .query import query
@@ -255,11 +255,15 @@ def profiles_for(v):
     return v.media.select("pk", F.array_join(rules.profiles_for(medium, F.col("caption")), "|").alias("profiles"))
 
 
-@query("""SELECT media_pk, verdict AS decided, verdict = 'download' AS agreed, verdict = 'skip' AS skip FROM review WHERE decided IS NULL AND source = 'model'""")
+@query("""WITH r AS (SELECT media_pk, verdict AS proposed, CASE WHEN verdict = 'skip' THEN 'dropped' ELSE 'kept' END AS decided FROM review WHERE decided IS NULL AND source = 'model')
+  SELECT 'decision' AS output, media_pk, decided AS value FROM r UNION ALL SELECT 'agreement', media_pk, proposed || '>' || decided FROM r UNION ALL SELECT 'skip', media_pk, '' FROM r WHERE decided = 'dropped'
+  UNION ALL SELECT 'delete', r.media_pk, path FROM r JOIN files f ON f.media_pk = r.media_pk WHERE decided = 'dropped'""")
 def bulk_agree(v):
-    """The model's proposals accepted for all that waits by its word."""
-    rows = v.review.where("decided is null and source = 'model'")
-    return rows.select("media_pk", F.col("verdict").alias("decided"), (F.col("verdict") == "download").alias("agreed"), (F.col("verdict") == "skip").alias("skip"))
+    """The model's proposals accepted for all that waits by its word: decisions, agreement rows, skip marks and files to delete."""
+    decisions, agreement, skips, files = merge.accept_proposals(v.review, v.files)
+    row = lambda rows, name, value: rows.select(F.lit(name).alias("output"), "media_pk", value.alias("value"))
+    out = row(decisions, "decision", F.col("decided")).unionByName(row(agreement, "agreement", F.concat("proposed", F.lit(">"), "decided")))
+    return out.unionByName(row(skips, "skip", F.lit(""))).unionByName(row(files, "delete", F.col("path")))
 
 
 @query("""SELECT DISTINCT lower(username) AS account, CASE WHEN k % 10 IN (0, 5) THEN 'allow' ELSE 'block' END AS list FROM media WHERE username <> '' AND k % 10 IN (0, 5, 8)""")

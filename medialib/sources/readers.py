@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .staging import staged
+
+#: Endings of media files.
+MEDIA_ENDS = [".mp4", ".mov", ".m4v", ".webm", ".jpg", ".jpeg", ".png", ".webp", ".heic"]
+
 
 def scan_state(table: DataFrame, schema: StructType, defaults: dict | None = None) -> DataFrame:
     """A state table in its present schema: columns that an older one lacks get their defaults, null otherwise."""
@@ -39,23 +44,47 @@ def scan_library(pages: DataFrame) -> DataFrame:
 
 
 def scan_folders(folders: DataFrame) -> DataFrame:
-    """id, name, parent, depth of a folder list (id, name, parent), walked level by level from the roots."""
-    level = folders.where("parent is null").withColumn("depth", F.lit(0))
-    out, depth = level, 0
+    """id, name, parent, depth, path of a folder list (id, name, parent, and pos, the place among its siblings, if it has one).
+
+    The tree is walked from the roots, a written table for each level; path has
+    the places on the way, so that its order is that of a walk folder by folder.
+    """
+    rows = folders if "pos" in folders.columns else folders.withColumn("pos", F.col("id"))
+    rows = rows.select("id", "name", "parent", F.struct("pos", "id").alias("_place"))
+    level = staged(rows.where("parent is null").select("id", "name", "parent", F.lit(0).alias("depth"), F.array("_place").alias("path")))
+    out = level
     while not level.isEmpty():
-        depth += 1
-        parents = level.select(F.col("id").alias("parent"))
-        level = folders.join(parents, "parent").select("id", "name", "parent").withColumn("depth", F.lit(depth))
+        above = level.select(F.col("id").alias("parent"), "depth", F.col("path").alias("_above"))
+        level = staged(rows.join(above, "parent").select("id", "name", "parent", (F.col("depth") + 1).alias("depth"), F.concat("_above", F.array("_place")).alias("path")))
         out = out.unionByName(level)
     return out
 
 
+def find_folder(tree: DataFrame, name: str, parent=None) -> DataFrame:
+    """id of the folder of a name, whatever its case: among the roots, else the first in the tree; or among a parent's own. At most one row."""
+    same = tree.where(F.lower(F.trim(F.coalesce("name", F.lit("")))) == name.strip().lower())
+    if parent is not None:
+        same = same.where(F.col("parent") == parent)
+    return same.orderBy(F.col("depth") > 0, "path").limit(1).select("id")
+
+
+def app_folders(tree: DataFrame, name: str) -> DataFrame:
+    """id of the app's folder and of those right below it; none if there is no such folder."""
+    root = find_folder(tree, name)
+    return root.unionByName(tree.join(root.withColumnRenamed("id", "parent"), "parent").select("id"))
+
+
 def scan_sidecars(records: DataFrame, disk: DataFrame, known: DataFrame) -> DataFrame:
-    """stem, pk, path: sidecar records (stem, pk) with the files on disk that begin with their stem and that no table knows."""
-    file = disk.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
-    stem = F.regexp_replace("file", r"(_\d+)?\.[^.]+$", "")
-    own = file.withColumn("stem", stem)
-    return records.join(own, "stem").join(known.select("path"), "path", "left_anti").select("stem", "pk", "path")
+    """stem, pk, path: sidecar records (stem, pk) with the media files on disk that begin with their stem and that no table knows.
+
+    A file that begins with several stems goes with the longest. File names are
+    met by their beginnings of those lengths that stems have, a few hundred at most.
+    """
+    lengths = [r.n for r in records.select(F.length("stem").alias("n")).where("n between 1 and 255").distinct().orderBy("n").collect()]
+    file = disk.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("_file")).where(F.lower(F.regexp_extract("_file", r"(\.[^.]+)$", 1)).isin(MEDIA_ENDS))
+    begins = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_file")), lambda n: F.substring(F.col("_file"), F.lit(1), n))
+    own = file.join(known.select("path"), "path", "left_anti").select("path", F.explode(begins).alias("stem")).join(records, "stem")
+    return own.groupBy("path").agg(F.max_by(F.struct("stem", "pk"), F.length("stem")).alias("r")).select("r.stem", "r.pk", "path")
 
 
 def scan_answers(spark: SparkSession, path: str) -> DataFrame:

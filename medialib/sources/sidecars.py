@@ -35,5 +35,23 @@ def write(posts: DataFrame, collections: DataFrame, path: str) -> None:
     records(posts, collections).write.option("ignoreNullFields", False).json(path)
 
 
+def _parsed(texts: DataFrame, *columns) -> DataFrame:
+    """The records in texts (value); a text that isn't one has no row."""
+    record = F.from_json("value", f"{SCHEMA}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    return texts.select(record.alias("r"), *columns).where("r is not null and r._broken is null").select("r.*", *columns).drop("_broken")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).json(path)
+    """The records of JSON lines; what isn't a record is left out."""
+    return _parsed(spark.read.text(path))
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """A record for each JSON file of a folder, over several lines or not, with stem, its file's name; broken files are left out.
+
+    Without a pk the stem stands for it.
+    """
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    stem = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.json$", "")
+    rows = _parsed(files.select("value", stem.alias("stem")), "stem")
+    return rows.withColumn("pk", F.coalesce(F.nullif("pk", F.lit("")), "stem"))

@@ -418,6 +418,107 @@ def test_numbers_within_a_large_group(spark, parts):
     assert sorted((r.k, r.place) for r in got) == [(k, k) for k in range(1000)]
 
 
+def ids(df, column="id"):
+    return sorted(r[column] for r in df.collect())
+
+
+def test_folder_tree_and_the_apps_folders(spark):
+    rows = [("r1", "Other", None, 0), ("r2", "third", None, 2), ("a", " APP ", "r1", 5), ("b", "x", "a", 0), ("c", "app", "r2", 0), ("d", "y", "c", 1), ("e", "z", "d", 0), ("f", "w", "c", 0), ("g", None, "f", 0)]
+    tree = readers.scan_folders(spark.createDataFrame(rows, "id string, name string, parent string, pos int"))
+    assert {r.id: r.depth for r in tree.collect()} == {"r1": 0, "r2": 0, "a": 1, "c": 1, "b": 2, "d": 2, "f": 2, "e": 3, "g": 3}
+    assert ids(readers.find_folder(tree, "app")) == ["a"] and ids(readers.find_folder(tree, " THIRD")) == ["r2"] and ids(readers.find_folder(tree, "no")) == []
+    assert ids(readers.find_folder(tree, "APP", "r2")) == ["c"] and ids(readers.find_folder(tree, "x", "r2")) == []
+    assert [r.id for r in tree.orderBy("path").collect()] == ["r1", "a", "b", "r2", "c", "f", "g", "d", "e"]
+    assert ids(readers.app_folders(tree, "Third")) == ["c", "r2"] and ids(readers.app_folders(tree, "APP")) == ["a", "b"] and ids(readers.app_folders(tree, "no")) == []
+    with_root = readers.scan_folders(spark.createDataFrame([*rows, ("z", "App", None, 9)], "id string, name string, parent string, pos int"))
+    assert ids(readers.find_folder(with_root, "app")) == ["z"]  # a root before any other
+    assert readers.scan_folders(spark.createDataFrame([], "id string, name string, parent string")).count() == 0
+
+
+def test_sidecar_files(spark, tmp_path):
+    """Broken files are left out, records may go over lines, and a file goes with the longest stem that it begins with."""
+    (tmp_path / "a b.json").write_text(json.dumps({"pk": "1", "caption": "x\ny", "author": {"username": "u"}}, indent=2))
+    (tmp_path / "a b_2.json").write_text('{"code": "c", "unknown": [1]}')
+    (tmp_path / "bad.json").write_text('{"pk": "3", ')
+    (tmp_path / "list.json").write_text("nothing")
+    (tmp_path / "note.txt").write_text('{"pk": "5"}')
+    got = {r.stem: (r.pk, r.caption, r.author and r.author.username) for r in sidecars.read_files(spark, str(tmp_path)).collect()}
+    assert got == {"a b": ("1", "x\ny", "u"), "a b_2": ("a b_2", None, None)}
+    disk = spark.createDataFrame([(f"/m/{f}",) for f in ("a b_1.mp4", "a b.JPG", "a b_2.jpg", "a b_22.mp4", "a b_2.txt", "xa b.jpg", "a b_7.mp4", "a")], "path string")
+    found = readers.scan_sidecars(sidecars.read_files(spark, str(tmp_path)).select("stem", "pk"), disk, spark.createDataFrame([("/m/a b_7.mp4",)], "path string"))
+    assert sorted((r.pk, r.path) for r in found.collect()) == [("1", "/m/a b.JPG"), ("1", "/m/a b_1.mp4"), ("a b_2", "/m/a b_2.jpg"), ("a b_2", "/m/a b_22.mp4")]
+
+
+def test_items_by_folder_and_their_push(spark):
+    snapshot = spark.createDataFrame([("u1", ["f1"]), ("u2", [])], "key string, folders array<string>")
+    imports = spark.createDataFrame([("3", "c1")], "media_pk string, collection_pk string")
+    rows = [("1", "c1", "f1", "u1/"), ("1", "c2", "f2", "u1"), ("1", "c3", "", "u1"), ("2", "c1", "f1", "u2"), ("2", "c3", None, "u2"), ("3", "c1", "f1", "u3"), ("3", "c2", "f2", "u3"), ("4", "c2", "f2", None)]
+    shelves = spark.createDataFrame(rows, "media_pk string, collection_pk string, folder_id string, url string")
+    present = library.in_library_by_folder(shelves, snapshot, imports)
+    assert {(r.media_pk, r.collection_pk) for r in present.where("present").collect()} == {("1", "c1"), ("1", "c3"), ("2", "c3"), ("3", "c1")}
+    files = spark.createDataFrame([(pk, k, f"{pk}_{k}") for pk in "123" for k in range(3)], "media_pk string, idx int, path string")
+    review = spark.createDataFrame([("2", None), ("1", "kept")], "media_pk string, decided string")
+    sent, marks = library.push_by_folder(shelves, files, review, present, 4)
+    assert sorted((r.folder_id, r.path, r.batch) for r in sent.collect()) == [("f2", f"{pk}_{k}", 0 if pk == "1" or k == 0 else 1) for pk in "13" for k in range(3)]
+    assert sorted(tuple(r) for r in marks.collect()) == [("1", "c2", "f2"), ("3", "c2", "f2")]
+
+
+def test_cleanup_and_backlog(spark):
+    candidates = spark.createDataFrame([("1", "u1/"), ("2", "u2"), ("3", "")], "pk string, url string")
+    files = spark.createDataFrame([("1", "a", "video"), ("1", "b", "thumb"), ("1", "c", "other"), ("1", "gone", "photo"), ("2", "d", "photo")], "media_pk string, path string, kind string")
+    disk = spark.createDataFrame([(x,) for x in "abcd"], "path string")
+    for urls, want in ((["u1", ""], (["a", "b"], ["1"])), ([""], ([], [])), ([], ([], []))):
+        confirmed = library.cleanup_confirmed(candidates, spark.createDataFrame([(u,) for u in urls], "url string"))
+        delete, archive = library.cleanup_manifest(confirmed, files, disk)
+        assert (ids(delete, "path"), ids(archive, "pk")) == want
+    disk_queue = spark.createDataFrame([("a", 1, "p", dt.datetime(2024, 1, 2)), ("a", 0, "p", dt.datetime(2024, 1, 2)), ("b", 0, "p", dt.datetime(2024, 1, 3)), ("c", 0, "p", None), ("s", 0, "p", dt.datetime(2025, 1, 1))], "media_pk string, idx int, path string, shown_at timestamp")
+    matched = spark.createDataFrame([("i3", "d", 0), ("i1", "e", 0), ("i2", None, None), ("i0", "s", 0)], "id string, media_pk string, idx int")
+    left_out = spark.createDataFrame([("s",)], "media_pk string")
+    order = [(0, "b", 0), (0, "a", 0), (0, "a", 1), (0, "c", 0), (1, "e", 0), (1, "d", 0)]
+    for budget in (0, 2, 5, 99):
+        assert [tuple(r)[:3] for r in library.backlog(disk_queue, matched, left_out, budget).collect()] == order[:budget]
+
+
+def test_duplicates_of_one_url(spark):
+    """Thousands of copies of one item, their chunks, and the scope of folders."""
+    rows = [(f"i{k:04}", "n", "u/" if k % 2 else "u", ["f"] if k % 3 else ["g", "h"], k % 7) for k in range(3000)] + [("x", None, "v", ["f"], 1), ("y", "", "v", ["f"], 0), ("z", "n", "", ["f"], 0)]
+    items = spark.createDataFrame(rows, "id string, name string, url string, folders array<string>, modification_time long")
+    got = library.duplicates(items).collect()
+    assert len(got) == 3000 and {r.id for r in got} == {r[0] for r in rows} - {"i0000", "y", "z"} and max(r.chunk for r in got) == 59
+    assert len(library.duplicates(items, spark.createDataFrame([("g",)], "id string")).collect()) == 999
+    assert library.duplicates(items, spark.createDataFrame([], "id string")).collect() == []
+
+
+def test_counters_are_taken_while_a_run_is_written(spark, tmp_path):
+    rows = [("1", "downloaded", 2, 10, True, False), ("2", "downloaded", None, None, None, True), ("3", "filtered", 5, 7, False, None), ("4", "failed", 1, 1, None, None), ("5", "skipped", 1, 1, None, None)]
+    manifest = spark.createDataFrame(rows, "pk string, outcome string, files int, bytes long, added boolean, held boolean")
+    assert stats.run_counters(manifest, str(tmp_path / "run")).first().asDict() == {"scanned": 5, "downloaded": 2, "files": 2, "bytes": 10, "skipped": 1, "failed": 1, "added": 1, "filtered": 1, "to_review": 1}
+    assert spark.read.parquet(str(tmp_path / "run")).count() == 5
+    assert set(stats.run_counters(manifest.limit(0), str(tmp_path / "none")).first()) == {0}
+
+
+def test_holds_and_proposals(spark):
+    found = spark.createDataFrame([("1", "9", 2, 3), ("2", "8", 5, 2), ("3", "7", 1, 1)], "pk string, known_pk string, distance long, hits long")
+    media = spark.createDataFrame([("9", "ann", "u9"), ("8", "", None)], "pk string, username string, url string")
+    held = spark.createDataFrame([("3",), ("3",)], "pk string")
+    for action, told in (("review", "review"), ("skip", "skip"), ("import", "import"), ("tell", "import")):
+        got = {r.pk: (r.action, r.note) for r in similarity.dupe_hold(found, media, held, action).collect()}
+        assert got == {"1": (told, "looks like @ann (distance 2) u9"), "2": (told, "looks like 8 (distance 5)")}
+    assert similarity.dupe_hold(found, media, held, "off").collect() == []
+    review = spark.createDataFrame([("1", "skip", "model", None), ("2", "download", "model", None), ("3", "skip", "rules", None), ("4", "skip", "model", "kept"), ("5", None, "model", None)], "media_pk string, verdict string, source string, decided string")
+    files = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "c"), ("4", "d")], "media_pk string, path string")
+    decisions, agreement, skips, gone = merge.accept_proposals(review, files)
+    assert {r.media_pk: r.decided for r in decisions.collect()} == {"1": "dropped", "2": "kept", "5": "kept"}
+    assert sorted((r.media_pk, r.proposed, r.decided) for r in agreement.collect()) == [("1", "skip", "dropped"), ("2", "download", "kept"), ("5", None, "kept")]
+    assert ids(skips, "media_pk") == ["1"] and ids(gone, "path") == ["a", "b"]
+
+
+def test_collections_by_their_switches(spark):
+    table = spark.createDataFrame([("all_saved",), ("liked",), ("1",), ("2",)], "pk string")
+    for options, want in (({}, ["1", "2"]), ({"liked": True}, ["1", "2", "liked"]), ({"all_saved": True, "everything": False}, ["all_saved"]), ({"everything": False, "enabled": [2]}, ["2"]), ({"named": ["liked", 1], "everything": False}, ["1", "liked"])):
+        assert ids(posts.pick_collections(table, **options), "pk") == want
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_every_query_runs(spark, name):
     """Each registered query builds and counts at the smallest scale, with its SQL's columns."""

@@ -10,6 +10,7 @@ from .query import query
 H = f"(SELECT vec_id, (vec_id // 5)::VARCHAR AS pk, {similarity.BITS_SQL}::BIGINT AS h FROM embeddings)"
 #: Copies of all known hashes, 0 to 9 bits away.
 COPIES = f"(SELECT '1' || pk AS pk, xor(h, ((1::BIGINT << (vec_id % 10)::INT) - 1)) AS h FROM {H})"
+UNCHANGED = f"(SELECT '1' || pk AS pk, h FROM {H})"
 SIMILAR = f"""WITH k AS (SELECT DISTINCT pk, h FROM {H} WHERE bit_count(h) BETWEEN 12 AND 52), q AS (SELECT pk, h, row_number() OVER () AS q FROM {COPIES} WHERE bit_count(h) BETWEEN 12 AND 52),
 b AS (SELECT q.pk, q, k.pk AS known_pk, min(bit_count(xor(q.h, k.h))) AS d FROM q JOIN k ON bit_count(xor(q.h, k.h)) <= 8 AND q.pk <> k.pk GROUP BY ALL),
 p AS (SELECT pk, known_pk, min(d)::BIGINT AS distance, count(*) AS hits FROM b GROUP BY ALL HAVING count(*) >= 2 OR min(d) <= 2),

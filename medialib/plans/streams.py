@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import rules, similarity
+from ..sources.staging import shared_dir
 from ..streaming import jobs
 from .query import query
+from .similarity import COPIES, SIMILAR, UNCHANGED
 from .tagging import CLASSIFY
 
 
 def folder(v) -> str:
     """A new folder that driver and executors share."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or f"{v.spark.conf.get('spark.sql.warehouse.dir')}/medialib-streams"
-    return f"{base.rstrip('/')}/medialib-streams-{v.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return shared_dir(v.spark)
 
 
 def staged(v, df, by: str, files: int = 4):
@@ -70,9 +69,9 @@ def stream_failures(v):
     return rows.groupBy("pk").agg(F.max_by("attempts", "batch").alias("attempts"))
 
 
-@query()
+@query(f"{SIMILAR.replace(COPIES, UNCHANGED)} SELECT * FROM r")
 def stream_dupes(v):
-    """Rows only: similar_posts() has the SQL; here each batch of prints is searched by itself."""
+    """Copies of all posts, searched a batch at a time."""
     prints = similarity.fingerprints(v.embeddings)
     known = prints.select(F.col("media_pk").alias("pk"), "hash")
     asked = prints.select(F.concat(F.lit("1"), "media_pk").alias("pk"), "hash")

@@ -20,26 +20,35 @@ def read(spark: SparkSession, path: str, schema, per_trigger: int | None = None)
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
 
 
+class Unseen(StatefulProcessor):
+    """The first row by pos of each post in the first batch that has it; later ones add nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.seen.exists():
+            first = pd.concat(list(rows)).sort_values("pos").iloc[:1]
+            self.seen.update((True,))
+            yield first[["pk", "collection_pk", "pos"]]
+
+
 def stream_feed(feed: DataFrame, target: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """New posts of a feed (collection_pk, pos, pk) judged and appended to target, each pk once; a batch that is run again writes nothing twice.
 
-    judge adds columns to the new posts of a batch: rules.classify, say, joined by pk.
+    Which posts are known is kept in the stream's own state, so a batch reads
+    nothing of target. judge adds columns to the new posts of a batch:
+    rules.classify, say, joined by pk.
     """
-    spark = feed.sparkSession
+    feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    new = feed.where("pk <> ''").select("pk", "collection_pk", F.col("pos").cast("long").alias("pos")).groupBy("pk")
+    new = new.transformWithStateInPandas(Unseen(), "pk string, collection_pk string, pos long", "Append", "none")
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        new = batch.where("pk <> ''").groupBy("pk").agg(F.min_by("collection_pk", "pos").alias("collection_pk"), F.min("pos").alias("pos"))
-        try:
-            # what this batch has written before is left out, so that the batch may come again
-            known = spark.read.parquet(target).where(F.col("batch") != number).select("pk")
-            new = new.join(known, "pk", "left_anti")
-        except Exception as error:  # the first batch has no target yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        new = judge(new) if judge else new
-        new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+    def append(batch: DataFrame, number: int) -> None:
+        rows = judge(batch) if judge else batch
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
 
-    feed.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    new.writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 class Failures(StatefulProcessor):
@@ -68,10 +77,11 @@ def stream_candidates(tags: DataFrame) -> DataFrame:
 
 
 def stream_dupes(prints: DataFrame, known: DataFrame, target: str, checkpoint: str) -> None:
-    """New fingerprints against the known ones; finds are appended, a batch at a time."""
+    """New fingerprints against the index of the known ones, which is written once; finds are appended, a batch at a time."""
+    index = similarity.index_of(known, write=True)
 
     def search(batch: DataFrame, number: int) -> None:
-        found = similarity.similar_posts(batch, known).withColumn("batch", F.lit(number))
+        found = similarity.similar_posts(batch, index).withColumn("batch", F.lit(number))
         found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
 
     prints.writeStream.foreachBatch(search).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

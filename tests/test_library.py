@@ -519,6 +519,52 @@ def test_collections_by_their_switches(spark):
         assert ids(posts.pick_collections(table, **options), "pk") == want
 
 
+def bits(rng, n=24):
+    return sum(1 << b for b in rng.sample(range(64), n))
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("bands, few, most", [(9, 0, 4096), (10, 0, 3), (11, 0, 50), (12, 0, 7), (None, 0, 4096), (None, 10**6, 4096)])
+def test_near_hashes_are_those_of_all_pairs(spark, bands, few, most):
+    """Clusters around a few hashes, so that some keys have hundreds, split or not, with any number of bands."""
+    rng = random.Random(8)
+    centres = [bits(rng) for _ in range(4)]
+    flipped = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    known = {flipped(rng.choice(centres), rng.randrange(7)) for _ in range(400)} | {bits(rng) for _ in range(100)} | {centres[0]}
+    asked = {flipped(rng.choice(centres), rng.randrange(9)) for _ in range(150)} | {flipped(rng.choice(sorted(known)), 8) for _ in range(50)}
+    rows = [(f"k{n}", signed(h)) for n, h in enumerate(sorted(known))] + [(f"c{n}", signed(centres[0])) for n in range(500)]  # one hash in half the posts
+    index = similarity.index_of(spark.createDataFrame(rows, "pk string, hash long"), 8, bands)
+    got = [tuple(r) for r in similarity.near_hashes(spark.createDataFrame([(signed(h),) for h in asked], "h long"), index, few, most).collect()]
+    fit = [h for h in known if 12 <= h.bit_count() <= 52]
+    want = {(signed(h), signed(g), (h ^ g).bit_count()) for h in asked for g in fit if (h ^ g).bit_count() <= 8}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5_000
+
+
+def test_bands_go_with_the_number_of_hashes():
+    assert [similarity.best_bands(n, asked, 8) for n, asked in ((10, 10), (100_000, 1_000), (1_000_000, 10_000), (300_000, 300_000), (10**7, 10**7), (10**9, 10**9))] == [9, 9, 9, 10, 11, 12]
+
+
+def test_streamed_feed_has_each_post_once(spark, tmp_path):
+    """Posts that come again in a later batch add nothing, and a second run over the same checkpoint adds only what is new."""
+    from medialib.streaming import jobs
+
+    def batch(rows):
+        spark.createDataFrame(rows, "collection_pk string, pos long, pk string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        jobs.stream_feed(jobs.read(spark, str(tmp_path / "in"), "collection_pk string, pos long, pk string", 1), str(tmp_path / "out"), str(tmp_path / "check"), lambda new: new.withColumn("judged", F.lit(True)))
+        return sorted((r.pk, r.collection_pk, r.pos, r.judged) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    batch([("a", 2, "1"), ("b", 1, "1"), ("a", 1, ""), ("a", 3, "2")])
+    batch([("a", 1, "2"), ("a", 9, "3")])
+    assert run() == [("1", "b", 1, True), ("2", "a", 3, True), ("3", "a", 9, True)]
+    batch([("a", 1, "3"), ("c", 1, "4")])
+    assert run() == [("1", "b", 1, True), ("2", "a", 3, True), ("3", "a", 9, True), ("4", "c", 1, True)]
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_every_query_runs(spark, name):
     """Each registered query builds and counts at the smallest scale, with its SQL's columns."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialib.llm import decontamination, near_dedup, packing, quality_lm, secret_scan
-from medialib.llm.common import written
+from medialib.llm.common import clear, scratch, written
 from medialib.llm.queries import tokenizer_path
 
 
@@ -47,8 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over the table documents, each on what the one before has written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    """The stages one after the other over the table documents, each on what the one before has written.
+
+    What a stage has written on its way goes when its result is stored, and its
+    result when the next one's is.
+    """
+    docs, last, name = spark.read.parquet(f"{sf_dir}/documents.parquet"), None, uuid.uuid4().hex
+    for no, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), "stage", within=f"{name}-{no}")
+        if last:
+            clear(spark, last)
+        last = f"{name}-{no}"
     return STAGES[-1][1](spark, docs, sf_dir)

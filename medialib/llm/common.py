@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +21,28 @@ ALNUM = bytes(
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The folder, within the shared one, of what is written in a scratch().
+_SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own, which only one machine alone can share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/medialib-checkpoints"
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/medialib-checkpoints"
     return f"{folder.rstrip('/')}/medialib-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors.
 
     The shuffle files behind it are of no more use once it is written, so Spark
-    is told to remove them then.
+    is told to remove them then. within names a folder other than the scratch's.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = "/".join(x for x in (shared_dir(spark), _SCRATCH.get() if within is None else within, f"{name}-{uuid.uuid4().hex}") if x)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -43,12 +52,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes every table that written() left for this application; call it when the results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+def clear(spark: SparkSession, within: str = "") -> None:
+    """Removes every table that written() left for this application, or those within a folder; call it when the results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{within}".rstrip("/"))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What written() writes in the block goes when it ends; results have to be stored before, elsewhere."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(name)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        clear(spark, name)
+
+
 def picked(docs: DataFrame, text_col: str = "text", **columns: str) -> DataFrame:
     """The named columns, by new name, and text (null: empty); all others, clashing names included, stay out."""
     return docs.select(

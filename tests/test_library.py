@@ -345,6 +345,15 @@ def test_full_vocabulary_file(spark, tmp_path):
     assert got == [(["tag-0-0", "tag-2-5", W.MARKER], ["tag-1-3", "nothing"]), (["tag-0-1", "tag-1-3", W.MARKER], []), ([W.MARKER], []), ([W.MARKER], [])]
 
 
+def test_accepted_candidates_join_their_categories(spark):
+    own = vocabulary.Vocabulary([vocabulary.Category("a", ["x"]), vocabulary.Category("b", ["y"])], {"z": "x"})
+    added = spark.createDataFrame([("#New Tag", "a"), ("new-tag", "a"), ("X", "a"), ("x", "b"), ("!!", "b"), (None, "a"), ("q", "none"), ("c", "b")], "tag string, category string")
+    new = vocabulary.with_tags(own, added)
+    assert [c.tags for c in new.categories] == [["x", "new-tag"], ["y", "c", "x"]] and new.aliases == own.aliases and own.categories[0].tags == ["x"]
+    rows = spark.createDataFrame([(["New Tag", "c", "q"], "image")], "tags array<string>, mode string")
+    assert tags.normalize_tags(rows, new).first().kept == ["new-tag", "c", W.MARKER]
+
+
 def test_time_of_tags_does_not_grow_with_the_vocabulary(spark):
     rows = spark.range(40_000).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.lit("t"), ((F.col("id") * 7 + k) % 390).cast("string"))).alias("tags"), F.lit("image").alias("mode"))
     took = []

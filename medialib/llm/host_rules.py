@@ -125,7 +125,8 @@ def host_rules(docs: DataFrame, id_col="doc_id", text_col="text", host_col="sour
     """The figures of each document and kept: false if a base rule fails, or if its host is judged bad.
 
     Repeated rows are judged row by row; an empty table gives an empty one;
-    other columns of docs play no part.
+    other columns of docs play no part. A very long text is held whole in a task
+    with its words, lines and windows, some thirty times its length.
     """
     found = written(rule_figures(docs, id_col, text_col, host_col), "rule-figures")
     bad = host_verdicts(found, max_rate).where(~F.col("host_ok")).select("host", F.lit(True).alias("bad_host"))

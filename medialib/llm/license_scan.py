@@ -159,7 +159,8 @@ def license_scan(docs: DataFrame, id_col="doc_id", text_col="text", templates=TE
 
     labels has the phrases' labels and those of the templates that match; score
     is 1 for a phrase, else the best template's share of weight, else 0. A null
-    text is empty: no words, no places, null first_word and last_word, '' labels.
+    text is empty: no words, no places, null first_word and last_word, '' labels. A
+    very long text is held whole with its words, some ten times its length.
     """
     index = Index(templates, phrases)
     index.weigh(*document_counts(docs, index, text_col))

@@ -279,7 +279,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similar=S
     five-word shingles, whose bands (equal weights) meet with probability over
     1 - 4e-6 at 0.8, however often a text repeats its shingles. Null texts
     are empty, and equal as such; rows with one id are one document; a row with
-    a null id is in no class (null); other columns play no part.
+    a null id is in no class (null); other columns play no part. A very long text
+    is held whole with its shingles' hashes, some ten times its length; its signature has the size of any.
     """
     docs = picked(docs, text_col, doc_id=id_col).withColumn("text_hash", F.md5("text"))
     known = docs.where("doc_id is not null")

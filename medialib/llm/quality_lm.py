@@ -175,7 +175,8 @@ def classify(
     of minus log p per word, drawn to the language's middle as if PRIOR_WORDS
     more words had it, so that texts of a few words aren't judged by chance;
     a text without words has the middle itself and stays. Labels may repeat or
-    be null; without trusted documents every document is kept.
+    be null; without trusted documents every document is kept. A very long text
+    is held whole in a task, with its words' numbers and scores.
     """
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(5))
     trusted = written(

@@ -116,7 +116,8 @@ def token_counts(docs: DataFrame, tokenizer_json: str, id_col="doc_id", text_col
     """doc_id, n_words, n_tokens of each row: white-space words, and the pieces of their greedy longest match.
 
     A null or empty text has none; repeated rows are counted row by row; other
-    columns play no part. The automaton is as large as the vocabulary file.
+    columns play no part. The automaton is as large as the vocabulary file. A very long text is
+    held whole, with its words: some ten times its length; a word goes through the automaton once a task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(automaton(*byte_level_vocabulary(tokenizer_json)))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])

@@ -1,26 +1,36 @@
 """A quality classifier by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
 Counts, continuation counts, discounts and probabilities are Spark tables, joined
-by n-gram and by context. Training takes at most max_train trusted documents, so
-the model has a bound as well, and tasks that score texts get all of it. Every
-text is scored whole; a document is rejected if its perplexity is above a high
-quantile of the perplexities of held-out trusted documents in its language.
+by n-gram and by context; texts are scored by joining their n-grams, once for
+each block of texts, with the model's. Every text is scored whole; a document is
+rejected if its perplexity is above a high quantile of the perplexities of
+held-out trusted documents in its language.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, picked, texts, written
+from .collocations import Filter, phrase_filter
+from .common import hashed, mixed, picked, texts, written
 
 #: The word before a text's first one; and how many words the open vocabulary is taken to have.
 BEGIN, WORDS = 0, 1 << 20
 MAX_TRAIN, PRIOR_WORDS = 3000, 30.0
+#: Words of a block of texts, which asks for an n-gram once; and n-grams that are told by the filter at a time.
+BLOCK_WORDS, RANGE = 1 << 23, 1 << 20
+_BLOCKS = pa.schema([
+    ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())),
+    ("words", pa.list_(pa.int64())), ("codes", pa.binary()), ("asks", pa.list_(pa.int64())),
+])
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -81,85 +91,152 @@ def train(trusted: DataFrame, text_col: str = "text") -> dict[str, DataFrame]:
     return {"uni": uni, "bi": bi, "tri": tri, "back1": back1.drop("total"), "back2": back2.drop("total"), "none": none}
 
 
-class Model:
-    """The tables as sorted arrays, looked up for many words at once; as large as the training sample lets them be."""
-
-    def __init__(self, tables: dict[str, DataFrame]):
-        got = {k: {c: v.to_numpy() for c, v in zip(t.column_names, t.columns, strict=True)} for k, t in ((k, df.toArrow()) for k, df in tables.items())}
-        self.words = np.unique(np.concatenate([[BEGIN], got["uni"]["c"]]).astype(np.int64))
-        self.size = np.int64(len(self.words))
-        self.none = np.float32(np.log(got["none"]["gamma"][0]))
-        self.uni = np.full(self.size, self.none, np.float32)
-        self.uni[self._id(got["uni"]["c"])] = np.log(got["uni"]["p"])
-        self.back1 = np.zeros(self.size, np.float32)
-        self.back1[self._id(got["back1"]["b"])] = np.log(got["back1"]["gamma"])
-        self.bi, self.bi_p = self._sorted(self._id(got["bi"]["b"]) * self.size + self._id(got["bi"]["c"]), got["bi"]["p"])
-        self.two, self.back2 = self._sorted(self._id(got["back2"]["a"]) * self.size + self._id(got["back2"]["b"]), got["back2"]["gamma"])
-        context = np.searchsorted(self.two, self._id(got["tri"]["a"]) * self.size + self._id(got["tri"]["b"]))
-        self.tri, self.tri_p = self._sorted(context * self.size + self._id(got["tri"]["c"]), got["tri"]["p"])
-
-    def _id(self, words: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.words, words)
-
-    @staticmethod
-    def _sorted(keys: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        return keys[order], np.log(p[order]).astype(np.float32)
-
-    @staticmethod
-    def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return at, keys[at] == asked
-
-    def log_p(self, seq: np.ndarray) -> np.ndarray:
-        """Log probabilities of the words of seq (hashes, with two BEGIN before each text) from the third on."""
-        ids, known = self._find(self.words, seq)
-        a, b, c, ka, kb, kc = ids[:-2], ids[1:-1], ids[2:], known[:-2], known[1:-1], known[2:]
-        out = np.where(kc, self.uni[c], self.none) + np.where(kb, self.back1[b], 0)
-        at = np.flatnonzero(kb & kc)
-        where, found = self._find(self.bi, b[at] * self.size + c[at])
-        out[at[found]] = self.bi_p[where[found]]
-        at = np.flatnonzero(ka & kb)
-        where, found = self._find(self.two, a[at] * self.size + b[at])
-        at, context = at[found], where[found]
-        out[at] += self.back2[context]
-        have = kc[at]
-        at, context = at[have], context[have]
-        where, found = self._find(self.tri, context * self.size + c[at])
-        out[at[found]] = self.tri_p[where[found]]
-        return out
-
-
-def scores(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """doc_id, lang, n_words, nll (minus the sum of log probabilities) of each row; null text: no words, null lang: ''."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def lookup(tables: dict[str, DataFrame]) -> DataFrame:
+    """key, p, q: what each n-gram of the model adds to the log probability of a text, by the n-gram's hash.
+
+    A word adds p where it stands and q where a word follows it; a pair and a
+    triple that the model has add what they change in what their last words
+    have already (p), a pair its weight as a context (q). The sums over a text
+    are the interpolated model's, so n-grams can be looked up one by one.
+    """
+    log = lambda column: F.log(F.col(column))
+    uni, bi, tri, back1, back2 = (tables[k] for k in ("uni", "bi", "tri", "back1", "back2"))
+    ones = uni.withColumnRenamed("c", "w1").join(back1.withColumnRenamed("b", "w1"), "w1", "full")
+    over = bi.join(back1, "b").join(uni.withColumnRenamed("p", "low"), "c").select(F.col("b").alias("w1"), F.col("c").alias("w2"), (log("p") - log("gamma") - log("low")).alias("p"))
+    twos = over.join(back2.withColumnsRenamed({"a": "w1", "b": "w2"}), ["w1", "w2"], "full")
+    threes = tri.join(back2, ["a", "b"]).join(bi.withColumnRenamed("p", "low"), ["b", "c"])
+    rows = [
+        ones.select("w1", F.lit(0).alias("w2"), F.lit(0).alias("w3"), log("p").alias("p"), log("gamma").alias("q"), F.lit(1).alias("size")),
+        twos.select("w1", "w2", F.lit(0).alias("w3"), "p", log("gamma").alias("q"), F.lit(2).alias("size")),
+        threes.select(F.col("a").alias("w1"), F.col("b").alias("w2"), F.col("c").alias("w3"), (log("p") - log("gamma") - log("low")).alias("p"), F.lit(None).cast("double").alias("q"), F.lit(3).alias("size")),
+    ]
+    union = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    typed = union.select(*[F.col(c).cast("long") for c in ("w1", "w2", "w3")], F.col("p").cast("float"), F.col("q").cast("float"), "size")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [batch.column(c).to_numpy().view(np.uint64) for c in ("w1", "w2", "w3")]
+            sizes, keys = batch.column("size").to_numpy(), np.empty(len(batch), np.uint64)
+            for size in (1, 2, 3):
+                keys[sizes == size] = _keys([w[sizes == size] for w in words[:size]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("p"), batch.column("q")], names=["key", "p", "q"])
+
+    return written(typed.mapInArrow(keyed, "key long, p float, q float"), "lm-lookup")
+
+
+def _keys(words: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams, other ones for each length."""
+    key = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + w)
+    return key
+
+
+def _known(keys: np.ndarray, model: Filter) -> np.ndarray:
+    parts = [model.knows(keys[at : at + RANGE]) for at in range(0, len(keys), RANGE)]
+    return np.concatenate([np.zeros(0, bool), *parts])
+
+
+class _Block:
+    """The n-grams of a block of texts that the model may have: words by their codes (-1: not in the model), then pairs, then triples.
+
+    asks has the different ones' keys, in the order of the codes, then by key; a
+    block read back from its codes asks for the same.
+    """
+
+    def __init__(self, words: np.ndarray, codes: np.ndarray, model: Filter):
+        known, hashes = codes >= 0, words[codes]
+        at = np.flatnonzero(known[:-1] & known[1:])
+        keys = _keys([hashes[at], hashes[at + 1]])
+        have = _known(keys, model)
+        self.two = at[have]
+        pairs, self.pair = np.unique(keys[have], return_inverse=True)
+        here = np.zeros(len(codes) + 1, bool)
+        here[self.two] = True
+        at = np.flatnonzero(here[:-1] & here[1:])
+        keys = _keys([hashes[at], hashes[at + 1], hashes[at + 2]])
+        have = _known(keys, model)
+        self.three = at[have]
+        triples, self.triple = np.unique(keys[have], return_inverse=True)
+        self.codes, self.begins = codes, (len(words), len(words) + len(pairs))
+        self.asks = np.concatenate([_keys([words]), pairs, triples])
+
+    def log_p(self, at: np.ndarray, p: np.ndarray, q: np.ndarray, none: float) -> np.ndarray:
+        """Log probabilities of the words from the third on, given what the model has for some of asks (NaN: nothing)."""
+        n, (one, two) = len(self.codes), self.begins
+        given, after = np.full(len(self.asks), np.nan, np.float32), np.zeros(len(self.asks), np.float32)
+        given[at], after[at] = p, np.nan_to_num(q)
+        first = np.append(np.where(np.isnan(given[:one]), none, given[:one]), none)  # the last one for code -1
+        given = np.nan_to_num(given)
+        out = first[self.codes].astype(np.float64)
+        out[1:] += np.append(after[:one], 0.0)[self.codes[:-1]]
+        pair = one + self.pair
+        out[self.two + 1] += given[pair]
+        inside = self.two < n - 2
+        out[self.two[inside] + 2] += after[pair[inside]]
+        out[self.three + 2] += given[two + self.triple]
+        return out[2:]
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes by byte planes, compressed: texts take about a quarter of their size."""
+    return zstandard.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+def scores(docs: DataFrame, tables: dict[str, DataFrame], id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
+    """doc_id, lang, n_words, nll (minus the sum of log probabilities) of each row; null text: no words, null lang: ''.
+
+    Texts are put into blocks of about BLOCK_WORDS words. A block asks once for
+    each different n-gram that a Bloom filter of the model lets pass; these are
+    joined with the model's by key, in shards, and the answers with the block.
+    No task has the whole model, and what a filter of bounded size lets pass
+    wrongly has no answer. A text longer than that is a block by itself.
+    """
+    table = lookup(tables)
+    none = math.log(tables["none"].first()[0])
+    model = docs.sparkSession.sparkContext.broadcast(phrase_filter(table.select(F.col("key").alias("w1")), 1))
+
+    def made(no: int, ids: list, langs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        seq = np.concatenate([x for part in parts for x in (np.full(2, BEGIN, np.uint64), part)])
+        codes = np.full(len(seq), -1, np.int32)
+        have = (seq == BEGIN) | _known(_keys([seq]), model.value)
+        words, codes[have] = np.unique(seq[have], return_inverse=True)
+        asks = _Block(words, codes, model.value).asks
+        values = [[no], [ids], [langs], [[len(part) for part in parts]], [words.view(np.int64)], [_packed(codes)], [asks.view(np.int64)]]
+        return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no, size, ids, langs, parts = TaskContext.get().partitionId() << 32, 0, [], [], []
         for batch in batches:
-            given, lengths, sums = texts(batch), [], []
-            at = 0
-            while at < len(given):
-                parts, sizes, begin = [], [], at
-                while at < len(given) and sum(sizes) < 200_000 and at - begin < 500:
-                    words = _tokens(given[at])
-                    parts += [np.full(2, BEGIN, np.int64), hashed(words).view(np.int64)]
-                    sizes.append(len(words))
-                    at += 1
-                each = shared.value.log_p(np.concatenate([*parts, np.full(2, BEGIN, np.int64)])).astype(np.float64)
-                before = np.concatenate([[0.0], np.cumsum(each)])
-                first = np.cumsum([0, *(n + 2 for n in sizes)])[:-1]
-                n = np.array(sizes, np.int64)
-                lengths.append(n)
-                sums.append(before[first] - before[first + n])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array(np.concatenate([np.empty(0, np.int64), *lengths])), pa.array(np.concatenate([np.empty(0), *sums]))],
-                names=["doc_id", "lang", "n_words", "nll"],
-            )
-
-    chosen = picked(docs, text_col, doc_id=id_col, lang=lang_col).withColumn("lang", F.coalesce("lang", F.lit("")))
-    return chosen.mapInArrow(scored, "doc_id long, lang string, n_words long, nll double")
+            for doc_id, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), texts(batch), strict=True):
+                words = hashed(_tokens(text))
+                if ids and size + len(words) + 2 > BLOCK_WORDS:
+                    yield made(no, ids, langs, parts)
+                    no, size, ids, langs, parts = no + 1, 0, [], [], []
+                size += len(words) + 2
+                ids.append(doc_id), langs.append(lang), parts.append(words)
+        if ids:
+            yield made(no, ids, langs, parts)
+
+    def summed(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        row = {name: blocks.column(name)[0].values.to_numpy(zero_copy_only=False) for name in ("sizes", "words")}
+        codes = _unpacked(blocks.column("codes")[0].as_py())
+        at, p, q = (answers.column(c).to_numpy() for c in ("at", "p", "q"))
+        each = _Block(row["words"].view(np.uint64), codes, model.value).log_p(at, p, q, none)
+        before = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
+        n = row["sizes"]
+        first = np.cumsum(n + 2) - n - 2
+        return pa.table({"doc_id": blocks.column("ids")[0].values, "lang": blocks.column("langs")[0].values, "n_words": n, "nll": before[first] - before[first + n]})
+
+    chosen = picked(docs, text_col, doc_id=id_col, lang=lang_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    blocks = written(chosen.mapInArrow(gathered, "block long, ids array<long>, langs array<string>, sizes array<long>, words array<long>, codes binary, asks array<long>"), "lm-blocks")
+    answers = blocks.select(F.col("block").alias("of"), F.posexplode("asks").alias("at", "key")).join(table, "key").select("of", "at", "p", "q")
+    return blocks.drop("asks").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(summed, "doc_id long, lang string, n_words long, nll double")
 
 
 def classify(
@@ -186,7 +263,7 @@ def classify(
     )
     chosen = trusted.where(fold < 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", id_col)), id_col, "left_semi")  # max_train ids
-    found = written(scores(docs, Model(train(sample, text_col)), id_col, text_col, lang_col), "lm-scores")
+    found = written(scores(docs, train(sample, text_col), id_col, text_col, lang_col), "lm-scores")
     held = found.join(trusted.where(fold == 4), "doc_id", "left_semi").where("n_words > 0")
     raw = F.col("nll") / F.col("n_words")
     middles = written(held.groupBy("lang").agg(F.percentile_approx(raw, 0.5, 10_000).alias("middle")), "lm-middles")

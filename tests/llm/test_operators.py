@@ -484,10 +484,61 @@ def test_hosts_are_judged_by_shrunk_rates(spark):
 
 
 # 8
+class Model:
+    """The whole model in memory, looked up word by word: what the joins are compared with."""
+
+    def __init__(self, tables):
+        got = {k: {c: v.to_numpy() for c, v in zip(t.column_names, t.columns, strict=True)} for k, t in ((k, df.toArrow()) for k, df in tables.items())}
+        self.words = np.unique(np.concatenate([[quality_lm.BEGIN], got["uni"]["c"]]).astype(np.int64))
+        self.size = np.int64(len(self.words))
+        self.none = np.float32(np.log(got["none"]["gamma"][0]))
+        self.uni = np.full(self.size, self.none, np.float32)
+        self.uni[self._id(got["uni"]["c"])] = np.log(got["uni"]["p"])
+        self.back1 = np.zeros(self.size, np.float32)
+        self.back1[self._id(got["back1"]["b"])] = np.log(got["back1"]["gamma"])
+        self.bi, self.bi_p = self._sorted(self._id(got["bi"]["b"]) * self.size + self._id(got["bi"]["c"]), got["bi"]["p"])
+        self.two, self.back2 = self._sorted(self._id(got["back2"]["a"]) * self.size + self._id(got["back2"]["b"]), got["back2"]["gamma"])
+        context = np.searchsorted(self.two, self._id(got["tri"]["a"]) * self.size + self._id(got["tri"]["b"]))
+        self.tri, self.tri_p = self._sorted(context * self.size + self._id(got["tri"]["c"]), got["tri"]["p"])
+
+    def _id(self, words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.words, words)
+
+    @staticmethod
+    def _sorted(keys: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order], np.log(p[order]).astype(np.float32)
+
+    @staticmethod
+    def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return at, keys[at] == asked
+
+    def log_p(self, seq: np.ndarray) -> np.ndarray:
+        """Log probabilities of the words of seq (hashes, with two BEGIN before each text) from the third on."""
+        ids, known = self._find(self.words, seq)
+        a, b, c, ka, kb, kc = ids[:-2], ids[1:-1], ids[2:], known[:-2], known[1:-1], known[2:]
+        out = np.where(kc, self.uni[c], self.none) + np.where(kb, self.back1[b], 0)
+        at = np.flatnonzero(kb & kc)
+        where, found = self._find(self.bi, b[at] * self.size + c[at])
+        out[at[found]] = self.bi_p[where[found]]
+        at = np.flatnonzero(ka & kb)
+        where, found = self._find(self.two, a[at] * self.size + b[at])
+        at, context = at[found], where[found]
+        out[at] += self.back2[context]
+        have = kc[at]
+        at, context = at[have], context[have]
+        where, found = self._find(self.tri, context * self.size + c[at])
+        out[at[found]] = self.tri_p[where[found]]
+        return out
+
+
 def test_probabilities_sum_to_one_and_match_counts(spark):
     texts = ["a b a b a c", "a b c d", "b a", "c c c c"]
     tables = quality_lm.train(frame(spark, texts))
-    model = quality_lm.Model(tables)
+    model = Model(tables)
     names = ["a", "b", "c", "d"]
     hashes = quality_lm.hashed([n.encode() for n in names]).view(np.int64)
     for context in [(0, 0), (0, hashes[0]), (hashes[0], hashes[1]), (hashes[3], hashes[3])]:
@@ -536,7 +587,7 @@ def test_model_and_verdicts_are_those_of_plain_counts(spark):
     own = random.Random(11)
     words = [f"w{k}" for k in range(300)]
     made = [" ".join(words[min(299, int(own.expovariate(1) ** 2 * 12))] for _ in range(own.randrange(5, 60))) for _ in range(90)]
-    model = quality_lm.Model(quality_lm.train(frame(spark, made)))
+    model = Model(quality_lm.train(frame(spark, made)))
     p = kneser_ney(made)
     number = {w: int(h) for w, h in zip(words, quality_lm.hashed([w.encode() for w in words]).view(np.int64), strict=True)} | {"": 0, "new": 4711}
     for _ in range(400):
@@ -571,13 +622,31 @@ def test_scores_are_the_models_and_junk_goes(spark):
     got = {r["doc_id"]: r for r in rows_of(quality_lm.classify(docs, labels, max_train=60))}
     assert len(got) == 137 and all(got[k]["kept"] for k in range(120)) and not any(got[k]["kept"] for k in range(120, 130))
     assert got[130]["kept"] and got[130]["n_words"] == 0
-    model = quality_lm.Model(quality_lm.train(docs.where("doc_id < 50")))
-    scored = {r["doc_id"]: r["nll"] for r in rows_of(quality_lm.scores(docs, model))}
-    for k in (60, 125):
+    tables = quality_lm.train(docs.where("doc_id < 50"))
+    model = Model(tables)
+    scored = {r["doc_id"]: r["nll"] for r in rows_of(quality_lm.scores(docs, tables))}
+    for k in range(130):
         seq = np.concatenate([np.zeros(2, np.int64), quality_lm.hashed(quality_lm._tokens((good + junk)[k].encode())).view(np.int64)])
         assert scored[k] == pytest.approx(-float(model.log_p(seq).astype(float).sum()), rel=1e-6)
 
 
+def test_blocks_of_any_size_give_the_models_scores(spark, monkeypatch):
+    made = [prose(60, 40 + k) for k in range(30)] + ["", "one", "one two", " ".join(prose(500, 3).split() * 40)]
+    docs = frame(spark, made * 2).unionByName(frame(spark, made[:3]).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("block", F.lit(1)).coalesce(2)
+    tables = quality_lm.train(docs.where("doc_id < 20 or doc_id = 33"))
+    model = Model(tables)
+    one = sorted(map(tuple, docs.select("text").toPandas().to_numpy().tolist()))
+    expected = []
+    for (text,) in one:
+        seq = np.concatenate([np.zeros(2, np.int64), quality_lm.hashed(quality_lm._tokens(text.encode())).view(np.int64)])
+        expected.append((len(seq) - 2, -float(model.log_p(seq).astype(float).sum())))
+    for size in (1, 700, 1 << 23):
+        monkeypatch.setattr(quality_lm, "BLOCK_WORDS", size)
+        got = sorted((r["n_words"], r["nll"]) for r in rows_of(quality_lm.scores(docs, tables)))
+        assert [n for n, _ in got] == sorted(n for n, _ in expected)
+        assert [x for _, x in got] == pytest.approx([x for _, x in sorted(expected)], rel=1e-5, abs=1e-5)
+
+
 def test_three_thousand_trusted_documents_train(spark, monkeypatch):
     sizes, train = [], quality_lm.train
     monkeypatch.setattr(quality_lm, "train", lambda sample, text_col: sizes.append(sample.count()) or train(sample, text_col))

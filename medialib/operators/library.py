@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import asset_name
 from ..functions.wordlists import TUTORIAL_MARKS
+from ..sources.staging import staged
 from .posts import described, url_key
 from .ranks import numbered
 
@@ -207,6 +211,61 @@ def unique_names(names: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("final", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("n").cast("string")))).drop("n")
 
 
+_NAME, _STEM, _EXT = r"([^/]*)$", r"([^/]+?)(\.[^./]*)?$", r"[^/](\.[^./]*)$"
+
+
+def _parts(path: Column) -> list[Column]:
+    """Folder, stem and extension of a path."""
+    return [F.regexp_replace(path, _NAME, "").alias("folder"), F.regexp_extract(path, _STEM, 1).alias("stem"), F.regexp_extract(path, _EXT, 1).alias("ext")]
+
+
+def free_names(wanted: DataFrame, disk: DataFrame, order: list[str]) -> DataFrame:
+    """Rows of wanted (folder, stem, ext and others) with final: the first of stem, stem_2, stem_3 … that is free for each, in the given order.
+
+    Names of disk (path) aren't free, nor those that earlier rows get, nor, for
+    stem_2 and on, those that other rows ask for. A row with r rows before it
+    gets the free number that has r free ones below it: rows by r and taken
+    numbers by the free ones below them, numbered together, give it, so that no
+    task has all rows of a name.
+    """
+    key = ["folder", "stem", "ext"]
+    names = disk.select(*_parts(F.col("path"))).distinct()
+    number = F.regexp_extract("stem", r"_([1-9][0-9]{0,8})$", 1)
+    later = names.union(wanted.select(*key)).distinct().where(number != "").select("folder", F.regexp_replace("stem", r"_[0-9]+$", "").alias("stem"), "ext", number.try_cast("long").alias("_n")).where("_n > 1")
+    taken = names.withColumn("_n", F.lit(1).cast("long")).unionByName(later).join(wanted.select(*key), key, "left_semi")
+    taken = numbered(taken, key, ["_n"], "_below").select(*key, (F.col("_n") - 1 - F.col("_below")).alias("_at"), F.lit(0).alias("_row"))
+    rows = numbered(wanted, key, order, "_at").withColumn("_row", F.lit(1))
+    placed = numbered(rows.unionByName(taken, allowMissingColumns=True), key, ["_at", "_row"], "_place").where("_row = 1")
+    plain = F.concat("folder", "stem", "ext")
+    final = F.when(F.col("_place") == 0, plain).otherwise(F.concat("folder", "stem", F.lit("_"), (F.col("_place") + 1).cast("string"), "ext"))
+    return placed.withColumn("final", final).drop("_at", "_row", "_place")
+
+
+def rename_plan(files: DataFrame, names: DataFrame, disk: DataFrame, companions: dict[str, tuple[str, str]]) -> DataFrame:
+    """kind, path, target, renamed: each file on disk, and its thumbnail and sidecar, with the name that its post's base gives it.
+
+    names has media_pk and base; companions has a kind's folder and extension.
+    Files of a post with several are numbered by idx. A companion goes by the
+    file's stem and gets the base. Names in use before the job aren't given out,
+    those that are about to be left included, so moves can run in any order.
+    """
+    stem, ext = _parts(F.col("path"))[1:]
+    own = files.select("path", "media_pk", "idx").join(names.select("media_pk", "base"), "media_pk").withColumns({"_stem": stem, "_ext": ext})
+    there = own.join(disk.select("path"), "path", "left_semi")
+    post = Window.partitionBy("media_pk")  # the files of one post
+    several = F.count(F.lit(1)).over(post) > 1
+    at = F.row_number().over(post.orderBy("idx", "path"))
+    main = there.select(F.lit("file").alias("kind"), "path", F.concat(F.regexp_replace("path", _NAME, ""), asset_name(F.col("base"), F.when(several, at), F.col("_ext"))).alias("to"))
+    rows = [main]
+    for kind, (folder, suffix) in companions.items():
+        made = own.select(F.lit(kind).alias("kind"), F.concat(F.lit(f"{folder}/"), "_stem", F.lit(suffix)).alias("path"), F.concat(F.lit(f"{folder}/"), "base", F.lit(suffix)).alias("to"))
+        rows.append(made.groupBy("kind", "path").agg(F.min("to").alias("to")).join(disk.select("path"), "path", "left_semi"))
+    plan = staged(reduce(lambda a, b: a.unionByName(b), rows))
+    moves = free_names(plan.where("path <> to").select("kind", "path", *_parts(F.col("to"))), disk, ["path"])
+    kept = plan.where("path = to").select("kind", "path", F.col("to").alias("target"), F.lit(False).alias("renamed"))
+    return moves.select("kind", "path", F.col("final").alias("target"), F.lit(True).alias("renamed")).unionByName(kept)
+
+
 def collection_hint(membership: DataFrame, collections: DataFrame) -> DataFrame:
     """media_pk, hint, tutorial: the names of at most four collections, and whether they tell of a tutorial."""
     named = membership.join(collections.select(F.col("pk").alias("collection_pk"), "name"), "collection_pk").where("trim(name) <> ''")

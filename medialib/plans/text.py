@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import wordlists as W
-from ..operators import posts
+from ..operators import library, posts
+from ..sources.staging import staged
 from .posts import KIND
 from .query import query
 
@@ -93,6 +94,39 @@ def file_name_plan(v):
     return rows.withColumn("renamed", F.col("target") != F.regexp_extract("path", r"([^/]+)$", 1))
 
 
+#: Thumbnails and sidecars of most files, and some names that the job will ask for.
+BESIDE = f"""n AS (SELECT k, pk AS media_pk, regexp_replace({SAFE.format('trim(' + TIDY + ')')}, '[ .]+$', '') AS base FROM media),
+  g AS (SELECT *, regexp_extract(path, '([^/]+)\\.[^.]+$', 1) AS stem, regexp_extract(path, '(\\.[^.]+)$', 1) AS ext FROM files),
+  d AS (SELECT path FROM disk_inventory UNION SELECT '/thumbs/' || stem || '.jpg' FROM g WHERE (k + idx) % 3 <> 0 UNION SELECT '/meta/' || stem || '.json' FROM g WHERE (k + idx) % 4 <> 0
+        UNION SELECT '/thumbs/' || base || '.jpg' FROM n WHERE k % 5 = 0 UNION SELECT '/thumbs/' || base || '_3.jpg' FROM n WHERE k % 2 = 0 UNION SELECT '/lib/' || base || '_01.mp4' FROM n WHERE k % 3 = 0)"""
+
+
+@query(f"""WITH {BESIDE},
+  p AS (SELECT 'file' AS kind, path, '/lib/' AS folder, base || CASE WHEN count(*) OVER (PARTITION BY media_pk) > 1 THEN '_' || lpad((row_number() OVER (PARTITION BY media_pk ORDER BY idx, path))::VARCHAR, 2, '0') ELSE '' END AS stem, ext
+          FROM g JOIN n USING (media_pk) WHERE path IN (SELECT path FROM d)
+        UNION ALL SELECT DISTINCT 'thumb', '/thumbs/' || stem || '.jpg', '/thumbs/', base, '.jpg' FROM g JOIN n USING (media_pk) WHERE '/thumbs/' || stem || '.jpg' IN (SELECT path FROM d)
+        UNION ALL SELECT DISTINCT 'sidecar', '/meta/' || stem || '.json', '/meta/', base, '.json' FROM g JOIN n USING (media_pk) WHERE '/meta/' || stem || '.json' IN (SELECT path FROM d)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY folder, stem, ext ORDER BY path) AS nth FROM p WHERE path <> folder || stem || ext),
+  c AS (SELECT DISTINCT folder, stem, ext, m FROM r, range(1, 20) x(m)),
+  free AS (SELECT folder, stem, ext, m, row_number() OVER (PARTITION BY folder, stem, ext ORDER BY m) AS nth FROM c
+           WHERE folder || stem || CASE WHEN m > 1 THEN '_' || m ELSE '' END || ext NOT IN (SELECT path FROM d)
+             AND (m = 1 OR folder || stem || '_' || m || ext NOT IN (SELECT folder || stem || ext FROM r)))
+  SELECT kind, path, folder || stem || CASE WHEN m > 1 THEN '_' || m ELSE '' END || ext AS target, true AS renamed FROM r JOIN free USING (folder, stem, ext, nth)
+  UNION ALL SELECT kind, path, path, false FROM p WHERE path = folder || stem || ext""")
+def rename_manifest(v):
+    """What a renaming job moves: files, thumbnails and sidecars, past names that are in use."""
+    names = v.media.select("k", F.col("pk").alias("media_pk"), named(v).alias("base"))
+    files = v.files.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1))
+    made = [
+        (files.where("(k + idx) % 3 <> 0"), "/thumbs/", "stem", ".jpg"), (files.where("(k + idx) % 4 <> 0"), "/meta/", "stem", ".json"),
+        (names.where("k % 5 = 0"), "/thumbs/", "base", ".jpg"), (names.where("k % 2 = 0"), "/thumbs/", "base", "_3.jpg"), (names.where("k % 3 = 0"), "/lib/", "base", "_01.mp4"),
+    ]
+    disk = v.disk_inventory.select("path")
+    for rows, folder, column, ext in made:
+        disk = disk.unionByName(rows.select(F.concat(F.lit(folder), column, F.lit(ext)).alias("path")))
+    return library.rename_plan(v.files, names, staged(disk.distinct()), {"thumb": ("/thumbs", ".jpg"), "sidecar": ("/meta", ".json")})
+
+
 @query("SELECT pk, CASE WHEN length(caption) > 30 THEN rtrim(caption[1:29]) || '…' ELSE caption END AS title FROM media")
 def short_title(v):
     return v.media.select("pk", T.short_title(F.col("caption"), F.col("username"), F.col("code"), 30).alias("title"))

@@ -250,6 +250,35 @@ def test_unique_names(spark):
     assert {r.media_pk: r.final for r in library.unique_names(rows, taken).collect()} == {"1": "n", "2": "n_2", "3": "n_2"}
 
 
+def test_free_names_are_those_of_one_file_after_the_other(spark):
+    own = random.Random(8)
+    names = ["a", "a_2", "a_3", "a_5", "a_02", "b", "a_2_2"]
+    disk = {f"/{folder}/{n}{ext}" for folder in "xy" for n in names for ext in (".jpg", "") if own.random() < 0.5} | {"/x/a.jpg", "/x/a_1.jpg"}
+    wanted = [(f"/old/{k:03}", f"/{own.choice('xy')}/", own.choice(["a", "a", "a", "b", "a_2", "c"]), own.choice([".jpg", ""])) for k in range(150)]
+    used, expected, asked = set(disk), {}, {f"{folder}{stem}{ext}" for _, folder, stem, ext in wanted}
+    for path, folder, stem, ext in wanted:
+        n = 1
+        while (name := f"{folder}{stem}{f'_{n}' if n > 1 else ''}{ext}") in used or n > 1 and name in asked:
+            n += 1
+        expected[path] = name
+        used.add(name)
+    rows = spark.createDataFrame(wanted, "path string, folder string, stem string, ext string")
+    got = {r.path: r.final for r in library.free_names(rows, spark.createDataFrame([(d,) for d in disk], "path string"), ["path"]).collect()}
+    assert got == expected and len(set(got.values())) == 150
+
+
+def test_rename_plan_moves_companions_and_overwrites_nothing(spark):
+    files = spark.createDataFrame([("/l/one.mp4", "1", 0), ("/l/two_b.jpg", "2", 1), ("/l/two_a.jpg", "2", 0), ("/l/gone.jpg", "3", 0), ("/l/same.jpg", "4", 0)], "path string, media_pk string, idx int")
+    names = spark.createDataFrame([("1", "new"), ("2", "pair"), ("3", "lost"), ("4", "same")], "media_pk string, base string")
+    disk = ["/l/one.mp4", "/l/two_a.jpg", "/l/two_b.jpg", "/l/same.jpg", "/l/new.mp4", "/t/one.jpg", "/t/two_a.jpg", "/t/two_b.jpg", "/m/one.json", "/m/gone.json", "/t/same.jpg", "/m/new_2.json"]
+    plan = library.rename_plan(files, names, spark.createDataFrame([(d,) for d in disk], "path string"), {"thumb": ("/t", ".jpg"), "sidecar": ("/m", ".json")}).collect()
+    assert {(r.kind, r.path, r.target, r.renamed) for r in plan} == {
+        ("file", "/l/one.mp4", "/l/new_2.mp4", True), ("file", "/l/two_a.jpg", "/l/pair_01.jpg", True), ("file", "/l/two_b.jpg", "/l/pair_02.jpg", True), ("file", "/l/same.jpg", "/l/same.jpg", False),
+        ("thumb", "/t/one.jpg", "/t/new.jpg", True), ("thumb", "/t/two_a.jpg", "/t/pair.jpg", True), ("thumb", "/t/two_b.jpg", "/t/pair_2.jpg", True), ("thumb", "/t/same.jpg", "/t/same.jpg", False),
+        ("sidecar", "/m/one.json", "/m/new.json", True), ("sidecar", "/m/gone.json", "/m/lost.json", True),
+    }
+
+
 def test_registry_and_views():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 120
     assert "media AS (" in fixtures.with_views("SELECT * FROM review")

@@ -1,8 +1,8 @@
 """A quality classifier by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
 Counts, continuation counts, discounts and probabilities are Spark tables, joined
-by n-gram and by context. Training takes at most max_train trusted documents, so
-the model has a bound as well, and tasks that score texts get all of it. Every
+by n-gram and by context. Training takes at most max_train trusted documents of
+max_chars characters, so the model has a bound as well, and tasks that score texts get all of it. Every
 text is scored whole; a document is rejected if its perplexity is above a high
 quantile of the perplexities of held-out trusted documents in its language.
 """
@@ -21,6 +21,8 @@ from .common import hashed, picked, texts, written
 #: The word before a text's first one; and how many words the open vocabulary is taken to have.
 BEGIN, WORDS = 0, 1 << 20
 MAX_TRAIN, PRIOR_WORDS = 3000, 30.0
+#: Longer trusted texts don't train (they are scored like all others), so that the model has a bound in words too.
+MAX_CHARS = 1 << 16
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -164,13 +166,13 @@ def scores(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", lang
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
-    max_train=MAX_TRAIN, quantile=0.99, margin=1.1,
+    max_train=MAX_TRAIN, quantile=0.99, margin=1.1, max_chars=MAX_CHARS,
 ) -> DataFrame:
     """doc_id, lang, n_words, log_ppl, threshold, kept for each row of docs.
 
     Trusted are the documents with quality 1 and not toxic 1. Four in five of
-    them, at most max_train, by a hash of the id, train the model; the others
-    set the thresholds: margin times the given quantile of log_ppl in a
+    them, at most max_train, by a hash of the id, train the model with texts of
+    at most max_chars characters; the others set the thresholds: margin times the given quantile of log_ppl in a
     language, over all languages for one that has none. log_ppl is a text's mean
     of minus log p per word, drawn to the language's middle as if PRIOR_WORDS
     more words had it, so that texts of a few words aren't judged by chance;
@@ -186,6 +188,7 @@ def classify(
     )
     chosen = trusted.where(fold < 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", id_col)), id_col, "left_semi")  # max_train ids
+    sample = sample.where(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars)
     found = written(scores(docs, Model(train(sample, text_col)), id_col, text_col, lang_col), "lm-scores")
     held = found.join(trusted.where(fold == 4), "doc_id", "left_semi").where("n_words > 0")
     raw = F.col("nll") / F.col("n_words")

@@ -586,6 +586,16 @@ def test_three_thousand_trusted_documents_train(spark, monkeypatch):
     assert sizes == [3000]
 
 
+def test_long_trusted_texts_do_not_train_but_are_scored(spark, monkeypatch):
+    trained, train = [], quality_lm.train
+    monkeypatch.setattr(quality_lm, "train", lambda sample, text_col: trained.extend(r["text"] for r in rows_of(sample)) or train(sample, text_col))
+    docs = frame(spark, [f"a b {'c' * (k % 3)}" for k in range(60)] + ["a b " * 5000, None])
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = {r["doc_id"]: r for r in rows_of(quality_lm.classify(docs, labels, max_chars=5))}
+    assert trained and all(text is None or len(text) <= 5 for text in trained) and any(text == "a b c" for text in trained)
+    assert len(got) == 62 and got[60]["n_words"] == 10_000
+
+
 # 9
 def test_pieces_are_exact_and_places_gapless(spark):
     from tokenizers import Tokenizer

@@ -17,19 +17,24 @@ def folder(v) -> str:
     return shared_dir(v.spark)
 
 
-def staged(v, df, by: str, files: int = 4):
-    """df as files of a folder, and that folder as a stream of a file a batch; files come in the order of a numeric by."""
-    path = f"{folder(v)}/in"
+def staged(v, df, by: str, key: str, batches: int = 4):
+    """df as files of a folder, and that folder as a stream of about so many batches, which come in the order of a numeric by.
+
+    A batch's rows are dealt out by key over as many files as the session has
+    shuffle partitions. Rows of one key are in one file of a batch, so they keep
+    their order wherever the stream cuts the files.
+    """
+    path, files = f"{folder(v)}/in", int(v.spark.conf.get("spark.sql.shuffle.partitions"))
     if dict(df.dtypes)[by] == "string":
-        df.repartition(files, by).write.parquet(path)
+        df.repartition(batches * files, key).write.parquet(path)
     else:
-        edges = df.approxQuantile(by, [k / files for k in range(1, files)], 0.01)
+        edges = df.approxQuantile(by, [k / batches for k in range(1, batches)], 0.01)
         low = F.lit(True)
         for edge in [*edges, None]:
             part = low if edge is None else low & (F.col(by) < edge)
-            df.where(part).coalesce(1).write.mode("append").parquet(path)
+            df.where(part).repartition(files, key).write.mode("append").parquet(path)
             low = F.col(by) >= edge if edge is not None else low
-    return jobs.read(v.spark, path, df.schema, 1)
+    return jobs.read(v.spark, path, df.schema, files)
 
 
 def last(v, stream, mode: str):
@@ -52,20 +57,20 @@ def stream_feed(v):
         rows = new.join(known.drop("k"), "pk", "left")
         return new.join(rules.classify(rows, ["myfriend"], ["Bob"], 30.0).select("pk", "decision"), "pk")
 
-    jobs.stream_feed(staged(v, v.feed.select("collection_pk", "pos", "pk", "event_id"), "event_id"), f"{out}/posts", f"{out}/checkpoint", judge)
+    jobs.stream_feed(staged(v, v.feed.select("collection_pk", "pos", "pk", "event_id"), "event_id", "pk"), f"{out}/posts", f"{out}/checkpoint", judge)
     return v.spark.read.parquet(f"{out}/posts").select("pk", "decision")
 
 
 @query("""SELECT tag, count(*) AS hits FROM (SELECT unnest(string_split(tags, chr(10))) AS tag FROM ai_meta) GROUP BY tag""")
 def stream_candidates(v):
     tags = v.ai_meta.select("k", F.explode(F.split("tags", "\n")).alias("tag"))
-    return last(v, jobs.stream_candidates(staged(v, tags, "k")), "update").groupBy("tag").agg(F.max("hits").alias("hits"))
+    return last(v, jobs.stream_candidates(staged(v, tags, "k", "tag")), "update").groupBy("tag").agg(F.max("hits").alias("hits"))
 
 
 @query("""SELECT pk, count(*) FILTER (event = 'fail' AND seq > coalesce(r, -1)) AS attempts FROM failure_log
           LEFT JOIN (SELECT pk, max(seq) AS r FROM failure_log WHERE event <> 'fail' GROUP BY pk) USING (pk) GROUP BY pk""")
 def stream_failures(v):
-    rows = last(v, jobs.stream_failures(staged(v, v.failure_log, "seq")), "update")
+    rows = last(v, jobs.stream_failures(staged(v, v.failure_log, "seq", "pk")), "update")
     return rows.groupBy("pk").agg(F.max_by("attempts", "batch").alias("attempts"))
 
 
@@ -76,5 +81,5 @@ def stream_dupes(v):
     known = prints.select(F.col("media_pk").alias("pk"), "hash")
     asked = prints.select(F.concat(F.lit("1"), "media_pk").alias("pk"), "hash")
     out = folder(v)
-    jobs.stream_dupes(staged(v, asked, "pk"), known, f"{out}/found", f"{out}/checkpoint")
+    jobs.stream_dupes(staged(v, asked, "pk", "pk"), known, f"{out}/found", f"{out}/checkpoint")
     return v.spark.read.parquet(f"{out}/found").select("pk", "known_pk", "distance", "hits")

@@ -1,28 +1,41 @@
 """A quality classifier by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counts, continuation counts, discounts and probabilities are Spark tables, joined
-by n-gram and by context. Training takes at most max_train trusted documents of
-max_chars characters, so the model has a bound as well, and tasks that score texts get all of it. Every
-text is scored whole; a document is rejected if its perplexity is above a high
-quantile of the perplexities of held-out trusted documents in its language.
+Counts, continuation counts and the counts of contexts are Spark tables; they are
+packed into shards by the n-grams' hashes. Texts are scored by joining their
+n-grams, once for each block of texts, with the counts of the model's shards, so
+no task and no driver has the whole model, which grows with the trusted texts.
+Every text is scored whole; a document is rejected if its perplexity is above a
+high quantile of the perplexities of held-out trusted documents in its language.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, picked, texts, written
+from .common import clear, hashed, mixed, picked, texts, written
 
 #: The word before a text's first one; and how many words the open vocabulary is taken to have.
 BEGIN, WORDS = 0, 1 << 20
-MAX_TRAIN, PRIOR_WORDS = 3000, 30.0
-#: Longer trusted texts don't train (they are scored like all others), so that the model has a bound in words too.
-MAX_CHARS = 1 << 16
+PRIOR_WORDS = 30.0
+#: N-grams of a shard of the model; words of a block of texts, which asks for an n-gram once; what is worked on at a time.
+SHARD, BLOCK_WORDS, RANGE = 1 << 20, 1 << 21, 1 << 20
+#: Bits of the filter for a shard, and for all shards at most; asked n-grams for each of the model's before shards are copied.
+SLICE, MOST_BITS, ASKS_EACH = 1 << 24, 1 << 31, 8
+#: Trusted ids (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 22
+#: What the model has of an n-gram: its count (of the contexts before it, below trigrams), and as a context its total
+#: and how many n-grams follow that are counted once, twice and more often.
+FACTS = ["n", "total", "once", "twice", "more"]
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -49,131 +62,318 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.1), k + 0.9) for k, d in enumerate(raw)]
 
 
-def _discounted(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The n-grams with what is left of their counts (own), and each context with its total and the mass taken (gamma)."""
-    d1, d2, d3 = _discounts(counts)
-    cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    totals = counts.groupBy(*context).agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("gamma"))
-    return counts.withColumn("own", F.greatest(F.col("n") - cut, F.lit(0.0))), totals
+def _keys(words: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams, other ones for each length."""
+    key = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + w)
+    return key
 
 
-def train(trusted: DataFrame, text_col: str = "text") -> dict[str, DataFrame]:
-    """Tables of the model of the given texts: uni(c, p), bi(b, c, p), tri(a, b, c, p), back1(b, gamma), back2(a, b, gamma), none(gamma)."""
-    rows = picked(trusted, text_col).mapInArrow(_trigrams, "a long, b long, c long")
-    c3 = written(rows.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "lm-3")
-    c2 = written(c3.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "lm-2")
-    c1 = written(c2.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "lm-1")
-    own1, total1 = _discounted(c1, [])
-    total, gamma = total1.first()
-    uni = written(own1.select("c", (F.col("own") / (total or 1) + (gamma or 1.0) / WORDS).alias("p")), "lm-uni")
-    own2, back1 = _discounted(c2, ["b"])
-    own3, back2 = _discounted(c3, ["a", "b"])
-    back1, back2 = written(back1, "lm-back1"), written(back2, "lm-back2")
-    bi = written(
-        own2.join(back1, "b").join(uni.withColumnRenamed("p", "low"), "c")
-        .select("b", "c", (F.col("own") / F.col("total") + F.col("gamma") * F.col("low")).alias("p")),
-        "lm-bi",
-    )
-    tri = written(
-        own3.join(back2, ["a", "b"]).join(bi.withColumnRenamed("p", "low"), ["b", "c"])
-        .select("a", "b", "c", (F.col("own") / F.col("total") + F.col("gamma") * F.col("low")).alias("p")),
-        "lm-tri",
-    )
-    none = uni.sparkSession.createDataFrame([(float(gamma or 1.0) / WORDS,)], "gamma double")
-    return {"uni": uni, "bi": bi, "tri": tri, "back1": back1.drop("total"), "back2": back2.drop("total"), "none": none}
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-class Model:
-    """The tables as sorted arrays, looked up for many words at once; as large as the training sample lets them be."""
-
-    def __init__(self, tables: dict[str, DataFrame]):
-        got = {k: {c: v.to_numpy() for c, v in zip(t.column_names, t.columns, strict=True)} for k, t in ((k, df.toArrow()) for k, df in tables.items())}
-        self.words = np.unique(np.concatenate([[BEGIN], got["uni"]["c"]]).astype(np.int64))
-        self.size = np.int64(len(self.words))
-        self.none = np.float32(np.log(got["none"]["gamma"][0]))
-        self.uni = np.full(self.size, self.none, np.float32)
-        self.uni[self._id(got["uni"]["c"])] = np.log(got["uni"]["p"])
-        self.back1 = np.zeros(self.size, np.float32)
-        self.back1[self._id(got["back1"]["b"])] = np.log(got["back1"]["gamma"])
-        self.bi, self.bi_p = self._sorted(self._id(got["bi"]["b"]) * self.size + self._id(got["bi"]["c"]), got["bi"]["p"])
-        self.two, self.back2 = self._sorted(self._id(got["back2"]["a"]) * self.size + self._id(got["back2"]["b"]), got["back2"]["gamma"])
-        context = np.searchsorted(self.two, self._id(got["tri"]["a"]) * self.size + self._id(got["tri"]["b"]))
-        self.tri, self.tri_p = self._sorted(context * self.size + self._id(got["tri"]["c"]), got["tri"]["p"])
-
-    def _id(self, words: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.words, words)
-
-    @staticmethod
-    def _sorted(keys: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        return keys[order], np.log(p[order]).astype(np.float32)
-
-    @staticmethod
-    def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return at, keys[at] == asked
-
-    def log_p(self, seq: np.ndarray) -> np.ndarray:
-        """Log probabilities of the words of seq (hashes, with two BEGIN before each text) from the third on."""
-        ids, known = self._find(self.words, seq)
-        a, b, c, ka, kb, kc = ids[:-2], ids[1:-1], ids[2:], known[:-2], known[1:-1], known[2:]
-        out = np.where(kc, self.uni[c], self.none) + np.where(kb, self.back1[b], 0)
-        at = np.flatnonzero(kb & kc)
-        where, found = self._find(self.bi, b[at] * self.size + c[at])
-        out[at[found]] = self.bi_p[where[found]]
-        at = np.flatnonzero(ka & kb)
-        where, found = self._find(self.two, a[at] * self.size + b[at])
-        at, context = at[found], where[found]
-        out[at] += self.back2[context]
-        have = kc[at]
-        at, context = at[have], context[have]
-        where, found = self._find(self.tri, context * self.size + c[at])
-        out[at[found]] = self.tri_p[where[found]]
+def _numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data).view(np.uint64), dtype=np.uint64)
+
+
+def _summed(keys: np.ndarray, facts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys, each once, and the sums of their facts (a row for each of FACTS)."""
+    order = np.argsort(keys, kind="stable")
+    own, first = np.unique(keys[order], return_index=True)
+    return own, np.add.reduceat(facts[:, order], first, axis=1) if len(own) else facts
+
+
+def _cuts(keys: np.ndarray, power: int) -> Iterator[tuple[int, slice]]:
+    """The shards, of 2 ** power, of ascending keys and where each shard's are."""
+    shards = (keys >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(keys), np.int64)
+    own, first = np.unique(shards, return_index=True)
+    for no, begin, end in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        yield no, slice(begin, end)
+
+
+class Filter:
+    """Bits that tell of a key that the model doesn't have it; those of a shard stand together, so that shards make their own."""
+
+    def __init__(self, power: int):
+        self.power, self.each = power, max(64, min(SLICE, MOST_BITS >> power))
+        self.bits = np.zeros((self.each << power) // 8, np.uint8)
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two places within a shard's bits."""
+        return tuple(mixed(keys + np.uint64(k)) & np.uint64(self.each - 1) for k in (1, 2))
+
+    def slice_of(self, keys: np.ndarray) -> bytes:
+        found = np.zeros(self.each, bool)
+        for at in self.places(keys):
+            found[at] = True
+        return np.packbits(found, bitorder="little").tobytes()
+
+    def knows(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        for begin in range(0, len(keys), RANGE):
+            part = keys[begin : begin + RANGE]
+            base = (part >> np.uint64(64 - self.power) if self.power else np.zeros(len(part), np.uint64)) * np.uint64(self.each)
+            one, two = (base + at for at in self.places(part))
+            out[begin : begin + RANGE] = (
+                self.bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & self.bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1
+            )
         return out
 
 
-def scores(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """doc_id, lang, n_words, nll (minus the sum of log probabilities) of each row; null text: no words, null lang: ''."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+@dataclass
+class Model:
+    """shards has a row for each shard (shard, size, keys, facts); the rest has a size that doesn't depend on the texts, or MOST_BITS at most."""
+
+    shards: DataFrame
+    size: int
+    known: Filter
+    cuts: tuple[list[float], list[float], list[float]]
+    total: int
+    none: float
+
+
+def train(trusted: DataFrame, text_col: str = "text") -> Model:
+    """The counts of the given texts' words, pairs and triples, in shards."""
+    spark, folder = trusted.sparkSession, f"lm-{uuid.uuid4().hex}"
+    rows = picked(trusted, text_col).mapInArrow(_trigrams, "a long, b long, c long")
+    c3 = written(rows.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "three", within=folder)
+    c2 = written(c3.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "two", within=folder)
+    c1 = written(c2.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "one", within=folder)
+    cuts = tuple(map(_discounts, (c1, c2, c3)))
+    classes = [F.sum("n").alias("total"), *[F.sum(test.cast("long")).alias(name) for name, test in zip(FACTS[2:], (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2), strict=True)]]
+    size = c1.count() + c2.count() + c3.count()
+    power = max(0, math.ceil(math.log2(max(1, size) / SHARD)))
+
+    def facts(df: DataFrame, *words: str) -> DataFrame:
+        of = [F.col(w) for w in words] + [F.lit(0)] * (3 - len(words))
+        own = [F.col(c) if c in df.columns else F.lit(0) for c in FACTS]
+        return df.select(F.lit(len(words)).alias("words"), *[w.cast("long").alias(f"w{k}") for k, w in enumerate(of)], *[c.cast("long").alias(n) for n, c in zip(FACTS, own, strict=True)])
+
+    union = facts(c3, "a", "b", "c")
+    for more in (
+        facts(c2, "b", "c"), facts(c1, "c"),
+        facts(c3.groupBy("a", "b").agg(*classes), "a", "b"), facts(c2.groupBy("b").agg(*classes), "b"),
+    ):
+        union = union.unionByName(more)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, held = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            own, sums = _summed(np.concatenate(keys), np.concatenate(values, axis=1))
+            for no, at in _cuts(own, power):
+                yield _shard_row(no, own[at], sums[:, at])
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given, lengths, sums = texts(batch), [], []
-            at = 0
-            while at < len(given):
-                parts, sizes, begin = [], [], at
-                while at < len(given) and sum(sizes) < 200_000 and at - begin < 500:
-                    words = _tokens(given[at])
-                    parts += [np.full(2, BEGIN, np.int64), hashed(words).view(np.int64)]
-                    sizes.append(len(words))
-                    at += 1
-                each = shared.value.log_p(np.concatenate([*parts, np.full(2, BEGIN, np.int64)])).astype(np.float64)
-                before = np.concatenate([[0.0], np.cumsum(each)])
-                first = np.cumsum([0, *(n + 2 for n in sizes)])[:-1]
-                n = np.array(sizes, np.int64)
-                lengths.append(n)
-                sums.append(before[first] - before[first + n])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array(np.concatenate([np.empty(0, np.int64), *lengths])), pa.array(np.concatenate([np.empty(0), *sums]))],
-                names=["doc_id", "lang", "n_words", "nll"],
-            )
+            words, sizes = [batch.column(f"w{k}").to_numpy().view(np.uint64) for k in range(3)], batch.column("words").to_numpy()
+            key = np.empty(len(sizes), np.uint64)
+            for n in (1, 2, 3):
+                key[sizes == n] = _keys([w[sizes == n] for w in words[:n]])
+            keys.append(key), values.append(np.stack([batch.column(c).to_numpy() for c in FACTS]))
+            held += len(key)
+            if held >= RANGE:
+                yield from out()
+                keys, values, held = [], [], 0
+        if held:
+            yield from out()
+
+    known = Filter(power)
+
+    def merged(parts: pa.Table) -> pa.Table:
+        keys = np.concatenate([_unpacked_keys(x) for x in parts.column("keys").to_pylist()])
+        sums = np.concatenate([_numbers(x).reshape(len(FACTS), -1) for x in parts.column("facts").to_pylist()], axis=1)
+        keys, sums = _summed(keys, sums)
+        row = _shard_row(parts.column("shard")[0].as_py(), keys, sums)
+        return pa.Table.from_batches([row]).append_column("bits", pa.array([Filter(power).slice_of(keys)], pa.binary()))
+
+    shape = "shard long, size long, keys binary, facts binary"
+    shards = written(union.mapInArrow(packed, shape).groupBy("shard").applyInArrow(merged, f"{shape}, bits binary"), "lm-shards")
+    first = c1.agg(*classes).first()
+    total = first["total"] or 0
+    clear(spark, folder)
+    for row in shards.select("shard", "bits").toLocalIterator():
+        known.bits[row["shard"] * known.each // 8 : (row["shard"] + 1) * known.each // 8] = np.frombuffer(row["bits"], np.uint8)
+    taken = sum(d * first[name] for d, name in zip(cuts[0], FACTS[2:], strict=True)) / total if total else 1.0
+    return Model(shards.drop("bits"), size, known, cuts, total, taken / WORDS)
+
+
+def _shard_row(no: int, keys: np.ndarray, facts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([no], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([_packed_keys(keys)], pa.binary()), pa.array([_planes(facts)], pa.binary())],
+        names=["shard", "size", "keys", "facts"],
+    )
+
+
+class _Block:
+    """The n-grams of a block of texts that the model may have: words by their codes (-1: not in the model), pairs and triples by where they begin.
+
+    asks has the different ones' keys, ascending; a block read back from its codes asks for the same.
+    """
+
+    def __init__(self, words: np.ndarray, codes: np.ndarray, known: Filter):
+        here, hashes = codes >= 0, words[codes] if len(words) else np.zeros(len(codes), np.uint64)
+        at = np.flatnonzero(here[:-1] & here[1:])
+        pairs = _keys([hashes[at], hashes[at + 1]])
+        have = known.knows(pairs)
+        self.two, pairs = at[have], pairs[have]
+        here = np.zeros(len(codes) + 1, bool)
+        here[self.two] = True
+        at = np.flatnonzero(here[:-1] & here[1:])
+        triples = _keys([hashes[at], hashes[at + 1], hashes[at + 2]])
+        have = known.knows(triples)
+        self.three, triples = at[have], triples[have]
+        self.codes = codes
+        self.asks, where = np.unique(np.concatenate([_keys([words]), pairs, triples]), return_inverse=True)
+        self.word, self.pair, self.triple = np.split(where, [len(words), len(words) + len(pairs)])
+
+    def log_p(self, facts: np.ndarray, cuts, total: int, none: float) -> np.ndarray:
+        """Log probabilities of the words from the third on, by the model's facts of asks (zeros: it has none)."""
+
+        def own(n: np.ndarray, cut: list[float]) -> np.ndarray:
+            return np.maximum(n - np.array([0.0, *cut])[np.minimum(n, 3)], 0.0)
+
+        def last(values: np.ndarray, other: float) -> np.ndarray:
+            return np.append(values[self.word], other)  # for code -1
+
+        n, all_, once, twice, more = facts
+        ones = last(own(n, cuts[0]) / (total or 1) + none, none)
+        totals, taken = last(all_, 0), last(cuts[1][0] * once + cuts[1][1] * twice + cuts[1][2] * more, 0.0)
+        out = np.empty(max(0, len(self.codes) - 2))
+        for begin in range(0, len(out), RANGE):
+            size = min(RANGE, len(out) - begin)
+
+            def dense(at: np.ndarray, asked: np.ndarray, values: np.ndarray, of: int) -> np.ndarray:
+                low, high = np.searchsorted(at, [of, of + size])  # noqa: B023
+                found = np.zeros(size, values.dtype)  # noqa: B023
+                found[at[low:high] - of] = values[asked[low:high]]
+                return found
+
+            p = ones[self.codes[begin + 2 : begin + 2 + size]]
+            b = self.codes[begin + 1 : begin + 1 + size]
+            whole, n2 = totals[b], dense(self.two, self.pair, n, begin + 1)
+            p = np.where(whole > 0, (own(n2, cuts[1]) + taken[b] * p) / np.maximum(whole, 1), p)
+            whole, n3 = dense(self.two, self.pair, all_, begin), dense(self.three, self.triple, n, begin)
+            mass = sum(d * dense(self.two, self.pair, x, begin) for d, x in zip(cuts[2], (once, twice, more), strict=True))
+            out[begin : begin + size] = np.log(np.where(whole > 0, (own(n3, cuts[2]) + mass * p) / np.maximum(whole, 1), p))
+        return out
+
+
+_BLOCKS = pa.schema([
+    ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())),
+    ("words", pa.binary()), ("codes", pa.binary()), ("n_asks", pa.int64()),
+])
 
-    chosen = picked(docs, text_col, doc_id=id_col, lang=lang_col).withColumn("lang", F.coalesce("lang", F.lit("")))
-    return chosen.mapInArrow(scored, "doc_id long, lang string, n_words long, nll double")
+
+def _read(row: dict, known: Filter) -> _Block:
+    planes = np.frombuffer(zstandard.decompress(row["codes"]), np.uint8).reshape(4, -1)
+    return _Block(_unpacked_keys(row["words"]), np.ascontiguousarray(planes.T).view("<i4").ravel(), known)
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a shard, its keys and facts first (block -1), then what blocks ask of it; one row of each is held."""
+    of, keys, facts = None, np.zeros(0, np.uint64), np.zeros((len(FACTS), 0), np.int64)
+    for batch in batches:
+        shards, blocks, asks, given = (batch.column(c) for c in ("shard", "block", "keys", "facts"))
+        for k in range(len(batch)):
+            shard, block, asked = shards[k].as_py(), blocks[k].as_py(), _unpacked_keys(asks[k].as_py())
+            if block < 0:
+                of, keys, facts = shard, asked, _numbers(given[k].as_py()).reshape(len(FACTS), -1)
+                continue
+            found = np.zeros((len(FACTS), len(asked)), np.int64)
+            if of == shard and len(keys):
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                have = keys[at] == asked
+                found[:, have] = facts[:, at[have]]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int64()), pa.array([_planes(found)], pa.binary())], names=["block", "shard", "facts"])
+
+
+def scores(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
+    """doc_id, lang, n_words, nll (minus the sum of log probabilities) of each row; null text: no words, null lang: ''.
+
+    Texts are put into blocks of about BLOCK_WORDS words. A block asks once for
+    each different n-gram that a filter of the model lets pass; what it asks of
+    a shard meets the shard's counts in one task, and the answers come back to
+    the block. What the filter lets pass wrongly has no count. Where much more
+    is asked than the model has, its shards are copied, so that no task answers
+    for too many blocks. A text longer than a block is one by itself.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.known)
+    power, cuts, total, none = model.known.power, model.cuts, model.total, model.none
+
+    def made(no: int, ids: list, langs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        seq = np.concatenate([x for part in parts for x in (np.full(2, BEGIN, np.uint64), part)])
+        codes = np.full(len(seq), -1, np.int32)
+        have = (seq == BEGIN) | shared.value.knows(_keys([seq]))
+        words, codes[have] = np.unique(seq[have], return_inverse=True)
+        packed = zstandard.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+        n_asks = len(_Block(words, codes, shared.value).asks)
+        values = [[no], [ids], [langs], [[len(part) for part in parts]], [_packed_keys(words)], [packed], [n_asks]]
+        return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no, size, ids, langs, parts = TaskContext.get().partitionId() << 32, 0, [], [], []
+        for batch in batches:
+            for doc_id, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), texts(batch), strict=True):
+                words = hashed(_tokens(text))
+                if ids and size + len(words) + 2 > BLOCK_WORDS:
+                    yield made(no, ids, langs, parts)
+                    no, size, ids, langs, parts = no + 1, 0, [], [], []
+                size += len(words) + 2
+                ids.append(doc_id), langs.append(lang), parts.append(words)
+        if ids:
+            yield made(no, ids, langs, parts)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                asks = _read(row, shared.value).asks
+                for no, at in _cuts(asks, power):
+                    yield pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([_packed_keys(asks[at])], pa.binary())], names=["shard", "block", "keys"])
+
+    def summed(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        row = blocks.to_pylist()[0]
+        parts = answers.sort_by("shard").column("facts").to_pylist()
+        facts = np.concatenate([np.zeros((len(FACTS), 0), np.int64), *[_numbers(x).reshape(len(FACTS), -1) for x in parts]], axis=1)
+        each = _read(row, shared.value).log_p(facts, cuts, total, none)
+        before, n = np.concatenate([[0.0], np.cumsum(each)]), np.array(row["sizes"], np.int64)
+        first = np.cumsum(n + 2) - n - 2
+        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_words": n, "nll": before[first] - before[first + n]})
+
+    chosen = picked(docs, text_col, doc_id=id_col, lang=lang_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    blocks = written(chosen.mapInArrow(gathered, "block long, ids array<long>, langs array<string>, sizes array<long>, words binary, codes binary, n_asks long"), "lm-blocks")
+    copies = 1 + (blocks.agg(F.sum("n_asks")).first()[0] or 0) // max(1, int(ASKS_EACH * model.size))
+    asks = blocks.select("block", "words", "codes").mapInArrow(asked, "shard long, block long, keys binary")
+    rows = asks.select("shard", F.pmod(F.xxhash64("block"), F.lit(copies).cast("long")).alias("copy"), "block", "keys", F.lit(None).cast("binary").alias("facts")).unionByName(
+        model.shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"), F.lit(-1).cast("long").alias("block"), "keys", "facts")
+    )
+    dealt = rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "block").drop("copy")
+    answers = written(dealt.mapInArrow(_answered, "block long, shard long, facts binary"), "lm-answers")
+    return blocks.drop("n_asks").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(summed, "doc_id long, lang string, n_words long, nll double")
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
-    max_train=MAX_TRAIN, quantile=0.99, margin=1.1, max_chars=MAX_CHARS,
+    max_train: int | None = None, quantile=0.99, margin=1.1,
 ) -> DataFrame:
     """doc_id, lang, n_words, log_ppl, threshold, kept for each row of docs.
 
     Trusted are the documents with quality 1 and not toxic 1. Four in five of
-    them, at most max_train, by a hash of the id, train the model with texts of
-    at most max_chars characters; the others set the thresholds: margin times the given quantile of log_ppl in a
-    language, over all languages for one that has none. log_ppl is a text's mean
+    them, by a hash of the id, train the model (all of these, unless max_train
+    says how many at most); the others set the thresholds: margin times the
+    given quantile of log_ppl in a language, over all languages for one that has none. log_ppl is a text's mean
     of minus log p per word, drawn to the language's middle as if PRIOR_WORDS
     more words had it, so that texts of a few words aren't judged by chance;
     a text without words has the middle itself and stays. Labels may repeat or
@@ -186,10 +386,13 @@ def classify(
         .join(docs.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id"),
         "lm-trusted",
     )
-    chosen = trusted.where(fold < 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sample = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", id_col)), id_col, "left_semi")  # max_train ids
-    sample = sample.where(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars)
-    found = written(scores(docs, Model(train(sample, text_col)), id_col, text_col, lang_col), "lm-scores")
+    chosen = trusted.where(fold < 4).withColumnRenamed("doc_id", id_col)
+    if max_train is not None:
+        chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(max_train)
+    if trusted.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    sample = docs.join(chosen, id_col, "left_semi")
+    found = written(scores(docs, train(sample, text_col), id_col, text_col, lang_col), "lm-scores")
     held = found.join(trusted.where(fold == 4), "doc_id", "left_semi").where("n_words > 0")
     raw = F.col("nll") / F.col("n_words")
     middles = written(held.groupBy("lang").agg(F.percentile_approx(raw, 0.5, 10_000).alias("middle")), "lm-middles")

@@ -484,18 +484,19 @@ def test_hosts_are_judged_by_shrunk_rates(spark):
 
 
 # 8
+def log_p(spark, trained, asked):
+    """What the model of the trained texts gives to the last word of each asked text, after all before it."""
+    whole = [x.rsplit(" ", 1)[0] if " " in x else "" for x in asked] + asked
+    nll = {r["doc_id"]: r["nll"] for r in rows_of(quality_lm.scores(frame(spark, whole), quality_lm.train(frame(spark, trained))))}
+    return [nll[k] - nll[len(asked) + k] for k in range(len(asked))]
+
+
 def test_probabilities_sum_to_one_and_match_counts(spark):
     texts = ["a b a b a c", "a b c d", "b a", "c c c c"]
-    tables = quality_lm.train(frame(spark, texts))
-    model = quality_lm.Model(tables)
     names = ["a", "b", "c", "d"]
-    hashes = quality_lm.hashed([n.encode() for n in names]).view(np.int64)
-    for context in [(0, 0), (0, hashes[0]), (hashes[0], hashes[1]), (hashes[3], hashes[3])]:
-        total = sum(math.exp(model.log_p(np.array([*context, w], np.int64))[0]) for w in hashes)
-        rest = math.exp(model.log_p(np.array([*context, 12345], np.int64))[0]) * (quality_lm.WORDS - len(names))
-        assert total + rest == pytest.approx(1, abs=1e-4)
-    bi = {(r["b"], r["c"]) for r in rows_of(tables["bi"])}
-    assert (hashes[0], hashes[1]) in bi and (hashes[3], hashes[0]) not in bi
+    for context in ("", "a ", "a b ", "d d ", "new b "):
+        *each, other = log_p(spark, texts, [context + w for w in [*names, "other"]])
+        assert sum(map(math.exp, each)) + math.exp(other) * (quality_lm.WORDS - len(names)) == pytest.approx(1, abs=1e-9)
 
 
 def kneser_ney(texts: list[str]):
@@ -536,12 +537,10 @@ def test_model_and_verdicts_are_those_of_plain_counts(spark):
     own = random.Random(11)
     words = [f"w{k}" for k in range(300)]
     made = [" ".join(words[min(299, int(own.expovariate(1) ** 2 * 12))] for _ in range(own.randrange(5, 60))) for _ in range(90)]
-    model = quality_lm.Model(quality_lm.train(frame(spark, made)))
     p = kneser_ney(made)
-    number = {w: int(h) for w, h in zip(words, quality_lm.hashed([w.encode() for w in words]).view(np.int64), strict=True)} | {"": 0, "new": 4711}
-    for _ in range(400):
-        a, b, c = own.choice([*words, "", "new"]), own.choice([*words, "new"]), own.choice([*words, "new"])
-        assert float(model.log_p(np.array([number[a], number[b], number[c]], np.int64))[0]) == pytest.approx(math.log(p(a, b, c)), abs=1e-4)
+    asked = [[own.choice([*words, "new"]) for _ in range(3)] for _ in range(400)] + [x.split()[k : k + 3] for x in made for k in range(3)]
+    for (a, b, c), got in zip(asked, log_p(spark, made, [" ".join(x) for x in asked]), strict=True):
+        assert got == pytest.approx(math.log(p(a, b, c)), abs=1e-9)
 
     docs = frame(spark, made)
     labels = spark.createDataFrame([(k, 1, 0) for k in range(80)], "doc_id long, quality int, toxic int")
@@ -558,7 +557,7 @@ def test_model_and_verdicts_are_those_of_plain_counts(spark):
     limit = at([drawn[k] for k in held], 0.8)
     got = {r["doc_id"]: r for r in rows_of(quality_lm.classify(docs, labels, quantile=0.8, margin=1.0))}
     for k in range(90):
-        assert got[k]["log_ppl"] == pytest.approx(drawn[k], abs=1e-4) and got[k]["threshold"] == pytest.approx(limit, abs=1e-4)
+        assert got[k]["log_ppl"] == pytest.approx(drawn[k], abs=1e-9) and got[k]["threshold"] == pytest.approx(limit, abs=1e-4)
         assert got[k]["kept"] == (drawn[k] <= limit) or abs(drawn[k] - limit) < 1e-4
     assert 0 < sum(not r["kept"] for r in got.values()) < 60
 
@@ -571,29 +570,58 @@ def test_scores_are_the_models_and_junk_goes(spark):
     got = {r["doc_id"]: r for r in rows_of(quality_lm.classify(docs, labels, max_train=60))}
     assert len(got) == 137 and all(got[k]["kept"] for k in range(120)) and not any(got[k]["kept"] for k in range(120, 130))
     assert got[130]["kept"] and got[130]["n_words"] == 0
-    model = quality_lm.Model(quality_lm.train(docs.where("doc_id < 50")))
-    scored = {r["doc_id"]: r["nll"] for r in rows_of(quality_lm.scores(docs, model))}
-    for k in (60, 125):
-        seq = np.concatenate([np.zeros(2, np.int64), quality_lm.hashed(quality_lm._tokens((good + junk)[k].encode())).view(np.int64)])
-        assert scored[k] == pytest.approx(-float(model.log_p(seq).astype(float).sum()), rel=1e-6)
 
 
-def test_three_thousand_trusted_documents_train(spark, monkeypatch):
+def test_all_trusted_documents_train_but_those_held_out(spark, monkeypatch):
     sizes, train = [], quality_lm.train
     monkeypatch.setattr(quality_lm, "train", lambda sample, text_col: sizes.append(sample.count()) or train(sample, text_col))
-    docs = frame(spark, [f"a b {k % 7}" for k in range(4000)])
-    quality_lm.classify(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
-    assert sizes == [3000]
-
-
-def test_long_trusted_texts_do_not_train_but_are_scored(spark, monkeypatch):
-    trained, train = [], quality_lm.train
-    monkeypatch.setattr(quality_lm, "train", lambda sample, text_col: trained.extend(r["text"] for r in rows_of(sample)) or train(sample, text_col))
-    docs = frame(spark, [f"a b {'c' * (k % 3)}" for k in range(60)] + ["a b " * 5000, None])
+    docs = frame(spark, [f"a b {k % 7}" for k in range(4999)] + ["a b " * 50_000])
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
-    got = {r["doc_id"]: r for r in rows_of(quality_lm.classify(docs, labels, max_chars=5))}
-    assert trained and all(text is None or len(text) <= 5 for text in trained) and any(text == "a b c" for text in trained)
-    assert len(got) == 62 and got[60]["n_words"] == 10_000
+    got = {r["doc_id"]: r for r in rows_of(quality_lm.classify(docs, labels))}
+    monkeypatch.setattr(quality_lm, "BROADCAST_IDS", 0)
+    quality_lm.classify(docs, labels)
+    train_ids = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) < 4).count()
+    assert sizes == [train_ids, train_ids] and 3900 < train_ids < 4100
+    assert len(got) == 5000 and got[4999]["n_words"] == 100_000
+
+
+def test_keys_filters_and_blocks_by_themselves():
+    own, made = random.Random(5), [prose(own_length, 70 + k) for k, own_length in enumerate([0, 1, 2, 400, 30, 30, 900, 5])]
+    keys = np.unique(np.array([own.getrandbits(64) for _ in range(3000)], np.uint64))
+    assert (quality_lm._unpacked_keys(quality_lm._packed_keys(keys)) == keys).all()
+    for power in (0, 1, 5):
+        known = quality_lm.Filter(power)
+        for no, at in quality_lm._cuts(keys, power):
+            known.bits[no * known.each // 8 : (no + 1) * known.each // 8] = np.frombuffer(known.slice_of(keys[at]), np.uint8)
+        others = np.array([own.getrandbits(64) for _ in range(3000)], np.uint64)
+        assert known.knows(keys).all() and known.knows(others).sum() < 30
+        assert sum(at.stop - at.start for _, at in quality_lm._cuts(keys, power)) == len(keys)
+    # a block read with an open filter asks for all n-grams; in ranges of three words it gives what it gives in one
+    known.bits[:] = 255
+    words = quality_lm.hashed([w for x in made for w in x.encode().split()])
+    names, codes = np.unique(words, return_inverse=True)
+    block = quality_lm._Block(names, codes.astype(np.int32), known)
+    facts = np.array([[own.randrange(4) for _ in block.asks] for _ in quality_lm.FACTS])
+    facts[1] = facts[2:].sum(axis=0) * 2
+    cuts = ([0.5, 0.6, 0.7], [0.4, 0.5, 0.6], [0.3, 0.4, 0.5])
+    whole = block.log_p(facts, cuts, 100, 1e-6)
+    before, quality_lm.RANGE = quality_lm.RANGE, 3
+    try:
+        assert (block.log_p(facts, cuts, 100, 1e-6) == whole).all() and len(whole) == len(words) - 2
+    finally:
+        quality_lm.RANGE = before
+
+
+def test_many_shards_and_blocks_give_the_same_scores(spark, monkeypatch):
+    made = [prose(n, 70 + k) for k, n in enumerate([0, 1, 2, 400, 30, 30, 900, 5])]
+    docs = frame(spark, made * 3).coalesce(1)
+    one = {r["doc_id"]: r["nll"] for r in rows_of(quality_lm.scores(docs, quality_lm.train(frame(spark, made[2:]))))}
+    monkeypatch.setattr(quality_lm, "SHARD", 100)  # the driver's: the number of shards
+    monkeypatch.setattr(quality_lm, "ASKS_EACH", 0.02)  # the driver's: the number of copies
+    model = quality_lm.train(frame(spark, made[2:]))
+    assert model.known.power >= 5 and model.shards.count() > 20
+    many = {r["doc_id"]: r["nll"] for r in rows_of(quality_lm.scores(frame(spark, made * 3).repartition(5), model))}
+    assert many.keys() == one.keys() and all(many[k] == pytest.approx(one[k], abs=1e-9) for k in one)
 
 
 # 9

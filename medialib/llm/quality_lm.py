@@ -14,6 +14,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,7 @@ class Model:
 def train(trusted: DataFrame, text_col: str = "text") -> Model:
     """The counts of the given texts' words, pairs and triples, in shards."""
     spark, folder = trusted.sparkSession, f"lm-{uuid.uuid4().hex}"
+    later = f"{folder}-packed"
     rows = picked(trusted, text_col).mapInArrow(_trigrams, "a long, b long, c long")
     c3 = written(rows.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "three", within=folder)
     c2 = written(c3.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "two", within=folder)
@@ -162,13 +164,6 @@ def train(trusted: DataFrame, text_col: str = "text") -> Model:
         own = [F.col(c) if c in df.columns else F.lit(0) for c in FACTS]
         return df.select(F.lit(len(words)).alias("words"), *[w.cast("long").alias(f"w{k}") for k, w in enumerate(of)], *[c.cast("long").alias(n) for n, c in zip(FACTS, own, strict=True)])
 
-    union = facts(c3, "a", "b", "c")
-    for more in (
-        facts(c2, "b", "c"), facts(c1, "c"),
-        facts(c3.groupBy("a", "b").agg(*classes), "a", "b"), facts(c2.groupBy("b").agg(*classes), "b"),
-    ):
-        union = union.unionByName(more)
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, held = [], [], 0
 
@@ -200,10 +195,15 @@ def train(trusted: DataFrame, text_col: str = "text") -> Model:
         return pa.Table.from_batches([row]).append_column("bits", pa.array([Filter(power).slice_of(keys)], pa.binary()))
 
     shape = "shard long, size long, keys binary, facts binary"
-    shards = written(union.mapInArrow(packed, shape).groupBy("shard").applyInArrow(merged, f"{shape}, bits binary"), "lm-shards")
     first = c1.agg(*classes).first()
     total = first["total"] or 0
+    contexts = facts(c3.groupBy("a", "b").agg(*classes), "a", "b"), facts(c2.groupBy("b").agg(*classes), "b")
+    counts = facts(c3, "a", "b", "c"), facts(c2, "b", "c"), facts(c1, "c")
+    # each is stored by itself, and what it was made of goes first, so that little lies on disk at a time
+    pairs, rest = (written(reduce(DataFrame.unionByName, x).mapInArrow(packed, shape), "packed", within=later) for x in (contexts, counts))
     clear(spark, folder)
+    shards = written(pairs.unionByName(rest).groupBy("shard").applyInArrow(merged, f"{shape}, bits binary"), "lm-shards")
+    clear(spark, later)
     for row in shards.select("shard", "bits").toLocalIterator():
         known.bits[row["shard"] * known.each // 8 : (row["shard"] + 1) * known.each // 8] = np.frombuffer(row["bits"], np.uint8)
     taken = sum(d * first[name] for d, name in zip(cuts[0], FACTS[2:], strict=True)) / total if total else 1.0

@@ -31,7 +31,7 @@ PRIOR_WORDS = 30.0
 #: N-grams of a shard of the model; words of a block of texts, which asks for an n-gram once; what is worked on at a time.
 SHARD, BLOCK_WORDS, RANGE = 1 << 20, 1 << 21, 1 << 20
 #: Bits of the filter for a shard, and for all shards at most; asked n-grams for each of the model's before shards are copied.
-SLICE, MOST_BITS, ASKS_EACH = 1 << 24, 1 << 31, 8
+SLICE, MOST_BITS, ASKS_EACH = 1 << 22, 1 << 31, 8
 #: Trusted ids (8 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 22
 #: What the model has of an n-gram: its count (of the contexts before it, below trigrams), and as a context its total

@@ -617,3 +617,20 @@ def duck():
     for path in Path(SMALL).iterdir():
         connection.execute(f"CREATE VIEW {path.name.removesuffix('.parquet')} AS SELECT * FROM '{path}{'/*' * path.is_dir()}'")
     return connection
+
+
+@pytest.mark.parametrize("width, height", [(18, 16), (20, 11), (9, 8)])
+def test_hash_of_whole_frames_is_that_of_their_points(spark, width, height):
+    own = random.Random(width)
+    shots = {n: bytes(own.choice([own.randrange(256), 7]) for _ in range(width * height)) for n in range(300)}
+    points = [(n, 0, k % width, k // width, b) for n in range(9) for k, b in enumerate(shots[n])]
+    by_point = {r.media_pk: r.hash for r in frames.difference_hash(spark.createDataFrame(points, "media_pk long, frame_no int, x int, y int, luma int"), width, height).collect()}
+    rows = spark.createDataFrame([*shots.items(), (900, None)], "media_pk long, pixels binary").coalesce(1)
+    made = {r.media_pk: r.hash for r in rows.select("media_pk", frames.frame_hash(F.col("pixels"), width, height).alias("hash")).collect()}
+    assert made[900] is None and {n: made[n] for n in by_point} == by_point and len(made) == 301
+
+
+def test_frame_hash_queries_shuffle_posts_alone(spark):
+    for name in ("dhash", "fingerprint_job"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Window" not in plan and "HashAggregate" not in plan

@@ -10,6 +10,7 @@ from ..operators import library, posts
 from ..sources.staging import staged
 from .posts import KIND
 from .query import query
+from .tagging import evenly
 
 X = "unnest(string_split(tags, chr(10)))"
 CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(trim(x), '^#+|#+$', ''))), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), '-')"
@@ -88,7 +89,7 @@ def asset_name(v):
            SELECT path, regexp_replace({SAFE.format('trim(' + TIDY + ')')}, '[ .]+$', '') || CASE WHEN idx = 0 THEN '' ELSE '_' || lpad(idx::VARCHAR, 2, '0') END || regexp_extract(path, '(\\.[^.]+)$', 1) AS n FROM files f JOIN media m ON m.pk = f.media_pk)""")
 def file_name_plan(v):
     """Every file's target name, and whether it differs from what it has."""
-    base = v.media.select(F.col("pk").alias("media_pk"), named(v).alias("base"))
+    base = evenly(v.media, "pk").select(F.col("pk").alias("media_pk"), named(v).alias("base"))
     ext = F.regexp_extract("path", r"(\.[^.]+)$", 1)
     rows = v.files.join(base, "media_pk").select("path", T.asset_name(F.col("base"), F.when(F.col("idx") > 0, F.col("idx")), ext).alias("target"))
     return rows.withColumn("renamed", F.col("target") != F.regexp_extract("path", r"([^/]+)$", 1))
@@ -115,7 +116,7 @@ BESIDE = f"""n AS (SELECT k, pk AS media_pk, regexp_replace({SAFE.format('trim('
   UNION ALL SELECT kind, path, path, false FROM p WHERE path = folder || stem || ext""")
 def rename_manifest(v):
     """What a renaming job moves: files, thumbnails and sidecars, past names that are in use."""
-    names = v.media.select("k", F.col("pk").alias("media_pk"), named(v).alias("base"))
+    names = staged(evenly(v.media, "pk").select("k", F.col("pk").alias("media_pk"), named(v).alias("base")))  # costs much, and is asked for often
     files = v.files.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1))
     made = [
         (files.where("(k + idx) % 3 <> 0"), "/thumbs/", "stem", ".jpg"), (files.where("(k + idx) % 4 <> 0"), "/meta/", "stem", ".json"),

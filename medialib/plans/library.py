@@ -110,7 +110,7 @@ def push_by_folder(v):
 
 @query(f"SELECT DISTINCT media_pk, collection_pk, folder_id FROM ({SENT})")
 def push_marks(v):
-    return library.push_by_folder(shelves(v), library.existing(v.files, v.disk_inventory), v.review, on_shelf(v))[1]
+    return library.push_marks(shelves(v), library.existing(v.files, v.disk_inventory), v.review, on_shelf(v))
 
 
 @query("SELECT media_pk, min(collection_pk) AS collection_pk FROM membership WHERE media_pk NOT IN (SELECT media_pk FROM imports) GROUP BY media_pk")

@@ -634,3 +634,35 @@ def test_frame_hash_queries_shuffle_posts_alone(spark):
     for name in ("dhash", "fingerprint_job"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Window" not in plan and "HashAggregate" not in plan
+
+
+def test_free_names_of_asked_names_by_windows_and_by_ranges(spark):
+    own = random.Random(9)
+    wanted = [(f"/old/{k:03}", "/x/", own.choice(["a", "a", "a", "b", "c", "c_2"]), ".jpg") for k in range(120)]
+    disk = spark.createDataFrame([(f"/x/{n}.jpg",) for n in ("a", "a_2", "a_7", "b_3", "zz_9", "plain")], "path string")
+    rows = spark.createDataFrame(wanted, "path string, folder string, stem string, ext string")
+    made = [{r.path: r.final for r in library.free_names(rows, disk, ["path"], most).collect()} for most in (1, 40, 1000)]
+    assert made[0] == made[1] == made[2] and len(set(made[0].values())) == 120
+
+
+
+
+def test_push_marks_number_no_files(spark, monkeypatch):
+    def refuse(*args):
+        raise AssertionError("marks need no numbers")
+
+    monkeypatch.setattr(library, "numbered", refuse)
+    assert registry.QUERIES["push_marks"](spark, "/root/testdata/sf0.001").columns == ["media_pk", "collection_pk", "folder_id"]
+
+
+def test_empty_names_are_told_without_a_second_evaluation(spark):
+    value = F.concat(F.rand(1).cast("string"), F.lit("x"))
+    made = spark.range(1).select(T.safe_component(value))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("rand(1)") == 1
+
+
+def test_tags_are_folded_by_one_small_function(spark):
+    rows = spark.createDataFrame([(["Close Up", None, "#calm"], None), (["calm", "calm", "zz", "zz"], "image")], "tags array<string>, mode string")
+    made = rows.select(F.inline(F.array(tags.normalized(F.col("tags"), F.col("mode"), vocabulary.starter()))))
+    assert [(r.kept, r.dropped) for r in made.collect()] == [([W.MARKER], ["close-up", "calm"]), (["calm", W.MARKER], ["zz", "zz"])]
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()

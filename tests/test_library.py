@@ -657,7 +657,7 @@ def test_push_marks_number_no_files(spark, monkeypatch):
 
 def test_empty_names_are_told_without_a_second_evaluation(spark):
     value = F.concat(F.rand(1).cast("string"), F.lit("x"))
-    made = spark.range(1).select(T.safe_component(value))
+    made = spark.range(1).select(T.safe_component(value).alias("name"))
     assert made._jdf.queryExecution().optimizedPlan().toString().count("rand(1)") == 1
 
 

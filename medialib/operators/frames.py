@@ -31,12 +31,13 @@ def fit_plan(plans: DataFrame, overhead: int = 3500) -> DataFrame:
     """plans (count, side, context) with fit_count and fit_side: the side is made smaller by 128 down to 512, then frames fewer down to 3, until they fit."""
     steps = F.greatest(F.lit(0), F.ceil((F.col("side") - 512) / 128)).cast("int")
     sides = F.transform(F.sequence(F.lit(0), steps), lambda i: F.when(i == 0, F.col("side")).otherwise(F.greatest(F.lit(512), F.col("side") - 128 * i)))
-    last = F.element_at(sides, -1)
-    counts = F.when(F.col("count") > 3, F.sequence(F.col("count") - 1, F.lit(3), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    ladder = F.concat(F.transform(sides, lambda s: F.struct(F.col("count").alias("count"), s.alias("side"))), F.transform(counts, lambda c: F.struct(c.alias("count"), last.alias("side"))))
-    fits = F.filter(ladder, lambda x: x["count"] * tokens_per_frame(x["side"]) + overhead <= F.col("context"))
-    chosen = F.when(F.size(fits) > 0, F.element_at(fits, 1)).otherwise(F.element_at(ladder, -1))
-    return plans.withColumn("fit", chosen).withColumn("fit_count", F.col("fit.count")).withColumn("fit_side", F.col("fit.side")).drop("fit")
+    last, room = F.element_at(sides, -1), F.col("context") - overhead
+    fits = F.filter(sides, lambda s: F.col("count") * tokens_per_frame(s) <= room)
+    plans = plans.withColumn("_side", F.get(fits, F.lit(0))).withColumn("_any", F.size(fits) > 0)
+    # of the smallest side as many frames as there is room for, which a division tells
+    most = F.coalesce(F.call_function("div", room.cast("long"), tokens_per_frame(last)), F.lit(0))
+    fewer = F.when(F.col("count") > 3, F.greatest(F.lit(3), F.least(F.col("count") - 1, most)).cast("int")).otherwise(F.col("count"))
+    return plans.withColumn("fit_count", F.when(F.col("_any"), F.col("count")).otherwise(fewer)).withColumn("fit_side", F.when(F.col("_any"), F.col("_side")).otherwise(last)).drop("_side", "_any")
 
 
 def even_positions(total: Column, count: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeezed, stripped, text
+from ..functions.text import let, squeezed, stripped, text, unless_empty
 from ..sources.vocabulary import CORE, HIDDEN, Vocabulary
 
 #: Examples of a request, letters of each, and of a caption and a transcript.
@@ -32,8 +34,8 @@ def render(vocabulary: Vocabulary, mode: Column, profiles: Column) -> Column:
         if not c.tags or HIDDEN in c.profiles:
             continue
         head = f"{c.title or c.key} — pick 0-{c.limit}" + (f"  ({c.note})" if c.note else "")
-        own = F.array(*map(F.lit, c.profiles or (CORE,)))
-        shown = F.lit(CORE in (c.profiles or (CORE,))) | profiles.isNull() | F.arrays_overlap(own, profiles)
+        own = c.profiles or (CORE,)
+        shown = F.lit(True) if CORE in own else reduce(lambda a, p: a | F.array_contains(profiles, p), own, profiles.isNull())
         fits = F.lit(True) if c.mode == "both" else mode == c.mode
         blocks.append(F.when(fits & shown, F.lit(head + "\n" + ", ".join(c.tags))))
     return F.concat_ws("\n\n", *blocks)
@@ -47,9 +49,23 @@ def render_examples(examples: Column) -> Column:
 
 
 def _filled(template: Column, values: dict[str, Column]) -> Column:
-    for name, value in values.items():
-        template = F.replace(template, F.lit("{" + name + "}"), value)
-    return template
+    """The template with its places filled, one name after the other; taxonomy is the first.
+
+    The lists are much longer than all else, so they are put in last, where that
+    gives the same text: they hold no place nor a part of one, and what was put
+    in before has made no new place for them.
+    """
+    lists, place = values["taxonomy"], F.lit("{taxonomy}")
+
+    def rest(filled: Column) -> Column:
+        for name, value in values.items():
+            filled = F.replace(filled, F.lit("{" + name + "}"), value) if name != "taxonomy" else filled
+        return filled
+
+    plain = (F.octet_length(lists) > max(map(len, values)) + 2) & ~F.contains(lists, F.lit("{")) & ~F.contains(lists, F.lit("}"))
+    taken = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, place, F.lit("")))
+    last = lambda own, short: F.when(plain & (taken(short) == taken(own)), F.replace(short, place, lists)).otherwise(rest(F.replace(own, place, lists)))
+    return let(template, lambda own: let(rest(own), lambda short: last(own, short)))
 
 
 def _shape(frames: Column, kind: Column, mode: Column) -> dict[str, Column]:
@@ -61,8 +77,11 @@ def _shape(frames: Column, kind: Column, mode: Column) -> dict[str, Column]:
 
 def prompt(template: Column, frames: Column, kind: Column, mode: Column, lists: Column, examples: Column, default: str = SINGLE_PASS) -> Column:
     """A template with its places filled; an empty one is the default. examples: an array of texts."""
-    own = F.coalesce(F.nullif(stripped(text(template)), F.lit("")), F.lit(default))
-    return _filled(own, {"taxonomy": text(lists), "examples": render_examples(examples)} | _shape(frames, kind, mode))
+    return _prompt(template, frames, kind, mode, lists, render_examples(examples), default)
+
+
+def _prompt(template: Column, frames: Column, kind: Column, mode: Column, lists: Column, examples: Column, default: str = SINGLE_PASS) -> Column:
+    return _filled(unless_empty(stripped(text(template)), F.lit(default)), {"taxonomy": text(lists), "examples": examples} | _shape(frames, kind, mode))
 
 
 def tag_prompt(template: Column, frames: Column, kind: Column, mode: Column, lists: Column, summary: Column, description: Column, screen: Column) -> Column:
@@ -82,15 +101,17 @@ def context(username: Column, caption: Column, hint: Column, transcript: Column)
 
 
 def request_batch(posts: DataFrame, hints: DataFrame, examples: list[str], vocabulary: Vocabulary) -> DataFrame:
-    """pk, request, tag_request of posts (pk, username, caption, kind, mode, frames, profiles, template, transcript, summary, description, screen_text).
+    """pk, request, tag_request, told of posts (pk, username, caption, kind, mode, frames, profiles, template, transcript, summary, description, screen_text).
 
-    hints: media_pk, hint, tutorial. The context follows each prompt after an empty line. Posts with equal pk have a row each.
+    hints: media_pk, hint, tutorial. The context (told) follows each prompt after an empty line. Posts with equal pk have a row each.
+    The examples are the same for all posts and are rendered once, when this is called.
     """
     hint = F.when(F.col("tutorial"), F.concat("hint", F.lit(TUTORIAL_HINT))).otherwise(F.col("hint"))
     rows = posts.join(hints.select(F.col("media_pk").alias("pk"), hint.alias("_hint")), "pk", "left")
     rows = rows.withColumn("_lists", render(vocabulary, F.col("mode"), F.col("profiles"))).withColumn("_told", context(F.col("username"), F.col("caption"), F.col("_hint"), F.col("transcript")))
     shape = [F.col(c) for c in ("template", "frames", "kind", "mode", "_lists")]
-    first = prompt(*shape, F.array(*map(F.lit, examples)).cast("array<string>"))
+    lines = posts.sparkSession.range(1).select(render_examples(F.array(*map(F.lit, examples)).cast("array<string>"))).first()[0]
+    first = _prompt(*shape, F.lit(lines))
     second = tag_prompt(F.lit(""), *shape[1:], F.col("summary"), F.col("description"), F.col("screen_text"))
     told = F.nullif("_told", F.lit(""))
-    return rows.select("pk", F.concat_ws("\n\n", first, told).alias("request"), F.concat_ws("\n\n", second, told).alias("tag_request"))
+    return rows.select("pk", F.concat_ws("\n\n", first, told).alias("request"), F.concat_ws("\n\n", second, told).alias("tag_request"), F.col("_told").alias("told"))

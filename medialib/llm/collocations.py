@@ -39,6 +39,8 @@ SLICE = 1 << 15
 #: Prefixes with more than this share of all words have stripes in sections.
 SECTION_SHARE = 1 << 12
 SECTION_WORDS = 1 << 24
+#: Words of all texts for each part in which stripes are sent and added, at most.
+PART_WORDS = 1 << 21
 
 
 def lang_numbers(langs: list[str]) -> np.ndarray:
@@ -168,11 +170,12 @@ def _sections(prefix: np.ndarray, following: np.ndarray, hot: np.ndarray, parts:
     return (mixed(following) % n).astype(np.int64)
 
 
-def stripes(docs: DataFrame, size: int, known, hot) -> DataFrame:
-    """The stripes of phrases of size words, a task's each: w1 … (the prefix), section, following, counts.
+def stripes(docs: DataFrame, size: int, known, hot, parts: int) -> DataFrame:
+    """The stripes of phrases of size words, in a row for each part of a group of texts: part, w1 … (the stripes' prefixes), sizes (of the stripes), following, counts.
 
     known: broadcast filter of the phrases one word shorter. hot: broadcast
-    keys of prefixes, sorted, and their numbers of sections.
+    keys of prefixes, sorted, and their numbers of sections. A stripe's part, of
+    so many, comes from its prefix and section.
     """
     names = [f"w{k}" for k in range(1, size)]
 
@@ -194,54 +197,60 @@ def stripes(docs: DataFrame, size: int, known, hot) -> DataFrame:
             _, first, n = np.unique(phrase_keys(words), return_index=True, return_counts=True)
             words = [w[first] for w in words]
             prefix = phrase_keys(words[:-1])
-            section = _sections(prefix, words[-1], *hot.value)
-            order = np.lexsort((section, prefix))
-            prefix, section = prefix[order], section[order]
-            head = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (section[1:] != section[:-1])))
-            offsets = pa.array(np.append(head, len(prefix)).astype(np.int32))
+            section = _sections(prefix, words[-1], *hot.value).astype(np.uint64)
+            own = mixed(prefix + section)  # a stripe's number
+            part = (own % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((own, part))
+            own, part = own[order], part[order]
+            head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            by_stripe = pa.array(np.append(np.searchsorted(head, begin), len(head)).astype(np.int32))
+            by_word = pa.array(np.append(begin, len(own)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[signed(w[order][head]) for w in words[:-1]], pa.array(section[head], pa.int64()),
-                    pa.ListArray.from_arrays(offsets, signed(words[-1][order])), pa.ListArray.from_arrays(offsets, pa.array(n[order], pa.int64())),
+                    pa.array(part[begin], pa.int64()), *[pa.ListArray.from_arrays(by_stripe, signed(w[order][head])) for w in words[:-1]],
+                    pa.ListArray.from_arrays(by_stripe, pa.array(np.diff(np.append(head, len(own))).astype(np.int32), pa.int32())),
+                    pa.ListArray.from_arrays(by_word, signed(words[-1][order])), pa.ListArray.from_arrays(by_word, pa.array(n[order], pa.int64())),
                 ],
-                names=[*names, "section", "following", "counts"],
+                names=["part", *names, "sizes", "following", "counts"],
             )
 
-    return docs.mapInArrow(counted, ", ".join(f"{c} long" for c in names) + ", section long, following array<long>, counts array<long>")
+    return docs.mapInArrow(counted, "part long, " + ", ".join(f"{c} array<long>" for c in names) + ", sizes array<int>, following array<long>, counts array<long>")
 
 
-def merged(rows: DataFrame, size: int, least: int) -> DataFrame:
-    """w1 … w<size>, a: the phrases that have least occurrences in the stripes, which are added elementwise by prefix and section."""
-    names = [*(f"w{k}" for k in range(1, size)), "section"]
-    result = [*names[:-1], f"w{size}", "a"]
+def merged(rows: DataFrame, size: int, least: int, tasks: int) -> DataFrame:
+    """w1 … w<size>, a: the phrases that have least occurrences in the stripes, which are added elementwise, one part after the other."""
+    names = [f"w{k}" for k in range(1, size)]
+    result = [*names, f"w{size}", "a"]
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None  # prefix, section, following, counts of the stripe that the next batch may go on with
-
-        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-            often = columns[-1] >= least
-            return pa.RecordBatch.from_arrays([pa.array(c[often], pa.int64()) for c in (*columns[: size - 1], *columns[size:])], names=result)
-
+        held: list[list[np.ndarray]] = []  # the words and counts of the part that the next row may go on with
+
+        def out() -> pa.RecordBatch:
+            *words, n = [np.concatenate(x) for x in zip(*held, strict=True)]
+            keys = phrase_keys([w.view(np.uint64) for w in words])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            total = np.add.reduceat(n[order], head)
+            often = total >= least
+            at = order[head[often]]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*[w[at] for w in words], total[often])], names=result)
+
+        last = None
         for batch in batches:
-            lists = batch.column("following")
-            sizes = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1])
-            columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in names]
-            columns += [lists.flatten().to_numpy(), batch.column("counts").flatten().to_numpy()]
-            if kept is not None:
-                columns = [np.concatenate(x) for x in zip(kept, columns, strict=True)]
-            if not len(columns[0]):
-                continue
-            order = np.lexsort(columns[-2::-1])
-            columns = [c[order] for c in columns]
-            head = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:-1]])))
-            columns = [*[c[head] for c in columns[:-1]], np.add.reduceat(columns[-1], head)]
-            ends = np.logical_and.reduce([c == c[-1] for c in columns[:size]])
-            kept = [c[ends] for c in columns]
-            yield out([c[~ends] for c in columns])
-        if kept is not None:
-            yield out(kept)
+            for k, part in enumerate(batch.column("part").to_pylist()):
+                if held and part != last:
+                    yield out()
+                    held = []
+                last = part
+                prefix, (sizes, following, counts) = ([batch.column(c)[k].values.to_numpy() for c in x] for x in (names, ["sizes", "following", "counts"]))
+                held.append([*[np.repeat(w, sizes) for w in prefix], following, counts])
+        if held:
+            yield out()
 
-    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(added, ", ".join(f"{c} long" for c in result))
+    dealt = rows.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part")
+    return dealt.mapInArrow(added, ", ".join(f"{c} long" for c in result))
 
 
 def _hot(spark, phrases: DataFrame, size: int, total: int):
@@ -266,10 +275,12 @@ def phrases_by_size(docs: DataFrame, most_words: int, least: int) -> tuple[DataF
     words = counted.where("word is not null").select("lang", "word", F.col("w").alias("w1"), F.col("n").alias("a"))
     total = langs.agg(F.sum("n")).first()[0] or 0
     found = [words.select("w1", "a")]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks * max(1, -(-total // (tasks * PART_WORDS)))
     for size in range(2, most_words + 1):
         before = found[-1]
         known = spark.sparkContext.broadcast(phrase_filter(before, size - 1))
-        found.append(written(merged(stripes(docs, size, known, _hot(spark, before, size - 1, total)), size, least), f"phrases-{size}"))
+        found.append(written(merged(stripes(docs, size, known, _hot(spark, before, size - 1, total), parts), size, least, tasks), f"phrases-{size}"))
     return langs, words, found
 
 

@@ -8,6 +8,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from medialib.llm import collocations, filter_audit, source_mix
 from tests.llm.test_operators import frame, prose, rows_of
@@ -203,6 +204,23 @@ def test_collocations_of_empty_tables_and_frequent_prefixes(spark):
     assert {(r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in got} >= {("c c", 30, 31, 31, 40_031, 967_741)}
 
 
+def test_stripes_of_a_part_travel_in_one_row(spark, monkeypatch):
+    """Rows of a level go with the groups of texts and the parts, not with how many prefixes there are."""
+    sent, made = [], collocations.stripes
+    monkeypatch.setattr(collocations, "stripes", lambda *a: sent.append((rows := made(*a)).select("part", F.size("sizes"), F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).collect()) or rows)
+    texts = [f"p{k} q{k} r{k}" for k in range(500)] * 6
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").coalesce(1)
+    for part_words in (1 << 21, 300):
+        monkeypatch.setattr(collocations, "PART_WORDS", part_words)  # the driver's: the number of parts
+        sent.clear()
+        found = collocations.phrases_by_size(docs, 3, 5)[2]
+        assert [df.count() for df in found] == [1500, 1000, 500]
+        parts = 4 if part_words > 9000 else 32
+        for rows, prefixes, places in zip(sent, (1000, 500), (6000, 3000), strict=True):
+            assert len(rows) == len({r[0] for r in rows}) <= parts
+            assert (sum(r[1] for r in rows), sum(r[2] for r in rows)) == (prefixes, places)
+
+
 def test_filters_lose_no_phrase(spark):
     words = spark.createDataFrame([(k * 7919, k) for k in range(-20_000, 20_000)], "w1 long, a long")
     made = collocations.phrase_filter(words, 1)

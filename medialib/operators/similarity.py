@@ -67,6 +67,11 @@ def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt out to as many tasks as a shuffle has: what follows costs by keys and pairs, which the bytes of a shuffle don't tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _dealt(hashes: DataFrame, value: str, distance: int, bands: int) -> DataFrame:
     """A row for each choice of bands that agree at least: keep (the bands as bits), upto (all bands up to its last) and key, the hash's bits in them."""
     edges = _edges(bands)
@@ -74,7 +79,7 @@ def _dealt(hashes: DataFrame, value: str, distance: int, bands: int) -> DataFram
     rows = []
     for chosen in combinations(range(bands), bands - distance):
         rows.append(f"named_struct('keep', {sum(1 << b for b in chosen)}, 'upto', {(2 << chosen[-1]) - 1}, 'bits', CAST('{_signed(sum(of_band[b] for b in chosen))}' AS BIGINT))")
-    each = hashes.select(value, F.explode(F.expr(f"array({', '.join(rows)})")).alias("_k"))
+    each = _spread(hashes, value).select(value, F.explode(F.expr(f"array({', '.join(rows)})")).alias("_k"))
     return each.select(value, "_k.keep", "_k.upto", F.col(value).bitwiseAND(F.col("_k.bits")).alias("key"))
 
 
@@ -104,17 +109,22 @@ def index_of(known: DataFrame, distance: int = 8, bands: int | None = None, aske
 
 
 def _met(asked: DataFrame, index: Index, most: int) -> DataFrame:
-    """Pairs h, g under equal keys; under a key that many have on either side they meet in parts of about `most` by `most`."""
+    """Pairs h, g under equal keys; under a key that many have on either side they meet in parts of about `most` by `most`.
+
+    Both sides are dealt out by key and part: Spark takes a side for as small as its hashes were before they had keys, and would broadcast it.
+    """
     keys = ["keep", "key"]
-    sizes = [rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)) for rows, name in ((asked, "_a"), (index.dealt, "_b"))]
-    hot = sizes[0].join(sizes[1], keys).where((F.col("_a") > most) | (F.col("_b") > most)).select(*keys, *[F.ceil(F.col(c) / most).cast("int").alias(c) for c in ("_a", "_b")])
+    of = lambda rows, a: rows.select(*keys, F.lit(a).alias("_a"), F.lit(1 - a).alias("_b"))
+    sizes = of(asked, 1).unionByName(of(index.dealt, 0)).groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    hot = sizes.where(((F.col("_a") > most) | (F.col("_b") > most)) & (F.col("_a") > 0) & (F.col("_b") > 0)).select(*keys, *[F.ceil(F.col(c) / most).cast("int").alias(c) for c in ("_a", "_b")])
 
     def salted(rows: DataFrame, value: str, own: str, other: str) -> DataFrame:
         rows = rows.join(hot, keys, "left")
         place, copies = F.pmod(F.xxhash64(value), F.coalesce(own, F.lit(1))), F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
-        return rows.withColumn(f"{own}_no", place.cast("int")).withColumn(f"{other}_no", F.explode(copies)).drop("_a", "_b")
+        return _spread(rows.withColumn(f"{own}_no", place.cast("int")).withColumn(f"{other}_no", F.explode(copies)).drop("_a", "_b"), *meet)
 
-    return salted(asked, "h", "_a", "_b").drop("upto").join(salted(index.dealt, "g", "_b", "_a"), [*keys, "_a_no", "_b_no"])
+    meet = [*keys, "_a_no", "_b_no"]
+    return salted(asked.drop("upto"), "h", "_a", "_b").join(salted(index.dealt, "g", "_b", "_a").hint("merge"), meet)
 
 
 def near_hashes(asked: DataFrame, index: Index, few: int = 64, most: int = 4096) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 import time
 from pathlib import Path
 
@@ -565,6 +566,19 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
+def test_dealt_hashes_are_not_broadcast(spark):
+    """Keys are dealt out by a stated number of tasks, and no side of them goes through the driver, though the hashes before them are few bytes."""
+    rows = spark.range(400).select(F.col("id").cast("string").alias("pk"), F.xxhash64("id").alias("hash"))
+    index = similarity.index_of(rows, 8, 10)
+    near = similarity.near_hashes(rows.select(F.col("hash").alias("h")), index)
+    assert near.count() >= 200
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    assert re.search(r"SortMergeJoin \[keep#\w+, key#\w+, _a_no", plan) and not re.search(r"Broadcast\w+Join \[keep#\w+, key#\w+, _a_no", plan)
+    assert plan.count("REPARTITION_BY_NUM") >= 4
+
+
 @pytest.mark.parametrize("bands, few, most", [(9, 0, 4096), (10, 0, 3), (11, 0, 50), (12, 0, 7), (None, 0, 4096), (None, 10**6, 4096)])
 def test_near_hashes_are_those_of_all_pairs(spark, bands, few, most):
     """Clusters around a few hashes, so that some keys have hundreds, split or not, with any number of bands."""

@@ -502,6 +502,18 @@ def test_items_by_folder_and_their_push(spark):
     assert sorted(tuple(r) for r in marks.collect()) == [("1", "c2", "f2"), ("3", "c2", "f2")]
 
 
+def test_a_push_takes_the_folders_that_lack_the_post(spark):
+    """Of a collection's two folders only the one without the item gets it; present has the shelves, so they aren't joined again."""
+    snapshot = spark.createDataFrame([("u1", ["f1"])], "key string, folders array<string>")
+    shelves = spark.createDataFrame([("1", "c1", "f1", "u1"), ("1", "c1", "f9", "u1")], "media_pk string, collection_pk string, folder_id string, url string")
+    present = library.in_library_by_folder(shelves, snapshot, spark.createDataFrame([], "media_pk string, collection_pk string"))
+    files, review = spark.createDataFrame([("1", 0, "a")], "media_pk string, idx int, path string"), spark.createDataFrame([], "media_pk string, decided string")
+    for seen in (present, present.drop("folder_id")):
+        sent, marks = library.push_by_folder(shelves.where("folder_id = 'f9'") if seen is not present else shelves, files, review, seen)
+        assert [(r.folder_id, r.path, r.batch) for r in sent.collect()] == [("f9", "a", 0)]
+        assert [tuple(r) for r in marks.collect()] == [("1", "c1", "f9")]
+
+
 def test_cleanup_and_backlog(spark):
     candidates = spark.createDataFrame([("1", "u1/"), ("2", "u2"), ("3", "")], "pk string, url string")
     files = spark.createDataFrame([("1", "a", "video"), ("1", "b", "thumb"), ("1", "c", "other"), ("1", "gone", "photo"), ("2", "d", "photo")], "media_pk string, path string, kind string")

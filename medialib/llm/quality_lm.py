@@ -1,18 +1,22 @@
 """A quality classifier by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counts, continuation counts and the counts of contexts are Spark tables; they are
-packed into shards by the n-grams' hashes. Texts are scored by joining their
-n-grams, once for each block of texts, with the counts of the model's shards, so
-no task and no driver has the whole model, which grows with the trusted texts.
+Triples are counted in parts, by their last two words; continuation counts and
+the counts of contexts follow from them and are packed into shards by the n-grams'
+hashes. Texts are scored by joining their n-grams, once for each block of texts,
+with the counts of the model's shards, so no task and no driver has the whole
+model, which grows with the trusted texts. Shards are made, and documents scored,
+in a fixed number of rounds, so that only a part of what is shuffled lies on disk
+at a time.
 Every text is scored whole; a document is rejected if its perplexity is above a
 high quantile of the perplexities of held-out trusted documents in its language.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,15 +27,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear, hashed, mixed, picked, texts, written
+from .common import clear, hashed, mixed, picked, ranges, texts, written
 
 #: The word before a text's first one; and how many words the open vocabulary is taken to have.
 BEGIN, WORDS = 0, 1 << 20
 PRIOR_WORDS = 30.0
 #: N-grams of a shard of the model; words of a block of texts, which asks for an n-gram once; what is worked on at a time.
-SHARD, BLOCK_WORDS, RANGE = 1 << 20, 1 << 21, 1 << 20
+SHARD, BLOCK_WORDS, RANGE = 1 << 20, 1 << 20, 1 << 20
 #: Bits of the filter for a shard, and for all shards at most; asked n-grams for each of the model's before shards are copied.
 SLICE, MOST_BITS, ASKS_EACH = 1 << 22, 1 << 31, 8
+#: Words of a chunk of trusted text, in which triples are counted before the shuffle; bytes of text for each part of the counts.
+CHUNK_WORDS, PART_BYTES = 1 << 20, 1 << 24
+#: Rounds in which shards are made, documents are scored (at most), and the blocks of a round ask; bytes of text that a round of
+#: documents is worth, and those of a task of it, about a block.
+SHARD_ROUNDS, DOC_ROUNDS, ASK_ROUNDS = 2, 8, 2
+ROUND_BYTES, TASK_BYTES = 1 << 25, 6 * BLOCK_WORDS
 #: Trusted ids (8 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 22
 #: What the model has of an n-gram: its count (of the contexts before it, below trigrams), and as a context its total
@@ -43,19 +53,9 @@ def _tokens(text: bytes) -> list[bytes]:
     return text.lower().split()  # ASCII letters only
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for text in texts(batch):
-            words = _tokens(text)
-            if words:
-                seq = np.concatenate([np.full(2, BEGIN, np.int64), hashed(words).view(np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(seq[k : len(seq) - 2 + k]) for k in range(3)], names=["a", "b", "c"])
-
-
-def _discounts(counts: DataFrame) -> list[float]:
+def _discounts(times: list[int]) -> list[float]:
     """D1, D2, D3+ of an order from its numbers of n-grams that are counted once to four times."""
-    n = {r.n: r.times for r in counts.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("times")).collect()}
-    n1, n2, n3, n4 = (n.get(k, 0) for k in (1, 2, 3, 4))
+    n1, n2, n3, n4 = times
     if not n1 or not n2:
         return [0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
@@ -97,14 +97,93 @@ def _summed(keys: np.ndarray, facts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, np.add.reduceat(facts[:, order], first, axis=1) if len(own) else facts
 
 
+def _shards(keys: np.ndarray, power: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(keys), np.int64)
+
+
 def _cuts(keys: np.ndarray, power: int) -> Iterator[tuple[int, slice]]:
     """The shards, of 2 ** power, of ascending keys and where each shard's are."""
-    shards = (keys >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(keys), np.int64)
-    own, first = np.unique(shards, return_index=True)
-    for no, begin, end in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+    shards = _shards(keys, power)
+    first = _firsts(shards)
+    for no, begin, end in zip(shards[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
         yield no, slice(begin, end)
 
 
+@dataclass
+class _Triples:
+    """Different triples a, b, c of words, by their places among words (ascending hashes), ascending by b, c and a, with their counts."""
+
+    words: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    c: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def counted(cls, words: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> _Triples:
+        """Those of triples in any order that may repeat."""
+        bits = len(words).bit_length()
+        if 3 * bits < 64:
+            key = b << 2 * bits | c << bits | a
+        else:
+            key = np.unique(b << 32 | c, return_inverse=True)[1] << 32 | a
+        order = np.argsort(key, kind="stable")
+        first = _firsts(key[order])
+        at = order[first]
+        return cls(words, a[at], b[at], c[at], np.add.reduceat(n[order], first) if len(first) else n)
+
+    def some(self, at: np.ndarray) -> _Triples:
+        """The triples at ascending places, with the words that they use."""
+        codes, used = [x[at] for x in (self.a, self.b, self.c)], np.zeros(len(self.words), bool)
+        for x in codes:
+            used[x] = True
+        places = np.cumsum(used) - 1
+        return _Triples(self.words[used], *[places[x] for x in codes], self.n[at])
+
+    def row(self, part: int) -> pa.RecordBatch:
+        values = [_packed_keys(self.words), _packed_keys((self.b << 32 | self.c).view(np.uint64)), _planes(self.a), _planes(self.n)]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *[pa.array([x], pa.binary()) for x in values]], names=["part", "words", "pairs", "a", "n"])
+
+    @classmethod
+    def read(cls, row: dict) -> _Triples:
+        pairs = _unpacked_keys(row["pairs"]).view(np.int64)
+        return cls(_unpacked_keys(row["words"]), _numbers(row["a"]), pairs >> 32, pairs & 0xFFFFFFFF, _numbers(row["n"]))
+
+    def facts(self, within: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Order, ascending keys and counts of the n-grams that begin or end with these triples and whose keys are within; order 0: contexts, with the rest of FACTS.
+
+        The triples have to be all that there are with their b and c; what several such tables tell of a key is to be summed.
+        """
+
+        def sent(order: int, keys: np.ndarray, *values: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+            at = np.flatnonzero(within(keys))
+            at = at[np.argsort(keys[at])]
+            return order, keys[at], np.stack([x[at] for x in values]).astype(np.int64)
+
+        def context(first: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+            for each in (n, n == 1, n == 2, n > 2):
+                yield np.add.reduceat(each.astype(np.int64), first) if len(first) else each
+
+        a, b, c = (self.words[x] for x in (self.a, self.b, self.c))
+        yield sent(3, _keys([a, b, c]), self.n)
+        both = self.b << 32 | self.a
+        order = np.argsort(both)
+        first = _firsts(both[order])
+        yield sent(0, _keys([a[order[first]], b[order[first]]]), *context(first, self.n[order]))
+        pairs = _firsts(self.b << 32 | self.c)
+        times = np.diff(np.append(pairs, len(self.n)))
+        yield sent(2, _keys([b[pairs], c[pairs]]), times)
+        first = _firsts(self.b[pairs])
+        yield sent(0, _keys([b[pairs[first]]]), *context(first, times))
+        times = np.bincount(self.c[pairs], minlength=len(self.words))
+        yield sent(1, _keys([self.words[times > 0]]), times[times > 0])
+
+
+def _firsts(ascending: np.ndarray) -> np.ndarray:
+    """Where each of different values stands first."""
+    return np.flatnonzero(np.append(True, ascending[1:] != ascending[:-1])) if len(ascending) else np.zeros(0, np.int64)
+
+
 class Filter:
     """Bits that tell of a key that the model doesn't have it; those of a shard stand together, so that shards make their own."""
 
@@ -146,68 +225,116 @@ class Model:
     none: float
 
 
+def _counts(trusted: DataFrame, text_col: str, within: str) -> DataFrame:
+    """The different triples of the given texts in parts, those with the same last two words in one."""
+    rows = picked(trusted, text_col)
+    parts = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+
+    def chunk(pieces: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(x) for x in pieces])
+        words, codes = np.unique(np.concatenate(pieces), return_inverse=True)
+        at = ranges(np.cumsum(sizes) - sizes, sizes - 2)
+        found = _Triples.counted(words, codes[at], codes[at + 1], codes[at + 2], np.ones(len(at), np.int64))
+        part = (_keys([words[found.b], words[found.c]]) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        first = _firsts(part[order])
+        for at in np.split(order, first[1:]):
+            yield found.some(at).row(int(part[at[0]]))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, held = [], 0
+        for batch in batches:
+            for text in texts(batch):
+                words = hashed(_tokens(text))
+                seq = np.concatenate([np.full(2, BEGIN, np.uint64), words])
+                for begin in range(0, len(words), CHUNK_WORDS):
+                    pieces.append(seq[begin : begin + CHUNK_WORDS + 2])
+                    held += len(pieces[-1])
+                    if held >= CHUNK_WORDS:
+                        yield from chunk(pieces)
+                        pieces, held = [], 0
+        if pieces:
+            yield from chunk(pieces)
+
+    def merged(rows: pa.Table) -> pa.Table:
+        each = list(map(_Triples.read, rows.to_pylist()))
+        words, places = np.unique(np.concatenate([x.words for x in each]), return_inverse=True)
+        places = np.split(places, np.cumsum([len(x.words) for x in each])[:-1])
+        codes = [np.concatenate([at[getattr(x, name)] for x, at in zip(each, places, strict=True)]) for name in "abc"]
+        found = _Triples.counted(words, *codes, np.concatenate([x.n for x in each]))
+        return pa.Table.from_batches([found.row(rows.column("part")[0].as_py())])
+
+    shape = "part long, words binary, pairs binary, a binary, n binary"
+    return written(rows.mapInArrow(chunks, shape).groupBy("part").applyInArrow(merged, shape), "triples", within=within)
+
+
 def train(trusted: DataFrame, text_col: str = "text") -> Model:
-    """The counts of the given texts' words, pairs and triples, in shards."""
+    """The counts of the given texts' words, pairs and triples, in shards.
+
+    Only the different triples are stored besides the shards. A round takes the
+    n-grams of its shards from them, and what it shuffles goes when it ends.
+    """
     spark, folder = trusted.sparkSession, f"lm-{uuid.uuid4().hex}"
-    later = f"{folder}-packed"
-    rows = picked(trusted, text_col).mapInArrow(_trigrams, "a long, b long, c long")
-    c3 = written(rows.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "three", within=folder)
-    c2 = written(c3.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "two", within=folder)
-    c1 = written(c2.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "one", within=folder)
-    cuts = tuple(map(_discounts, (c1, c2, c3)))
-    classes = [F.sum("n").alias("total"), *[F.sum(test.cast("long")).alias(name) for name, test in zip(FACTS[2:], (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2), strict=True)]]
-    size = c1.count() + c2.count() + c3.count()
-    power = max(0, math.ceil(math.log2(max(1, size) / SHARD)))
+    triples = _counts(trusted, text_col, folder)
 
-    def facts(df: DataFrame, *words: str) -> DataFrame:
-        of = [F.col(w) for w in words] + [F.lit(0)] * (3 - len(words))
-        own = [F.col(c) if c in df.columns else F.lit(0) for c in FACTS]
-        return df.select(F.lit(len(words)).alias("words"), *[w.cast("long").alias(f"w{k}") for k, w in enumerate(of)], *[c.cast("long").alias(n) for n, c in zip(FACTS, own, strict=True)])
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pairs in batch.column("pairs"):
+                found = _unpacked_keys(pairs.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([len(found) + len(_firsts(found))], pa.int64())], names=["n"])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, held = [], [], 0
+    size = triples.select("pairs").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    power = max(0, math.ceil(math.log2(max(1, size) / SHARD)))
+    rounds = min(SHARD_ROUNDS, 1 << power)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            own, sums = _summed(np.concatenate(keys), np.concatenate(values, axis=1))
-            for no, at in _cuts(own, power):
-                yield _shard_row(no, own[at], sums[:, at])
+    def packed(turn: int):
+        def of_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    for order, keys, facts in _Triples.read(row).facts(lambda x: _shards(x, power) * rounds >> power == turn):
+                        for no, at in _cuts(keys, power):
+                            yield _shard_row(no, keys[at], facts[:, at]).append_column("order", pa.array([order], pa.int64()))
 
-        for batch in batches:
-            words, sizes = [batch.column(f"w{k}").to_numpy().view(np.uint64) for k in range(3)], batch.column("words").to_numpy()
-            key = np.empty(len(sizes), np.uint64)
-            for n in (1, 2, 3):
-                key[sizes == n] = _keys([w[sizes == n] for w in words[:n]])
-            keys.append(key), values.append(np.stack([batch.column(c).to_numpy() for c in FACTS]))
-            held += len(key)
-            if held >= RANGE:
-                yield from out()
-                keys, values, held = [], [], 0
-        if held:
-            yield from out()
+        return of_turn
 
     known = Filter(power)
 
     def merged(parts: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unpacked_keys(x) for x in parts.column("keys").to_pylist()])
-        sums = np.concatenate([_numbers(x).reshape(len(FACTS), -1) for x in parts.column("facts").to_pylist()], axis=1)
-        keys, sums = _summed(keys, sums)
-        row = _shard_row(parts.column("shard")[0].as_py(), keys, sums)
-        return pa.Table.from_batches([row]).append_column("bits", pa.array([Filter(power).slice_of(keys)], pa.binary()))
+        by: list[list] = [[(np.zeros(0, np.uint64), np.zeros((1 if order else len(FACTS) - 1, 0), np.int64))] for order in range(4)]
+        for order, keys, facts in zip(*[parts.column(c).to_pylist() for c in ("order", "keys", "facts")], strict=True):
+            by[order].append((_unpacked_keys(keys), _numbers(facts).reshape(1 if order else len(FACTS) - 1, -1)))
+        every, times, total = [], [], 0
+        for order, found in enumerate(by):
+            keys, facts = _summed(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found], axis=1))
+            every.append((keys, facts))
+            if order:
+                times += [*[int((facts[0] == k).sum()) for k in range(1, 5)], len(keys)]
+                total += int(facts[0].sum()) if order == 1 else 0
+        given = np.concatenate([x for x, _ in every])
+        keys = np.sort(given)
+        keys = keys[_firsts(keys)]
+        facts = np.zeros((len(FACTS), len(keys)), np.int64)
+        for order, (own, values) in enumerate(every):
+            facts[0 if order else slice(1, None), np.searchsorted(keys, own)] = values[0] if order else values
+        row = _shard_row(parts.column("shard")[0].as_py(), keys, facts)
+        row = row.append_column("bits", pa.array([Filter(power).slice_of(keys)], pa.binary()))
+        return pa.Table.from_batches([row.append_column("times", pa.array([[*times, total]], pa.list_(pa.int64())))])
 
     shape = "shard long, size long, keys binary, facts binary"
-    first = c1.agg(*classes).first()
-    total = first["total"] or 0
-    contexts = facts(c3.groupBy("a", "b").agg(*classes), "a", "b"), facts(c2.groupBy("b").agg(*classes), "b")
-    counts = facts(c3, "a", "b", "c"), facts(c2, "b", "c"), facts(c1, "c")
-    # each is stored by itself, and what it was made of goes first, so that little lies on disk at a time
-    pairs, rest = (written(reduce(DataFrame.unionByName, x).mapInArrow(packed, shape), "packed", within=later) for x in (contexts, counts))
+    shards = reduce(DataFrame.unionByName, [
+        written(triples.mapInArrow(packed(turn), f"{shape}, order long").groupBy("shard").applyInArrow(merged, f"{shape}, bits binary, times array<long>"), "lm-shards")
+        for turn in range(rounds)
+    ])
     clear(spark, folder)
-    shards = written(pairs.unionByName(rest).groupBy("shard").applyInArrow(merged, f"{shape}, bits binary"), "lm-shards")
-    clear(spark, later)
-    for row in shards.select("shard", "bits").toLocalIterator():
+    size, times = 0, np.zeros(16, np.int64)
+    for row in shards.select("shard", "size", "bits", "times").toLocalIterator():
         known.bits[row["shard"] * known.each // 8 : (row["shard"] + 1) * known.each // 8] = np.frombuffer(row["bits"], np.uint8)
-    taken = sum(d * first[name] for d, name in zip(cuts[0], FACTS[2:], strict=True)) / total if total else 1.0
-    return Model(shards.drop("bits"), size, known, cuts, total, taken / WORDS)
+        size, times = size + row["size"], times + np.array(row["times"])
+    *times, total = times.tolist()
+    cuts = tuple(_discounts(times[k : k + 4]) for k in (0, 5, 10))
+    once, twice, _, _, words = times[:5]
+    taken = sum(d * n for d, n in zip(cuts[0], (once, twice, words - once - twice), strict=True)) / total if total else 1.0
+    return Model(shards.drop("bits", "times"), size, known, cuts, total, taken / WORDS)
 
 
 def _shard_row(no: int, keys: np.ndarray, facts: np.ndarray) -> pa.RecordBatch:
@@ -239,6 +366,24 @@ class _Block:
         self.asks, where = np.unique(np.concatenate([_keys([words]), pairs, triples]), return_inverse=True)
         self.word, self.pair, self.triple = np.split(where, [len(words), len(words) + len(pairs)])
 
+    @staticmethod
+    def asked(words: np.ndarray, codes: np.ndarray, known: Filter, low: int, high: int) -> np.ndarray:
+        """asks of the shards from low to high, without the places of the rest."""
+        here, hashes = codes >= 0, words[codes] if len(words) else np.zeros(len(codes), np.uint64)
+
+        def own(keys: np.ndarray) -> np.ndarray:
+            shards = _shards(keys, known.power)
+            return keys[(low <= shards) & (shards < high)]
+
+        at = np.flatnonzero(here[:-1] & here[1:])
+        pairs = _keys([hashes[at], hashes[at + 1]])
+        have = known.knows(pairs)
+        at, pairs = at[have], own(pairs[have])
+        at = at[:-1][np.diff(at) == 1]
+        triples = own(_keys([hashes[at], hashes[at + 1], hashes[at + 2]]))
+        keys = np.sort(np.concatenate([own(_keys([words])), pairs, triples[known.knows(triples)]]))
+        return keys[_firsts(keys)]
+
     def log_p(self, facts: np.ndarray, cuts, total: int, none: float) -> np.ndarray:
         """Log probabilities of the words from the third on, by the model's facts of asks (zeros: it has none)."""
 
@@ -273,13 +418,14 @@ class _Block:
 
 _BLOCKS = pa.schema([
     ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())),
-    ("words", pa.binary()), ("codes", pa.binary()), ("n_asks", pa.int64()),
+    ("words", pa.binary()), ("codes", pa.binary()), ("most_asks", pa.int64()),
 ])
 
 
-def _read(row: dict, known: Filter) -> _Block:
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The words and codes of a block."""
     planes = np.frombuffer(zstandard.decompress(row["codes"]), np.uint8).reshape(4, -1)
-    return _Block(_unpacked_keys(row["words"]), np.ascontiguousarray(planes.T).view("<i4").ravel(), known)
+    return _unpacked_keys(row["words"]), np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,9 +454,12 @@ def scores(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", lang
     a shard meets the shard's counts in one task, and the answers come back to
     the block. What the filter lets pass wrongly has no count. Where much more
     is asked than the model has, its shards are copied, so that no task answers
-    for too many blocks. A text longer than a block is one by itself.
+    for too many blocks. A text longer than a block is one by itself. Documents
+    are scored in rounds, by a hash of their id; a round's blocks and answers go
+    when its scores are stored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.known)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model.known)
     power, cuts, total, none = model.known.power, model.cuts, model.total, model.none
 
     def made(no: int, ids: list, langs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -319,8 +468,7 @@ def scores(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", lang
         have = (seq == BEGIN) | shared.value.knows(_keys([seq]))
         words, codes[have] = np.unique(seq[have], return_inverse=True)
         packed = zstandard.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-        n_asks = len(_Block(words, codes, shared.value).asks)
-        values = [[no], [ids], [langs], [[len(part) for part in parts]], [_packed_keys(words)], [packed], [n_asks]]
+        values = [[no], [ids], [langs], [[len(part) for part in parts]], [_packed_keys(words)], [packed], [len(words) + 2 * len(codes)]]
         return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, _BLOCKS, strict=True)], schema=_BLOCKS)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,32 +484,52 @@ def scores(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", lang
         if ids:
             yield made(no, ids, langs, parts)
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                asks = _read(row, shared.value).asks
-                for no, at in _cuts(asks, power):
-                    yield pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([_packed_keys(asks[at])], pa.binary())], names=["shard", "block", "keys"])
+    def asked(low: int, high: int):
+        def of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    asks = _Block.asked(*_read(row), shared.value, low, high)
+                    for no, at in _cuts(asks, power):
+                        yield pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([_packed_keys(asks[at])], pa.binary())], names=["shard", "block", "keys"])
+
+        return of_shards
 
     def summed(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         row = blocks.to_pylist()[0]
         parts = answers.sort_by("shard").column("facts").to_pylist()
         facts = np.concatenate([np.zeros((len(FACTS), 0), np.int64), *[_numbers(x).reshape(len(FACTS), -1) for x in parts]], axis=1)
-        each = _read(row, shared.value).log_p(facts, cuts, total, none)
+        each = _Block(*_read(row), shared.value).log_p(facts, cuts, total, none)
         before, n = np.concatenate([[0.0], np.cumsum(each)]), np.array(row["sizes"], np.int64)
         first = np.cumsum(n + 2) - n - 2
         return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_words": n, "nll": before[first] - before[first + n]})
 
     chosen = picked(docs, text_col, doc_id=id_col, lang=lang_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    blocks = written(chosen.mapInArrow(gathered, "block long, ids array<long>, langs array<string>, sizes array<long>, words binary, codes binary, n_asks long"), "lm-blocks")
-    copies = 1 + (blocks.agg(F.sum("n_asks")).first()[0] or 0) // max(1, int(ASKS_EACH * model.size))
-    asks = blocks.select("block", "words", "codes").mapInArrow(asked, "shard long, block long, keys binary")
-    rows = asks.select("shard", F.pmod(F.xxhash64("block"), F.lit(copies).cast("long")).alias("copy"), "block", "keys", F.lit(None).cast("binary").alias("facts")).unionByName(
-        model.shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"), F.lit(-1).cast("long").alias("block"), "keys", "facts")
-    )
-    dealt = rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "block").drop("copy")
-    answers = written(dealt.mapInArrow(_answered, "block long, shard long, facts binary"), "lm-answers")
-    return blocks.drop("n_asks").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(summed, "doc_id long, lang string, n_words long, nll double")
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rounds, turns = min(DOC_ROUNDS, 1 + size // ROUND_BYTES), min(ASK_ROUNDS, 1 << power)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // (rounds * TASK_BYTES)))
+
+    def answered(blocks: DataFrame, copies: int, low: int, high: int) -> DataFrame:
+        """What the shards from low to high answer."""
+        asks = blocks.select("block", "words", "codes").mapInArrow(asked(low, high), "shard long, block long, keys binary")
+        rows = asks.select("shard", F.pmod(F.xxhash64("block"), F.lit(copies).cast("long")).alias("copy"), "block", "keys", F.lit(None).cast("binary").alias("facts")).unionByName(
+            model.shards.where((F.col("shard") >= low) & (F.col("shard") < high))
+            .select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"), F.lit(-1).cast("long").alias("block"), "keys", "facts")
+        )
+        dealt = rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "block").drop("copy")
+        return dealt.mapInArrow(_answered, "block long, shard long, facts binary")
+
+    found = []
+    for turn in range(rounds):
+        folder = f"lm-{uuid.uuid4().hex}"
+        own = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn).coalesce(tasks) if rounds > 1 else chosen
+        blocks = written(own.mapInArrow(gathered, "block long, ids array<long>, langs array<string>, sizes array<long>, words binary, codes binary, most_asks long"), "lm-blocks", within=folder)
+        copies = 1 + (blocks.agg(F.sum("most_asks")).first()[0] or 0) // max(1, int(ASKS_EACH * model.size))
+        edges = [(k << power) // turns for k in range(turns + 1)]
+        answers = reduce(DataFrame.unionByName, [written(answered(blocks, copies, *at), "lm-answers", within=folder) for at in itertools.pairwise(edges)])
+        each = blocks.drop("most_asks").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(summed, "doc_id long, lang string, n_words long, nll double")
+        found.append(written(each, "lm-part"))
+        clear(spark, folder)
+    return reduce(DataFrame.unionByName, found)
 
 
 def classify(

@@ -624,6 +624,67 @@ def test_many_shards_and_blocks_give_the_same_scores(spark, monkeypatch):
     assert many.keys() == one.keys() and all(many[k] == pytest.approx(one[k], abs=1e-9) for k in one)
 
 
+def test_rounds_give_the_same_scores_and_hold_a_part_at_a_time(spark, monkeypatch):
+    made = [prose(n, 70 + k) for k, n in enumerate([0, 1, 2, 400, 30, 30, 900, 5])]
+    docs = frame(spark, made * 3)
+    one = {r["doc_id"]: r["nll"] for r in rows_of(quality_lm.scores(docs, quality_lm.train(frame(spark, made[2:]))))}
+    for name, value in {"SHARD": 500, "PART_BYTES": 1000, "ROUND_BYTES": 5000}.items():  # the driver's: how many of each there are
+        monkeypatch.setattr(quality_lm, name, value)
+    lying, sizes, written = Counter(), {}, quality_lm.written
+
+    def counted(df, name, within=None):
+        found = written(df, name, within)
+        lying[name] += 1
+        sizes.setdefault(name, []).append(found.count())
+        if name == "lm-blocks":
+            assert not lying["here"]
+            lying["here"] = within
+        return found
+
+    def cleared(spark, within=""):
+        lying["here"] = 0
+        common.clear(spark, within)
+
+    monkeypatch.setattr(quality_lm, "written", counted)
+    monkeypatch.setattr(quality_lm, "clear", cleared)
+    model = quality_lm.train(frame(spark, made[2:]))
+    many = {r["doc_id"]: r["nll"] for r in rows_of(quality_lm.scores(docs, model))}
+    assert many.keys() == one.keys() and all(many[k] == pytest.approx(one[k], abs=1e-9) for k in one)
+    assert sizes["triples"][0] > 5 and len(sizes["lm-shards"]) == quality_lm.SHARD_ROUNDS and len(sizes["lm-blocks"]) > 3
+    assert sum(sizes["lm-part"]) == 24 and len(sizes["lm-answers"]) == quality_lm.ASK_ROUNDS * len(sizes["lm-blocks"]) and not lying["here"]
+
+
+def test_triples_give_the_facts_of_plain_counts():
+    own = random.Random(6)
+    three = Counter(tuple(own.randrange(9) for _ in range(3)) for _ in range(900))
+    words = np.sort(np.array([own.getrandbits(64) for _ in range(9)], np.uint64))
+    two = Counter((b, c) for _, b, c in three)
+    expected = defaultdict(lambda: [0] * 5)
+    for counts in (three, two, Counter(c for _, c in two)):
+        for gram, n in counts.items():
+            gram = gram if isinstance(gram, tuple) else (gram,)
+            expected[gram][0] = n
+            if len(gram) > 1:
+                expected[gram[:-1]][1] += n
+                expected[gram[:-1]][min(n, 3) + 1] += 1
+    key = lambda gram: int(quality_lm._keys([words[[k]] for k in gram])[0])
+    expected = {key(gram): facts for gram, facts in expected.items()}
+    for spread in (1, 1 << 22):  # with so many words, three places don't fit into 64 bits
+        places = np.arange(9) * spread
+        many = np.zeros(places[-1] + 1, np.uint64)
+        many[places] = words
+        a, b, c = (np.array([places[k] for k in x]) for x in zip(*[gram for gram in three.elements()], strict=True))
+        read = quality_lm._Triples.counted(many, a, b, c, np.ones(len(a), np.int64))
+        cut = read.some(np.arange(len(read.n)))
+        assert (cut.words == words).all()
+        got = defaultdict(lambda: [0] * 5)
+        for order, keys, facts in quality_lm._Triples.read({k: v[0] for k, v in cut.row(0).to_pydict().items()}).facts(lambda x: x >= 0):
+            assert (keys[1:] >= keys[:-1]).all()
+            for k, at in enumerate(keys.tolist()):
+                got[at] = [x + y for x, y in zip(got[at], [*facts[:, k], 0, 0, 0, 0] if order else [0, *facts[:, k]], strict=True)]
+        assert got == expected
+
+
 # 9
 def test_pieces_are_exact_and_places_gapless(spark):
     from tokenizers import Tokenizer

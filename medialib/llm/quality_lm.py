@@ -37,10 +37,10 @@ SHARD, BLOCK_WORDS, RANGE = 1 << 20, 1 << 20, 1 << 20
 #: Bits of the filter for a shard, and for all shards at most; asked n-grams for each of the model's before shards are copied.
 SLICE, MOST_BITS, ASKS_EACH = 1 << 22, 1 << 31, 8
 #: Words of a chunk of trusted text, in which triples are counted before the shuffle; bytes of text for each part of the counts.
-CHUNK_WORDS, PART_BYTES = 1 << 20, 1 << 24
+CHUNK_WORDS, PART_BYTES = 1 << 20, 1 << 22
 #: Rounds in which shards are made, documents are scored (at most), and the blocks of a round ask; bytes of text that a round of
 #: documents is worth, and those of a task of it, about a block.
-SHARD_ROUNDS, DOC_ROUNDS, ASK_ROUNDS = 2, 8, 2
+SHARD_ROUNDS, DOC_ROUNDS, ASK_ROUNDS = 3, 8, 2
 ROUND_BYTES, TASK_BYTES = 1 << 25, 6 * BLOCK_WORDS
 #: Trusted ids (8 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 22

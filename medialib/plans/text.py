@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import wordlists as W
 from ..operators import library, posts
-from ..sources.staging import staged
+from ..sources.staging import scratch, staged
 from .posts import KIND
 from .query import query
 from .tagging import evenly
@@ -116,16 +116,18 @@ BESIDE = f"""n AS (SELECT k, pk AS media_pk, regexp_replace({SAFE.format('trim('
   UNION ALL SELECT kind, path, path, false FROM p WHERE path = folder || stem || ext""")
 def rename_manifest(v):
     """What a renaming job moves: files, thumbnails and sidecars, past names that are in use."""
-    names = staged(evenly(v.media, "pk").select("k", F.col("pk").alias("media_pk"), named(v).alias("base")))  # costs much, and is asked for often
-    files = v.files.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1))
-    made = [
-        (files.where("(k + idx) % 3 <> 0"), "/thumbs/", "stem", ".jpg"), (files.where("(k + idx) % 4 <> 0"), "/meta/", "stem", ".json"),
-        (names.where("k % 5 = 0"), "/thumbs/", "base", ".jpg"), (names.where("k % 2 = 0"), "/thumbs/", "base", "_3.jpg"), (names.where("k % 3 = 0"), "/lib/", "base", "_01.mp4"),
-    ]
-    disk = v.disk_inventory.select("path")
-    for rows, folder, column, ext in made:
-        disk = disk.unionByName(rows.select(F.concat(F.lit(folder), column, F.lit(ext)).alias("path")))
-    return library.rename_plan(v.files, names, staged(disk.distinct()), {"thumb": ("/thumbs", ".jpg"), "sidecar": ("/meta", ".json")})
+    with scratch(v.spark) as within:
+        names = staged(evenly(v.media, "pk").select("k", F.col("pk").alias("media_pk"), named(v).alias("base")), within)  # costs much, and is asked for often
+        files = staged(v.files.select("k", "idx", "media_pk", "path"), within)
+        stems = files.withColumn("stem", F.substring_index(F.substring_index("path", "/", -1), ".", 1))
+        made = [
+            (stems.where("(k + idx) % 3 <> 0"), "/thumbs/", "stem", ".jpg"), (stems.where("(k + idx) % 4 <> 0"), "/meta/", "stem", ".json"),
+            (names.where("k % 5 = 0"), "/thumbs/", "base", ".jpg"), (names.where("k % 2 = 0"), "/thumbs/", "base", "_3.jpg"), (names.where("k % 3 = 0"), "/lib/", "base", "_01.mp4"),
+        ]
+        disk = v.disk_inventory.select("path")
+        for rows, folder, column, ext in made:
+            disk = disk.unionByName(rows.select(F.concat(F.lit(folder), column, F.lit(ext)).alias("path")))
+        return library.rename_plan(files, names, staged(disk), {"thumb": ("/thumbs", ".jpg"), "sidecar": ("/meta", ".json")})
 
 
 @query("SELECT pk, CASE WHEN length(caption) > 30 THEN rtrim(caption[1:29]) || '…' ELSE caption END AS title FROM media")

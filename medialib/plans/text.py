@@ -127,7 +127,9 @@ def rename_manifest(v):
         disk = v.disk_inventory.select("path")
         for rows, folder, column, ext in made:
             disk = disk.unionByName(rows.select(F.concat(F.lit(folder), column, F.lit(ext)).alias("path")))
-        return library.rename_plan(files, names, staged(disk), {"thumb": ("/thumbs", ".jpg"), "sidecar": ("/meta", ".json")})
+        disk = staged(disk)
+        plan = library.rename_targets(files, names, disk, {"thumb": ("/thumbs", ".jpg"), "sidecar": ("/meta", ".json")})
+    return library.rename_moves(plan, disk)
 
 
 @query("SELECT pk, CASE WHEN length(caption) > 30 THEN rtrim(caption[1:29]) || '…' ELSE caption END AS title FROM media")
